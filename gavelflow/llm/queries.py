@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavelflow.llm import decontamination, exact_dedup, packing, token_rollup, tool_calls
+from gavelflow.llm import decontamination, exact_dedup, packing, substring_dedup, suffix_dedup, token_rollup, tool_calls
 from gavelflow.llm.scratch import Scratch
 
 
@@ -26,6 +26,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = token_rollup.TokenLedger(spark, Scratch(spark, "token-counts").root)
     counts = token_rollup.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(), "word_bpe_49k")
@@ -43,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_decontamination, op8_token_counts, op9_tool_calls, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_decontamination, op5_suffix_dedup, op6_substring_dedup, op8_token_counts, op9_tool_calls, op10_packing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -68,4 +76,29 @@ ORACLE_SQL = {
         SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op5_suffix_dedup": """
+        WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        spots AS (SELECT doc_id, i, md5_number(substring(h, 2 * i + 1, 400)) AS k FROM t, LATERAL (SELECT unnest(generate_series(0, length(h) // 2 - 200)) AS i) WHERE length(h) >= 400),
+        again AS (SELECT k FROM spots GROUP BY k HAVING count(*) > 1),
+        hits AS (SELECT doc_id, i FROM spots SEMI JOIN again USING (k)),
+        opened AS (SELECT doc_id, i, i > lag(i) OVER w + 200 OR lag(i) OVER w IS NULL AS opens FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        numbered AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM opened),
+        spans AS (SELECT doc_id, g, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY doc_id, g),
+        edges AS (SELECT doc_id, b AS kept_from, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS kept_to FROM spans UNION ALL SELECT doc_id, 0, min(a) FROM spans GROUP BY doc_id),
+        kept AS (SELECT doc_id, string_agg(substring(h, 2 * kept_from + 1, 2 * (coalesce(kept_to, length(h) // 2) - kept_from)), '' ORDER BY kept_from) AS h FROM edges JOIN t USING (doc_id) GROUP BY doc_id),
+        sums AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+        SELECT t.doc_id, (length(t.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+               sha256(unhex(coalesce(kept.h, t.h))) AS kept_sha256
+        FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)""",
+    "op6_substring_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        spots AS (SELECT doc_id, i, md5_number(array_to_string(w[i:i + 49], ' ')) AS k FROM t, LATERAL (SELECT unnest(generate_series(1, len(w) - 49)) AS i) WHERE len(w) >= 50),
+        firsts AS (SELECT k, min(doc_id) AS first_id FROM spots GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+        hits AS (SELECT doc_id, i FROM spots JOIN firsts USING (k) WHERE doc_id > first_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS p FROM hits),
+        words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM t),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+        sums AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(sums.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)""",
 }

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass takes at a time (a longer text is taken whole).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 512 << 10
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -22,9 +22,19 @@ BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, row offsets) of a string column."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    return _buffers(_whole(column).cast(pa.large_string()).fill_null(""))
+
+
+def text_bytes_of_binary(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """text_bytes() of a binary column without nulls."""
+    return _buffers(_whole(column).cast(pa.large_binary()))
+
+
+def _whole(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     if not len(at):
@@ -89,7 +99,10 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
     """P with P[j] - P[i] = sum of (values[k] + 1) * BASE**k for i <= k < j."""
     up, _ = powers(len(values) + 1)
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=out[1:])
+    terms = values.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= up[: len(values)]
+    np.cumsum(terms, out=out[1:])
     return out
 
 
