@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavelflow.llm import decontamination, exact_dedup, packing, substring_dedup, suffix_dedup, token_rollup, tool_calls
+from gavelflow.llm import decontamination, exact_dedup, near_dedup, packing, substring_dedup, suffix_dedup, token_rollup, tool_calls
 from gavelflow.llm.scratch import Scratch
 
 
@@ -22,6 +22,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,7 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_decontamination, op5_suffix_dedup, op6_substring_dedup, op8_token_counts, op9_tool_calls, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op4_decontamination, op5_suffix_dedup, op6_substring_dedup, op8_token_counts, op9_tool_calls, op10_packing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
