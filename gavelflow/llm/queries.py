@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavelflow.llm import decontamination, exact_dedup, near_dedup, packing, substring_dedup, suffix_dedup, token_rollup, tool_calls
+from gavelflow.llm import decontamination, exact_dedup, near_dedup, packing, substring_dedup, suffix_dedup, token_rollup, tool_calls, toxicity
 from gavelflow.llm.scratch import Scratch
 
 
@@ -38,6 +38,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removals(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = token_rollup.TokenLedger(spark, Scratch(spark, "token-counts").root)
     counts = token_rollup.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(), "word_bpe_49k")
@@ -55,7 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op4_decontamination, op5_suffix_dedup, op6_substring_dedup, op8_token_counts, op9_tool_calls, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op4_decontamination, op5_suffix_dedup, op6_substring_dedup, op7_toxicity, op8_token_counts, op9_tool_calls, op10_packing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
