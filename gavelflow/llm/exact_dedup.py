@@ -9,7 +9,8 @@ documents of larger, unended groups go to the next level.
 
 Each level counts its groups with map-side combination, writes those of two or more
 (few) and joins them to the documents; that join is the only place where a frequent
-text meets itself, and its document side can be split by adaptive execution.
+text meets itself, and its document side can be split by adaptive execution. A bit table
+of fixed size, over the written groups, keeps most unique documents out of the shuffle.
 
 Defined cases: null text counts as empty, empty texts are equal; of equal texts the row
 with the largest id stays, null ids being smallest; of several rows with that id (or
@@ -22,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavelflow.llm.bitfilter import bit_rows, only_marked
 from gavelflow.llm.scratch import Scratch
 
 FIRST_DIGIT = 64
@@ -46,14 +48,18 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, carry: dict, keep_body:
         })
         counted = dealt.groupBy("x_group", "x_digit", "x_ended").agg(F.count(F.lit(1)).alias("x_size"), F.max("x_id").alias("x_keep")).filter("x_size > 1")
         groups = scratch.save(counted.withColumn("x_next", F.monotonically_increasing_id()), f"groups{level}")
-        joined = dealt.join(groups, ["x_group", "x_digit", "x_ended"], "left")
+        key = F.xxhash64("x_group", "x_digit", "x_ended")
+        marks = scratch.save(bit_rows(groups, key), f"marks{level}")
+        alone = only_marked(dealt, key, marks, marked=False)
+        joined = only_marked(dealt, key, marks).join(groups.hint("merge"), ["x_group", "x_digit", "x_ended"], "left")
         unended = F.col("x_size").isNotNull() & ~F.col("x_ended")
         body = F.col("x_body") if keep_body else F.when(unended, F.col("x_body"))
         table = scratch.save(
             joined.select("x_id", body.alias("x_body"), "x_next", "x_size", "x_keep", unended.alias("x_open"), *carry),
             f"rows{level}",
         )
-        single = table.filter("x_size IS NULL").select(*carry, F.col("x_id").alias("x_keep"), F.lit(1).cast("long").alias("x_size"), F.lit(True).alias("x_kept"))
+        single = alone.select("x_id", *carry).unionByName(table.filter("x_size IS NULL").select("x_id", *carry))
+        single = single.select(*carry, F.col("x_id").alias("x_keep"), F.lit(1).cast("long").alias("x_size"), F.lit(True).alias("x_kept"))
         equal = table.filter("x_size IS NOT NULL AND NOT x_open")
         turn = F.row_number().over(Window.partitionBy("x_next", "x_id").orderBy(F.lit(0)))
         equal = equal.withColumn("x_kept", F.col("x_id").eqNullSafe(F.col("x_keep")) & (turn == 1)).select(*carry, "x_keep", "x_size", "x_kept")
