@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gavelflow.llm import decontamination, exact_dedup, near_dedup, packing, substring_dedup, suffix_dedup, token_rollup, tool_calls, toxicity
+from gavelflow.llm import decontamination, exact_dedup, near_dedup, packing, pii, substring_dedup, suffix_dedup, token_rollup, tool_calls, toxicity
 from gavelflow.llm.scratch import Scratch
 
 
@@ -26,6 +26,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,7 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op4_decontamination, op5_suffix_dedup, op6_substring_dedup, op7_toxicity, op8_token_counts, op9_tool_calls, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_pii, op4_decontamination, op5_suffix_dedup, op6_substring_dedup, op7_toxicity, op8_token_counts, op9_tool_calls, op10_packing)}
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
