@@ -22,3 +22,8 @@ def to_cents(dollars: Column) -> Column:
 def clamped(x: Column, low, high) -> Column:
     low, high = (v if isinstance(v, Column) else F.lit(v) for v in (low, high))
     return F.least(F.greatest(x, low), high)
+
+
+def to_places(x: Column, n: int) -> Column:
+    """Rounded to n decimal places, halves up; what binary fractions add beyond n + 6 places doesn't count."""
+    return F.floor(F.round(x * F.lit(10.0**n), 6) + F.lit(0.5)) / F.lit(10.0**n)

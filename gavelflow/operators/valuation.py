@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelflow.functions import matching as M
-from gavelflow.functions.numbers import clamped
+from gavelflow.functions.numbers import clamped, to_places
 from gavelflow.operators.comparables import match_comparables, sides
 from gavelflow.operators.quantiles import middle_of, weighted_quantile_of
 
@@ -31,7 +31,7 @@ def confidence_of(samples: Column, tier: Column, q20: Column, q50: Column, q80:
     spread = (q80 - q20) / q50
     dispersion = clamped(1 - F.greatest(F.lit(0.0), spread - 0.45) * 0.55, 0.35, 1.0)
     sparse = F.when(size < 1.5, 0.28).when(size < 2.5, 0.4).otherwise(cap)
-    return F.round(F.least(cap, sparse, cap * (0.18 + 0.82 * (1 - F.exp(-size / 4))) * (0.55 + match * 0.45) * dispersion), 4)
+    return to_places(F.least(cap, sparse, cap * (0.18 + 0.82 * (1 - F.exp(-size / 4))) * (0.55 + match * 0.45) * dispersion), 4)
 
 
 def adjusted_samples(matches: DataFrame, as_of: Column) -> DataFrame:
@@ -40,7 +40,7 @@ def adjusted_samples(matches: DataFrame, as_of: Column) -> DataFrame:
     return matches.withColumns({
         "value": M.adjusted_price(s, c),
         "weight": M.sample_weight(F.col("tier"), F.col("score"), c["ended_at"], as_of),
-        "match": F.round(clamped(F.col("score"), 0.0, 1.0), 4),
+        "match": to_places(clamped(F.col("score"), 0.0, 1.0), 4),
         "gap": F.abs(s["mileage"] - c["mileage"]),
     })
 

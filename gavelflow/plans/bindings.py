@@ -51,6 +51,34 @@ VIEWS = {
                CASE event_type WHEN 'error' THEN 'ended' ELSE 'active' END AS status,
                date_trunc('day', CAST(ts AS TIMESTAMP)) + INTERVAL '1' DAY AS ends_at, event_id
         FROM events""",
+    "deals": """
+        SELECT concat('lots:', CAST(o_orderkey AS STRING)) AS id, o_orderkey AS n,
+               CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(floor(CAST(o_totalprice AS DOUBLE) * 10 + CAST(0.5 AS DOUBLE)) AS BIGINT) END AS current_bid_cents,
+               CASE o_orderkey % 4 WHEN 0 THEN 'unavailable' WHEN 1 THEN 'reference-only' ELSE 'provider' END AS valuation_status,
+               CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(floor(CAST(o_totalprice AS DOUBLE) * (8 + o_orderkey % 13) + CAST(0.5 AS DOUBLE)) AS BIGINT) END AS low_cents,
+               CAST(o_orderkey % 11 AS DOUBLE) / 10 AS valuation_confidence,
+               CASE o_orderkey % 5 WHEN 0 THEN 'insufficient' WHEN 1 THEN 'reference-only' ELSE 'available' END AS forecast_status,
+               CAST(floor(CAST(o_totalprice AS DOUBLE) * (9 + o_orderkey % 3)) AS BIGINT) AS forecast_low,
+               CAST(floor(CAST(o_totalprice AS DOUBLE) * (10 + o_orderkey % 4)) AS BIGINT) AS forecast_expected,
+               CAST(floor(CAST(o_totalprice AS DOUBLE) * (13 + o_orderkey % 2)) AS BIGINT) AS forecast_high,
+               CAST(o_orderkey % 9 AS DOUBLE) / 8 AS forecast_confidence,
+               CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey % 6 AS DOUBLE) / 5 END AS data_confidence
+        FROM orders""",
+    "outcomes": """
+        SELECT CAST(l_suppkey AS STRING) AS id, concat(CAST(l_partkey % 37 AS STRING), '-', l_returnflag) AS outcome_id, l_orderkey * 10 + l_linenumber AS seen,
+               CAST(floor(CAST(l_extendedprice AS DOUBLE) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS close_cents,
+               CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_orderkey % 21 AS DOUBLE) / 20 END AS match_score,
+               CASE WHEN l_linenumber = 6 THEN NULL ELSE CAST(l_quantity AS DOUBLE) / 4 - 1 END AS weight
+        FROM lineitem WHERE l_linenumber > 3""",
+    "open_lots": """
+        SELECT CAST(s_suppkey AS STRING) AS id, s_suppkey AS n,
+               CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE CAST(s_suppkey % 7 * 1000000 + s_suppkey * 137 AS BIGINT) END AS current_bid_cents,
+               CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE CAST(s_suppkey % 13 AS INT) END AS bidder_count,
+               CASE s_suppkey % 6 WHEN 0 THEN NULL WHEN 1 THEN TIMESTAMP '2024-01-30 00:00:00' WHEN 2 THEN TIMESTAMP '2024-01-31 00:20:00' WHEN 3 THEN TIMESTAMP '2024-01-31 09:00:00' ELSE TIMESTAMP '2024-02-20 00:00:00' END AS ends_at,
+               CASE s_suppkey % 3 WHEN 0 THEN 'unavailable' ELSE 'available' END AS valuation_status,
+               CAST(2000000 + s_suppkey * 1000 AS BIGINT) AS low_cents, CAST(3000000 + s_suppkey * 1500 AS BIGINT) AS median_cents, CAST(5000000 + s_suppkey * 2500 AS BIGINT) AS high_cents,
+               CAST(s_suppkey % 10 AS DOUBLE) / 10 AS valuation_confidence
+        FROM supplier""",
     "offers": """
         SELECT p_brand AS family, CAST(year(l_shipdate) AS INT) AS year, p_type AS trim, CAST(l_quantity * 4000 AS BIGINT) AS mileage,
                CAST(floor(CAST(l_extendedprice AS DOUBLE) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS offer_cents
@@ -64,6 +92,9 @@ BASE = {
     "auctions": ["orders", "customer", "nation"],
     "bid_observations": ["events"],
     "offers": ["lineitem", "part"],
+    "deals": ["orders"],
+    "outcomes": ["lineitem"],
+    "open_lots": ["supplier"],
 }
 
 

@@ -76,7 +76,7 @@ VALUED = f"""{PAIRS},
     best AS (SELECT * FROM pairs QUALIFY tier = min(tier) OVER (PARTITION BY id)),
     ranked AS (SELECT * FROM best QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, ended_at DESC, auction_id) <= 15),
     adjusted AS (
-        SELECT id, tier, auction_id, ended_at, abs(s_mileage - mileage) AS gap, round(least(greatest(score, 0), 1), 4) AS match,
+        SELECT id, tier, auction_id, ended_at, abs(s_mileage - mileage) AS gap, (floor(round((least(greatest(score, 0), 1)) * 10000.0::DOUBLE, 6) + 0.5::DOUBLE) / 10000.0::DOUBLE) AS match,
             greatest(1, floor(closed_high_bid_cents * least(greatest(
                 least(greatest(exp((s_year - year) * 0.045), 0.7), 1.4)
                 * CASE WHEN s_mileage <> 0 AND mileage <> 0 THEN least(greatest(pow(mileage::DOUBLE / s_mileage, 0.28), 0.65), 1.45) ELSE 1.0 END
@@ -101,8 +101,8 @@ VALUED = f"""{PAIRS},
         SELECT s.id, CASE WHEN tier IS NULL THEN 'unavailable' ELSE 'available' END AS status,
             CASE tier WHEN 1 THEN 'family-year-mileage' WHEN 2 THEN 'family' WHEN 3 THEN 'body-class' END AS match_basis,
             q2 AS low_cents, q5 AS median_cents, q8 AS high_cents, coalesce(n, 0) AS sample_size,
-            coalesce(round(least(cap, CASE WHEN ess < 1.5 THEN 0.28 WHEN ess < 2.5 THEN 0.4 ELSE cap END,
-                cap * (0.18 + 0.82 * (1 - exp(-ess / 4))) * (0.55 + m * 0.45) * least(greatest(1 - greatest(0.0, spread - 0.45) * 0.55, 0.35), 1.0)), 4), 0.0)::DOUBLE AS confidence,
+            coalesce((floor(round((least(cap, CASE WHEN ess < 1.5 THEN 0.28 WHEN ess < 2.5 THEN 0.4 ELSE cap END,
+                cap * (0.18 + 0.82 * (1 - exp(-ess / 4))) * (0.55 + m * 0.45) * least(greatest(1 - greatest(0.0, spread - 0.45) * 0.55, 0.35), 1.0))) * 10000.0::DOUBLE, 6) + 0.5::DOUBLE) / 10000.0::DOUBLE), 0.0)::DOUBLE AS confidence,
             coalesce(shown, '') AS comparables
         FROM subjects s LEFT JOIN sized USING (id))"""
 
