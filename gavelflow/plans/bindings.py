@@ -64,6 +64,28 @@ VIEWS = {
                CAST(o_orderkey % 9 AS DOUBLE) / 8 AS forecast_confidence,
                CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey % 6 AS DOUBLE) / 5 END AS data_confidence
         FROM orders""",
+    "board": """
+        SELECT concat('lot-', CAST(o_orderkey AS STRING)) AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'lots' ELSE 'fleet' END AS source, concat(c_mktsegment, ' ', o_orderpriority) AS title,
+               CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE lpad(CAST(o_orderkey AS STRING), 17, '0') END AS vin, c_name AS city,
+               CASE WHEN n_nationkey = 3 THEN ' unknown ' WHEN n_nationkey = 4 THEN '' WHEN n_nationkey = 5 THEN ' tx' ELSE n_name END AS state,
+               c_mktsegment AS body_style, 'make' AS make, o_orderpriority AS model, CASE o_orderkey % 4 WHEN 0 THEN 'good' WHEN 1 THEN 'fair' WHEN 2 THEN 'repairable' ELSE 'salvage' END AS condition,
+               CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'P' THEN 'preview' ELSE 'ended' END AS status,
+               CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(floor(CAST(o_totalprice AS DOUBLE) * 10 + CAST(0.5 AS DOUBLE)) AS BIGINT) END AS current_bid_cents,
+               CAST(o_orderkey * 7 % 101 AS BIGINT) AS score, CAST(o_orderkey % 20 AS DOUBLE) / 20 AS confidence,
+               CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey * 131 % 900000 - 300000 AS BIGINT) END AS projected_profit_cents,
+               CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey * 17 % 9000 - 3000 AS DOUBLE) / 10000 END AS discount_to_value,
+               CASE WHEN o_orderkey % 5 = 0 THEN 'unavailable' ELSE 'provider' END AS valuation_status, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_totalprice AS BIGINT) END AS median_cents,
+               CAST(o_orderdate AS TIMESTAMP) AS starts_at, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '7' DAY + CAST(o_orderkey % 60 AS INT) * INTERVAL '1' MINUTE AS ends_at,
+               CAST(o_orderdate AS TIMESTAMP) + INTERVAL '5' DAY + CAST(o_orderkey % 50 AS INT) * INTERVAL '1' HOUR AS last_checked_at
+        FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "checks": """
+        SELECT CAST(ts AS TIMESTAMP) AS checked_at, CAST(event_id % 2 AS INT) AS success, CASE WHEN event_id % 3 = 0 THEN 'complete' ELSE 'partial' END AS coverage FROM events""",
+    "seen_auctions": """
+        SELECT CAST(event_id AS STRING) AS external_id, CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'preview' WHEN 'purchase' THEN 'closing' WHEN 'error' THEN 'ended' ELSE 'sold' END AS status,
+               CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(floor(CAST(value AS DOUBLE) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) END AS current_bid_cents,
+               CAST(ts AS TIMESTAMP) AS last_seen_at, CAST(ts AS TIMESTAMP) + CAST(event_id % 90 AS INT) * INTERVAL '1' MINUTE AS ends_at,
+               CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(ts AS TIMESTAMP) - CAST(event_id % 70 AS INT) * INTERVAL '1' MINUTE END AS last_checked_at
+        FROM events""",
     "outcomes": """
         SELECT CAST(l_suppkey AS STRING) AS id, concat(CAST(l_partkey % 37 AS STRING), '-', l_returnflag) AS outcome_id, l_orderkey * 10 + l_linenumber AS seen,
                CAST(floor(CAST(l_extendedprice AS DOUBLE) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS close_cents,
@@ -93,6 +115,9 @@ BASE = {
     "bid_observations": ["events"],
     "offers": ["lineitem", "part"],
     "deals": ["orders"],
+    "board": ["orders", "customer", "nation"],
+    "checks": ["events"],
+    "seen_auctions": ["events"],
     "outcomes": ["lineitem"],
     "open_lots": ["supplier"],
 }
