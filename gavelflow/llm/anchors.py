@@ -246,9 +246,9 @@ def covered(units: Units, row: np.ndarray, place: np.ndarray, size: np.ndarray)
     return np.cumsum(change[:-1]) > 0
 
 
-#: Different stretches of one gram that one task compares; those of larger groups are
-#: dealt out window by window.
-LOCAL_STRETCHES = 2_000
+#: Different stretches of one gram that one task compares (some 100 MB of windows); those
+#: of larger groups are dealt out window by window.
+LOCAL_STRETCHES = 20_000
 #: Windows that a task compares at a time, but for the last group.
 LOCAL_WINDOWS = 500_000
 

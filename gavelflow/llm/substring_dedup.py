@@ -10,8 +10,9 @@ the stretch itself joins the automaton.
 
 The shards are dealt out by group together with the stretches that stream against them,
 rather than broadcast: every shard against every document would be work in the square of
-the corpus. Groups with too many different stretches for one automaton are dealt out
-window by window, with the smallest id of each window.
+the corpus. A shard of more than AUTOMATON_STRETCHES would be an automaton of some
+hundred MB; its windows are sorted instead, in one task or, beyond the bound of
+anchors.py, dealt out one by one, and matched with the smallest id that has them.
 
 Defined cases: null text has no words; a null id counts as larger than any other, so its
 document loses what documents with ids hold and takes nothing from them; rows with the
@@ -33,6 +34,8 @@ from gavelflow.llm import textkit as K
 from gavelflow.llm.scratch import Scratch
 
 NO_ID = (1 << 63) - 1
+#: Different stretches of one shard's automaton.
+AUTOMATON_STRETCHES = 4_000
 
 
 class SuffixAutomaton:
@@ -118,7 +121,22 @@ def _spans(repeats: A.Repeats, scheme: A.Scheme) -> DataFrame:
                 waiting.append(words)
         return A.joined_windows(table, np.array(places, np.int64), np.array(rows, np.int64))
 
-    local = A.by_gram(parts.filter(F.col("different") <= A.LOCAL_STRETCHES), resolve)
+    def resolve_large(table: pa.Table, data: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+        units = A.Units.of(scheme, data, start)
+        windows = np.asarray(table.column("windows"))
+        row = np.repeat(np.arange(len(windows)), windows)
+        at = K.gathered(windows, units.first[:-1])
+        h = K.span_hashes(K.prefix_sums(units.data), units.at[at], units.end[at + scheme.window - 1])
+        _, group = np.unique(K.mixed(h + np.asarray(table.column("gram")).view(np.uint64)[row]), return_inverse=True)
+        ids = np.asarray(table.column("x_id").fill_null(NO_ID))[row]
+        least = np.full(len(group), NO_ID)
+        np.minimum.at(least, group, ids)
+        found = least[group] < ids
+        return A.joined_windows(table, (at - units.first[row])[found], row[found])
+
+    small = F.col("different") <= AUTOMATON_STRETCHES
+    local = A.by_gram(parts.filter(small), resolve)
+    local = local.unionByName(A.by_gram(parts.filter(~small & (F.col("different") <= A.LOCAL_STRETCHES)), resolve_large))
     spread = repeats.scratch.save(A.spread_windows(parts.filter(F.col("different") > A.LOCAL_STRETCHES), scheme), "windows")
     least = spread.groupBy("digest").agg(F.min("x_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 AND first_id IS NOT NULL")
     least = repeats.scratch.save(least.select("digest", "first_id"), "first")
