@@ -11,12 +11,14 @@ larger ones). Time runs only until every component has a point, so that a signat
 costs about m ln m points whatever the text's length.
 
 Texts that agree in all rows of a band meet in a bucket. No bucket is expanded into
-pairs: its members are held against a pivot, verified links are joined into classes, and
-only buckets whose members are still of several classes go on, with four times as many
-pivots each round. A round compares only members of different classes. A pair is
-verified on the exact multisets; signatures only turn away pairs whose agreement is more
-than five standard deviations below the threshold. Two texts at the threshold miss every
-band with a probability of (1 - 0.8 ** 6) ** 42 = 3e-6.
+pairs: its members are tied to its smallest one, and what is tied together, over all
+bands, is a family. Each family is then verified on exact multisets. Its texts are dealt
+into blocks of bounded count and bytes, and each two blocks meet in one task, where an
+inverted index of their shingles gives a text's overlap with all others at once. A text
+whose rarest shingles, of more than a fifth of its weight, stand nowhere else can have no
+partner and is passed over. A task reports the links that join two sets of its texts, so
+what it reports is fewer than its texts. Classes are what links connect. Two texts at
+the threshold miss every band with a probability of (1 - 0.8 ** 6) ** 42 = 3e-6.
 
 Defined cases: null text counts as empty; equal texts are one node and share a class,
 the empty ones too; a text of one to four words is one shingle; the class id is the
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelflow.llm import textkit as K
@@ -130,7 +132,7 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _nodes(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """x_sha, x_id (smallest), bands, low (a byte of each component) of each different text."""
+    """x_sha, x_id (smallest), bands of each different text."""
     m = bands * rows
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,29 +141,22 @@ def _nodes(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             for lo, hi in K.slices(offsets, SLICE_BYTES):
                 row, h, count = multisets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 signature = bag_min_hash(row, h, count, hi - lo, m)
-                hashes = band_hashes(signature, bands, rows)
                 some = signature.any(axis=1)
-                sizes = np.where(some, bands, 0)
                 at = np.zeros(hi - lo + 1, np.int32)
-                np.cumsum(sizes, out=at[1:])
-                low = (signature & np.uint64(0xFF)).astype(np.uint8)
+                np.cumsum(np.where(some, bands, 0), out=at[1:])
+                hashes = band_hashes(signature[some], bands, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo),
-                        batch.column(1).slice(lo, hi - lo),
-                        pa.ListArray.from_arrays(pa.array(at), pa.array(hashes[some].ravel().view(np.int64))),
-                        pa.array([x.tobytes() for x in low], pa.binary()),
-                    ],
-                    names=["x_id", "x_sha", "bands", "low"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.ravel().view(np.int64)))],
+                    names=["x_id", "x_sha", "bands"],
                 )
 
-    signed = docs.mapInArrow(of, "x_id long, x_sha binary, bands array<long>, low binary")
+    signed = docs.mapInArrow(of, "x_id long, x_sha binary, bands array<long>")
     # Copies have equal signatures, so any of them will do.
-    return signed.groupBy("x_sha").agg(F.min("x_id").alias("x_id"), F.first("bands").alias("bands"), F.first("low").alias("low"))
+    return signed.groupBy("x_sha").agg(F.min("x_id").alias("x_id"), F.first("bands").alias("bands"))
 
 
-def connected(nodes: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """node, label: the smallest node that links reach. Labels travel along links and
+def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """node, label of every linked node: the smallest node that links reach. Labels travel along links and
     along labels themselves, so that chains shorten by half each round."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct()
     both = scratch.save(both, f"{name}-links")
@@ -178,55 +173,105 @@ def connected(nodes: DataFrame, links: DataFrame, scratch: Scratch, name: str) -
         labels = new.select("node", "label")
         if new.filter("label <> old").isEmpty():
             break
-    return nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-
-
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two (sorted hashes, counts)."""
-    at = np.minimum(np.searchsorted(b[0], a[0]), max(len(b[0]) - 1, 0))
-    if not len(a[0]) or not len(b[0]):
-        return 0.0
-    same = b[0][at] == a[0]
-    common = int(np.minimum(a[1][same], b[1][at[same]]).sum())
-    return common / (int(a[1].sum()) + int(b[1].sum()) - common)
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap enough. texts: node, text."""
-
-    def multiset(text: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        raw, offsets = K.text_bytes(pa.array([text.as_py()], pa.string()))
-        return multisets(raw, offsets)[1:]
+    return labels
+
+
+def links_among(group: np.ndarray, side: np.ndarray, raw: np.ndarray, offsets: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """Rows x and y of links that join two sets of rows of one group.
+
+    In a group with both sides, rows of side 0 are held against rows of side 1; in others,
+    all against all."""
+    n = len(group)
+    row, h, count = multisets(raw, offsets)
+    size = np.bincount(row, weights=count, minlength=n)
+    key = K.mixed(h + K.mixed(group.view(np.uint64))[row])
+    _, place, df = np.unique(key, return_inverse=True, return_counts=True)
+    order = np.argsort(place, kind="stable")
+    posting, weight, start = row[order], count[order], np.cumsum(df) - df
+    # A partner shares all but (1 - threshold) of a text's weight, so one of any shingles that weigh more.
+    rare = np.lexsort((df[place], row))
+    run = np.cumsum(count[rare]) - count[rare]
+    first = np.searchsorted(row, np.arange(n))
+    before = run - run[np.minimum(first, len(run) - 1)][row[rare]] if len(run) else run
+    needed = before <= (1 - threshold) * size[row[rare]] + 1e-9
+    asks = np.zeros(n, bool)
+    asks[row[rare][needed & (df[place[rare]] > 1)]] = True
+    both = np.zeros(n, bool)
+    for g in np.unique(group):
+        of = group == g
+        both[of] = side[of].any()
+    asks &= ~both | (side == 0)
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out: tuple[list[int], list[int]] = ([], [])
+    last = np.searchsorted(row, np.arange(n), side="right")
+    for x in np.flatnonzero(asks).tolist():
+        mine = slice(int(first[x]), int(last[x]))
+        found = place[mine]
+        at = K.gathered(df[found], start[found])
+        shared = np.bincount(posting[at], weights=np.minimum(weight[at], np.repeat(count[mine], df[found])), minlength=n)
+        shared[x] = 0
+        good = np.flatnonzero(shared >= threshold * (size[x] + size - shared) - 1e-9)
+        for y in good[shared[good] > 0].tolist():
+            if both[x] and side[y] == side[x]:
+                continue
+            a, b = find(x), find(y)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out[0].append(x)
+                out[1].append(y)
+    return out
+
+
+#: Texts and bytes of one block of a family, and of the groups that a task takes together.
+BLOCK_TEXTS, BLOCK_BYTES = 2_000, 8 << 20
+
+
+def _links(members: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """a, b: the links of each family. members: node, family, text."""
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    sizes = scratch.save(sizes.filter("n > 1").select("family", F.greatest(blocks, F.lit(1)).alias("blocks")), "families")
+    dealt = members.join(sizes.hint("merge"), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meeting = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))
+    side = (F.col("block") > F.col("other")).cast("int")
+    rows = met.select(meeting.alias("meeting"), side.alias("side"), "node", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
-            keep = []
-            b, text_a, text_b = batch.column(1).to_pylist(), batch.column(2), batch.column(3)
-            for k, node in enumerate(b):  # sorted by b: a pivot's multiset is made once
-                if node != last:
-                    last, held = node, multiset(text_b[k])
-                keep.append(similarity(multiset(text_a[k]), held) >= threshold)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        held: list[pa.RecordBatch] = []
 
-    x = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    y = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(of, "a long, b long")
+        def done(table: pa.Table) -> pa.RecordBatch:
+            raw, offsets = K.text_bytes(table.column("text"))
+            x, y = links_among(np.asarray(table.column("meeting")), np.asarray(table.column("side")), raw, offsets, threshold)
+            node = np.asarray(table.column("node"))
+            return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
 
-
-def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float, m: int) -> DataFrame:
-    """Without pairs whose signatures agree too rarely for the threshold."""
-    least = int(m * threshold - 5 * (m * threshold * (1 - threshold)) ** 0.5)
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = 0
         for batch in batches:
-            sides = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, m) for k in (2, 3)]
-            yield batch.select([0, 1]).filter(pa.array((sides[0] == sides[1]).sum(axis=1) >= least, pa.bool_()))
-
-    low = nodes.select("node", "low")
-    x, y = (low.select(F.col("node").alias(n), F.col("low").alias(f"low_{n}")) for n in "ab")
-    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "low_a", "low_b").mapInArrow(of, "a long, b long")
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                held.append(part)
+                weight += part.num_rows
+                if weight < BLOCK_TEXTS:
+                    continue
+                table = pa.Table.from_batches(held)
+                meeting = np.asarray(table.column("meeting"))
+                cut = int(np.searchsorted(meeting, meeting[-1]))
+                if cut:
+                    yield done(table.slice(0, cut))
+                    held = table.slice(cut).to_batches()
+                    weight = len(meeting) - cut
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    return rows.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(of, "a long, b long")
 
 
 def _text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -239,38 +284,18 @@ def _classes_of_texts(source: DataFrame, scratch: Scratch, threshold: float, ban
     nodes = _nodes(source, bands, rows).withColumn("node", F.monotonically_increasing_id())
     nodes = scratch.save(nodes, "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    several = scratch.save(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter("size > 1"), "buckets")
-    members = scratch.save(members.join(several.hint("merge"), "bucket").select("bucket", "node", "size", "pivot"), "members")
-    pairs = members.filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    labels, links, k, pivots = None, None, 0, 1
-    while True:
-        likely = scratch.save(_likely(pairs, nodes, threshold, bands * rows), f"pairs{k}")
-        ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-        named = scratch.save(ends.join(nodes.select("node", "x_sha", "x_id"), "node"), f"ends{k}")
-        marks = scratch.save(bit_rows(named, F.xxhash64("x_sha")), f"marks{k}")
-        found = only_marked(source, F.xxhash64("x_sha"), marks).withColumnRenamed("x_id", "y_id")
-        texts = found.join(named.hint("merge"), "x_sha").filter(F.col("x_id").eqNullSafe(F.col("y_id"))).select("node", F.col("x_text").alias("text"))
-        texts = scratch.save(texts.dropDuplicates(["node"]), f"texts{k}")
-        verified = scratch.save(_verified(likely, texts, threshold), f"verified{k}")
-        scratch.drop(f"texts{k}")
-        if k and verified.isEmpty():
-            new = False
-        else:
-            new = True
-            links = verified if links is None else links.unionByName(verified)
-            labels = scratch.save(connected(nodes.select("node"), links, scratch, f"round{k}"), f"labels{k}")
-        # Buckets whose members are of several classes, with pivots not yet tried.
-        marked = members.select("bucket", "node", "size").join(labels.hint("merge"), "node")
-        open_ = marked.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.max("size").alias("size"))
-        open_ = scratch.save(open_.filter((F.col("least") != F.col("most")) & (F.col("size") - 1 > pivots)).select("bucket"), f"open{k}")
-        if open_.isEmpty():
-            break
-        inside = scratch.save(marked.join(open_.hint("merge"), "bucket").select("bucket", "node", "label"), f"inside{k}")
-        order = Window.partitionBy("bucket").orderBy("node")
-        turn = inside.withColumn("turn", F.row_number().over(order)).filter((F.col("turn") > pivots) & (F.col("turn") <= 5 * pivots))
-        turn = scratch.save(turn.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b")), f"turn{k}")
-        pairs = inside.join(turn, "bucket").filter("label <> label_b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        pivots, k = 5 * pivots, k + 1
+    several = scratch.save(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter("size > 1").select("bucket", "pivot"), "buckets")
+    ties = members.join(several.hint("merge"), "bucket").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    families = connected(scratch.save(ties, "ties"), scratch, "family").withColumnRenamed("label", "family")
+    tied = scratch.save(families.join(nodes.select("node", "x_sha", "x_id").hint("merge"), "node"), "tied")
+    marks = scratch.save(bit_rows(tied, F.xxhash64("x_sha")), "marks")
+    found = only_marked(source, F.xxhash64("x_sha"), marks).withColumnRenamed("x_id", "y_id")
+    texts = found.join(tied.hint("merge"), "x_sha").filter(F.col("x_id").eqNullSafe(F.col("y_id"))).select("node", "family", F.col("x_text").alias("text"))
+    texts = scratch.save(texts.dropDuplicates(["node"]), "texts")
+    links = scratch.save(_links(texts, scratch, threshold), "links")
+    scratch.drop("texts")
+    labels = connected(links, scratch, "class")
+    labels = nodes.select("node").join(labels.hint("merge"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     named = nodes.select("node", "x_sha", F.struct(F.col("x_id").isNull(), F.col("x_id").alias("id"), F.col("x_sha").alias("sha")).alias("least")).join(labels, "node")
     of_class = scratch.save(named.groupBy("label").agg(F.min("least").alias("least")), "classes")
     named = scratch.save(named.select("x_sha", "label").join(of_class.hint("merge"), "label").select("x_sha", "label", F.col("least.id").alias("class_id"), F.col("least.sha").alias("keep_sha")), "named")
