@@ -113,4 +113,19 @@ ORACLE_SQL = {
         sums AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
         SELECT t.doc_id, len(t.w)::BIGINT AS n_words, coalesce(sums.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM t LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)""",
+    "op9_tool_calls": """
+        WITH opening AS (SELECT conv_id, min(turn) AS opened FROM conversations WHERE role = 'user' GROUP BY conv_id),
+        calls AS (
+            SELECT c.conv_id, turn, c.conv_id || ':' || turn AS call_id, ['search', 'summarise', 'translate'][length(text) % 3 + 1] AS name, text, length(text) AS size,
+                   length(text) % 200 AS lim, CASE WHEN turn > opened THEN 1 ELSE 0 END AS level
+            FROM conversations c JOIN opening USING (conv_id) WHERE role = 'user'),
+        results AS (SELECT conv_id || ':' || (turn - 1) AS call_id, count(*) AS n_results, min({'turn': turn, 'said': text}) AS f FROM conversations WHERE role = 'assistant' GROUP BY 1),
+        told AS (
+            SELECT calls.*, coalesce(n_results, 0) AS n_results, f.turn AS result_turn, f.said AS said, concat_ws('; ',
+                CASE WHEN (name = 'search' AND lim > 150) OR (name = 'summarise' AND lim < 20) THEN 'limit is out of bounds' END,
+                CASE WHEN (name = 'search' AND size < 1) OR (name = 'summarise' AND size > 1000) OR (name = 'translate' AND (size < 1 OR size > 4000)) THEN 'text is out of bounds' END) AS errors
+            FROM calls LEFT JOIN results USING (call_id))
+        SELECT conv_id, turn, call_id, name, level, n_results, result_turn, errors = '' AS valid, errors,
+               to_json({'arguments': {'limit': lim, 'text': text}, 'call_id': call_id, 'level': level, 'name': name, 'result': said, 'turn': turn})::VARCHAR AS message
+        FROM told""",
 }
