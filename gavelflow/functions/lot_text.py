@@ -215,7 +215,9 @@ def parse_int(c: Column) -> Column:
 def parse_time(c: Column) -> Column:
     """/Date(ms)/, ISO without an offset as UTC, or any offset form."""
     ms = F.regexp_extract(c, r"^/Date\((\d+)(?:[+-]\d{4})?\)/$", 1).try_cast("bigint")
-    return F.coalesce(F.timestamp_millis(ms), F.try_to_timestamp(F.when(~c.startswith("/Date("), c)))
+    # A time without seconds and with a zone isn't read otherwise.
+    text = F.regexp_replace(c, r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2})(Z|[+-].*)?$", "$1:00$2")
+    return F.coalesce(F.timestamp_millis(ms), F.try_to_timestamp(F.when(~c.startswith("/Date("), text)))
 
 
 def status_of(c: Column, feed: str = "bulk") -> Column:
