@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelflow.llm import textkit as K
@@ -286,7 +286,10 @@ def _classes_of_texts(source: DataFrame, scratch: Scratch, threshold: float, ban
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     several = scratch.save(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter("size > 1").select("bucket", "pivot"), "buckets")
     ties = members.join(several.hint("merge"), "bucket").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    families = connected(scratch.save(ties, "ties"), scratch, "family").withColumnRenamed("label", "family")
+    # A node's smallest tie stands for it: its other ties join theirs to that one, and are few.
+    ties = scratch.save(ties.withColumn("least", F.min("b").over(Window.partitionBy("a"))), "ties")
+    ties = ties.select("a", F.col("least").alias("b")).unionByName(ties.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))).distinct()
+    families = connected(scratch.save(ties, "short-ties"), scratch, "family").withColumnRenamed("label", "family")
     tied = scratch.save(families.join(nodes.select("node", "x_sha", "x_id").hint("merge"), "node"), "tied")
     marks = scratch.save(bit_rows(tied, F.xxhash64("x_sha")), "marks")
     found = only_marked(source, F.xxhash64("x_sha"), marks).withColumnRenamed("x_id", "y_id")
