@@ -44,7 +44,7 @@ BANDS, ROWS = 42, 6
 SHINGLE = 5
 STEP = np.uint64(0xD1B54A32D192ED03)
 #: Text bytes whose signatures are drawn together.
-SLICE_BYTES = 512 << 10
+SLICE_BYTES = 256 << 10
 
 
 def multisets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,7 +230,7 @@ def links_among(group: np.ndarray, side: np.ndarray, raw: np.ndarray, offsets: n
 
 
 #: Texts and bytes of one block of a family, and of the groups that a task takes together.
-BLOCK_TEXTS, BLOCK_BYTES = 2_000, 8 << 20
+BLOCK_TEXTS, BLOCK_BYTES = 1_000, 4 << 20
 
 
 def _links(members: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
@@ -253,13 +253,14 @@ def _links(members: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
             node = np.asarray(table.column("node"))
             return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
 
-        weight = 0
+        weight = size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
                 held.append(part)
                 weight += part.num_rows
-                if weight < BLOCK_TEXTS:
+                size += K.text_bytes(part.column(3))[0].size
+                if weight < BLOCK_TEXTS and size < BLOCK_BYTES:
                     continue
                 table = pa.Table.from_batches(held)
                 meeting = np.asarray(table.column("meeting"))
@@ -267,7 +268,7 @@ def _links(members: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
                 if cut:
                     yield done(table.slice(0, cut))
                     held = table.slice(cut).to_batches()
-                    weight = len(meeting) - cut
+                    weight, size = len(meeting) - cut, sum(K.text_bytes(b.column(3))[0].size for b in held)
         if held:
             yield done(pa.Table.from_batches(held))
 
