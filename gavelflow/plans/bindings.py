@@ -35,7 +35,7 @@ VIEWS = {
                CASE p_partkey / 20 % 4 WHEN 0 THEN 'usable' WHEN 1 THEN 'repairable' WHEN 2 THEN 'salvage' ELSE 'unknown' END AS condition,
                CASE p_partkey % 3 WHEN 0 THEN 'runs-and-drives' WHEN 1 THEN 'non-operational' ELSE 'unknown' END AS operability,
                CAST(lpad(CAST(p_partkey AS STRING), 17, '0') AS STRING) AS vin, CAST(p_partkey % 2 AS INT) AS issues
-        FROM part WHERE p_partkey % 20 = 0""",
+        FROM part""",
     "auctions": """
         SELECT 'lots' AS source_key, CAST(o_orderkey AS STRING) AS external_id,
                CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'P' THEN 'preview' ELSE 'ended' END AS status,
@@ -91,7 +91,7 @@ VIEWS = {
                CAST(floor(CAST(l_extendedprice AS DOUBLE) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS close_cents,
                CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_orderkey % 21 AS DOUBLE) / 20 END AS match_score,
                CASE WHEN l_linenumber = 6 THEN NULL ELSE CAST(l_quantity AS DOUBLE) / 4 - 1 END AS weight
-        FROM lineitem WHERE l_linenumber > 3""",
+        FROM lineitem""",
     "open_lots": """
         SELECT CAST(s_suppkey AS STRING) AS id, s_suppkey AS n,
                CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE CAST(s_suppkey % 7 * 1000000 + s_suppkey * 137 AS BIGINT) END AS current_bid_cents,
@@ -104,7 +104,7 @@ VIEWS = {
     "offers": """
         SELECT p_brand AS family, CAST(year(l_shipdate) AS INT) AS year, p_type AS trim, CAST(l_quantity * 4000 AS BIGINT) AS mileage,
                CAST(floor(CAST(l_extendedprice AS DOUBLE) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS offer_cents
-        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1""",
+        FROM lineitem JOIN part ON l_partkey = p_partkey""",
 }
 
 BASE = {

@@ -80,7 +80,7 @@ ORACLE_SQL = {
         y AS (SELECT *, greatest(50000, {R.format('l * (1 + adj)')}) AS low_cents FROM x), z AS (SELECT *, greatest(low_cents, {R.format('m2 * (1 + adj)')}) AS median_cents FROM y)
         SELECT id, low_cents, median_cents, greatest(median_cents, {R.format('h * (1 + adj)')}) AS high_cents, n AS sample_size,
             (least(0.78, CASE WHEN n >= 8 THEN 0.64 WHEN n >= 5 THEN 0.57 WHEN n >= 3 THEN 0.5 ELSE 0.4 END + CASE WHEN gap <= 30000 THEN 0.08 ELSE 0 END))::DOUBLE AS confidence FROM z""",
-    "resolve_valuation": """WITH s AS (SELECT 'lot:' || p_partkey AS id, p_partkey // 20 AS n FROM part WHERE p_partkey % 20 = 0),
+    "resolve_valuation": """WITH s AS (SELECT 'lot:' || p_partkey AS id, p_partkey // 20 AS n FROM part),
         f AS (SELECT *, n % 3 = 0 AND n % 5 - 2 > 0 AS live, n % 3 = 0 AND n % 2 = 0 AS kv, n % 4 < 2 AS b, n % 5 < 3 AS e, n % 5 < 3 AND n % 6 >= 3 AND n % 3 - 1 > 0 AS newer, n % 7 < 3 AS o FROM s),
         g AS (SELECT *, CASE WHEN live AND kv THEN 'cache' WHEN b AND newer THEN 'exact' WHEN b THEN 'bundled' WHEN live THEN 'negative-cache' WHEN o THEN 'offers' WHEN e THEN 'exact' ELSE 'unavailable' END AS source FROM f)
         SELECT id, source, CASE source WHEN 'cache' THEN n WHEN 'exact' THEN n + 2000 WHEN 'bundled' THEN n + 1000 WHEN 'offers' THEN n + 3000 END AS median_cents FROM g""",
