@@ -1,19 +1,22 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Examples are a bounded sample of the labelled rows that may be learnt from. Terms are
-words (ASCII-lower-cased runs of letters and digits) whose document counts differ between
-the two labels beyond chance; their inverse document frequencies count all documents.
-Examples with the same vector are one entry with its two label counts, and entries are
-indexed by term with the largest weight of each term in each block of entries. A
-document's entries are found exactly: blocks are visited in the order of their upper
-bounds until no bound reaches the k-th best cosine; all entries that tie with the k-th
-count. Votes are weighted by nearness and shrunk to the overall rate.
+Examples are a bounded sample of the labelled rows that may be learnt from. Terms are all
+words (ASCII-lower-cased runs of letters and digits); inverse document frequencies count
+all documents. Examples with the same vector are one entry with its two label counts. A
+document's cosines with all entries are exact: postings of the rarer terms are summed, the
+frequent ones multiplied as a dense matrix; all entries that tie with the k-th count. Words that no example holds don't change the order of entries, but
+they lengthen the document's vector: their document frequencies are counted in Spark and
+joined back, never held whole in memory.
+
+An entry's vote is weighted by nearness, the fourth power of the cosine or, where that is more, the
+cosine over the words alone whose document counts differ between the labels beyond chance,
+and shrunk to the overall rate.
 
 Labels, language, source and id are never inputs of a score; learning rows are picked by
 the remainder of crc32 of the id's digits, which is not 1.
 
-Defined cases: null text counts as empty; a text without any term, the empty one too,
-gets the rate of examples without terms; labels that are null, or whose id is null or
+Defined cases: null text counts as empty; a text that shares no word with an example, the
+empty one too, gets the rate of examples without words; labels that are null, or whose id is null or
 has no document, are not learnt from; of repeated label rows each counts; without any
 example every score is 0; repeated rows are scored alike; an empty table gives an empty
 result; extra columns are ignored (``accepted`` keeps them), whatever they are called.
@@ -30,19 +33,21 @@ from pyspark.sql import functions as F
 
 from gavelflow.llm import textkit as K
 from gavelflow.llm.decontamination import words_of
+from gavelflow.llm.scratch import Scratch
 
-#: Most labelled rows that are learnt from, and most terms.
+#: Most labelled rows that are learnt from, and most terms that mark a label.
 EXAMPLES = 16_384
 TERMS = 4_096
-#: A term needs this many examples, this squared deviation from chance (chi-square), and
-#: this share of the strongest term's: families of copies lend weaker ones to any word.
+#: A term that marks a label needs this many examples and this squared deviation from
+#: chance (chi-square). It weighs in votes only: neighbours are sought over all terms.
 LEAST_EXAMPLES = 4
 LEAST_CHI2 = 15.0
-LEAST_SHARE = 0.25
 NEIGHBOURS = 15
 #: Weight of the overall rate among the votes.
 PRIOR = 0.5
-BLOCK = 64
+#: Terms that are held densely, and documents that are multiplied with them at once.
+FREQUENT = 256
+TOGETHER = 64
 
 
 def held_out(id_col: Column) -> Column:
@@ -81,100 +86,120 @@ def known_terms(raw: np.ndarray, offsets: np.ndarray, terms: np.ndarray) -> tupl
 
 
 class Index:
-    """Entries (unit TF-IDF vectors with label counts) by term, in blocks."""
+    """Entries (unit TF-IDF vectors with label counts) by term; the most frequent terms densely."""
 
-    def __init__(self, idf: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray, int, int]], bare: tuple[int, int]):
+    def __init__(self, idf: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray, int, int]], bare: tuple[int, int], marked: np.ndarray | None = None):
         self.idf, self.n_terms = idf, len(idf)
         self.total = np.array([e[2] for e in entries], float)
         self.toxic = np.array([e[3] for e in entries], float)
         n, t = bare[0] + self.total.sum(), bare[1] + self.toxic.sum()
         self.rate = t / n if n else 0.0
         self.bare = (bare[1] + PRIOR * self.rate) / (bare[0] + PRIOR) if n else 0.0
+        self.size = size = len(entries)
         term = np.concatenate([e[0] for e in entries]) if entries else np.empty(0, np.int64)
         weight = np.concatenate([e[1] for e in entries]) if entries else np.empty(0)
-        entry = np.repeat(np.arange(len(entries)), [len(e[0]) for e in entries]) if entries else np.empty(0, np.int64)
-        order = np.lexsort((entry, term))
-        self.term, self.weight, self.entry = term[order], weight[order], entry[order]
-        self.first = np.searchsorted(self.term, np.arange(self.n_terms + 1))
-        self.blocks = -(-len(entries) // BLOCK)
-        self.most = np.zeros((self.n_terms, self.blocks), np.float32)
-        np.maximum.at(self.most, (self.term, self.entry // BLOCK), np.nextafter(self.weight.astype(np.float32), np.float32(2)))
-        # postings of term t in block b: cut[t, b] to cut[t, b + 1]
-        key = self.term * max(self.blocks, 1) + self.entry // BLOCK
-        self.cut = np.searchsorted(key, np.arange(self.n_terms * self.blocks + 1)) if self.blocks else np.zeros(1, np.int64)
+        entry = np.repeat(np.arange(size), [len(e[0]) for e in entries]) if entries else np.empty(0, np.int64)
+        # The weights of marked terms by entry.
+        self.marked = np.zeros(self.n_terms, bool) if marked is None else marked
+        on = np.flatnonzero(self.marked[term])
+        self.m_first = np.searchsorted(entry[on], np.arange(size + 1))
+        self.m_term, self.m_weight = term[on].astype(np.int32), weight[on]
+        self.m_norm = np.sqrt(np.bincount(entry[on], weights=weight[on] ** 2, minlength=size))
+        held = np.bincount(term, minlength=self.n_terms)
+        often = np.argsort(-held, kind="stable")[:FREQUENT]
+        often = often[held[often] > size // 64]
+        self.place = np.full(self.n_terms, -1, np.int32)
+        self.place[often] = np.arange(len(often))
+        dense = self.place[term] >= 0
+        self.dense = np.zeros((size, len(often)))
+        self.dense[entry[dense], self.place[term[dense]]] = weight[dense]
+        term, weight, entry = term[~dense], weight[~dense], entry[~dense]
+        order = np.argsort(term, kind="stable")
+        self.weight, self.entry = weight[order], entry[order].astype(np.int32)
+        self.first = np.searchsorted(term[order], np.arange(self.n_terms + 1))
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         return w / np.sqrt((w * w).sum())
 
-    def neighbours(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+    def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the densely held terms add to each query's cosine with each entry."""
+        rows = np.zeros((len(queries), self.dense.shape[1]))
+        for row, (terms, weights) in zip(rows, queries, strict=True):
+            on = self.place[terms] >= 0
+            row[self.place[terms[on]]] = weights[on]
+        return rows @ self.dense.T
+
+    def neighbours(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(entries, cosines) of the k nearest examples and all that tie with the last."""
-        bound = weights.astype(np.float32) @ self.most[terms] * np.float32(1.00001)
-        found, cosines, least = [], [], 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < least:
-                break
-            at = terms * self.blocks + b
-            counts = self.cut[at + 1] - self.cut[at]
-            where = K.gathered(counts, self.cut[at])
-            lo = b * BLOCK
-            size = min(BLOCK, len(self.total) - lo)
-            cosine = np.bincount(self.entry[where] - lo, weights=self.weight[where] * np.repeat(weights, counts), minlength=size)
-            some = np.flatnonzero(cosine > max(least - 1e-9, 0))
-            found.append(some + lo)
-            cosines.append(cosine[some])
-            entry, near = np.concatenate(found), np.concatenate(cosines)
-            order = np.argsort(-near, kind="stable")
-            reach = np.searchsorted(np.cumsum(self.total[entry[order]]), k)
-            if reach < len(order):
-                least = near[order][reach]
-        if not found:
+        if not self.size or not len(terms):
             return np.empty(0, np.int64), np.empty(0)
-        keep = near >= least - 1e-9
-        return entry[keep], near[keep]
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
-        """(score, its entries)."""
-        entry, near = self.neighbours(terms, self.vector(terms, counts))
-        if not len(entry):
-            return self.bare, entry
-        # near ** 4 lets close examples outvote many far ones; more of them weigh more, as far as k.
-        vote = near**4 * self.total[entry]
-        vote *= min(1.0, NEIGHBOURS / self.total[entry].sum())
-        return float((vote * self.toxic[entry] / self.total[entry]).sum() + PRIOR * self.rate) / float(vote.sum() + PRIOR), entry
-
-
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> tuple[np.ndarray, Index]:
-    """(term hashes, sorted; index). The driver gets a few numbers for each term and for
-    each example that has one, both bounded by the parameters."""
+        rare = self.place[terms] < 0
+        lo, counts = self.first[terms[rare]], self.first[terms[rare] + 1] - self.first[terms[rare]]
+        where = K.gathered(counts, lo)
+        near = np.bincount(self.entry[where], weights=self.weight[where] * np.repeat(weights[rare], counts), minlength=self.size)
+        near = near + (self.frequent([(terms, weights)])[0] if common is None else common)
+        top = np.argpartition(-near, k)[:k] if self.size > k else np.arange(self.size)
+        top = top[np.argsort(-near[top], kind="stable")]
+        reach = np.searchsorted(np.cumsum(self.total[top]), k)
+        least = near[top[reach]] if reach < len(top) else 0.0
+        entry = np.flatnonzero((near >= least - 1e-9) & (near > 0))
+        return entry, near[entry]
+
+    def marks(self, terms: np.ndarray, weights: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Cosines with these entries over the marked terms alone."""
+        on = self.marked[terms]
+        own = np.sqrt((weights[on] ** 2).sum())
+        if not own:
+            return np.zeros(len(entry))
+        counts = self.m_first[entry + 1] - self.m_first[entry]
+        where = K.gathered(counts, self.m_first[entry])
+        at = np.minimum(np.searchsorted(terms[on], self.m_term[where]), on.sum() - 1)
+        both = np.where(terms[on][at] == self.m_term[where], weights[on][at] * self.m_weight[where], 0.0)
+        dot = np.bincount(np.repeat(np.arange(len(entry)), counts), weights=both, minlength=len(entry))
+        return dot / np.maximum(own * self.m_norm[entry], 1e-300)
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> tuple[np.ndarray, Index, int]:
+    """(hashes of the examples' words, sorted; index; number of documents). The driver gets
+    the distinct words of the examples, whose number is bounded by the parameters."""
     usable = labels.select(F.col(id_col).cast("long").alias("x_id"), F.col(label_col).cast("int").alias("x_toxic"))
     usable = usable.filter("x_id IS NOT NULL AND x_toxic IS NOT NULL").filter(~held_out(F.col("x_id")))
     picked = usable.orderBy(F.xxhash64("x_id"), "x_id", "x_toxic").limit(examples)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("x_id"), text.alias("x_text"))
     # At most ``examples`` pairs of numbers are broadcast.
-    taken = rows.join(F.broadcast(picked), "x_id").select("x_id", "x_toxic", "x_text")
+    taken = rows.join(F.broadcast(picked), "x_id").select("x_toxic", "x_text")
 
-    def of_examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = K.text_bytes(batch.column(2))
+            raw, offsets = K.text_bytes(batch.column(1))
             row, h, count = term_counts(raw, offsets)
-            pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(h.view(np.int64)), pa.array(count.astype(np.int64))], names=["id", "toxic", "term", "n"])
-
-    seen = taken.mapInArrow(of_examples, "id long, toxic int, term long, n long")
-    size = taken.agg(F.count(F.lit(1)).alias("n"), F.sum("x_toxic").alias("t")).first()
-    n, t = float(size.n or 0), float(size.t or 0)
-    by_term = seen.groupBy("term").agg(F.count(F.lit(1)).alias("a"), F.sum("toxic").alias("b"))
-    rest = F.lit(n) - F.col("a")
-    off = F.col("b") * F.lit(n) - F.col("a") * F.lit(t)
-    chi2 = F.lit(n) * off * off / (F.lit(max(t * (n - t), 1.0)) * F.col("a") * F.greatest(rest, F.lit(1.0)))
-    chosen = by_term.filter(f"a >= {LEAST_EXAMPLES}").withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
-    chosen = chosen.orderBy(F.desc("chi2"), "term").limit(terms)
-    found = chosen.select("term", "chi2").collect()
-    hashes = np.sort(np.array([r.term for r in found if r.chi2 >= LEAST_SHARE * found[0].chi2], np.int64).view(np.uint64))
+            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+            parts = [(h[a:b].tobytes(), count[a:b].astype(np.int32).tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary()), batch.column(0)], names=["terms", "counts", "toxic"])
+
+    made = taken.mapInArrow(vectors, "terms binary, counts binary, toxic int").groupBy("terms", "counts").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).toArrow()
+    found = sorted(zip(*[made.column(k).to_pylist() for k in range(4)], strict=True))
+    of = [np.frombuffer(x[0], np.uint64) for x in found]
+    hashes, term = np.unique(np.concatenate(of) if of else np.empty(0, np.uint64), return_inverse=True)
+    size = np.array([x[2] for x in found], float)
+    toxic = np.array([x[3] for x in found], float)
+    lengths = [len(x) for x in of]
+    # Words whose example counts differ between the labels: chi-square of (examples a, toxic ones b).
+    a = np.bincount(term, weights=np.repeat(size, lengths), minlength=len(hashes))
+    b = np.bincount(term, weights=np.repeat(toxic, lengths), minlength=len(hashes))
+    n, t = size.sum(), toxic.sum()
+    off = b * n - a * t
+    chi2 = np.where(a >= LEAST_EXAMPLES, n * off * off / (max(t * (n - t), 1.0) * np.maximum(a, 1) * np.maximum(n - a, 1.0)), 0.0)
+    chosen = np.lexsort((hashes, -chi2))[:terms]
+    marked = np.zeros(len(hashes), bool)
+    marked[chosen[chi2[chosen] >= LEAST_CHI2]] = True
+
+    spread = docs.sparkSession.sparkContext.broadcast(hashes)
 
     def of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = spread.value
         total, docs_seen = np.zeros(len(hashes), np.int64), 0
         for batch in batches:
             raw, offsets = K.text_bytes(batch.column(0))
@@ -182,60 +207,90 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             for lo, hi in K.slices(offsets):
                 _, term, _ = known_terms(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], hashes)
                 total += np.bincount(term, minlength=len(hashes))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(hashes))), pa.array(np.concatenate([[docs_seen], total]))], names=["term", "n"])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[docs_seen], total[some]]))], names=["term", "n"])
 
-    counts = {r.term: r.n for r in rows.select("x_text").mapInArrow(of_all, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    frequency = np.array([counts.get(k, 0) for k in range(len(hashes))], float)
-    idf = np.log((1 + counts.get(-1, 0)) / (1 + frequency)) + 1
+    seen = rows.select("x_text").mapInArrow(of_all, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    at, count = (seen.column(k).to_numpy() for k in range(2))
+    frequency = np.zeros(len(hashes))
+    frequency[at[at >= 0]] = count[at >= 0]
+    all_docs = int(count[at < 0].sum())
+    idf = np.log((1 + all_docs) / (1 + frequency)) + 1
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = K.text_bytes(batch.column(2))
-            row, term, count = known_terms(raw, offsets, hashes)
-            at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(at), pa.array(term)), pa.ListArray.from_arrays(pa.array(at), pa.array(count.astype(np.int64))), batch.column(1)], names=["terms", "counts", "toxic"])
-
-    made = taken.mapInArrow(vectors, "terms array<long>, counts array<long>, toxic int").groupBy("terms", "counts").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
     bare, entries = (0, 0), []
     maker = Index(idf, [], (0, 0))
-    for r in made.orderBy("terms", "counts").collect():
-        if r.terms:
-            of = np.array(r.terms, np.int64)
-            entries.append((of, maker.vector(of, np.array(r.counts, float)), r.n, r.t))
+    ends = np.cumsum([0, *lengths])
+    for k, (_, counts, total, bad) in enumerate(found):
+        if lengths[k]:
+            own = term[ends[k] : ends[k + 1]]
+            entries.append((own, maker.vector(own, np.frombuffer(counts, np.int32).astype(float)), total, bad))
         else:
-            bare = (r.n, r.t)
-    return hashes, Index(idf, entries, bare)
+            bare = (bare[0] + total, bare[1] + bad)
+    return hashes, Index(idf, entries, bare, marked), all_docs
+
+
+VOTES = "array<struct<near:double,mark:double,share:double,size:double>>"
 
 
-def _scored(rows: DataFrame, columns: list[str], model, evidence: bool) -> DataFrame:
-    """rows (columns and x_text, last) with x_score, and x_near: the nearest entries'
-    toxic shares and sizes."""
+def _scored(rows: DataFrame, columns: list[str], model) -> DataFrame:
+    """rows (columns and x_text, last) with x_score and x_votes, one for each nearest entry."""
+    _, index, all_docs = model.value
+    bare, rate = index.bare, index.rate
+    del index
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, index = model.value
+        hashes, index, _ = model.value
         for batch in batches:
             raw, offsets = K.text_bytes(batch.column(len(columns)))
-            scores, near = np.full(batch.num_rows, index.bare), [[] for _ in range(batch.num_rows)]
+            known = np.ones(batch.num_rows)
+            votes, others = [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
             for lo, hi in K.slices(offsets):
-                row, term, count = known_terms(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], hashes)
+                row, h, count = term_counts(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
+                hit = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
                 cuts = np.flatnonzero(np.diff(row, prepend=-1, append=hi)).tolist()
+                asked = []
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    r = lo + int(row[a])
-                    scores[r], entries = index.score(term[a:b], count[a:b].astype(float))
-                    if evidence:
-                        near[r] = (index.toxic[entries] / index.total[entries]).tolist()
-            out = [batch.column(k) for k in range(len(columns))] + [pa.array(scores)]
-            names = [*columns, "x_score"]
-            if evidence:
-                out.append(pa.array(near, pa.list_(pa.float64())))
-                names.append("x_near")
-            yield pa.RecordBatch.from_arrays(out, names=names)
-
-    kept = rows.select(*columns)
-    schema = kept.withColumn("x_score", F.lit(0.0))
-    if evidence:
-        schema = schema.withColumn("x_near", F.array().cast("array<double>"))
-    return rows.mapInArrow(of, schema.schema)
+                    on = hit[a:b]
+                    if on.any():
+                        r, terms = lo + int(row[a]), at[a:b][on]
+                        full = (1 + np.log(count[a:b][on].astype(float))) * index.idf[terms]
+                        known[r] = (full * full).sum()
+                        asked.append((r, a, b, on, terms, full / np.sqrt(known[r])))
+                for k, (r, a, b, on, terms, weights) in enumerate(asked):
+                    if k % TOGETHER == 0:
+                        common = index.frequent([x[4:] for x in asked[k : k + TOGETHER]])
+                    entry, near = index.neighbours(terms, weights, common=common[k % TOGETHER])
+                    mark = index.marks(terms, weights, entry)
+                    votes[r] = [{"near": x, "mark": y, "share": z, "size": w} for x, y, z, w in zip(near.tolist(), mark.tolist(), (index.toxic[entry] / index.total[entry]).tolist(), index.total[entry].tolist(), strict=True)]
+                    others[r] = [{"term": x, "n": y} for x, y in zip(h[a:b][~on].view(np.int64).tolist(), count[a:b][~on].tolist(), strict=True)]
+            kind = pa.list_(pa.struct([(c, pa.float64()) for c in ("near", "mark", "share", "size")]))
+            other = pa.list_(pa.struct([("term", pa.int64()), ("n", pa.int64())]))
+            out = [batch.column(k) for k in range(len(columns))] + [pa.array(known), pa.array(votes, kind), pa.array(others, other)]
+            yield pa.RecordBatch.from_arrays(out, names=[*columns, "x_known", "x_votes", "x_others"])
+
+    scratch = Scratch(rows.sparkSession, "toxicity")
+    schema = rows.select(*columns).withColumns({"x_known": F.lit(0.0), "x_votes": F.array().cast(VOTES), "x_others": F.array().cast("array<struct<term:bigint,n:bigint>>")}).schema
+    told = scratch.save(rows.mapInArrow(of, schema).withColumn("x_row", F.monotonically_increasing_id()), "told")
+    # Words of no example: their part of the squared length of each document's vector.
+    pairs = told.select("x_row", F.inline("x_others"))
+    often = scratch.save(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("docs")), "others")
+    # So many terms at most as a thousand documents hold on average.
+    hot = F.broadcast(often.filter(F.col("docs") * 1000 > all_docs))
+    cold = often.filter(F.col("docs") * 1000 <= all_docs)
+    priced = pairs.join(hot, "term").unionByName(pairs.join(hot.select("term"), "term", "left_anti").join(cold, "term"))
+    weight = (F.lit(1.0) + F.log(F.col("n"))) * (F.log(F.lit(1.0 + all_docs) / (F.lit(1.0) + F.col("docs"))) + F.lit(1.0))
+    longer = priced.groupBy("x_row").agg(F.sum(weight * weight).alias("x_more"))
+    out = told.drop("x_others").join(longer, "x_row", "left").withColumn("x_whole", F.sqrt(F.col("x_known") / (F.col("x_known") + F.coalesce("x_more", F.lit(0.0)))))
+    # The power 4 lets close examples outvote many far ones; more of them weigh more, as far as k.
+    out = out.withColumns({
+        "x_size": F.expr("aggregate(x_votes, 0D, (a, v) -> a + v.size)"),
+        "x_all": F.expr("aggregate(x_votes, 0D, (a, v) -> a + greatest(pow(v.near * x_whole, 4), v.mark) * v.size)"),
+        "x_bad": F.expr("aggregate(x_votes, 0D, (a, v) -> a + greatest(pow(v.near * x_whole, 4), v.mark) * v.size * v.share)"),
+    })
+    part = F.least(F.lit(1.0), F.lit(float(NEIGHBOURS)) / F.col("x_size"))
+    score = F.when(F.size("x_votes") == 0, F.lit(float(bare))).otherwise((part * F.col("x_bad") + F.lit(PRIOR * rate)) / (part * F.col("x_all") + F.lit(PRIOR)))
+    return out.select(*columns, score.alias("x_score"), "x_votes")
 
 
 def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str):
@@ -247,9 +302,9 @@ def scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     model = _model(docs, labels, id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("x_text"))
-    out = _scored(rows, ["doc_id"], model, evidence=True)
+    out = _scored(rows, ["doc_id"], model)
     score = F.col("x_score")
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score.alias("score"), (score >= reject_at).cast("int").alias("predicted"), F.col("x_near").alias("evidence"))
+    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score.alias("score"), (score >= reject_at).cast("int").alias("predicted"), F.col("x_votes.share").alias("evidence"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.7) -> DataFrame:
@@ -258,5 +313,5 @@ def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     names = [f"x_{k}" for k in range(len(docs.columns))]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], text.alias("x_text"))
-    out = _scored(rows, names, model, evidence=False).filter(F.col("x_score") < reject_at)
+    out = _scored(rows, names, model).filter(F.col("x_score") < reject_at)
     return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

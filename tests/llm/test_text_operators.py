@@ -223,3 +223,21 @@ def test_neighbours_are_exact():
         want = set(np.flatnonzero((cos >= cos[reach] - 1e-9) & (cos > 0)).tolist())
         entry, near = index.neighbours(t, q)
         assert set(entry.tolist()) == want and np.allclose(near, cos[entry])
+
+
+def test_near_copies_of_toxic_examples_are_found(spark):
+    rows = [(k, prose(k, 40) + (" vile rotten" if k % 4 == 0 else "")) for k in range(240)]
+    toxic = [k for k in range(1000, 1060) if zlib.crc32(str(k).encode()) % 3 != 1][:8]  # without the common words
+    rows += [(k, " ".join(f"rare{k}n{j}" for j in range(60))) for k in toxic]
+    copies = {3000 + k: k for k in toxic}
+    rows += [(c, dict(rows)[k] + " unseen") for c, k in copies.items()]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(240)] + [(k, 1) for k in toxic], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.scores(frame(spark, rows), labels).collect()}
+    docs, n = {i: Counter(words(t)) for i, t in rows}, len(rows)
+    df = Counter(w for c in docs.values() for w in c)
+    vector = lambda c: {w: (1 + np.log(m)) * (np.log((1 + n) / (1 + df[w])) + 1) for w, m in c.items()}
+    rate = (sum(k % 4 == 0 for k in range(240) if zlib.crc32(str(k).encode()) % 3 != 1) + len(toxic)) / (sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(240)) + len(toxic))
+    for c, k in copies.items():
+        a, b = vector(docs[c]), vector(docs[k])
+        near = sum(x * b.get(w, 0) for w, x in a.items()) / np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        assert got[c].evidence == [1.0] and abs(got[c].score - (near**4 + toxicity.PRIOR * rate) / (near**4 + toxicity.PRIOR)) < 1e-9
