@@ -6,10 +6,11 @@ placed one by one: of all open residual gaps, and a new sequence, the choice is
 after which the sum over gaps of (number of open sequences with that gap) squared is
 smallest. That keeps gaps of every size few, so that later pieces still find their fit.
 
-Pieces are dealt over shards by a hash, so no key can heat one, and each shard packs at
-most about ``shard_pieces`` of them. Sequences that a shard leaves with more than
-``slack`` of room are opened again and their pieces dealt over fewer shards, round by
-round, until one bounded shard holds what is left.
+Pieces are dealt over shards by a hash of their saved row numbers, so no key can heat one,
+and each shard packs about ``shard_pieces`` of them, in every round. Sequences that a
+shard leaves with more than ``slack`` of room are opened again and their pieces dealt anew,
+round by round, until one bounded shard holds what is left, or until a round leaves more
+than seven eighths of its pieces over: then its sequences stay as they are.
 
 Defined cases: null text counts as empty and is the end id alone; every row is packed,
 repeated rows too, each under its own doc_id (a null doc_id stays null); an empty table
@@ -109,12 +110,13 @@ def pack(
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    left = scratch.save(cut_into_pieces(narrow, tokenizer, capacity, end_id), "pieces")
-    schema = f"{PIECES}, sequence_id long, offset long, room long"
+    left = scratch.save(cut_into_pieces(narrow, tokenizer, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    columns = [c.split()[0] for c in PIECES.split(", ")]
+    schema = f"{PIECES}, row long, sequence_id long, offset long, room long"
 
-    def packed(salt: int, level: int):
+    def packed(level: int):
         def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+            rows = rows.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], kind="stable")
             lengths = rows["length"].to_numpy()
             sequence, offset = sum_of_squares(lengths, capacity)
             room = capacity - np.bincount(sequence, weights=lengths).astype(np.int64)
@@ -122,22 +124,19 @@ def pack(
 
         return of
 
-    done, level, before = [], 0, None
+    done, level, pieces = [], 0, left.count()
     while True:
-        pieces = left.count()
         shards = max(1, -(-pieces // shard_pieces))
-        if before is not None:
-            shards = min(shards, max(1, before // 2))
-        before = shards
-        dealt = left.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(level)), F.lit(shards)))
-        placed = scratch.save(dealt.groupBy("shard").applyInPandas(packed(level, level), schema), f"placed{level}")
-        if shards == 1:
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(shards)))
+        placed = scratch.save(dealt.groupBy("shard").applyInPandas(packed(level), schema), f"placed{level}")
+        rest = placed.filter(F.col("room") > slack)
+        over = rest.count() if shards > 1 else 0
+        if shards == 1 or over * 8 > pieces * 7:
             done.append(placed)
             break
         done.append(placed.filter(F.col("room") <= slack))
-        left = placed.filter(F.col("room") > slack).select(*[c.split()[0] for c in PIECES.split(", ")])
-        level += 1
+        left, pieces, level = rest.select(*columns, "row"), over, level + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.drop("room")
+    return out.drop("room", "row")

@@ -84,6 +84,15 @@ def test_packing_is_whole_and_tight(spark, shard):
     assert packing.pack(frame(spark, []), PATH).count() == 0
 
 
+@pytest.mark.parametrize("known", [True, False])
+def test_packing_shards_stay_bounded(spark, known):
+    """Pieces over half a sequence never fill one; nor do repeated or null ids share a shard."""
+    rows = [(k if known else None, " ".join(["the"] * (150 + k % 40))) for k in range(96)]
+    got = packing.pack(frame(spark, rows), PATH, capacity=256, shard_pieces=8).collect()
+    assert len(got) == 96 and all(128 < r.length < 240 for r in got) and len({r.sequence_id for r in got}) == 96
+    assert max(Counter(r.sequence_id >> 24 for r in got).values()) <= 24
+
+
 def test_sum_of_squares_rule():
     sequence, offset = packing.sum_of_squares(np.array([6, 4, 10, 5, 5, 3]), 10)
     assert sequence.tolist()[:3] == [0, 0, 1] and offset.tolist()[:3] == [0, 6, 0] and sequence[3] == sequence[4]
