@@ -8,6 +8,10 @@ the order of ids while the documents' stretches are streamed against it: matchin
 statistics of ``length`` or more end a maximal span that an earlier document holds, then
 the stretch itself joins the automaton.
 
+Equal stretches, such as the inside of a copied passage or a whole copied document, never
+reach an automaton: a join on (anchor gram, 128-bit digest of the stretch) removes them
+from every document after the first. Only different stretches of one anchor gram do.
+
 The shards are dealt out by group together with the stretches that stream against them,
 rather than broadcast: every shard against every document would be work in the square of
 the corpus. A shard of more than AUTOMATON_STRETCHES would be an automaton of some
