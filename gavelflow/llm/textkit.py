@@ -80,8 +80,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+#: Powers that a worker keeps: enough for a slice. Those for a longer text are made and let go.
+KEPT_POWERS = 1 << 20
+
+
+def _made_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (BASE, BASE_INVERSE):
         p = np.full(size, base, np.uint64)
@@ -90,9 +93,12 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+_kept_powers = lru_cache(maxsize=1)(lambda: _made_powers(KEPT_POWERS))
+
+
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    return _powers(1 << max(16, int(size).bit_length()))
+    """Powers of the base and of its inverse, modulo 2**64, at least ``size`` of them."""
+    return _kept_powers() if size <= KEPT_POWERS else _made_powers(int(size))
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:

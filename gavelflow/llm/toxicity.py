@@ -1,30 +1,41 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Examples are a bounded sample of the labelled rows that may be learnt from. Terms are all
-words (ASCII-lower-cased runs of letters and digits); inverse document frequencies count
-all documents. Examples with the same vector are one entry with its two label counts. A
-document's cosines with all entries are exact: postings of the rarer terms are summed, the
-frequent ones multiplied as a dense matrix; all entries that tie with the k-th count. Words that no example holds don't change the order of entries, but
-they lengthen the document's vector: their document frequencies are counted in Spark and
-joined back, never held whole in memory.
-
-An entry's vote is weighted by nearness, the fourth power of the cosine or, where that is more, the
-cosine over the words alone whose document counts differ between the labels beyond chance,
-and shrunk to the overall rate.
+words of the examples (ASCII-lower-cased runs of letters and digits), and those word stems
+(the first STEMS characters of a longer word) that are tied to a label. Inverse document
+frequencies count all documents. A term whose examples' labels differ from the rest beyond
+chance is marked and weighs MARKED times as much, so that one telling word isn't drowned
+by a page of topic; a stem stands for inflected forms too rare to tell by themselves.
+
+The index is block-max: examples that share their heaviest terms stand together in blocks,
+and each term keeps its largest weight in a block. The sum of a text's weights times these
+maxima bounds its cosine with any example of the block. Blocks are opened from the highest
+bound down, until no bound reaches the k-th cosine found. Bounds rule out little where they
+rest on everyday words alone, so for texts without a marked term, and where too many blocks
+stay open, the postings of all examples are summed instead. Both ways give the same
+neighbours: the k nearest and all that tie with the last. Examples with equal vectors are one entry, which
+votes with the toxic share of its labels, by the fourth power of its cosine over that of
+the nearest entry. Words that no example holds lengthen a text's vector, but change neither
+the order of its neighbours nor the ratios of their cosines, so they don't enter.
+
+Votes become probabilities by isotonic regression over a bounded sample of the examples,
+each voted on by all others.
 
 Labels, language, source and id are never inputs of a score; learning rows are picked by
 the remainder of crc32 of the id's digits, which is not 1.
 
-Defined cases: null text counts as empty; a text that shares no word with an example, the
-empty one too, gets the rate of examples without words; labels that are null, or whose id is null or
-has no document, are not learnt from; of repeated label rows each counts; without any
-example every score is 0; repeated rows are scored alike; an empty table gives an empty
-result; extra columns are ignored (``accepted`` keeps them), whatever they are called.
+Defined cases: null text counts as empty; a text that shares no term with an example, the
+empty one too, gets the toxic rate of the examples without words; labels that are null, or
+whose id is null or has no document, are not learnt from; repeated label rows are copies;
+without any example every score is 0; repeated rows are scored alike; an empty table gives
+an empty result; extra columns are ignored (``accepted`` keeps them), whatever they are
+called.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,33 +46,51 @@ from gavelflow.llm import textkit as K
 from gavelflow.llm.decontamination import words_of
 from gavelflow.llm.scratch import Scratch
 
-#: Most labelled rows that are learnt from, and most terms that mark a label.
+#: Most labelled rows that are learnt from, most terms that are marked, and most examples
+#: that the votes are calibrated on.
 EXAMPLES = 16_384
 TERMS = 4_096
-#: A term that marks a label needs this many examples and this squared deviation from
-#: chance (chi-square). It weighs in votes only: neighbours are sought over all terms.
+CALIBRATED = 2_048
+#: Lengths of word stems, in characters.
+STEMS = (4, 5, 6, 7, 8)
+#: A marked term needs this many examples and this deviance from the overall rate (G-test).
 LEAST_EXAMPLES = 4
-LEAST_CHI2 = 15.0
-NEIGHBOURS = 15
-#: Weight of the overall rate among the votes.
+LEAST_DEVIANCE = 12.0
+MARKED = 10.0
+NEIGHBOURS = 25
+#: Weight of the overall rate among the labels of examples without words.
 PRIOR = 0.5
-#: Terms that are held densely, and documents that are multiplied with them at once.
+#: Examples in a block; terms that are held densely; texts that are looked up together.
+BLOCK = 64
 FREQUENT = 256
-TOGETHER = 64
+TOGETHER = 32
+STEM_SALT = np.uint64(0x632BE59BD9B4E019)
 
 
 def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def term_counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word hash, count), sorted by row and hash."""
+def word_terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(row, hash) of each word, and (row, hash) of the stems of each length."""
     low, start, end, row = words_of(raw, offsets)
-    h = K.span_hashes(K.prefix_sums(low), start, end)
-    return counted(row, h)
+    prefix = K.prefix_sums(low)
+    lead = np.flatnonzero((low & 0xC0) != 0x80)
+    first, stop = np.searchsorted(lead, start), np.searchsorted(lead, end)
+    stems = []
+    for n in STEMS:
+        longer = np.flatnonzero(stop - first > n)
+        stems.append((row[longer], K.mixed(K.span_hashes(prefix, start[longer], lead[first[longer] + n]) ^ STEM_SALT)))
+    return row, K.span_hashes(prefix, start, end), stems
+
+
+def _sliced(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    for lo, hi in K.slices(offsets):
+        yield lo, hi, raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
 
 
 def counted(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, count), sorted by row and hash."""
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     opens = np.ones(len(h), bool)
@@ -70,227 +99,353 @@ def counted(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return row[lead], h[lead], np.diff(lead, append=len(h))
 
 
-def known_terms(raw: np.ndarray, offsets: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term index, count) of the words that are terms."""
-    low, start, end, row = words_of(raw, offsets)
-    h = K.span_hashes(K.prefix_sums(low), start, end)
-    if not len(terms):
-        return row[:0], row[:0], row[:0]
-    bits = np.zeros(1 << 16, bool)
-    bits[(terms >> np.uint64(48)).astype(np.int64)] = True
-    maybe = np.flatnonzero(bits[(h >> np.uint64(48)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(terms, h[maybe]), len(terms) - 1)
-    hit = terms[at] == h[maybe]
-    rows, found, count = counted(row[maybe][hit], at[hit].astype(np.uint64))
-    return rows, found.astype(np.int64), count
+class Vocabulary:
+    """The terms: sorted hashes, with the marked stems among them."""
+
+    def __init__(self, hashes: np.ndarray, stems: np.ndarray):
+        self.hashes, self.stems = hashes, np.sort(stems)
+        self.words_seen, self.stems_seen = _bits(hashes), _bits(self.stems)
+
+    def of(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, term, count) of the known terms, sorted by row and term."""
+        row, h, stems = word_terms(raw, offsets)
+        rows, hashes = [row], [h]
+        for r, s in stems if len(self.stems) else []:
+            some = np.flatnonzero(self.stems_seen[(s >> np.uint64(44)).astype(np.int64)])
+            some = some[_found(self.stems, s[some])[1]]
+            rows.append(r[some])
+            hashes.append(s[some])
+        row, h = np.concatenate(rows), np.concatenate(hashes)
+        maybe = np.flatnonzero(self.words_seen[(h >> np.uint64(44)).astype(np.int64)])
+        at, hit = _found(self.hashes, h[maybe])
+        key, count = np.unique(row[maybe][hit] * max(len(self.hashes), 1) + at[hit], return_counts=True)
+        return *np.divmod(key, max(len(self.hashes), 1)), count
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << 20, bool)
+    out[(hashes >> np.uint64(44)).astype(np.int64)] = True
+    return out
+
+
+def _found(wanted: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among the sorted wanted values, whether it is there)."""
+    if not len(wanted):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+    return at, wanted[at] == h
 
 
 class Index:
-    """Entries (unit TF-IDF vectors with label counts) by term; the most frequent terms densely."""
-
-    def __init__(self, idf: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray, int, int]], bare: tuple[int, int], marked: np.ndarray | None = None):
-        self.idf, self.n_terms = idf, len(idf)
-        self.total = np.array([e[2] for e in entries], float)
-        self.toxic = np.array([e[3] for e in entries], float)
-        n, t = bare[0] + self.total.sum(), bare[1] + self.toxic.sum()
-        self.rate = t / n if n else 0.0
-        self.bare = (bare[1] + PRIOR * self.rate) / (bare[0] + PRIOR) if n else 0.0
-        self.size = size = len(entries)
-        term = np.concatenate([e[0] for e in entries]) if entries else np.empty(0, np.int64)
-        weight = np.concatenate([e[1] for e in entries]) if entries else np.empty(0)
-        entry = np.repeat(np.arange(size), [len(e[0]) for e in entries]) if entries else np.empty(0, np.int64)
-        # The weights of marked terms by entry.
-        self.marked = np.zeros(self.n_terms, bool) if marked is None else marked
-        on = np.flatnonzero(self.marked[term])
-        self.m_first = np.searchsorted(entry[on], np.arange(size + 1))
-        self.m_term, self.m_weight = term[on].astype(np.int32), weight[on]
-        self.m_norm = np.sqrt(np.bincount(entry[on], weights=weight[on] ** 2, minlength=size))
-        held = np.bincount(term, minlength=self.n_terms)
+    """Entries (unit vectors) in blocks, with each term's largest weight by block.
+
+    scale: the factor of each term (inverse document frequency, marks); first, term,
+    count: each entry's terms; share: its toxic share of labels; marked: by term."""
+
+    def __init__(self, scale: np.ndarray, first: np.ndarray, term: np.ndarray, count: np.ndarray, share: np.ndarray, marked: np.ndarray, block: int = BLOCK):
+        size = len(share)
+        self.marked = marked
+        weight = (1 + np.log(count)) * scale[term]
+        entry = np.repeat(np.arange(size), np.diff(first))
+        weight = weight / np.sqrt(np.bincount(entry, weights=weight**2, minlength=size))[entry]
+        # Entries stand by their heaviest terms, so that blocks hold alike ones.
+        heavy = np.lexsort((-weight, entry))
+        lead = term[heavy[first[:-1]]] if size else first[:0]
+        second = term[heavy[np.minimum(first[:-1] + 1, first[1:] - 1)]] if size else first[:0]
+        order = np.lexsort((second, lead))
+        sizes = np.diff(first)[order]
+        where = K.gathered(sizes, first[:-1][order])
+        self.order = order  # the place of each entry before
+        self.share, self.scale, self.size = share[order], scale, size
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        self.term, self.weight = term[where].astype(np.int32), weight[where].astype(np.float32)
+        entry = np.repeat(np.arange(size), sizes)
+        held = np.bincount(term, minlength=len(scale))
         often = np.argsort(-held, kind="stable")[:FREQUENT]
         often = often[held[often] > size // 64]
-        self.place = np.full(self.n_terms, -1, np.int32)
+        self.place = np.full(len(scale), -1, np.int32)
         self.place[often] = np.arange(len(often))
-        dense = self.place[term] >= 0
-        self.dense = np.zeros((size, len(often)))
-        self.dense[entry[dense], self.place[term[dense]]] = weight[dense]
-        term, weight, entry = term[~dense], weight[~dense], entry[~dense]
-        order = np.argsort(term, kind="stable")
-        self.weight, self.entry = weight[order], entry[order].astype(np.int32)
-        self.first = np.searchsorted(term[order], np.arange(self.n_terms + 1))
+        self.blocks, self.block = -(-size // block), block
+        self.dense, self.sparse = self._postings(entry, size, len(often), None)
+        self.dense_max, self.sparse_max = self._postings(entry // block, self.blocks, len(often), np.maximum)
+
+    def _postings(self, owner: np.ndarray, owners: int, often: int, fold) -> tuple[np.ndarray, tuple]:
+        """The frequent terms as a matrix, the others as (first, owner, weight) by term."""
+        at = self.place[self.term] >= 0
+        dense = np.zeros((often, owners), np.float32)
+        np.maximum.at(dense, (self.place[self.term[at]], owner[at]), self.weight[at])
+        term, own, weight = self.term[~at], owner[~at], self.weight[~at]
+        by = np.lexsort((own, term))
+        term, own, weight = term[by], own[by], weight[by]
+        if fold is not None and len(term):
+            opens = np.ones(len(term), bool)
+            opens[1:] = (term[1:] != term[:-1]) | (own[1:] != own[:-1])
+            lead = np.flatnonzero(opens)
+            term, own, weight = term[lead], own[lead], fold.reduceat(weight, lead)
+        return dense, (np.searchsorted(term, np.arange(len(self.scale) + 1)), own.astype(np.int32), weight)
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return w / np.sqrt((w * w).sum())
-
-    def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """What the densely held terms add to each query's cosine with each entry."""
-        rows = np.zeros((len(queries), self.dense.shape[1]))
-        for row, (terms, weights) in zip(rows, queries, strict=True):
+        w = (1 + np.log(counts)) * self.scale[terms]
+        return (w / np.sqrt((w * w).sum())).astype(np.float32)
+
+    def _sums(self, queries: list, dense: np.ndarray, sparse: tuple) -> np.ndarray:
+        """For each query and owner, the sum over shared terms of weight times weight."""
+        first, own, weight = sparse
+        owners, rows = dense.shape[1], len(queries)
+        often = np.zeros((rows, len(dense)), np.float32)
+        keys, values = [], []
+        for q, (terms, weights) in enumerate(queries):
             on = self.place[terms] >= 0
-            row[self.place[terms[on]]] = weights[on]
-        return rows @ self.dense.T
-
-    def neighbours(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(entries, cosines) of the k nearest examples and all that tie with the last."""
-        if not self.size or not len(terms):
-            return np.empty(0, np.int64), np.empty(0)
-        rare = self.place[terms] < 0
-        lo, counts = self.first[terms[rare]], self.first[terms[rare] + 1] - self.first[terms[rare]]
-        where = K.gathered(counts, lo)
-        near = np.bincount(self.entry[where], weights=self.weight[where] * np.repeat(weights[rare], counts), minlength=self.size)
-        near = near + (self.frequent([(terms, weights)])[0] if common is None else common)
-        top = np.argpartition(-near, k)[:k] if self.size > k else np.arange(self.size)
-        top = top[np.argsort(-near[top], kind="stable")]
-        reach = np.searchsorted(np.cumsum(self.total[top]), k)
-        least = near[top[reach]] if reach < len(top) else 0.0
-        entry = np.flatnonzero((near >= least - 1e-9) & (near > 0))
-        return entry, near[entry]
-
-    def marks(self, terms: np.ndarray, weights: np.ndarray, entry: np.ndarray) -> np.ndarray:
-        """Cosines with these entries over the marked terms alone."""
-        on = self.marked[terms]
-        own = np.sqrt((weights[on] ** 2).sum())
-        if not own:
-            return np.zeros(len(entry))
-        counts = self.m_first[entry + 1] - self.m_first[entry]
-        where = K.gathered(counts, self.m_first[entry])
-        at = np.minimum(np.searchsorted(terms[on], self.m_term[where]), on.sum() - 1)
-        both = np.where(terms[on][at] == self.m_term[where], weights[on][at] * self.m_weight[where], 0.0)
-        dot = np.bincount(np.repeat(np.arange(len(entry)), counts), weights=both, minlength=len(entry))
-        return dot / np.maximum(own * self.m_norm[entry], 1e-300)
-
-
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> tuple[np.ndarray, Index, int]:
-    """(hashes of the examples' words, sorted; index; number of documents). The driver gets
-    the distinct words of the examples, whose number is bounded by the parameters."""
-    usable = labels.select(F.col(id_col).cast("long").alias("x_id"), F.col(label_col).cast("int").alias("x_toxic"))
+            often[q, self.place[terms[on]]] = weights[on]
+            lo = first[terms[~on]]
+            counts = first[terms[~on] + 1] - lo
+            where = K.gathered(counts, lo)
+            keys.append(own[where].astype(np.int64) + q * owners)
+            values.append(weight[where] * np.repeat(weights[~on], counts))
+        out = np.bincount(np.concatenate(keys), weights=np.concatenate(values), minlength=rows * owners).reshape(rows, owners)
+        return out + often @ dense
+
+    def _opened(self, blocks: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, cosines) of whole blocks. query: the weight of every term."""
+        entry = K.gathered(np.minimum((blocks + 1) * self.block, self.size) - blocks * self.block, blocks * self.block)
+        sizes = self.first[entry + 1] - self.first[entry]
+        where = K.gathered(sizes, self.first[entry])
+        both = query[self.term[where]] * self.weight[where]
+        return entry, np.add.reduceat(both, np.cumsum(sizes) - sizes, dtype=np.float64)
+
+    def neighbours(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(entries, cosines) of the k nearest entries, and of all that tie with the last,
+        for each query of (terms, weights). skip: an entry that each query leaves out."""
+        none = (np.empty(0, np.int64), np.empty(0))
+        out: list = [none] * len(queries)
+        asked = [q for q, (terms, _) in enumerate(queries) if len(terms) and self.size]
+        if not asked:
+            return out
+        whole = [q for q in asked if not self.marked[queries[q][0]].any()]
+        asked = [q for q in asked if self.marked[queries[q][0]].any()]
+        bounds = self._sums([queries[q] for q in asked], self.dense_max, self.sparse_max) + 1e-5 if asked else []
+        query = np.zeros(len(self.scale), np.float32)
+        for bound, q in zip(bounds, asked, strict=True):
+            by = np.argsort(-bound, kind="stable")
+            few, limit = max(1, -(-(k + 1) // self.block)), max(2, self.blocks // 8)
+            terms, weights = queries[q]
+            query[terms] = weights
+            while True:
+                entry, near = self._opened(by[:few], query)
+                if skip is not None:
+                    near[entry == skip[q]] = 0
+                kth = -np.partition(-near, k - 1)[k - 1] if len(near) > k else 0.0
+                needed = int(np.searchsorted(-bound[by], -(kth - 1e-5), side="right"))
+                if needed <= few or needed > limit:
+                    break
+                few = needed
+            query[terms] = 0
+            if needed > few:
+                whole.append(q)
+            else:
+                out[q] = self._nearest(entry, near, k)
+        if whole:
+            for near, q in zip(self._sums([queries[q] for q in whole], self.dense, self.sparse), whole, strict=True):
+                if skip is not None:
+                    near[skip[q]] = 0
+                out[q] = self._nearest(np.arange(self.size), near, k)
+        return out
+
+    @staticmethod
+    def _nearest(entry: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        least = -np.partition(-near, k - 1)[k - 1] if len(near) > k else 0.0
+        some = np.flatnonzero((near >= least - 1e-6) & (near > 0))
+        return entry[some], near[some]
+
+    def vote(self, entry: np.ndarray, near: np.ndarray) -> float:
+        """The toxic share of these entries, by nearness."""
+        by = (near / near.max()) ** 4
+        return float((by * self.share[entry]).sum() / by.sum())
+
+
+def isotonic(vote: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(votes, probabilities) to interpolate between: pools of neighbouring votes, merged while rates fall."""
+    values, at = np.unique(vote, return_inverse=True)
+    pools: list[list[float]] = []
+    for v, n, t in zip(values, np.bincount(at), np.bincount(at, weights=label), strict=True):
+        pools.append([t, n, v * n])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            t, n, v = pools.pop()
+            pools[-1][0] += t
+            pools[-1][1] += n
+            pools[-1][2] += v
+    return np.array([v / n for _, n, v in pools]), np.array([t / n for t, n, _ in pools])
+
+
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    index: Index
+    bare: float  # the score of a text without terms
+    curve: tuple[np.ndarray, np.ndarray] = (np.empty(0), np.empty(0))
+
+    def score(self, vote: float) -> float:
+        return float(np.interp(vote, *self.curve)) if len(self.curve[0]) else vote
+
+
+def _deviance(n: Column, t: Column, all_n: float, all_t: float) -> Column:
+    """Deviance of a term's toxic share t / n from the overall one."""
+    rate = all_t / all_n if all_n else 0.0
+    part = lambda x, p: F.when(x > 0, x * F.log(x / n / F.lit(max(p, 1e-12)))).otherwise(0.0)
+    return 2 * (part(t, rate) + part(n - t, 1 - rate))
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+    """The driver gets the terms of the examples, whose number is bounded by the parameters."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
+    usable = labels.select(F.col(id_col).cast("string").alias("x_id"), F.col(label_col).cast("int").alias("x_toxic"))
     usable = usable.filter("x_id IS NOT NULL AND x_toxic IS NOT NULL").filter(~held_out(F.col("x_id")))
     picked = usable.orderBy(F.xxhash64("x_id"), "x_id", "x_toxic").limit(examples)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("x_id"), text.alias("x_text"))
-    # At most ``examples`` pairs of numbers are broadcast.
+    rows = docs.select(F.col(id_col).cast("string").alias("x_id"), text.alias("x_text"))
+    # At most ``examples`` pairs of an id and a number are broadcast.
     taken = rows.join(F.broadcast(picked), "x_id").select("x_toxic", "x_text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = K.text_bytes(batch.column(1))
-            row, h, count = term_counts(raw, offsets)
-            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
-            parts = [(h[a:b].tobytes(), count[a:b].astype(np.int32).tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in parts], pa.binary()), pa.array([x for _, x in parts], pa.binary()), batch.column(0)], names=["terms", "counts", "toxic"])
-
-    made = taken.mapInArrow(vectors, "terms binary, counts binary, toxic int").groupBy("terms", "counts").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).toArrow()
-    found = sorted(zip(*[made.column(k).to_pylist() for k in range(4)], strict=True))
-    of = [np.frombuffer(x[0], np.uint64) for x in found]
-    hashes, term = np.unique(np.concatenate(of) if of else np.empty(0, np.uint64), return_inverse=True)
-    size = np.array([x[2] for x in found], float)
-    toxic = np.array([x[3] for x in found], float)
-    lengths = [len(x) for x in of]
-    # Words whose example counts differ between the labels: chi-square of (examples a, toxic ones b).
-    a = np.bincount(term, weights=np.repeat(size, lengths), minlength=len(hashes))
-    b = np.bincount(term, weights=np.repeat(toxic, lengths), minlength=len(hashes))
-    n, t = size.sum(), toxic.sum()
-    off = b * n - a * t
-    chi2 = np.where(a >= LEAST_EXAMPLES, n * off * off / (max(t * (n - t), 1.0) * np.maximum(a, 1) * np.maximum(n - a, 1.0)), 0.0)
-    chosen = np.lexsort((hashes, -chi2))[:terms]
-    marked = np.zeros(len(hashes), bool)
-    marked[chosen[chi2[chosen] >= LEAST_CHI2]] = True
-
-    spread = docs.sparkSession.sparkContext.broadcast(hashes)
+            for lo, hi, raw, offsets in _sliced(*K.text_bytes(batch.column(1))):
+                row, h, stems = word_terms(raw, offsets)
+                row, h, count = counted(row, h)
+                cuts = np.searchsorted(row, np.arange(hi - lo + 1)).tolist()
+                s_row, s_hash, s_count = counted(np.concatenate([r for r, _ in stems]), np.concatenate([s for _, s in stems]))
+                s_cuts = np.searchsorted(s_row, np.arange(hi - lo + 1)).tolist()
+                parts = [
+                    [h[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)],
+                    [count[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)],
+                    [s_hash[a:b].tobytes() for a, b in zip(s_cuts, s_cuts[1:], strict=False)],
+                    [s_count[a:b].astype(np.int32).tobytes() for a, b in zip(s_cuts, s_cuts[1:], strict=False)],
+                ]
+                yield pa.RecordBatch.from_arrays([*[pa.array(p, pa.binary()) for p in parts], batch.column(0).slice(lo, hi - lo)], names=["terms", "counts", "stems", "stem_counts", "toxic"])
+
+    made = taken.mapInArrow(vectors, "terms binary, counts binary, stems binary, stem_counts binary, toxic int")
+    made = scratch.save(made.groupBy("terms", "counts").agg(F.first("stems").alias("stems"), F.first("stem_counts").alias("stem_counts"), F.avg("toxic").alias("share"), F.count(F.lit(1)).alias("n")), "examples")
+    worded = made.filter("octet_length(terms) > 0")
+    size, toxic = worded.agg(F.count(F.lit(1)), F.sum("share")).first()
+    toxic = toxic or 0.0
+
+    def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share = batch.column(2).to_numpy()
+            for column, stem in ((0, False), (1, True)):
+                data, at = K.text_bytes_of_binary(batch.column(column))
+                h = np.frombuffer(data.tobytes(), np.int64)
+                term, where = np.unique(h, return_inverse=True)
+                each = np.repeat(share, np.diff(at) // 8)
+                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(np.full(len(term), stem)), pa.array(np.bincount(where, minlength=len(term)).astype(float)), pa.array(np.bincount(where, weights=each, minlength=len(term)))], names=["term", "stem", "n", "t"])
+
+    tally = worded.select("terms", "stems", "share").mapInArrow(tallies, "term long, stem boolean, n double, t double")
+    tally = tally.groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).filter(F.col("n") >= LEAST_EXAMPLES)
+    tally = tally.withColumn("off", _deviance(F.col("n"), F.col("t"), size, toxic)).filter(F.col("off") >= LEAST_DEVIANCE)
+    marks = tally.orderBy(F.desc("off"), "term").limit(terms).select("term", "stem").toArrow()
+    mark, is_stem = marks.column(0).to_numpy().view(np.uint64), marks.column(1).to_numpy()
+
+    held = worded.select("terms", "counts", "stems", "share", "stem_counts").orderBy(F.xxhash64("terms", "counts")).toArrow()
+    data, at = K.text_bytes_of_binary(held.column(0))
+    words = np.frombuffer(data.tobytes(), np.uint64)
+    counts = np.frombuffer(K.text_bytes_of_binary(held.column(1))[0].tobytes(), np.int32)
+    data, s_at = K.text_bytes_of_binary(held.column(2))
+    stems = np.frombuffer(data.tobytes(), np.uint64)
+    stem_counts = np.frombuffer(K.text_bytes_of_binary(held.column(4))[0].tobytes(), np.int32)
+    share = held.column(3).to_numpy()
+    vocabulary = Vocabulary(np.unique(np.concatenate([words, mark[is_stem]])), mark[is_stem])
+    spread = spark.sparkContext.broadcast(vocabulary)
 
     def of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = spread.value
-        total, docs_seen = np.zeros(len(hashes), np.int64), 0
+        vocabulary = spread.value
+        total, docs_seen = np.zeros(len(vocabulary.hashes), np.int64), 0
         for batch in batches:
-            raw, offsets = K.text_bytes(batch.column(0))
             docs_seen += batch.num_rows
-            for lo, hi in K.slices(offsets):
-                _, term, _ = known_terms(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], hashes)
-                total += np.bincount(term, minlength=len(hashes))
+            for _, _, raw, offsets in _sliced(*K.text_bytes(batch.column(0))):
+                total += np.bincount(vocabulary.of(raw, offsets)[1], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[docs_seen], total[some]]))], names=["term", "n"])
 
     seen = rows.select("x_text").mapInArrow(of_all, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    at, count = (seen.column(k).to_numpy() for k in range(2))
-    frequency = np.zeros(len(hashes))
-    frequency[at[at >= 0]] = count[at >= 0]
-    all_docs = int(count[at < 0].sum())
-    idf = np.log((1 + all_docs) / (1 + frequency)) + 1
-
-    bare, entries = (0, 0), []
-    maker = Index(idf, [], (0, 0))
-    ends = np.cumsum([0, *lengths])
-    for k, (_, counts, total, bad) in enumerate(found):
-        if lengths[k]:
-            own = term[ends[k] : ends[k + 1]]
-            entries.append((own, maker.vector(own, np.frombuffer(counts, np.int32).astype(float)), total, bad))
-        else:
-            bare = (bare[0] + total, bare[1] + bad)
-    return hashes, Index(idf, entries, bare, marked), all_docs
+    term, n = (seen.column(k).to_numpy() for k in range(2))
+    frequency = np.zeros(len(vocabulary.hashes))
+    frequency[term[term >= 0]] = n[term >= 0]
+    scale = np.log((1 + n[term < 0].sum()) / (1 + frequency)) + 1
+    marked = np.zeros(len(scale), bool)
+    marked[_found(vocabulary.hashes, mark)[0]] = True
+    scale[marked] *= MARKED
+
+    # Each entry's terms: its words, and the marked ones of its stems.
+    row = np.repeat(np.arange(len(share)), np.diff(at) // 8)
+    s_row = np.repeat(np.arange(len(share)), np.diff(s_at) // 8)
+    some = np.flatnonzero(_found(vocabulary.stems, stems)[1])
+    row = np.concatenate([row, s_row[some]])
+    term = _found(vocabulary.hashes, np.concatenate([words, stems[some]]))[0]
+    count = np.concatenate([counts, stem_counts[some]])
+    by = np.lexsort((term, row))
+    index = Index(scale, np.searchsorted(row[by], np.arange(len(share) + 1)), term[by], count[by], share, marked)
+    empty = made.filter("octet_length(terms) = 0").agg(F.sum("n"), F.sum(F.col("n") * F.col("share"))).first()
+    rate = toxic / size if size else 0.0
+    bare = ((empty[1] or 0.0) + PRIOR * rate) / ((empty[0] or 0) + PRIOR)
+    model = Model(vocabulary, index, float(bare))
+    model.curve = _calibrated(spark, model)
+    return model
+
+
+def _calibrated(spark, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The curve from votes to probabilities: a sample of entries, each voted on by the others."""
+    if model.index.size < 2:
+        return np.empty(0), np.empty(0)
+    spread = spark.sparkContext.broadcast(model)
+    # Entries came in the order of a hash, so the first ones are a sample.
+    sample = spark.range(0, min(CALIBRATED, model.index.size), 1, 8)
 
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = spread.value.index
+        place = np.argsort(index.order)
+        for batch in batches:
+            votes, shares = [], []
+            ids = place[batch.column(0).to_numpy()]
+            for lo in range(0, len(ids), TOGETHER):
+                some = ids[lo : lo + TOGETHER].tolist()
+                queries = [(index.term[index.first[e] : index.first[e + 1]], index.weight[index.first[e] : index.first[e + 1]]) for e in some]
+                for e, (entry, near) in zip(some, index.neighbours(queries, skip=some), strict=True):
+                    if len(entry):
+                        votes.append(index.vote(entry, near))
+                        shares.append(float(index.share[e]))
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), pa.array(shares, pa.float64())], names=["vote", "share"])
 
-VOTES = "array<struct<near:double,mark:double,share:double,size:double>>"
+    told = sample.mapInArrow(of, "vote double, share double").toArrow()
+    return isotonic(told.column(0).to_numpy(), told.column(1).to_numpy()) if told.num_rows else (np.empty(0), np.empty(0))
 
 
 def _scored(rows: DataFrame, columns: list[str], model) -> DataFrame:
-    """rows (columns and x_text, last) with x_score and x_votes, one for each nearest entry."""
-    _, index, all_docs = model.value
-    bare, rate = index.bare, index.rate
-    del index
+    """rows (columns and x_text, last) with x_score, and x_near and x_share of each nearest entry."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, index, _ = model.value
+        held = model.value
+        vocabulary, index = held.vocabulary, held.index
         for batch in batches:
-            raw, offsets = K.text_bytes(batch.column(len(columns)))
-            known = np.ones(batch.num_rows)
-            votes, others = [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
-            for lo, hi in K.slices(offsets):
-                row, h, count = term_counts(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                at = np.minimum(np.searchsorted(hashes, h), max(len(hashes) - 1, 0))
-                hit = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
-                cuts = np.flatnonzero(np.diff(row, prepend=-1, append=hi)).tolist()
-                asked = []
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    on = hit[a:b]
-                    if on.any():
-                        r, terms = lo + int(row[a]), at[a:b][on]
-                        full = (1 + np.log(count[a:b][on].astype(float))) * index.idf[terms]
-                        known[r] = (full * full).sum()
-                        asked.append((r, a, b, on, terms, full / np.sqrt(known[r])))
-                for k, (r, a, b, on, terms, weights) in enumerate(asked):
-                    if k % TOGETHER == 0:
-                        common = index.frequent([x[4:] for x in asked[k : k + TOGETHER]])
-                    entry, near = index.neighbours(terms, weights, common=common[k % TOGETHER])
-                    mark = index.marks(terms, weights, entry)
-                    votes[r] = [{"near": x, "mark": y, "share": z, "size": w} for x, y, z, w in zip(near.tolist(), mark.tolist(), (index.toxic[entry] / index.total[entry]).tolist(), index.total[entry].tolist(), strict=True)]
-                    others[r] = [{"term": x, "n": y} for x, y in zip(h[a:b][~on].view(np.int64).tolist(), count[a:b][~on].tolist(), strict=True)]
-            kind = pa.list_(pa.struct([(c, pa.float64()) for c in ("near", "mark", "share", "size")]))
-            other = pa.list_(pa.struct([("term", pa.int64()), ("n", pa.int64())]))
-            out = [batch.column(k) for k in range(len(columns))] + [pa.array(known), pa.array(votes, kind), pa.array(others, other)]
-            yield pa.RecordBatch.from_arrays(out, names=[*columns, "x_known", "x_votes", "x_others"])
-
-    scratch = Scratch(rows.sparkSession, "toxicity")
-    schema = rows.select(*columns).withColumns({"x_known": F.lit(0.0), "x_votes": F.array().cast(VOTES), "x_others": F.array().cast("array<struct<term:bigint,n:bigint>>")}).schema
-    told = scratch.save(rows.mapInArrow(of, schema).withColumn("x_row", F.monotonically_increasing_id()), "told")
-    # Words of no example: their part of the squared length of each document's vector.
-    pairs = told.select("x_row", F.inline("x_others"))
-    often = scratch.save(pairs.groupBy("term").agg(F.count(F.lit(1)).alias("docs")), "others")
-    # So many terms at most as a thousand documents hold on average.
-    hot = F.broadcast(often.filter(F.col("docs") * 1000 > all_docs))
-    cold = often.filter(F.col("docs") * 1000 <= all_docs)
-    priced = pairs.join(hot, "term").unionByName(pairs.join(hot.select("term"), "term", "left_anti").join(cold, "term"))
-    weight = (F.lit(1.0) + F.log(F.col("n"))) * (F.log(F.lit(1.0 + all_docs) / (F.lit(1.0) + F.col("docs"))) + F.lit(1.0))
-    longer = priced.groupBy("x_row").agg(F.sum(weight * weight).alias("x_more"))
-    out = told.drop("x_others").join(longer, "x_row", "left").withColumn("x_whole", F.sqrt(F.col("x_known") / (F.col("x_known") + F.coalesce("x_more", F.lit(0.0)))))
-    # The power 4 lets close examples outvote many far ones; more of them weigh more, as far as k.
-    out = out.withColumns({
-        "x_size": F.expr("aggregate(x_votes, 0D, (a, v) -> a + v.size)"),
-        "x_all": F.expr("aggregate(x_votes, 0D, (a, v) -> a + greatest(pow(v.near * x_whole, 4), v.mark) * v.size)"),
-        "x_bad": F.expr("aggregate(x_votes, 0D, (a, v) -> a + greatest(pow(v.near * x_whole, 4), v.mark) * v.size * v.share)"),
-    })
-    part = F.least(F.lit(1.0), F.lit(float(NEIGHBOURS)) / F.col("x_size"))
-    score = F.when(F.size("x_votes") == 0, F.lit(float(bare))).otherwise((part * F.col("x_bad") + F.lit(PRIOR * rate)) / (part * F.col("x_all") + F.lit(PRIOR)))
-    return out.select(*columns, score.alias("x_score"), "x_votes")
+            score = np.full(batch.num_rows, held.bare)
+            near_of: list = [np.empty(0)] * batch.num_rows
+            share_of: list = [np.empty(0)] * batch.num_rows
+            for lo, hi, raw, offsets in _sliced(*K.text_bytes(batch.column(len(columns)))):
+                row, term, count = vocabulary.of(raw, offsets)
+                cuts = np.searchsorted(row, np.arange(hi - lo + 1)).tolist()
+                for at in range(0, hi - lo, TOGETHER):
+                    spans = list(zip(cuts[at : at + TOGETHER], cuts[at + 1 : at + TOGETHER + 1], strict=False))
+                    queries = [(term[a:b], index.vector(term[a:b], count[a:b]) if b > a else term[a:b]) for a, b in spans]
+                    for r, (entry, near) in enumerate(index.neighbours(queries), lo + at):
+                        if len(entry):
+                            score[r] = held.score(index.vote(entry, near))
+                            near_of[r], share_of[r] = near, index.share[entry]
+            cut = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in near_of])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate(x) if len(x) else np.empty(0), pa.float64())) for x in (near_of, share_of)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(columns))], pa.array(score), *lists], names=[*columns, "x_score", "x_near", "x_share"])
+
+    none = F.array().cast("array<double>")
+    schema = rows.select(*columns).withColumns({"x_score": F.lit(0.0), "x_near": none, "x_share": none}).schema
+    return rows.mapInArrow(of, schema)
 
 
 def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str):
@@ -302,9 +457,10 @@ def scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     model = _model(docs, labels, id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("x_text"))
-    out = _scored(rows, ["doc_id"], model)
     score = F.col("x_score")
-    return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score.alias("score"), (score >= reject_at).cast("int").alias("predicted"), F.col("x_votes.share").alias("evidence"))
+    return _scored(rows, ["doc_id"], model).select(
+        "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score.alias("score"), (score >= reject_at).cast("int").alias("predicted"), F.col("x_share").alias("evidence")
+    )
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.7) -> DataFrame:
