@@ -145,21 +145,23 @@ class Index:
     def __init__(self, scale: np.ndarray, first: np.ndarray, term: np.ndarray, count: np.ndarray, share: np.ndarray, marked: np.ndarray, block: int = BLOCK):
         size = len(share)
         self.marked = marked
-        weight = (1 + np.log(count)) * scale[term]
-        entry = np.repeat(np.arange(size), np.diff(first))
-        weight = weight / np.sqrt(np.bincount(entry, weights=weight**2, minlength=size))[entry]
+        entry = np.repeat(np.arange(size, dtype=np.int32), np.diff(first))
+        weight = ((1 + np.log(count)) * scale[term]).astype(np.float32)
+        weight /= np.sqrt(np.bincount(entry, weights=weight.astype(np.float64) ** 2, minlength=size)).astype(np.float32)[entry]
         # Entries stand by their heaviest terms, so that blocks hold alike ones.
         heavy = np.lexsort((-weight, entry))
         lead = term[heavy[first[:-1]]] if size else first[:0]
         second = term[heavy[np.minimum(first[:-1] + 1, first[1:] - 1)]] if size else first[:0]
+        del heavy
         order = np.lexsort((second, lead))
         sizes = np.diff(first)[order]
         where = K.gathered(sizes, first[:-1][order])
         self.order = order  # the place of each entry before
         self.share, self.scale, self.size = share[order], scale, size
         self.first = np.concatenate([[0], np.cumsum(sizes)])
-        self.term, self.weight = term[where].astype(np.int32), weight[where].astype(np.float32)
-        entry = np.repeat(np.arange(size), sizes)
+        self.term, self.weight = term[where].astype(np.int32), weight[where]
+        del where, weight
+        entry = np.repeat(np.arange(size, dtype=np.int32), sizes)
         held = np.bincount(term, minlength=len(scale))
         often = np.argsort(-held, kind="stable")[:FREQUENT]
         often = often[held[often] > size // 64]
@@ -345,14 +347,26 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     marks = tally.orderBy(F.desc("off"), "term").limit(terms).select("term", "stem").toArrow()
     mark, is_stem = marks.column(0).to_numpy().view(np.uint64), marks.column(1).to_numpy()
 
-    held = worded.select("terms", "counts", "stems", "share", "stem_counts").orderBy(F.xxhash64("terms", "counts")).toArrow()
-    data, at = K.text_bytes_of_binary(held.column(0))
-    words = np.frombuffer(data.tobytes(), np.uint64)
-    counts = np.frombuffer(K.text_bytes_of_binary(held.column(1))[0].tobytes(), np.int32)
-    data, s_at = K.text_bytes_of_binary(held.column(2))
-    stems = np.frombuffer(data.tobytes(), np.uint64)
-    stem_counts = np.frombuffer(K.text_bytes_of_binary(held.column(4))[0].tobytes(), np.int32)
-    share = held.column(3).to_numpy()
+    stems_known = spark.sparkContext.broadcast(np.sort(mark[is_stem]))
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Without the stems that aren't marked."""
+        for batch in batches:
+            for k in range(batch.num_rows):
+                h, n = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in ((2, np.uint64), (3, np.int32)))
+                on = _found(stems_known.value, h)[1]
+                one = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array([h[on].tobytes()], pa.binary()), pa.array([n[on].tobytes()], pa.binary()), one.column(4)], names=["terms", "counts", "stems", "stem_counts", "share"])
+
+    held = worded.select("terms", "counts", "stems", "stem_counts", "share").mapInArrow(narrowed, "terms binary, counts binary, stems binary, stem_counts binary, share double")
+    held = held.orderBy(F.xxhash64("terms", "counts")).toArrow()
+    lists = []
+    for column, kind in ((0, np.uint64), (1, np.int32), (2, np.uint64), (3, np.int32)):
+        data, at = K.text_bytes_of_binary(held.column(column))
+        lists.append((np.frombuffer(data.tobytes(), kind), np.diff(at) // np.dtype(kind).itemsize))
+    (words, n_words), (counts, _), (stems, n_stems), (stem_counts, _) = lists
+    share = held.column(4).to_numpy()
+    del held, lists
     vocabulary = Vocabulary(np.unique(np.concatenate([words, mark[is_stem]])), mark[is_stem])
     spread = spark.sparkContext.broadcast(vocabulary)
 
@@ -376,14 +390,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     scale[marked] *= MARKED
 
     # Each entry's terms: its words, and the marked ones of its stems.
-    row = np.repeat(np.arange(len(share)), np.diff(at) // 8)
-    s_row = np.repeat(np.arange(len(share)), np.diff(s_at) // 8)
-    some = np.flatnonzero(_found(vocabulary.stems, stems)[1])
-    row = np.concatenate([row, s_row[some]])
-    term = _found(vocabulary.hashes, np.concatenate([words, stems[some]]))[0]
-    count = np.concatenate([counts, stem_counts[some]])
+    entry = np.arange(len(share), dtype=np.int32)
+    row = np.concatenate([np.repeat(entry, n_words), np.repeat(entry, n_stems)])
+    term = np.concatenate([_found(vocabulary.hashes, h)[0].astype(np.int32) for h in (words, stems)])
+    count = np.concatenate([counts, stem_counts])
+    del words, counts
     by = np.lexsort((term, row))
-    index = Index(scale, np.searchsorted(row[by], np.arange(len(share) + 1)), term[by], count[by], share, marked)
+    first = np.searchsorted(row[by], np.arange(len(share) + 1))
+    del row
+    index = Index(scale, first, term[by], count[by], share, marked)
+    del term, count, by
     empty = made.filter("octet_length(terms) = 0").agg(F.sum("n"), F.sum(F.col("n") * F.col("share"))).first()
     rate = toxic / size if size else 0.0
     bare = ((empty[1] or 0.0) + PRIOR * rate) / ((empty[0] or 0) + PRIOR)
