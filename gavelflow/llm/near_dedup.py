@@ -11,14 +11,18 @@ larger ones). Time runs only until every component has a point, so that a signat
 costs about m ln m points whatever the text's length.
 
 Texts that agree in all rows of a band meet in a bucket. No bucket is expanded into
-pairs: its members are tied to its smallest one, and what is tied together, over all
-bands, is a family. Each family is then verified on exact multisets. Its texts are dealt
-into blocks of bounded count and bytes, and each two blocks meet in one task, where an
-inverted index of their shingles gives a text's overlap with all others at once. A text
-whose rarest shingles, of more than a fifth of its weight, stand nowhere else can have no
-partner and is passed over. A task reports the links that join two sets of its texts, so
-what it reports is fewer than its texts. Classes are what links connect. Two texts at
-the threshold miss every band with a probability of (1 - 0.8 ** 6) ** 42 = 3e-6.
+pairs: its members are tied to its smallest one, its representative, and what is tied
+together, over all bands, is a family. Each family is then verified on exact multisets.
+First a text is held against its FIRST_TIES smallest representatives; what holds joins
+texts into sets. Only links between two sets can still change a class. So the texts outside
+a family's largest set, its open ones, are then held against all texts of the family, in
+blocks of bounded count and bytes, where an inverted index of shingles gives a text's
+overlap with all others at once. An open text whose rarest shingles, of more than a fifth
+of its weight, stand nowhere else can have no partner and is passed over. A hot family thus
+costs its size times the blocks of its open texts, not the square of its size. A task
+reports the links that join two sets, so what it reports is fewer than its texts. Classes
+are what links connect. Two texts at the threshold miss every band with a probability of
+(1 - 0.8 ** 6) ** 42 = 3e-6.
 
 Defined cases: null text counts as empty; equal texts are one node and share a class,
 the empty ones too; a text of one to four words is one shingle; the class id is the
@@ -48,7 +52,17 @@ SLICE_BYTES = 256 << 10
 
 
 def multisets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shingle hash, count), sorted by row and hash."""
+    """(row, shingle hash, count), sorted by row and hash; hashed a slice at a time."""
+    parts = []
+    for lo, hi in K.slices(offsets, SLICE_BYTES):
+        row, h, count = _multisets(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], size)
+        parts.append((row + lo, h, count))
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _multisets(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low, start, end, row = words_of(raw, offsets)
     word = K.span_hashes(K.prefix_sums(low), start, end)
     h = shingle_hashes(word, row, size)
@@ -176,52 +190,64 @@ def connected(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return labels
 
 
-def links_among(group: np.ndarray, side: np.ndarray, raw: np.ndarray, offsets: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
-    """Rows x and y of links that join two sets of rows of one group.
+def alike(raw: np.ndarray, offsets: np.ndarray, other_raw: np.ndarray, other_offsets: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of two columns of texts reach the threshold."""
+    n = len(offsets) - 1
+    sides = [multisets(raw, offsets), multisets(other_raw, other_offsets)]
+    row, h, count = (np.concatenate(x) for x in zip(*sides, strict=True))
+    size = np.bincount(row, weights=count, minlength=n)
+    order = np.lexsort((h, row))
+    row, h, count = row[order], h[order], count[order]
+    both = np.flatnonzero((row[1:] == row[:-1]) & (h[1:] == h[:-1]))
+    shared = np.bincount(row[both], weights=np.minimum(count[both], count[both + 1]), minlength=n)
+    return (shared >= threshold * (size - shared) - 1e-9) & (shared > 0)
 
-    In a group with both sides, rows of side 0 are held against rows of side 1; in others,
-    all against all."""
+
+def links_among(group: np.ndarray, side: np.ndarray, node: np.ndarray, known: np.ndarray, raw: np.ndarray, offsets: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """Rows x (side 0) and y (side 1) of links of one group that join two sets.
+
+    node: the text of each row, which may stand on both sides; known: its set so far."""
     n = len(group)
     row, h, count = multisets(raw, offsets)
     size = np.bincount(row, weights=count, minlength=n)
     key = K.mixed(h + K.mixed(group.view(np.uint64))[row])
-    _, place, df = np.unique(key, return_inverse=True, return_counts=True)
-    order = np.argsort(place, kind="stable")
+    _, place = np.unique(key, return_inverse=True)
+    there = np.flatnonzero(side[row] == 1)
+    df = np.bincount(place[there], minlength=int(place.max()) + 1 if len(place) else 0)
+    order = there[np.argsort(place[there], kind="stable")]
     posting, weight, start = row[order], count[order], np.cumsum(df) - df
+    # A text of side 0 that stands on side 1 too is no partner of its own.
+    pairs, at = np.unique(np.stack([group, node]), axis=1, return_inverse=True)
+    twice = (np.bincount(at, weights=side == 1, minlength=pairs.shape[1]) > 0)[at]
     # A partner shares all but (1 - threshold) of a text's weight, so one of any shingles that weigh more.
-    rare = np.lexsort((df[place], row))
+    others = df[place] - twice[row]
+    rare = np.lexsort((others, row))
     run = np.cumsum(count[rare]) - count[rare]
     first = np.searchsorted(row, np.arange(n))
     before = run - run[np.minimum(first, len(run) - 1)][row[rare]] if len(run) else run
     needed = before <= (1 - threshold) * size[row[rare]] + 1e-9
     asks = np.zeros(n, bool)
-    asks[row[rare][needed & (df[place[rare]] > 1)]] = True
-    both = np.zeros(n, bool)
-    for g in np.unique(group):
-        of = group == g
-        both[of] = side[of].any()
-    asks &= ~both | (side == 0)
-    root = list(range(n))
+    asks[row[rare][needed & (others[rare] > 0)]] = True
+    asks &= side == 0
+    root: dict[int, int] = {}
 
     def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
             x = root[x]
         return x
 
     out: tuple[list[int], list[int]] = ([], [])
     last = np.searchsorted(row, np.arange(n), side="right")
+    sets = known.tolist()
     for x in np.flatnonzero(asks).tolist():
         mine = slice(int(first[x]), int(last[x]))
         found = place[mine]
-        at = K.gathered(df[found], start[found])
-        shared = np.bincount(posting[at], weights=np.minimum(weight[at], np.repeat(count[mine], df[found])), minlength=n)
-        shared[x] = 0
-        good = np.flatnonzero(shared >= threshold * (size[x] + size - shared) - 1e-9)
-        for y in good[shared[good] > 0].tolist():
-            if both[x] and side[y] == side[x]:
-                continue
-            a, b = find(x), find(y)
+        where = K.gathered(df[found], start[found])
+        shared = np.bincount(posting[where], weights=np.minimum(weight[where], np.repeat(count[mine], df[found])), minlength=n)
+        good = np.flatnonzero((shared >= threshold * (size[x] + size - shared) - 1e-9) & (shared > 0))
+        for y in good.tolist():
+            a, b = find(sets[x]), find(sets[y])
             if a != b:
                 root[max(a, b)] = min(a, b)
                 out[0].append(x)
@@ -229,28 +255,61 @@ def links_among(group: np.ndarray, side: np.ndarray, raw: np.ndarray, offsets: n
     return out
 
 
+#: Representatives that a text is held against first, and texts of one of them in a task.
+FIRST_TIES, PIVOT_TEXTS = 3, 500
 #: Texts and bytes of one block of a family, and of the groups that a task takes together.
 BLOCK_TEXTS, BLOCK_BYTES = 1_000, 4 << 20
 
 
+def _first_links(ties: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
+    """a, b of the ties that hold, of each text's first ones. ties: a, b (representative)."""
+    some = ties.withColumn("turn", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter(F.col("turn") <= FIRST_TIES)
+    some = scratch.save(some.select("a", "b"), "first-ties")
+    # A hot representative is copied over as many tasks as its texts need.
+    hot = some.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PIVOT_TEXTS).cast("int").alias("tasks")).filter("tasks > 1")
+    hot = scratch.save(hot, "hot-representatives")
+    tasks = F.coalesce("tasks", F.lit(1))
+    asked = some.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), tasks).cast("int").alias("task"))
+    asked = asked.join(texts.select(F.col("node").alias("a"), "text").hint("merge"), "a")
+    pivots = some.select("b").distinct().join(hot, "b", "left").select("b", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"))
+    pivots = pivots.join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")).hint("merge"), "b")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = K.text_bytes(batch.column(2))
+            other_raw, other_offsets = K.text_bytes(batch.column(3))
+            held = np.zeros(batch.num_rows, bool)
+            for lo, hi in K.slices(offsets + other_offsets, SLICE_BYTES):
+                held[lo:hi] = alike(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], other_raw[other_offsets[lo] : other_offsets[hi]], other_offsets[lo : hi + 1] - other_offsets[lo], threshold)
+            pick = pa.array(np.flatnonzero(held))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick)], names=["a", "b"])
+
+    return asked.join(pivots.hint("merge"), ["b", "task"]).select("a", "b", "text", "other").mapInArrow(of, "a long, b long")
+
+
 def _links(members: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
-    """a, b: the links of each family. members: node, family, text."""
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("bytes"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    sizes = scratch.save(sizes.filter("n > 1").select("family", F.greatest(blocks, F.lit(1)).alias("blocks")), "families")
-    dealt = members.join(sizes.hint("merge"), "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meeting = F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other"))
-    side = (F.col("block") > F.col("other")).cast("int")
-    rows = met.select(meeting.alias("meeting"), side.alias("side"), "node", "text")
+    """a, b: links that join the sets of each family. members: node, family, known (its set), text."""
+    sets = members.groupBy("family", "known").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = lambda n, size: F.greatest(F.ceil(F.greatest(n / BLOCK_TEXTS, size / BLOCK_BYTES)).cast("int"), F.lit(1))
+    whole = sets.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.max(F.struct("n", "bytes", "known")).alias("largest"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    whole = whole.filter("sets > 1").select("family", F.col("largest.known").alias("largest"), blocks(F.col("n"), F.col("bytes")).alias("blocks"), blocks(F.col("n") - F.col("largest.n"), F.col("bytes") - F.col("largest.bytes")).alias("open_blocks"))
+    whole = scratch.save(whole, "families")
+    dealt = members.join(whole, "family").withColumn("opened", F.col("known") != F.col("largest"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    open_block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("open_blocks")).cast("int")
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asked = F.transform(all_of("blocks"), lambda j: F.struct(F.lit(0).alias("side"), open_block.alias("i"), j.alias("j")))
+    told = F.transform(all_of("open_blocks"), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), block.alias("j")))
+    met = dealt.withColumn("m", F.explode(F.when(F.col("opened"), F.concat(asked, told)).otherwise(told)))
+    rows = met.select(F.xxhash64("family", "m.i", "m.j").alias("meeting"), "m.side", "node", "known", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(table: pa.Table) -> pa.RecordBatch:
             raw, offsets = K.text_bytes(table.column("text"))
-            x, y = links_among(np.asarray(table.column("meeting")), np.asarray(table.column("side")), raw, offsets, threshold)
-            node = np.asarray(table.column("node"))
+            meeting, side, node, known = (np.asarray(table.column(c)) for c in ("meeting", "side", "node", "known"))
+            x, y = links_among(meeting, side, node, known, raw, offsets, threshold)
             return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
 
         weight = size = 0
@@ -259,7 +318,7 @@ def _links(members: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
                 part = batch.slice(at, 100)
                 held.append(part)
                 weight += part.num_rows
-                size += K.text_bytes(part.column(3))[0].size
+                size += K.text_bytes(part.column(4))[0].size
                 if weight < BLOCK_TEXTS and size < BLOCK_BYTES:
                     continue
                 table = pa.Table.from_batches(held)
@@ -268,7 +327,7 @@ def _links(members: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
                 if cut:
                     yield done(table.slice(0, cut))
                     held = table.slice(cut).to_batches()
-                    weight, size = len(meeting) - cut, sum(K.text_bytes(b.column(3))[0].size for b in held)
+                    weight, size = len(meeting) - cut, sum(K.text_bytes(b.column(4))[0].size for b in held)
         if held:
             yield done(pa.Table.from_batches(held))
 
@@ -288,16 +347,21 @@ def _classes_of_texts(source: DataFrame, scratch: Scratch, threshold: float, ban
     several = scratch.save(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).filter("size > 1").select("bucket", "pivot"), "buckets")
     ties = members.join(several.hint("merge"), "bucket").filter("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     # A node's smallest tie stands for it: its other ties join theirs to that one, and are few.
-    ties = scratch.save(ties.withColumn("least", F.min("b").over(Window.partitionBy("a"))), "ties")
-    ties = ties.select("a", F.col("least").alias("b")).unionByName(ties.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))).distinct()
+    tied_to = scratch.save(ties.withColumn("least", F.min("b").over(Window.partitionBy("a"))), "ties")
+    ties = tied_to.select("a", F.col("least").alias("b")).unionByName(tied_to.filter("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))).distinct()
     families = connected(scratch.save(ties, "short-ties"), scratch, "family").withColumnRenamed("label", "family")
     tied = scratch.save(families.join(nodes.select("node", "x_sha", "x_id").hint("merge"), "node"), "tied")
     marks = scratch.save(bit_rows(tied, F.xxhash64("x_sha")), "marks")
     found = only_marked(source, F.xxhash64("x_sha"), marks).withColumnRenamed("x_id", "y_id")
     texts = found.join(tied.hint("merge"), "x_sha").filter(F.col("x_id").eqNullSafe(F.col("y_id"))).select("node", "family", F.col("x_text").alias("text"))
     texts = scratch.save(texts.dropDuplicates(["node"]), "texts")
-    links = scratch.save(_links(texts, scratch, threshold), "links")
-    scratch.drop("texts")
+    first = scratch.save(_first_links(tied_to.select("a", "b"), texts, scratch, threshold), "first-links")
+    sets = connected(first, scratch, "set").withColumnRenamed("label", "known")
+    members = texts.join(sets.hint("merge"), "node", "left").withColumn("known", F.coalesce("known", "node"))
+    links = scratch.save(_links(members, scratch, threshold), "links")
+    for name in ("texts", "first-ties"):
+        scratch.drop(name)
+    links = links.unionByName(sets.select(F.col("node").alias("a"), F.col("known").alias("b")).filter("a <> b"))
     labels = connected(links, scratch, "class")
     labels = nodes.select("node").join(labels.hint("merge"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     named = nodes.select("node", "x_sha", F.struct(F.col("x_id").isNull(), F.col("x_id").alias("id"), F.col("x_sha").alias("sha")).alias("least")).join(labels, "node")

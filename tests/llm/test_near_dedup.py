@@ -82,3 +82,24 @@ def test_signatures_are_unbiased():
     truth = np.minimum(a, b).sum() / np.maximum(a, b).sum()
     s = near_dedup.bag_min_hash(np.repeat([0, 1], len(e)), np.concatenate([e, e]), np.concatenate([a, b]), 2, 4096)
     assert abs((s[0] == s[1]).mean() - truth) < 5 * (truth * (1 - truth) / 4096) ** 0.5
+
+
+def test_links_beyond_the_first_ties(spark, monkeypatch):
+    """Without any first ties all links come from open texts held against their family, in blocks."""
+    monkeypatch.setattr(near_dedup, "FIRST_TIES", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 9)
+    rows = corpus() + [(100 + k, t) for k, t in enumerate(family(50, 40))]
+    got = near_dedup.classes(clashing(spark, rows)).collect()
+    assert sorted([(r.doc_id, r.class_id, r.class_size) for r in got], key=str) == sorted(brute_classes(rows), key=str)
+
+
+def test_slices_change_nothing():
+    import pyarrow as pa
+
+    texts = [prose(k, 40_000) for k in range(3)] + ["", "one two", prose(5, 30)]
+    raw, offsets = K.text_bytes(pa.array(texts))
+    row, h, count = near_dedup.multisets(raw, offsets)
+    for k, t in enumerate(texts):
+        assert sorted(count[row == k].tolist()) == sorted(shingles(t).values())
+        alone = near_dedup.multisets(*K.text_bytes(pa.array([t])))
+        assert (alone[1] == h[row == k]).all() and (alone[2] == count[row == k]).all()
