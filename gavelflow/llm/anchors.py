@@ -6,16 +6,26 @@ windows have equal anchors at equal places, so windows can only be equal within
 of one anchor gram. Neighbouring windows mostly share their anchor, so a text is a short
 list of runs: an anchor, and the windows that own it, whose units are one stretch of text.
 
-Three digits, most significant first, sort the windows:
+Digits sort the windows, most significant first, and a group of one drops out at each:
 
 1. the anchor gram: a gram that stands once in the corpus ends its run, whose windows are
-   all unique. A bit table of fixed size turns most of these away where they arise; what
-   it lets through wrongly ends on the next digit;
-2. the whole stretch of a run: runs with equal stretches have equal windows throughout;
-3. the window itself, only among the different stretches of one gram.
-
-Nothing here pairs the members of a group, and the joins to hot groups are plain ones,
-whose larger side adaptive execution can split.
+   all unique;
+2. the whole stretch of a run: runs with equal stretches have equal windows throughout, and
+   one of them stands for all from here on;
+3. among the different stretches of one gram, the core: a stretch's windows are cut into
+   SEGMENTS by the anchor's place in them, and the windows of a segment share their middle;
+4. the window itself. Neighbouring windows that still are not alone are a piece;
+5. the whole piece. Passages that stand in different surroundings differ as stretches, but
+   their pieces are equal again, so that a hot passage comes down to a few different pieces.
+
+Digits 1, 3 and 4 are counted by 64-bit hashes and looked up in bit tables of fixed size:
+they only turn windows away, and what they let through wrongly ends on a later digit.
+Digits 2 and 5 decide that bytes are equal, by 128-bit digests of the bytes: among 10**13
+different stretches two would be taken for equal with a probability of 2e-13.
+
+No step takes a group into one task, whatever its size. Nothing here pairs the members of a
+group, and the joins to hot groups are plain ones, whose larger side adaptive execution can
+split.
 """
 
 from __future__ import annotations
@@ -86,13 +96,14 @@ class Units:
         return out
 
 
-def window_runs(scheme: Scheme, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, row, first window, windows) of each run; window places are absolute."""
+def window_runs(scheme: Scheme, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, row, first window, windows, units from the first window to the anchor)
+    of each run; window places are absolute."""
     none = np.empty(0, np.int64)
     grams = units.grams(scheme.gram)
     width = scheme.window - scheme.gram + 1
     if len(grams) < width:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     bits = np.uint64(max(24, len(grams).bit_length()))
     packed = grams >> bits
     packed <<= bits
@@ -108,7 +119,7 @@ def window_runs(scheme: Scheme, units: Units) -> tuple[np.ndarray, np.ndarray, n
     opens = np.ones(len(at), bool)
     opens[1:] = (own[1:] != own[:-1]) | (row[1:] != row[:-1])
     lead = np.flatnonzero(opens)
-    return K.mixed(grams[own[lead]]), row[lead], at[lead], np.diff(lead, append=len(at))
+    return K.mixed(grams[own[lead]]), row[lead], at[lead], np.diff(lead, append=len(at)), own[lead] - at[lead]
 
 
 def _sliced(batch_columns: list[pa.Array], text: pa.Array, scheme: Scheme):
@@ -139,26 +150,26 @@ def _candidate_runs(rows: DataFrame, scheme: Scheme, held) -> DataFrame:
         table = held.value
         for batch in batches:
             for (ids, hashes), units, _ in _sliced([batch.column(0), batch.column(1)], batch.column(2), scheme):
-                gram, row, at, windows = window_runs(scheme, units)
-                some = np.flatnonzero(in_table(table, gram))
-                gram, row, at, windows = gram[some], row[some], at[some], windows[some]
+                found = window_runs(scheme, units)
+                some = np.flatnonzero(in_table(table, found[0]))
+                gram, row, at, windows, anchor = (x[some] for x in found)
                 data = memoryview(np.ascontiguousarray(units.data))
                 last = at + windows + scheme.window - 2
                 stretch = [xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(units.at[at].tolist(), units.end[last].tolist(), strict=True)] if len(at) else []
                 pick = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pick), hashes.take(pick), pa.array((at - units.first[row]).astype(np.int64)), pa.array(windows.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(stretch, pa.binary())],
-                    names=["x_id", "x_hash", "place", "windows", "gram", "stretch"],
+                    [ids.take(pick), hashes.take(pick), pa.array((at - units.first[row]).astype(np.int64)), pa.array(windows.astype(np.int32)), pa.array(gram.view(np.int64)), pa.array(anchor.astype(np.int32)), pa.array(stretch, pa.binary())],
+                    names=["x_id", "x_hash", "place", "windows", "gram", "anchor", "stretch"],
                 )
 
-    return rows.mapInArrow(of, "x_id long, x_hash long, place long, windows int, gram long, stretch binary")
+    return rows.mapInArrow(of, "x_id long, x_hash long, place long, windows int, gram long, anchor int, stretch binary")
 
 
 @dataclass
 class Repeats:
-    """runs: x_id, x_hash, place, windows, gram, stretch of candidate runs;
-    stretches: gram, stretch, n (runs), least (smallest id), place of one run of the
-    smallest id, alone (no other stretch has the gram)."""
+    """runs: x_id, x_hash, place, windows, gram, anchor, stretch of candidate runs;
+    stretches: gram, stretch, n (runs), different (stretches of the gram), and x_id, x_hash,
+    place, windows, anchor of one run of the smallest id."""
 
     scratch: Scratch
     rows: DataFrame
@@ -172,7 +183,7 @@ def find(docs: DataFrame, scheme: Scheme, scratch: Scratch, id_col: str, text_co
     repeated = scratch.save(_anchor_counts(rows, scheme).filter("n > 1").select("gram"), "grams")
     held = spark.sparkContext.broadcast(bit_table(repeated, F.col("gram")))
     runs = scratch.save(_candidate_runs(rows, scheme, held), "runs")
-    first = F.min(F.struct(F.col("x_id").isNull().alias("none"), "x_id", "x_hash", "place", "windows")).alias("first")
+    first = F.min(F.struct(F.col("x_id").isNull().alias("none"), "x_id", "x_hash", "place", "windows", "anchor")).alias("first")
     stretches = runs.groupBy("gram", "stretch").agg(F.count(F.lit(1)).alias("n"), first)
     stretches = scratch.save(stretches.select("gram", "stretch", "n", "first.*"), "stretches")
     shared = stretches.groupBy("gram").agg(F.count(F.lit(1)).alias("different"), F.sum("n").alias("all")).filter("different > 1")
@@ -187,7 +198,7 @@ def with_text(repeats: Repeats, wanted: DataFrame, scheme: Scheme, extra: str) -
     stretch's bytes as ``bytes``. Texts that nothing is wanted of are turned away first."""
     names = [c.split()[0] for c in extra.split(", ")]
     wanted = repeats.scratch.save(wanted, "wanted")
-    lists = wanted.groupBy("x_id", "x_hash").agg(F.collect_list(F.struct("place", "windows", *names)).alias("w"))
+    lists = wanted.groupBy("x_id", "x_hash").agg(F.collect_set(F.struct("place", "windows", *names)).alias("w"))
     rows = only_marked(repeats.rows, F.col("x_hash"), repeats.scratch.save(bit_rows(wanted, F.col("x_hash")), "wanted-marks"))
     # Of several copies of a text one is enough: the lists hold places in the text.
     rows = rows.join(lists.withColumnRenamed("x_id", "y_id").withColumnRenamed("x_hash", "y_hash"), F.col("x_hash").eqNullSafe(F.col("y_hash")) & F.col("x_id").eqNullSafe(F.col("y_id")))
@@ -220,7 +231,8 @@ def covered_texts(repeats: Repeats, spans: DataFrame, scheme: Scheme, digest: Ca
     """
     spans = repeats.scratch.save(spans, "spans")
     marks = repeats.scratch.save(bit_rows(spans, F.col("x_hash")), "span-marks")
-    lists = spans.groupBy("x_id", "x_hash").agg(F.collect_list(F.struct("place", "windows")).alias("w"))
+    # A set: repeated rows of one text have the same spans.
+    lists = spans.groupBy("x_id", "x_hash").agg(F.collect_set(F.struct("place", "windows")).alias("w"))
     lists = lists.withColumnRenamed("x_id", "y_id").withColumnRenamed("x_hash", "y_hash")
     hit = only_marked(repeats.rows, F.col("x_hash"), marks).join(lists, F.col("x_hash").eqNullSafe(F.col("y_hash")) & F.col("x_id").eqNullSafe(F.col("y_id")), "left")
 
@@ -246,68 +258,98 @@ def covered(units: Units, row: np.ndarray, place: np.ndarray, size: np.ndarray)
     return np.cumsum(change[:-1]) > 0
 
 
-#: Different stretches of one gram that one task compares (some 100 MB of windows); those
-#: of larger groups are dealt out window by window.
-LOCAL_STRETCHES = 20_000
-#: Windows that a task compares at a time, but for the last group.
-LOCAL_WINDOWS = 500_000
-
-
-def by_gram(parts: DataFrame, resolve: Callable) -> DataFrame:
-    """resolve(gram, data, at, end, columns) over whole groups, many at a time.
+#: Cuts of a run's windows by their anchor's place.
+SEGMENTS = 4
 
-    parts: the columns of with_text(); groups have LOCAL_STRETCHES rows at most."""
-    names = parts.columns
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, weight = [], 0
 
-        def done(table: pa.Table) -> pa.RecordBatch:
-            data, at = K.text_bytes_of_binary(table.column("bytes"))
-            return resolve(table, data, at)
+def _windows_of(batch: pa.RecordBatch, scheme: Scheme, prefix: bool = True):
+    """The windows of stretches: (units, prefix sums, row, first unit, segment, gram)."""
+    data, at = K.text_bytes_of_binary(batch.column("bytes"))
+    windows = np.asarray(batch.column("windows"))
+    units = Units.of(scheme, data, at)
+    first = K.gathered(windows, units.first[:-1])
+    row = np.repeat(np.arange(len(windows)), windows)
+    away = np.asarray(batch.column("anchor"))[row] - (first - units.first[row])
+    width = scheme.window - scheme.gram + 1
+    return units, K.prefix_sums(units.data), row, first, away // -(-width // SEGMENTS), np.asarray(batch.column("gram")).view(np.uint64)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            weight += int(np.asarray(batch.column(names.index("windows"))).sum())
-            if weight < LOCAL_WINDOWS:
-                continue
-            table = pa.Table.from_batches(held)
-            gram = np.asarray(table.column("gram"))
-            cut = int(np.searchsorted(gram, gram[-1]))
-            if cut:
-                yield done(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-                weight = int(np.asarray(table.column("windows"))[cut:].sum())
-        if held:
-            yield done(pa.Table.from_batches(held))
-
-    sorted_parts = parts.repartition("gram").sortWithinPartitions("gram")
-    return sorted_parts.mapInArrow(of, "x_id long, x_hash long, place long, windows int")
-
-
-def spread_windows(parts: DataFrame, scheme: Scheme) -> DataFrame:
-    """The windows of groups too large for one task: x_id, x_hash, place, n, window digest."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cores(batch: pa.RecordBatch, scheme: Scheme) -> tuple[tuple, np.ndarray, np.ndarray]:
+    """(_windows_of(), the core's hash of each segment, the segment of each window)."""
+    found = units, prefix, row, first, segment, gram = _windows_of(batch, scheme)
+    opens = np.ones(len(row), bool)
+    opens[1:] = (row[1:] != row[:-1]) | (segment[1:] != segment[:-1])
+    lead = np.flatnonzero(opens)
+    span = -(-(scheme.window - scheme.gram + 1) // SEGMENTS)
+    # The middle that all windows of a whole segment share; a run may own a part of it only.
+    anchor = units.first[row[lead]] + np.asarray(batch.column("anchor"))[row[lead]]
+    lo = anchor - segment[lead] * span
+    hi = anchor - np.minimum((segment[lead] + 1) * span - 1, scheme.window - scheme.gram) + scheme.window
+    h = K.span_hashes(prefix, units.at[lo], units.end[hi - 1]) if len(lead) else np.empty(0, np.uint64)
+    return found, K.mixed(h + gram[row[lead]] + segment[lead].astype(np.uint64)), np.cumsum(opens) - 1
+
+
+def pieces(repeats: Repeats, parts: DataFrame, scheme: Scheme, extra: str) -> DataFrame:
+    """Digits 3 and 4: x_id, x_hash, place, windows, gram, the columns of ``extra``, piece
+    (digest) and bytes of each piece. parts: different stretches, as with_text() gives them."""
+    spark, scratch = repeats.rows.sparkSession, repeats.scratch
+    names = [c.split()[0] for c in extra.split(", ")] if extra else []
+
+    def repeated(keys: DataFrame, name: str):
+        several = scratch.save(keys.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key"), name)
+        return spark.sparkContext.broadcast(bit_table(several, F.col("key")))
+
+    def counted(h: np.ndarray) -> pa.RecordBatch:
+        key, n = np.unique(h, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            data, at = K.text_bytes_of_binary(table.column("bytes"))
-            windows = np.asarray(table.column("windows"))
-            units = Units.of(scheme, data, at)
-            first = K.gathered(windows, units.first[:-1])
-            row = np.repeat(np.arange(len(windows)), windows)
-            view = memoryview(np.ascontiguousarray(units.data))
-            digest = [xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(units.at[first].tolist(), units.end[first + scheme.window - 1].tolist(), strict=True)] if len(first) else []
+            for lo, hi in K.slices(K.text_bytes_of_binary(batch.column("bytes"))[1], SLICE_BYTES):
+                yield batch.slice(lo, hi - lo)
+
+    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield counted(_cores(batch, scheme)[1])
+
+    of_cores = repeated(parts.mapInArrow(cores, "key long, n long"), "cores")
+
+    def open_windows(batch: pa.RecordBatch):
+        (units, prefix, row, first, _, gram), core, of = _cores(batch, scheme)
+        some = np.flatnonzero(in_table(of_cores.value, core)[of])
+        row, first = row[some], first[some]
+        h = K.span_hashes(prefix, units.at[first], units.end[first + scheme.window - 1]) if len(first) else np.empty(0, np.uint64)
+        return units, row, first, K.mixed(h + gram[row])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            yield counted(open_windows(batch)[3])
+
+    of_windows = repeated(parts.mapInArrow(windows, "key long, n long"), "windows")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            units, row, first, h = open_windows(batch)
+            some = np.flatnonzero(in_table(of_windows.value, h))
+            row, first = row[some], first[some]
+            opens = np.ones(len(row), bool)
+            opens[1:] = (row[1:] != row[:-1]) | (first[1:] != first[:-1] + 1)
+            lead = np.flatnonzero(opens)
+            size = np.diff(lead, append=len(row))
+            row, first = row[lead], first[lead]
+            data = np.ascontiguousarray(units.data).tobytes()
+            ends = units.end[first + size + scheme.window - 2] if len(first) else first
+            body = [data[a:b] for a, b in zip(units.at[first].tolist(), ends.tolist(), strict=True)] if len(first) else []
             pick = pa.array(row)
-            place = np.asarray(table.column("place"))[row] + first - units.first[row]
+            place = np.asarray(batch.column("place"))[row] + first - units.first[row]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("x_id").take(pick), batch.column("x_hash").take(pick), pa.array(place), batch.column("n").take(pick), pa.array(digest, pa.binary())],
-                names=["x_id", "x_hash", "place", "n", "digest"],
+                [batch.column("x_id").take(pick), batch.column("x_hash").take(pick), pa.array(place), pa.array(size.astype(np.int32)), batch.column("gram").take(pick)]
+                + [batch.column(n).take(pick) for n in names]
+                + [pa.array([xxhash.xxh3_128_digest(x) for x in body], pa.binary()), pa.array(body, pa.binary())],
+                names=["x_id", "x_hash", "place", "windows", "gram", *names, "piece", "bytes"],
             )
 
-    return parts.mapInArrow(of, "x_id long, x_hash long, place long, n long, digest binary")
+    return parts.mapInArrow(cut, "x_id long, x_hash long, place long, windows int, gram long, " + "".join(f"{c}, " for c in extra.split(", ") if c) + "piece binary, bytes binary")
 
 
 def joined_windows(table: pa.Table, at: np.ndarray, row: np.ndarray) -> pa.RecordBatch:

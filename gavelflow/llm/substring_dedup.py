@@ -1,25 +1,24 @@
 """Removal of passages that an earlier document holds, by suffix automata.
 
 A word goes if a window of ``length`` words that covers it also starts in a document with
-a smaller id. Reference shards are the groups of anchors.py: all windows that can be
-equal lie in one group, and of a group only its different stretches, each with the
-smallest id that has it, are the reference. A suffix automaton of the shard is grown in
-the order of ids while the documents' stretches are streamed against it: matching
-statistics of ``length`` or more end a maximal span that an earlier document holds, then
-the stretch itself joins the automaton.
-
-Equal stretches, such as the inside of a copied passage or a whole copied document, never
-reach an automaton: a join on (anchor gram, 128-bit digest of the stretch) removes them
-from every document after the first. Only different stretches of one anchor gram do.
-
-The shards are dealt out by group together with the stretches that stream against them,
-rather than broadcast: every shard against every document would be work in the square of
-the corpus. A shard of more than AUTOMATON_STRETCHES would be an automaton of some
-hundred MB; its windows are sorted instead, in one task or, beyond the bound of
-anchors.py, dealt out one by one, and matched with the smallest id that has them.
+a smaller id. Reference shards are the groups of anchors.py: all windows that can be equal
+lie under one anchor gram, and its different pieces, each with the smallest id that has it,
+are the reference. A suffix automaton of the shard is grown in the order of ids while the
+documents' pieces are streamed against it: matching statistics of ``length`` or more end a
+maximal span that an earlier document holds, then the piece itself joins the automaton.
+
+A gram with more than SHARD pieces has several shards, dealt by a hash; every piece of the
+gram is streamed against each of them, in tasks of their own. So no automaton grows beyond
+SHARD pieces, whatever the group, and all groups go the same way. Shards meet the pieces
+that stream against them in a shuffle, rather than by broadcast: every shard against every
+document would be work in the square of the corpus.
+
+Equal stretches and equal pieces, such as the inside of a copied passage or a whole copied
+document, reach an automaton once, for the first document that has them; a join on
+(anchor gram, 128-bit digest) removes them from every later one.
 
 Defined cases: null text has no words; a null id counts as larger than any other, so its
-document loses what documents with ids hold and takes nothing from them; rows with the
+document loses what documents with ids hold and takes nothing from them; ids are whole numbers; rows with the
 same id are one document; a text of fewer words keeps all; an empty table gives an empty
 result; extra columns are ignored, whatever they are called.
 """
@@ -27,6 +26,7 @@ result; extra columns are ignored, whatever they are called.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,10 @@ from gavelflow.llm import textkit as K
 from gavelflow.llm.scratch import Scratch
 
 NO_ID = (1 << 63) - 1
-#: Different stretches of one shard's automaton.
-AUTOMATON_STRETCHES = 4_000
+#: Different pieces of one shard's automaton, and pieces that a task takes at a time.
+SHARD = 1_000
+#: Roles of a piece in a meeting: it is matched, it joins the automaton, or both.
+STREAM, REFERENCE = 1, 2
 
 
 class SuffixAutomaton:
@@ -95,71 +97,97 @@ class SuffixAutomaton:
         return out
 
 
-def _spans(repeats: A.Repeats, scheme: A.Scheme) -> DataFrame:
-    known = repeats.stretches.select("gram", "stretch", "n", "different", "x_id", "x_hash", "place", "windows")
-    # A document after the first one that has the stretch loses all of it.
-    first = known.filter("n > 1").select("gram", "stretch", F.col("x_id").alias("first_id"))
-    later = repeats.runs.join(first, ["gram", "stretch"]).filter(F.coalesce("x_id", F.lit(NO_ID)) > F.coalesce("first_id", F.lit(NO_ID)))
-    later = later.select("x_id", "x_hash", "place", "windows")
-    # The first one loses the windows that other stretches, of smaller ids, hold.
-    mixed = known.filter("different > 1").select("x_id", "x_hash", "place", "windows", "gram", "n", "different")
-    parts = repeats.scratch.save(A.with_text(repeats, mixed, scheme, "gram long, n long, different long"), "parts")
-
-    def resolve(table: pa.Table, data: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-        gram = np.asarray(table.column("gram"))
-        ids = table.column("x_id").fill_null(NO_ID).to_pylist()
-        edges = np.flatnonzero(np.diff(gram, prepend=gram[0] - 1 if len(gram) else 0, append=gram[-1] + 1 if len(gram) else 0)).tolist()
-        places, rows = [], []
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            automaton, waiting, last = SuffixAutomaton(), [], None
-            for r in sorted(range(lo, hi), key=ids.__getitem__):
-                if ids[r] != last:
-                    for words in waiting:
-                        automaton.add(words)
-                    waiting, last = [], ids[r]
-                words = data[start[r] : start[r + 1]].tobytes().split(b" ")
+def _later(rows: DataFrame, first: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans of rows whose document comes after the first one with the same keys."""
+    met = rows.join(first.select(*keys, F.col("x_id").alias("first_id")), keys).filter(F.coalesce("x_id", F.lit(NO_ID)) > F.coalesce("first_id", F.lit(NO_ID)))
+    return met.select("x_id", "x_hash", "place", "windows")
+
+
+def matched_spans(table: pa.Table, window: int) -> pa.RecordBatch:
+    """Spans of the pieces that match an earlier one of their meeting. table: meeting (sorted),
+    role, x_id, x_hash, place, windows, bytes."""
+    data, start = K.text_bytes_of_binary(table.column("bytes"))
+    meeting, role = np.asarray(table.column("meeting")), np.asarray(table.column("role"))
+    ids = table.column("x_id").fill_null(NO_ID).to_pylist()
+    edges = np.flatnonzero(np.concatenate([[True], meeting[1:] != meeting[:-1], [True]])).tolist() if len(meeting) else []
+    places, rows = [], []
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        automaton, waiting, last = SuffixAutomaton(), [], None
+        for r in sorted(range(lo, hi), key=ids.__getitem__):
+            if ids[r] != last:
+                for words in waiting:
+                    automaton.add(words)
+                waiting, last = [], ids[r]
+            words = data[start[r] : start[r + 1]].tobytes().split(b" ")
+            if role[r] & STREAM:
                 for end, long in enumerate(automaton.matched(words)):
-                    if long >= scheme.window:
-                        places.append(end - scheme.window + 1)
+                    if long >= window:
+                        places.append(end - window + 1)
                         rows.append(r)
+            if role[r] & REFERENCE:
                 waiting.append(words)
-        return A.joined_windows(table, np.array(places, np.int64), np.array(rows, np.int64))
-
-    def resolve_large(table: pa.Table, data: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-        units = A.Units.of(scheme, data, start)
-        windows = np.asarray(table.column("windows"))
-        row = np.repeat(np.arange(len(windows)), windows)
-        at = K.gathered(windows, units.first[:-1])
-        h = K.span_hashes(K.prefix_sums(units.data), units.at[at], units.end[at + scheme.window - 1])
-        _, group = np.unique(K.mixed(h + np.asarray(table.column("gram")).view(np.uint64)[row]), return_inverse=True)
-        ids = np.asarray(table.column("x_id").fill_null(NO_ID))[row]
-        least = np.full(len(group), NO_ID)
-        np.minimum.at(least, group, ids)
-        found = least[group] < ids
-        return A.joined_windows(table, (at - units.first[row])[found], row[found])
-
-    small = F.col("different") <= AUTOMATON_STRETCHES
-    local = A.by_gram(parts.filter(small), resolve)
-    local = local.unionByName(A.by_gram(parts.filter(~small & (F.col("different") <= A.LOCAL_STRETCHES)), resolve_large))
-    spread = repeats.scratch.save(A.spread_windows(parts.filter(F.col("different") > A.LOCAL_STRETCHES), scheme), "windows")
-    least = spread.groupBy("digest").agg(F.min("x_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 AND first_id IS NOT NULL")
-    least = repeats.scratch.save(least.select("digest", "first_id"), "first")
-    rest = spread.join(least, "digest").filter(F.coalesce("x_id", F.lit(NO_ID)) > F.col("first_id"))
-    found = local.unionByName(rest.select("x_id", "x_hash", "place", F.lit(1).alias("windows")))
-    # The same stretch may stand at other places of that document, too.
-    found = repeats.scratch.save(found, "found")
-    again = _at_other_places(repeats, found)
+    return A.joined_windows(table, np.array(places, np.int64), np.array(rows, np.int64))
+
+
+def _matched(known: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+    """Spans of the different pieces of each gram that an earlier document holds."""
+    several = known.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = scratch.save(several.select("gram", "shards"), "shards")
+    dealt = known.join(several, "gram").withColumn("shard", F.pmod(F.xxhash64("piece"), F.col("shards")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("shards") - 1)
+    # Meeting (i, j): shard i's automaton, and the pieces of shard j streamed against it.
+    as_reference = F.transform(every, lambda j: F.struct(F.col("shard").alias("i"), j.alias("j"), F.when(F.col("shard") == j, STREAM | REFERENCE).otherwise(REFERENCE).alias("role")))
+    as_stream = F.transform(F.filter(every, lambda i: i != F.col("shard")), lambda i: F.struct(i.alias("i"), F.col("shard").alias("j"), F.lit(STREAM).alias("role")))
+    met = dealt.withColumn("m", F.explode(F.concat(as_reference, as_stream)))
+    rows = met.select(F.xxhash64("gram", "m.i", "m.j").alias("meeting"), "m.role", "x_id", "x_hash", "place", "windows", "bytes")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < SHARD:
+                continue
+            table = pa.Table.from_batches(held)
+            meeting = np.asarray(table.column("meeting"))
+            cut = int(np.searchsorted(meeting, meeting[-1]))
+            if cut:
+                yield matched_spans(table.slice(0, cut), window)
+                held = table.slice(cut).to_batches()
+        if held:
+            yield matched_spans(pa.Table.from_batches(held), window)
+
+    return rows.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(of, "x_id long, x_hash long, place long, windows int")
+
+
+def _spans(repeats: A.Repeats, scheme: A.Scheme) -> DataFrame:
+    scratch = repeats.scratch
+    known = repeats.stretches.select("gram", "stretch", "n", "different", "x_id", "x_hash", "place", "windows", "anchor")
+    # A document after the first one that has the stretch loses all of it.
+    later = _later(repeats.runs, known.filter("n > 1"), ["gram", "stretch"])
+    # The first one loses the windows that other stretches, of smaller ids, hold.
+    mixed = known.filter("different > 1").select("x_id", "x_hash", "place", "windows", "gram", "anchor")
+    parts = scratch.save(A.with_text(repeats, mixed, scheme, "gram long, anchor int"), "parts")
+    pieces = scratch.save(A.pieces(repeats, parts, scheme, ""), "pieces")
+    least = F.min(F.struct(F.col("x_id").isNull().alias("none"), "x_id", "x_hash", "place", "windows")).alias("first")
+    first = pieces.groupBy("gram", "piece").agg(least, F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes"))
+    first = scratch.save(first.select("gram", "piece", "n", "first.*", "bytes"), "first-pieces")
+    met = scratch.save(_matched(first, scratch, scheme.window), "matched")
+    places = _at_other_places(pieces, first.filter("n > 1"), ["gram", "piece"], met)
+    # What a stretch loses, it loses at all its places in that document.
+    found = scratch.save(_later(pieces, first.filter("n > 1"), ["gram", "piece"]).unionByName(met).unionByName(places), "found")
+    again = _at_other_places(repeats.runs, known.filter("n > 1 AND different > 1"), ["gram", "stretch"], found)
     return later.unionByName(found).unionByName(again)
 
 
-def _at_other_places(repeats: A.Repeats, found: DataFrame) -> DataFrame:
-    first = repeats.stretches.filter("n > 1 AND different > 1").select("gram", "stretch", F.col("x_id").alias("f_id"), F.col("x_hash").alias("f_hash"), F.col("place").alias("f_place"), F.col("windows").alias("f_windows"))
-    runs = repeats.runs.join(first, ["gram", "stretch"]).filter(F.col("x_id").eqNullSafe(F.col("f_id")) & ((F.col("place") != F.col("f_place")) | (F.col("x_hash") != F.col("f_hash"))))
-    runs = runs.select("x_id", "x_hash", "place", "f_id", "f_hash", "f_place", "f_windows")
+def _at_other_places(rows: DataFrame, first: DataFrame, keys: list[str], found: DataFrame) -> DataFrame:
+    """The found spans of each first row, at the other rows of its document with the same keys."""
+    first = first.select(*keys, F.col("x_id").alias("f_id"), F.col("x_hash").alias("f_hash"), F.col("place").alias("f_place"), F.col("windows").alias("f_windows"))
+    others = rows.join(first, keys).filter(F.col("x_id").eqNullSafe(F.col("f_id")) & ((F.col("place") != F.col("f_place")) | (F.col("x_hash") != F.col("f_hash"))))
+    others = others.select("x_id", "x_hash", "place", "f_id", "f_hash", "f_place", "f_windows")
     lost = found.select(F.col("x_id").alias("l_id"), F.col("x_hash").alias("l_hash"), F.col("place").alias("l_place"), F.col("windows").alias("l_windows"))
     same = F.col("f_id").eqNullSafe(F.col("l_id")) & (F.col("f_hash") == F.col("l_hash"))
     inside = (F.col("l_place") >= F.col("f_place")) & (F.col("l_place") < F.col("f_place") + F.col("f_windows"))
-    met = runs.join(lost, same & inside)
+    met = others.join(lost, same & inside)
     return met.select("x_id", "x_hash", (F.col("place") + F.col("l_place") - F.col("f_place")).alias("place"), F.col("l_windows").alias("windows"))
 
 

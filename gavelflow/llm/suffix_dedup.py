@@ -1,25 +1,28 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
 Suffixes are ordered by their first ``length`` bytes only, by most-significant-digit
-passes; a group that is left after the last pass is a string of that length that starts
-at several places. The first two digits (see anchors.py) stand for whole runs of
+passes; a group that is left after the last pass is a string of that length that starts at
+several places. The digits are those of anchors.py: the first two stand for whole runs of
 neighbouring suffixes, so that a corpus of n bytes deals out about n / 85 records instead
-of n suffixes. The passes over the remaining suffixes take ``DIGIT`` bytes each and drop
-every group of one; equality is at last settled on the bytes themselves.
+of n suffixes; the next ones narrow down the different stretches of a gram. The last two
+decide: pieces that are equal as a whole, and the single suffixes of those that aren't, in
+both cases by 128-bit digests of the bytes.
 
 All strings are judged on the input, and every copy goes, the first one too.
 
 Defined cases: null text counts as empty; texts shorter than ``length`` bytes keep all;
-rows that repeat are copies of each other; ids may repeat or be null; an empty table
+rows that repeat are copies of each other; ids are whole numbers, and may repeat or be null; an empty table
 gives an empty result; extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,51 +30,38 @@ from gavelflow.llm import anchors as A
 from gavelflow.llm import textkit as K
 from gavelflow.llm.scratch import Scratch
 
-#: Bytes of a pass.
-DIGIT = 50
-
-
-def repeated_suffixes(group: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Which of the suffixes at these places share their first ``length`` bytes with another of their group."""
-    prefix = K.prefix_sums(data)
-    open_, key = np.arange(len(at)), K.mixed(group.view(np.uint64))
-    first = open_
-    for lo in range(0, length, DIGIT):
-        place = at[open_]
-        key = K.mixed(key * K.BASE + K.span_hashes(prefix, place + lo, place + min(lo + DIGIT, length)))
-        _, lead, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        keep = count[inverse] > 1
-        first = open_[lead][inverse][keep]
-        open_, key = open_[keep], key[keep]
-    out = np.zeros(len(at), bool)
-    wide = np.arange(length)
-    for lo in range(0, len(open_), 20_000):
-        a, b = open_[lo : lo + 20_000], first[lo : lo + 20_000]
-        out[a] = (data[at[a][:, None] + wide] == data[at[b][:, None] + wide]).all(axis=1)
-    return out
-
 
 def _spans(repeats: A.Repeats, scheme: A.Scheme) -> DataFrame:
     """x_id, x_hash, place, windows of the repeated strings."""
+    scratch = repeats.scratch
     whole = repeats.runs.join(repeats.stretches.filter("n > 1").select("gram", "stretch"), ["gram", "stretch"])
     whole = whole.select("x_id", "x_hash", "place", "windows")
-    mixed = repeats.stretches.filter("different > 1").select("x_id", "x_hash", "place", "windows", "gram", "n", "different")
-    parts = repeats.scratch.save(A.with_text(repeats, mixed, scheme, "gram long, n long, different long"), "parts")
-
-    def resolve(table: pa.Table, data: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-        windows = np.asarray(table.column("windows"))
-        row = np.repeat(np.arange(len(windows)), windows)
-        at = K.gathered(windows, start[:-1])
-        found = repeated_suffixes(np.asarray(table.column("gram"))[row], data, at, scheme.window)
-        found &= np.asarray(table.column("n"))[row] == 1  # else the whole stretch is repeated anyway
-        return A.joined_windows(table, (at - start[row])[found], row[found])
-
-    local = A.by_gram(parts.filter(F.col("different") <= A.LOCAL_STRETCHES), resolve)
-    spread = A.spread_windows(parts.filter(F.col("different") > A.LOCAL_STRETCHES), scheme)
-    spread = repeats.scratch.save(spread, "windows")
-    twice = repeats.scratch.save(spread.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("digest"), "twice")
-    rest = spread.filter("n = 1").join(twice, "digest").select("x_id", "x_hash", "place", F.lit(1).alias("windows"))
-    return whole.unionByName(local).unionByName(rest)
+    mixed = repeats.stretches.filter("different > 1").select("x_id", "x_hash", "place", "windows", "gram", "anchor", "n")
+    parts = scratch.save(A.with_text(repeats, mixed, scheme, "gram long, anchor int, n long"), "parts")
+    pieces = scratch.save(A.pieces(repeats, parts, scheme, "n long"), "pieces")
+    by_piece = pieces.groupBy("gram", "piece").agg(F.count(F.lit(1)).alias("copies"), F.first("bytes").alias("bytes"), F.min(F.struct("n", "x_id", "x_hash", "place", "windows")).alias("one"))
+    by_piece = scratch.save(by_piece.select("gram", "copies", "one.*", "piece", "bytes"), "by-piece")
+    # Equal pieces are repeated throughout; where a whole stretch is repeated (n > 1), nothing is left to find.
+    same = pieces.filter("n = 1").join(by_piece.filter("copies > 1").select("gram", "piece"), ["gram", "piece"])
+    same = same.select("x_id", "x_hash", "place", "windows")
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = K.text_bytes_of_binary(batch.column("bytes"))
+            windows = np.asarray(batch.column("windows"))
+            first = K.gathered(windows, at[:-1])
+            row = np.repeat(np.arange(len(windows)), windows)
+            view = memoryview(np.ascontiguousarray(data))
+            digest = [xxhash.xxh3_128_digest(view[a : a + scheme.window]) for a in first.tolist()]
+            pick, place = pa.array(row), np.asarray(batch.column("place"))[row] + first - at[row]
+            columns = [batch.column(c).take(pick) for c in ("gram", "x_id", "x_hash", "n", "copies")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(place), pa.array(digest, pa.binary())], names=["gram", "x_id", "x_hash", "n", "copies", "place", "digest"])
+
+    last = by_piece.mapInArrow(suffixes, "gram long, x_id long, x_hash long, n long, copies long, place long, digest binary")
+    last = scratch.save(last, "suffixes")
+    twice = scratch.save(last.groupBy("gram", "digest").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") > 1).select("gram", "digest"), "twice")
+    rest = last.filter("n = 1 AND copies = 1").join(twice, ["gram", "digest"]).select("x_id", "x_hash", "place", F.lit(1).alias("windows"))
+    return whole.unionByName(same).unionByName(rest)
 
 
 def _removed(ids: pa.Array, units: A.Units, gone: np.ndarray) -> pa.RecordBatch:

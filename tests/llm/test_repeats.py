@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from gavelflow.llm import anchors, substring_dedup, suffix_dedup
+from gavelflow.llm import substring_dedup, suffix_dedup
 from tests.llm.helpers import clashing, corpus, frame, prose
 
 
@@ -57,25 +57,33 @@ def shared_passages():
     return [*rows, *corpus()]
 
 
-@pytest.mark.parametrize("bounds", [(20_000, 4_000), (2, 1), (3, 1)])
-def test_bytes_match_brute_force(spark, monkeypatch, bounds):
-    monkeypatch.setattr(anchors, "LOCAL_STRETCHES", bounds[0])
+def test_bytes_match_brute_force(spark):
     rows = shared_passages()
     for length, make in ((200, frame), (60, clashing)):
         got = suffix_dedup.removals(make(spark, rows), length=length).collect()
         assert sorted([tuple(r) for r in got], key=str) == brute_bytes(rows, length)
 
 
-@pytest.mark.parametrize("bounds", [(20_000, 4_000), (2, 1), (4, 2)])
-def test_words_match_brute_force(spark, monkeypatch, bounds):
-    monkeypatch.setattr(anchors, "LOCAL_STRETCHES", bounds[0])
-    monkeypatch.setattr(substring_dedup, "AUTOMATON_STRETCHES", bounds[1])
+@pytest.mark.parametrize("shard", [1_000, 2])
+def test_words_match_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(substring_dedup, "SHARD", shard)  # the second deals grams over many shards
     rows = shared_passages()
     for length, make in ((50, frame), (12, clashing)):
         got = substring_dedup.removals(make(spark, rows), length=length).collect()
         assert sorted([tuple(r) for r in got], key=str) == brute_words(rows, length)
 
 
+def test_one_hot_passage_and_repeated_rows(spark):
+    """A passage in thousands of different surroundings, one text a thousand times, and a long text."""
+    passage = prose(77, 60)
+    rows = [(k, f"{prose(k, 3)} own{k} {passage} tail{k} {prose(k + 1, 3)}") for k in range(3_000)]
+    rows += [(5_000, prose(8, 120))] * 1_000 + [(6_000, prose(9, 60_000) + " " + passage)]
+    got = suffix_dedup.removals(frame(spark, rows)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute_bytes(rows, 200)
+    got = substring_dedup.removals(frame(spark, rows)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute_words(rows, 50)
+
+
 def test_texts_that_stay(spark):
     rows = [(1, prose(1, 60) + " Tail end"), (2, "Head " + prose(1, 60)), (3, None)]
     got = {r.doc_id: r.kept for r in substring_dedup.deduplicated(frame(spark, rows)).collect()}
