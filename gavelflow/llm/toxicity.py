@@ -36,9 +36,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -281,13 +283,32 @@ def isotonic(vote: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Model:
-    vocabulary: Vocabulary
-    index: Index
+    """What is broadcast: the entries' terms and counts. Each worker builds its index of them once."""
+
+    hashes: np.ndarray
+    stems: np.ndarray
+    scale: np.ndarray
+    first: np.ndarray
+    term: np.ndarray
+    count: np.ndarray
+    share: np.ndarray
+    marked: np.ndarray
     bare: float  # the score of a text without terms
-    curve: tuple[np.ndarray, np.ndarray] = (np.empty(0), np.empty(0))
 
-    def score(self, vote: float) -> float:
-        return float(np.interp(vote, *self.curve)) if len(self.curve[0]) else vote
+    @cached_property
+    def vocabulary(self) -> Vocabulary:
+        return Vocabulary(self.hashes, self.stems)
+
+    @cached_property
+    def index(self) -> Index:
+        return Index(self.scale, self.first, self.term, self.count, self.share, self.marked)
+
+
+Curve = tuple[np.ndarray, np.ndarray]
+
+
+def probability(vote: float, curve: Curve) -> float:
+    return float(np.interp(vote, *curve)) if len(curve[0]) else vote
 
 
 def _deviance(n: Column, t: Column, all_n: float, all_t: float) -> Column:
@@ -297,8 +318,9 @@ def _deviance(n: Column, t: Column, all_n: float, all_t: float) -> Column:
     return 2 * (part(t, rate) + part(n - t, 1 - rate))
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Model:
-    """The driver gets the terms of the examples, whose number is bounded by the parameters."""
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS):
+    """(broadcast model, curve from votes to probabilities). The driver gets the terms of the
+    examples, whose number is bounded by the parameters."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     usable = labels.select(F.col(id_col).cast("string").alias("x_id"), F.col(label_col).cast("int").alias("x_toxic"))
@@ -310,62 +332,62 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     taken = rows.join(F.broadcast(picked), "x_id").select("x_toxic", "x_text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A digest of each text's words and their counts: texts that share it are one entry."""
         for batch in batches:
             for lo, hi, raw, offsets in _sliced(*K.text_bytes(batch.column(1))):
-                row, h, stems = word_terms(raw, offsets)
+                row, h, _ = word_terms(raw, offsets)
                 row, h, count = counted(row, h)
                 cuts = np.searchsorted(row, np.arange(hi - lo + 1)).tolist()
-                s_row, s_hash, s_count = counted(np.concatenate([r for r, _ in stems]), np.concatenate([s for _, s in stems]))
-                s_cuts = np.searchsorted(s_row, np.arange(hi - lo + 1)).tolist()
-                parts = [
-                    [h[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)],
-                    [count[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)],
-                    [s_hash[a:b].tobytes() for a, b in zip(s_cuts, s_cuts[1:], strict=False)],
-                    [s_count[a:b].astype(np.int32).tobytes() for a, b in zip(s_cuts, s_cuts[1:], strict=False)],
-                ]
-                yield pa.RecordBatch.from_arrays([*[pa.array(p, pa.binary()) for p in parts], batch.column(0).slice(lo, hi - lo)], names=["terms", "counts", "stems", "stem_counts", "toxic"])
-
-    made = taken.mapInArrow(vectors, "terms binary, counts binary, stems binary, stem_counts binary, toxic int")
-    made = scratch.save(made.groupBy("terms", "counts").agg(F.first("stems").alias("stems"), F.first("stem_counts").alias("stem_counts"), F.avg("toxic").alias("share"), F.count(F.lit(1)).alias("n")), "examples")
-    worded = made.filter("octet_length(terms) > 0")
+                key = [xxhash.xxh3_128_digest(h[a:b].tobytes() + count[a:b].astype(np.int32).tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(np.diff(cuts) > 0), part.column(0), part.column(1)], names=["key", "worded", "toxic", "x_text"])
+
+    made = taken.mapInArrow(vectors, "key binary, worded boolean, toxic int, x_text string")
+    made = scratch.save(made.groupBy("key", "worded").agg(F.first("x_text").alias("x_text"), F.avg("toxic").alias("share"), F.count(F.lit(1)).alias("n")), "examples")
+    worded = made.filter("worded").select("key", "share", "x_text")
     size, toxic = worded.agg(F.count(F.lit(1)), F.sum("share")).first()
     toxic = toxic or 0.0
 
     def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            share = batch.column(2).to_numpy()
-            for column, stem in ((0, False), (1, True)):
-                data, at = K.text_bytes_of_binary(batch.column(column))
-                h = np.frombuffer(data.tobytes(), np.int64)
-                term, where = np.unique(h, return_inverse=True)
-                each = np.repeat(share, np.diff(at) // 8)
-                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(np.full(len(term), stem)), pa.array(np.bincount(where, minlength=len(term)).astype(float)), pa.array(np.bincount(where, weights=each, minlength=len(term)))], names=["term", "stem", "n", "t"])
-
-    tally = worded.select("terms", "stems", "share").mapInArrow(tallies, "term long, stem boolean, n double, t double")
+            share = batch.column(1).to_numpy()
+            for lo, hi, raw, offsets in _sliced(*K.text_bytes(batch.column(2))):
+                row, h, stems = word_terms(raw, offsets)
+                for rows, hashes, stem in ((row, h, False), (np.concatenate([r for r, _ in stems]), np.concatenate([s for _, s in stems]), True)):
+                    rows, hashes, _ = counted(rows, hashes)
+                    term, where = np.unique(hashes, return_inverse=True)
+                    n, t = np.bincount(where, minlength=len(term)).astype(float), np.bincount(where, weights=share[lo:hi][rows], minlength=len(term))
+                    yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.full(len(term), stem)), pa.array(n), pa.array(t)], names=["term", "stem", "n", "t"])
+
+    tally = worded.mapInArrow(tallies, "term long, stem boolean, n double, t double")
     tally = tally.groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).filter(F.col("n") >= LEAST_EXAMPLES)
     tally = tally.withColumn("off", _deviance(F.col("n"), F.col("t"), size, toxic)).filter(F.col("off") >= LEAST_DEVIANCE)
     marks = tally.orderBy(F.desc("off"), "term").limit(terms).select("term", "stem").toArrow()
     mark, is_stem = marks.column(0).to_numpy().view(np.uint64), marks.column(1).to_numpy()
-
     stems_known = spark.sparkContext.broadcast(np.sort(mark[is_stem]))
 
-    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Without the stems that aren't marked."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The words of each entry, and its marked stems, with their counts."""
         for batch in batches:
-            for k in range(batch.num_rows):
-                h, n = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in ((2, np.uint64), (3, np.int32)))
-                on = _found(stems_known.value, h)[1]
-                one = batch.slice(k, 1)
-                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), pa.array([h[on].tobytes()], pa.binary()), pa.array([n[on].tobytes()], pa.binary()), one.column(4)], names=["terms", "counts", "stems", "stem_counts", "share"])
-
-    held = worded.select("terms", "counts", "stems", "stem_counts", "share").mapInArrow(narrowed, "terms binary, counts binary, stems binary, stem_counts binary, share double")
-    held = held.orderBy(F.xxhash64("terms", "counts")).toArrow()
+            for lo, hi, raw, offsets in _sliced(*K.text_bytes(batch.column(2))):
+                row, h, stems = word_terms(raw, offsets)
+                known = [np.flatnonzero(_found(stems_known.value, s)[1]) for _, s in stems]
+                out = []
+                for rows, hashes in ((row, h), (np.concatenate([r[k] for (r, _), k in zip(stems, known, strict=True)]), np.concatenate([s[k] for (_, s), k in zip(stems, known, strict=True)]))):
+                    rows, hashes, count = counted(rows, hashes)
+                    cuts = np.searchsorted(rows, np.arange(hi - lo + 1)).tolist()
+                    for values in (hashes, count.astype(np.int32)):
+                        out.append(pa.array([values[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()))
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), *out, part.column(1)], names=["key", "terms", "counts", "stems", "stem_counts", "share"])
+
+    held = worded.mapInArrow(listed, "key binary, terms binary, counts binary, stems binary, stem_counts binary, share double").toArrow().sort_by("key")
     lists = []
-    for column, kind in ((0, np.uint64), (1, np.int32), (2, np.uint64), (3, np.int32)):
-        data, at = K.text_bytes_of_binary(held.column(column))
+    for name, kind in (("terms", np.uint64), ("counts", np.int32), ("stems", np.uint64), ("stem_counts", np.int32)):
+        data, at = K.text_bytes_of_binary(held.column(name))
         lists.append((np.frombuffer(data.tobytes(), kind), np.diff(at) // np.dtype(kind).itemsize))
     (words, n_words), (counts, _), (stems, n_stems), (stem_counts, _) = lists
-    share = held.column(4).to_numpy()
+    share = held.column("share").to_numpy()
     del held, lists
     vocabulary = Vocabulary(np.unique(np.concatenate([words, mark[is_stem]])), mark[is_stem])
     spread = spark.sparkContext.broadcast(vocabulary)
@@ -395,29 +417,29 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     term = np.concatenate([_found(vocabulary.hashes, h)[0].astype(np.int32) for h in (words, stems)])
     count = np.concatenate([counts, stem_counts])
     del words, counts
-    by = np.lexsort((term, row))
+    by = np.lexsort((term, row)).astype(np.int32)
     first = np.searchsorted(row[by], np.arange(len(share) + 1))
     del row
-    index = Index(scale, first, term[by], count[by], share, marked)
-    del term, count, by
-    empty = made.filter("octet_length(terms) = 0").agg(F.sum("n"), F.sum(F.col("n") * F.col("share"))).first()
+    term, count = term[by], count[by]
+    if not len(count) or count.max() < 1 << 16:
+        count = count.astype(np.uint16)
+    empty = made.filter("NOT worded").agg(F.sum("n"), F.sum(F.col("n") * F.col("share"))).first()
     rate = toxic / size if size else 0.0
     bare = ((empty[1] or 0.0) + PRIOR * rate) / ((empty[0] or 0) + PRIOR)
-    model = Model(vocabulary, index, float(bare))
-    model.curve = _calibrated(spark, model)
-    return model
+    model = Model(vocabulary.hashes, vocabulary.stems, scale, first, term, count, share, marked, float(bare))
+    held = spark.sparkContext.broadcast(model)
+    return held, _calibrated(spark, held, len(share))
 
 
-def _calibrated(spark, model: Model) -> tuple[np.ndarray, np.ndarray]:
+def _calibrated(spark, model, size: int) -> Curve:
     """The curve from votes to probabilities: a sample of entries, each voted on by the others."""
-    if model.index.size < 2:
+    if size < 2:
         return np.empty(0), np.empty(0)
-    spread = spark.sparkContext.broadcast(model)
     # Entries came in the order of a hash, so the first ones are a sample.
-    sample = spark.range(0, min(CALIBRATED, model.index.size), 1, 8)
+    sample = spark.range(0, min(CALIBRATED, size), 1, 8)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = spread.value.index
+        index = model.value.index
         place = np.argsort(index.order)
         for batch in batches:
             votes, shares = [], []
@@ -435,9 +457,11 @@ def _calibrated(spark, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return isotonic(told.column(0).to_numpy(), told.column(1).to_numpy()) if told.num_rows else (np.empty(0), np.empty(0))
 
 
-def _scored(rows: DataFrame, columns: list[str], model) -> DataFrame:
+def _scored(rows: DataFrame, columns: list[str], learnt) -> DataFrame:
     """rows (columns and x_text, last) with x_score, and x_near and x_share of each nearest entry."""
 
+    model, curve = learnt
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
         vocabulary, index = held.vocabulary, held.index
@@ -453,7 +477,7 @@ def _scored(rows: DataFrame, columns: list[str], model) -> DataFrame:
                     queries = [(term[a:b], index.vector(term[a:b], count[a:b]) if b > a else term[a:b]) for a, b in spans]
                     for r, (entry, near) in enumerate(index.neighbours(queries), lo + at):
                         if len(entry):
-                            score[r] = held.score(index.vote(entry, near))
+                            score[r] = probability(index.vote(entry, near), curve)
                             near_of[r], share_of[r] = near, index.share[entry]
             cut = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in near_of])]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate(x) if len(x) else np.empty(0), pa.float64())) for x in (near_of, share_of)]
@@ -464,26 +488,22 @@ def _scored(rows: DataFrame, columns: list[str], model) -> DataFrame:
     return rows.mapInArrow(of, schema)
 
 
-def _model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str):
-    return docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col=id_col, text_col=text_col))
-
-
 def scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (toxic share of each nearest entry) of every row."""
-    model = _model(docs, labels, id_col, text_col)
+    learnt = learn(docs, labels, id_col=id_col, text_col=text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("x_text"))
     score = F.col("x_score")
-    return _scored(rows, ["doc_id"], model).select(
+    return _scored(rows, ["doc_id"], learnt).select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score.alias("score"), (score >= reject_at).cast("int").alias("predicted"), F.col("x_share").alias("evidence")
     )
 
 
 def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", reject_at: float = 0.7) -> DataFrame:
     """docs without the rows whose score reaches ``reject_at``."""
-    model = _model(docs, labels, id_col, text_col)
+    learnt = learn(docs, labels, id_col=id_col, text_col=text_col)
     names = [f"x_{k}" for k in range(len(docs.columns))]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], text.alias("x_text"))
-    out = _scored(rows, names, model).filter(F.col("x_score") < reject_at)
+    out = _scored(rows, names, learnt).filter(F.col("x_score") < reject_at)
     return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
