@@ -258,7 +258,7 @@ def links_among(group: np.ndarray, side: np.ndarray, node: np.ndarray, known: np
 #: Representatives that a text is held against first, and texts of one of them in a task.
 FIRST_TIES, PIVOT_TEXTS = 3, 500
 #: Texts and bytes of one block of a family, and of the groups that a task takes together.
-BLOCK_TEXTS, BLOCK_BYTES = 1_000, 4 << 20
+BLOCK_TEXTS, BLOCK_BYTES = 300, 2 << 20
 
 
 def _first_links(ties: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float) -> DataFrame:
