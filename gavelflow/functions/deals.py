@@ -107,4 +107,4 @@ def listing_confidence(vin: Column, mileage: Column, kind: Column) -> Column:
 
 
 def outcome_status(bid: Column, bidders: Column) -> Column:
-    return F.when(bid > 0, "closed-high-bid").when((bid == 0) & (bidders == 0), "no-bid").otherwise("unknown")
+    return F.when(bid > 0, "closed-high-bid").when((bid == 0) & (bidders == 0), "no-bid").otherwise("closed-outcome-unknown")

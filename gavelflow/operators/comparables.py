@@ -1,8 +1,10 @@
 """Closed sales that can stand for an open vehicle.
 
-The band joins run on (family or class, year): the subjects' years are exploded over the
-band, so that the join is an equi-join which Spark can shuffle, broadcast by size, and
-split where a family is hot. Mileage, condition and operability bands are its residual.
+The band joins are equi-joins: the subjects' years are exploded over the band, and their
+class over its own value and "none", so that the key is (family, class, year). Spark can
+shuffle such a join, broadcast a side by size, and split where a key is hot. Mileage,
+condition and operability bands are its residual. Subjects that know no year or no class
+match any and go a way of their own, by family alone.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelflow.functions import matching as M
+from gavelflow.sources.scratch import written
 
 SUBJECT = ["id", "external_id", "family", "class", "year", "mileage", "condition", "operability", "vin", "issues"]
 COMP = ["auction_id", "family", "class", "year", "mileage", "condition", "operability", "vin", "issues", "closed_high_bid_cents", "ended_at"]
@@ -18,9 +21,9 @@ COMP = ["auction_id", "family", "class", "year", "mileage", "condition", "operab
 
 def latest_per_vin(comps: DataFrame) -> DataFrame:
     """The latest sale of each vehicle number; sales without one all stay. Ties: smallest auction id."""
-    order = Window.partitionBy("vin").orderBy(F.desc("ended_at"), "auction_id")
-    with_vin = comps.filter("vin IS NOT NULL").withColumn("x_turn", F.row_number().over(order)).filter("x_turn = 1").drop("x_turn")
-    return comps.filter("vin IS NULL").unionByName(with_vin)
+    alone = F.when(F.col("vin").isNull(), F.col("auction_id"))
+    order = Window.partitionBy("vin", alone).orderBy(F.desc("ended_at"), "auction_id")
+    return comps.withColumn("x_turn", F.row_number().over(order)).filter("x_turn = 1 OR vin IS NULL").drop("x_turn")
 
 
 def sides(subject_prefix: str = "s_", comp_prefix: str = "c_") -> tuple[dict[str, Column], dict[str, Column]]:
@@ -37,24 +40,23 @@ def not_self() -> Column:
     return ~s["external_id"].eqNullSafe(c["auction_id"]) & ~F.coalesce(s["vin"] == c["vin"], F.lit(False))
 
 
-def _banded(subjects: DataFrame, comps: DataFrame, key: str, reference_year: int, mode: int, any_year: bool) -> DataFrame:
-    """Pairs whose key is equal and whose years lie within the mode's band."""
+def _banded(subjects: DataFrame, comps: DataFrame, reference_year: int) -> DataFrame:
+    """Pairs of one family whose years lie within the family band and whose classes agree."""
     s, _ = sides()
-    left, right = _renamed(subjects, SUBJECT, "s_").filter(s[key].isNotNull()), _renamed(comps, COMP, "c_")
-    reach = M.most_years_apart(s["year"], reference_year, mode)
-    banded = left.withColumn("x_year", F.explode(F.sequence(s["year"] - reach, s["year"] + reach)))
-    pairs = banded.join(right, (F.col(f"s_{key}") == F.col(f"c_{key}")) & (F.col("x_year") == F.col("c_year"))).drop("x_year")
-    if any_year:
-        pairs = pairs.unionByName(left.filter("s_year IS NULL").join(right, F.col(f"s_{key}") == F.col(f"c_{key}")))
-    return pairs.filter(not_self())
+    left, right = _renamed(subjects, SUBJECT, "s_").filter("s_family IS NOT NULL"), _renamed(comps, COMP, "c_")
+    reach = M.most_years_apart(s["year"], reference_year, M.FAMILY)
+    known = left.filter("s_year IS NOT NULL AND s_class IS NOT NULL")
+    banded = known.withColumn("x_year", F.explode(F.sequence(s["year"] - reach, s["year"] + reach))).withColumn("x_class", F.explode(F.array("s_class", F.lit(""))))
+    pairs = banded.join(right, (F.col("s_family") == F.col("c_family")) & (F.col("x_year") == F.col("c_year")) & (F.col("x_class") == F.coalesce("c_class", F.lit("")))).drop("x_year", "x_class")
+    open_ended = left.filter("s_year IS NULL OR s_class IS NULL").join(right, F.col("s_family") == F.col("c_family"))
+    return pairs.unionByName(open_ended)
 
 
 def family_pairs(subjects: DataFrame, comps: DataFrame, reference_year: int) -> DataFrame:
     """s_*, c_*, tier (tight or family), score of all pairs of one family that pass the guards."""
     s, c = sides()
-    pairs = _banded(subjects, comps, "family", reference_year, M.FAMILY, any_year=True)
     # The tight guards imply the wider ones.
-    pairs = pairs.filter(M.guards(s, c, reference_year, M.FAMILY))
+    pairs = _banded(subjects, comps, reference_year).filter(not_self() & M.guards(s, c, reference_year, M.FAMILY))
     tier = F.when(M.guards(s, c, reference_year, M.TIGHT), M.TIGHT).otherwise(M.FAMILY)
     return pairs.withColumns({"tier": tier, "score": M.match_score(s, c, 1.0)})
 
@@ -62,12 +64,15 @@ def family_pairs(subjects: DataFrame, comps: DataFrame, reference_year: int) ->
 def class_pairs(subjects: DataFrame, comps: DataFrame, reference_year: int, classes: list[str], least: int = 3, families: int = 2) -> DataFrame:
     """Pairs of one defensible class, of subjects that have enough of them."""
     s, c = sides()
-    pairs = _banded(subjects.filter(F.col("class").isin(classes)), comps, "class", reference_year, M.CLASS, any_year=False)
-    pairs = pairs.filter(M.guards(s, c, reference_year, M.CLASS))
+    left = _renamed(subjects.filter(F.col("class").isin(classes) & F.col("year").isNotNull()), SUBJECT, "s_")
+    reach = M.most_years_apart(s["year"], reference_year, M.CLASS)
+    banded = left.withColumn("x_year", F.explode(F.sequence(s["year"] - reach, s["year"] + reach)))
+    pairs = banded.join(_renamed(comps, COMP, "c_"), (F.col("s_class") == F.col("c_class")) & (F.col("x_year") == F.col("c_year"))).drop("x_year")
+    pairs = pairs.filter(not_self() & M.guards(s, c, reference_year, M.CLASS))
     score = F.when(s["family"] == c["family"], M.match_score(s, c, 1.0)).otherwise(M.match_score(s, c, 0.58))
-    pairs = pairs.withColumns({"tier": F.lit(M.CLASS), "score": score})
-    enough = pairs.groupBy("s_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("c_family").alias("f")).filter((F.col("n") >= least) & (F.col("f") >= families))
-    return pairs.join(enough.select("s_id"), "s_id", "left_semi")
+    mine = Window.partitionBy("s_id")
+    enough = (F.count(F.lit(1)).over(mine) >= least) & (F.size(F.collect_set("c_family").over(mine)) >= families)
+    return pairs.withColumns({"tier": F.lit(M.CLASS), "score": score, "x_enough": enough}).filter("x_enough").drop("x_enough")
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -79,9 +84,12 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def match_comparables(subjects: DataFrame, comps: DataFrame, as_of_year: int, *, k: int = 15, classes: list[str] | None = None) -> DataFrame:
-    """The k best comparables of the first tier that has any: tight, family, then class."""
-    comps = latest_per_vin(comps)
-    family = _best(family_pairs(subjects, comps, as_of_year), k)
+    """The k best comparables of the first tier that has any: tight, family, then class.
+
+    The sales are read once, dealt by family; the family tiers' result is written, and only
+    subjects that it leaves over are held against their class."""
+    comps = written(latest_per_vin(comps), "latest-sales")
+    family = written(_best(family_pairs(subjects, comps, as_of_year), k), "family-matches")
     left = subjects.join(family.select(F.col("s_id").alias("id")).distinct(), "id", "left_anti").select(*subjects.columns)
     wider = _best(class_pairs(left, comps, as_of_year, M.FALLBACK_CLASSES if classes is None else classes), k)
     return family.unionByName(wider)
@@ -89,9 +97,9 @@ def match_comparables(subjects: DataFrame, comps: DataFrame, as_of_year: int, *,
 
 def tier_counts(subjects: DataFrame, comps: DataFrame, as_of_year: int, classes: list[str] | None = None) -> DataFrame:
     """id, tier, candidates: the tier that each subject is valued by, and its size before any cut."""
-    comps = latest_per_vin(comps)
+    comps = written(latest_per_vin(comps), "latest-sales")
     family = family_pairs(subjects, comps, as_of_year).groupBy("s_id").agg(F.min("tier").alias("tier"), F.count_if(F.col("tier") == M.TIGHT).alias("tight"), F.count(F.lit(1)).alias("all"))
-    family = family.select("s_id", "tier", F.when(F.col("tier") == M.TIGHT, F.col("tight")).otherwise(F.col("all")).alias("candidates"))
+    family = written(family.select("s_id", "tier", F.when(F.col("tier") == M.TIGHT, F.col("tight")).otherwise(F.col("all")).alias("candidates")), "family-tiers")
     left = subjects.join(family.select(F.col("s_id").alias("id")), "id", "left_anti").select(*subjects.columns)
     wider = class_pairs(left, comps, as_of_year, M.FALLBACK_CLASSES if classes is None else classes)
     wider = wider.groupBy("s_id").agg(F.min("tier").alias("tier"), F.count(F.lit(1)).alias("candidates"))
@@ -100,20 +108,34 @@ def tier_counts(subjects: DataFrame, comps: DataFrame, as_of_year: int, classes:
 
 
 def candidate_pool(subjects: DataFrame, comps: DataFrame, k: int = 200) -> DataFrame:
-    """id, auction_id, by, rank: at most k near sales, of the family or else of the class."""
-    s, c = sides()
+    """id, auction_id, by, rank: at most k near sales, of the family or else of the class.
 
-    def near(key: str, years: int, least: float, share: float) -> DataFrame:
-        left = _renamed(subjects if key == "family" else rest, SUBJECT, "s_").filter(s[key].isNotNull())
-        right = _renamed(comps, COMP, "c_")
-        banded = left.withColumn("x_year", F.explode(F.sequence(s["year"] - years, s["year"] + years)))
-        pairs = banded.join(right, (F.col(f"s_{key}") == F.col(f"c_{key}")) & (F.col("x_year") == F.col("c_year")))
-        gap = F.abs(s["mileage"] - c["mileage"])
-        pairs = pairs.filter(not_self() & (gap <= F.greatest(F.lit(least), s["mileage"] * share)))
-        order = Window.partitionBy("s_id").orderBy(F.abs(s["year"] - c["year"]), gap, F.desc("c_ended_at"), "c_auction_id")
-        top = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        return top.select(F.col("s_id").alias("id"), F.col("c_auction_id").alias("auction_id"), F.lit(key).alias("by"), "rank")
-
-    family = near("family", 5, 40_000.0, 0.75)
+    The year gap comes first in the order, so the years are taken from the subject's own
+    outwards, and a subject that has k sales takes no part in wider gaps."""
+    s, c = sides()
+    comps = written(_renamed(comps.filter("year IS NOT NULL AND mileage IS NOT NULL"), ["auction_id", "family", "class", "year", "mileage", "vin", "ended_at"], "c_"), "pool-sales")
+
+    def near(subjects: DataFrame, key: str, years: int, least: float, share: float) -> DataFrame:
+        found, left = None, _renamed(subjects, SUBJECT, "s_").filter(s[key].isNotNull() & s["year"].isNotNull() & s["mileage"].isNotNull()).withColumn("x_have", F.lit(0).cast("long"))
+        for apart in range(years + 1):
+            at = F.array(s["year"] - apart, s["year"] + apart) if apart else F.array(s["year"])
+            banded = left.withColumn("x_year", F.explode(at))
+            pairs = banded.join(comps, (F.col(f"s_{key}") == F.col(f"c_{key}")) & (F.col("x_year") == F.col("c_year")))
+            gap = F.abs(s["mileage"] - c["mileage"])
+            pairs = pairs.filter(not_self() & (gap <= F.greatest(F.lit(least), s["mileage"] * share)))
+            order = Window.partitionBy("s_id").orderBy(gap, F.desc("c_ended_at"), "c_auction_id")
+            top = pairs.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= k).withColumn("rank", (F.col("x_have") + F.col("turn")).cast("int"))
+            ring = written(top.filter(F.col("rank") <= k).select(F.col("s_id").alias("id"), F.col("c_auction_id").alias("auction_id"), F.lit(key).alias("by"), "rank"), f"pool-{key}")
+            found = ring if found is None else found.unionByName(ring)
+            if apart == years:
+                break
+            have = ring.groupBy("id").agg(F.max("rank").cast("long").alias("x_more")).withColumnRenamed("id", "s_id")
+            left = left.join(have, "s_id", "left").withColumn("x_have", F.greatest("x_have", F.coalesce("x_more", F.lit(0)))).drop("x_more").filter(F.col("x_have") < k)
+            left = written(left, "pool-left")
+            if left.isEmpty():
+                break
+        return found
+
+    family = near(subjects, "family", 5, 40_000.0, 0.75)
     rest = subjects.join(family.select("id").distinct(), "id", "left_anti").select(*subjects.columns)
-    return family.unionByName(near("class", 2, 15_000.0, 0.35))
+    return family.unionByName(near(rest, "class", 2, 15_000.0, 0.35))

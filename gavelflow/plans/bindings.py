@@ -81,11 +81,52 @@ VIEWS = {
     "checks": """
         SELECT CAST(ts AS TIMESTAMP) AS checked_at, CAST(event_id % 2 AS INT) AS success, CASE WHEN event_id % 3 = 0 THEN 'complete' ELSE 'partial' END AS coverage FROM events""",
     "seen_auctions": """
-        SELECT CAST(event_id AS STRING) AS external_id, CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'preview' WHEN 'purchase' THEN 'closing' WHEN 'error' THEN 'ended' ELSE 'sold' END AS status,
+        SELECT CAST(event_id AS STRING) AS external_id, event_id AS auction_id, CASE WHEN event_id % 4 = 0 THEN 'fleet' ELSE 'lots' END AS source_key, CAST(event_id % 3 AS INT) AS bidder_count, CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'preview' WHEN 'purchase' THEN 'closing' WHEN 'error' THEN 'ended' ELSE 'sold' END AS status,
                CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(floor(CAST(value AS DOUBLE) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) END AS current_bid_cents,
                CAST(ts AS TIMESTAMP) AS last_seen_at, CAST(ts AS TIMESTAMP) + CAST(event_id % 90 AS INT) * INTERVAL '1' MINUTE AS ends_at,
                CASE WHEN event_id % 9 = 0 THEN NULL ELSE CAST(ts AS TIMESTAMP) - CAST(event_id % 70 AS INT) * INTERVAL '1' MINUTE END AS last_checked_at
         FROM events""",
+    "vehicles": """
+        SELECT event_id AS auction_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE lpad(CAST(event_id AS STRING), 17, '0') END AS vin, CAST(2000 + event_id % 20 AS INT) AS year, 'make' AS make,
+               CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS model, CASE WHEN event_id % 6 = 0 THEN NULL ELSE event_id * 13 % 200000 END AS mileage,
+               CASE event_id % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'usable' ELSE 'salvage' END AS condition, CAST(ts AS TIMESTAMP) AS updated_at
+        FROM events""",
+    "live_auctions": """
+        SELECT o_orderkey AS auction_id, 'lots' AS source_key, CAST(o_orderkey AS STRING) AS external_id,
+               CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(floor(CAST(o_totalprice AS DOUBLE) * 10 + CAST(0.5 AS DOUBLE)) AS BIGINT) END AS current_bid_cents, CAST(o_orderkey % 9 AS INT) AS bidder_count,
+               CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'P' THEN 'preview' ELSE 'sold' END AS status, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '7' DAY AS ends_at,
+               CAST(o_orderdate AS TIMESTAMP) + INTERVAL '3' DAY AS last_checked_at, CAST(o_orderdate AS TIMESTAMP) AS price_changed_at,
+               CASE WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '2' DAY END AS ended_at, CAST(NULL AS BIGINT) AS final_bid_cents, CAST(NULL AS STRING) AS final_status,
+               CAST(o_orderkey % 3 AS INT) AS extension_count
+        FROM orders""",
+    "live_checks": """
+        SELECT o_orderkey AS auction_id, CAST(o_orderkey AS STRING) AS external_id,
+               CASE WHEN l_linenumber = 5 THEN NULL ELSE CAST(floor(CAST(o_totalprice AS DOUBLE) * 10 + CAST(0.5 AS DOUBLE)) AS BIGINT) + l_partkey % 3 * 500 END AS current_bid_cents, CAST(o_orderkey % 9 + l_linenumber % 2 AS INT) AS bidder_count,
+               CASE WHEN l_returnflag = 'R' AND l_linenumber > 2 THEN 'ended' ELSE 'active' END AS status,
+               CAST(o_orderdate AS TIMESTAMP) + INTERVAL '7' DAY + CAST(l_suppkey % 3 AS INT) * INTERVAL '1' HOUR AS ends_at, CAST(o_orderdate AS TIMESTAMP) + CAST(l_linenumber AS INT) * INTERVAL '1' DAY AS last_checked_at
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "order_vehicles": """
+        SELECT o_orderkey AS auction_id, lpad(CAST(o_orderkey AS STRING), 17, '0') AS vin, CAST(2000 + o_orderkey % 20 AS INT) AS year, 'make' AS make, o_orderpriority AS model, o_orderkey % 200000 AS mileage
+        FROM orders WHERE o_orderkey % 10 <> 3""",
+    "raw_lots": """
+        SELECT concat('gsa:sale:', CAST(o_orderkey AS STRING)) AS id, o_orderkey AS n, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_clerk END AS sale_number, CAST(o_orderkey % 100 AS STRING) AS lot_number,
+               CASE WHEN o_orderkey % 13 = 0 THEN ' ' ELSE concat(CAST(1990 + o_orderkey % 30 AS STRING), ' ', c_mktsegment, ' ', o_orderpriority) END AS title,
+               CASE WHEN o_orderkey % 2 = 0 THEN concat('https://x.example/preview/', CAST(o_orderkey AS STRING)) END AS url, CASE o_orderstatus WHEN 'O' THEN 'active' ELSE 'scheduled' END AS status,
+               CAST(o_orderdate AS TIMESTAMP) AS starts_at, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '7' DAY AS ends_at, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 90001 AS DOUBLE) / 4 END AS current_bid,
+               CAST(o_orderkey % 9 AS INT) AS bidder_count, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE c_name END AS city, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE n_name END AS state, CAST(NULL AS STRING) AS postal_code,
+               CASE WHEN o_orderkey % 3 = 0 THEN CAST(2001 AS INT) END AS year, CASE WHEN o_orderkey % 8 = 0 THEN 'Ford' END AS make, CASE WHEN o_orderkey % 9 = 0 THEN 'F150' END AS model_label,
+               CASE WHEN o_orderkey % 3 = 1 THEN NULL ELSE lpad(CAST(o_orderkey AS STRING), 17, '0') END AS vin, CASE WHEN o_orderkey % 4 = 1 THEN NULL ELSE o_orderkey % 200000 END AS mileage, c_mktsegment AS body_type,
+               CASE o_orderkey % 5 WHEN 0 THEN 'new' WHEN 1 THEN 'usable' WHEN 2 THEN 'repairable' WHEN 3 THEN 'scrap' ELSE 'unknown' END AS condition, 'unknown' AS operability, o_comment_like AS description, o_orderkey % 17 = 0 AS open_recall,
+               CASE WHEN o_orderkey % 10 < 3 THEN 'frame-damage' ELSE 'no_key' END AS flag
+        FROM (SELECT *, concat('Lot of ', o_orderpriority) AS o_comment_like, concat('S', CAST(o_custkey AS STRING)) AS o_clerk FROM orders) AS o JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
+    "raw_fleet": """
+        SELECT CAST(o_orderkey AS STRING) AS source_id, o_orderkey AS n, concat('fleet:', CAST(o_orderkey AS STRING)) AS external_key, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE lpad(CAST(o_orderkey AS STRING), 17, '0') END AS vin,
+               CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'S1' END AS sale_number, CASE WHEN o_orderkey % 2 = 0 THEN '7' END AS sale_run_number, CAST(2000 + o_orderkey % 20 AS INT) AS year, CASE WHEN o_orderkey % 2 = 0 THEN 'FORD' ELSE 'Ram' END AS make,
+               CASE o_orderkey % 4 WHEN 0 THEN 'GR CHEROKEE' WHEN 1 THEN 'Transit' WHEN 2 THEN 'TITAN' END AS model, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 100000 END AS mileage, 'SUV' AS vehicle_type,
+               CASE o_orderkey % 4 WHEN 0 THEN 'U' WHEN 1 THEN 'X' ELSE '?' END AS condition_code, CASE WHEN o_orderkey % 3 = 0 THEN 'live' ELSE 'internet' END AS channel, CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'P' THEN 'coming' ELSE 'closed' END AS phase,
+               CAST(o_orderdate AS TIMESTAMP) AS starts_at, CAST(o_orderdate AS TIMESTAMP) + INTERVAL '7' DAY AS effective_ends_at, o_orderkey * 3 AS high_bid_cents, 'u' AS url, CAST(NULL AS STRING) AS city, 'TX' AS state, CAST(NULL AS STRING) AS postal_code,
+               o_orderkey % 6 = 0 AS detailed
+        FROM orders""",
     "outcomes": """
         SELECT CAST(l_suppkey AS STRING) AS id, concat(CAST(l_partkey % 37 AS STRING), '-', l_returnflag) AS outcome_id, l_orderkey * 10 + l_linenumber AS seen,
                CAST(floor(CAST(l_extendedprice AS DOUBLE) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS close_cents,
@@ -118,6 +159,12 @@ BASE = {
     "board": ["orders", "customer", "nation"],
     "checks": ["events"],
     "seen_auctions": ["events"],
+    "vehicles": ["events"],
+    "live_auctions": ["orders"],
+    "live_checks": ["lineitem", "orders"],
+    "order_vehicles": ["orders"],
+    "raw_lots": ["orders", "customer", "nation"],
+    "raw_fleet": ["orders"],
     "outcomes": ["lineitem"],
     "open_lots": ["supplier"],
 }

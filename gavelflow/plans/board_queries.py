@@ -128,15 +128,18 @@ def upsert_auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("external_id", "title", "status", "current_bid_cents", "image_url", F.unix_micros("last_checked_at").alias("checked_us"), F.unix_micros("price_changed_at").alias("changed_us"))
 
 
+def _archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.archive_missing(view(spark, sf_dir, "seen_auctions"), view(spark, sf_dir, "checks"), _ts(EVENT_NOW), "lots")
+
+
 def archive_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ledger.archive_missing(view(spark, sf_dir, "seen_auctions"), view(spark, sf_dir, "checks"), _ts(EVENT_NOW))
-    return out.select("external_id", "status", "final_bid_cents")
+    return _archived(spark, sf_dir).select("external_id", "source_key", "status", "final_bid_cents", F.unix_micros("ended_at").alias("ended_us"), "final_status")
 
 
 def close_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "seen_auctions")
-    start = rows.filter("CAST(external_id AS INT) % 5 = 0").select("external_id", F.lit(1).cast("long").alias("closed_high_bid_cents"), F.col("ends_at").alias("ended_at"))
-    return ledger.close_out(start, rows).select("external_id", "closed_high_bid_cents")
+    rows, vehicles = _archived(spark, sf_dir), view(spark, sf_dir, "vehicles").drop("condition", "updated_at").filter("auction_id % 3 <> 0")
+    start = ledger.closed_rows(view(spark, sf_dir, "seen_auctions").filter("auction_id % 5 = 0"), vehicles, F.col("ends_at"), F.col("ends_at")).withColumn("outcome_status", F.lit("known"))
+    return ledger.close_out(start, rows, vehicles, _ts(EVENT_NOW), "lots").select("external_id", "closed_high_bid_cents", "outcome_status", "vin")
 
 
 def close_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +204,10 @@ def _merge_sql(where: str, tail: str) -> str:
             known AND (take_new <> value_new OR (CASE WHEN value_new THEN ok ELSE old_ok END AND CASE WHEN take_new THEN poor ELSE old_poor END)) AS reprice FROM v {tail}"""
 
 
+ARCHIVED = f"""{ctes('checks', 'seen_auctions', 'vehicles')}, p AS (SELECT max(checked_at) AS prev FROM checks WHERE success = 1 AND coverage = 'complete' AND checked_at < {ENOW}),
+        g AS (SELECT s.*, source_key = 'lots' AND status IN ('active', 'preview', 'closing') AND coalesce(last_seen_at < prev, false) AS gone FROM seen_auctions s, p)"""
+
+
 UPDATES = f"""{ctes('comp_updates')},
     old AS (SELECT * FROM comp_updates WHERE observed_at < TIMESTAMP '{SPLIT}' QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY observed_at DESC, closed_high_bid_cents DESC, part_id DESC, supplier_id DESC) = 1),
     new AS (SELECT * FROM comp_updates WHERE observed_at >= TIMESTAMP '{SPLIT}' OR part_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY observed_at DESC, closed_high_bid_cents DESC, part_id DESC, supplier_id DESC) = 1)"""
@@ -238,11 +245,11 @@ ORACLE_SQL = {
             i.title AS it, o.title AS ot, i.status AS s, o.status AS os, i.bid AS ib, o.bid AS ob, i.bidders AS ibs, o.bidders AS obs, i.image AS ii, o.image AS oi, i.checked AS ic, o.checked AS oc, o.changed AS och FROM o FULL JOIN i ON o.external_id = i.external_id)
         SELECT external_id, CASE WHEN gone THEN ot ELSE it END AS title, CASE WHEN fresh OR newer THEN s ELSE os END AS status, CASE WHEN fresh OR newer THEN ib ELSE ob END AS current_bid_cents, coalesce(ii, oi) AS image_url,
             epoch_us(CASE WHEN fresh OR newer THEN ic ELSE oc END) AS checked_us, epoch_us(CASE WHEN fresh OR (newer AND (ib IS DISTINCT FROM ob OR ibs IS DISTINCT FROM obs)) THEN ic ELSE och END) AS changed_us FROM j""",
-    "archive_missing": f"""{ctes('checks', 'seen_auctions')}, p AS (SELECT max(checked_at) AS prev FROM checks WHERE success = 1 AND coverage = 'complete' AND checked_at < {ENOW}),
-        g AS (SELECT s.*, status IN ('active', 'preview', 'closing') AND coalesce(last_seen_at < prev, false) AS gone FROM seen_auctions s, p)
-        SELECT external_id, CASE WHEN gone THEN 'ended' ELSE status END AS status, CASE WHEN gone THEN current_bid_cents END AS final_bid_cents FROM g""",
-    "close_out": f"""{ctes('seen_auctions')} SELECT external_id, 1 AS closed_high_bid_cents FROM seen_auctions WHERE CAST(external_id AS INT) % 5 = 0
-        UNION ALL SELECT external_id, current_bid_cents FROM seen_auctions WHERE status = 'ended' AND current_bid_cents IS NOT NULL AND CAST(external_id AS INT) % 5 <> 0""",
+    "archive_missing": f"""{ARCHIVED} SELECT external_id, source_key, CASE WHEN gone THEN 'ended' ELSE status END AS status, CASE WHEN gone THEN current_bid_cents END AS final_bid_cents,
+        CASE WHEN gone THEN epoch_us({ENOW}) END AS ended_us, CASE WHEN gone THEN 'closed-high-bid-unverified' END AS final_status FROM g""",
+    "close_out": f"""{ARCHIVED}, c AS (SELECT external_id, current_bid_cents AS closed_high_bid_cents, CASE WHEN current_bid_cents > 0 THEN 'closed-high-bid' WHEN current_bid_cents = 0 AND bidder_count = 0 THEN 'no-bid' ELSE 'closed-outcome-unknown' END AS outcome_status,
+            vin, gone, auction_id FROM g JOIN vehicles USING (auction_id) WHERE auction_id % 3 <> 0 AND current_bid_cents IS NOT NULL)
+        SELECT external_id, closed_high_bid_cents, 'known' AS outcome_status, vin FROM c WHERE auction_id % 5 = 0 UNION ALL SELECT external_id, closed_high_bid_cents, outcome_status, vin FROM c WHERE gone AND auction_id % 5 <> 0""",
     "close_bucket": f"""{ctes('seen_auctions')},
         a AS (SELECT external_id, status, epoch_us({ENOW}) AS t, epoch_us(ends_at) AS e, epoch_us(last_checked_at) AS l FROM seen_auctions),
         b AS (SELECT *, CASE WHEN status IN {cadence.TERMINAL} THEN 'stopped' WHEN e - t > 1800000000 THEN 'normal' WHEN e - t > 300000000 THEN 'last-30-minutes' WHEN e - t > 60000000 THEN 'last-5-minutes' WHEN e - t > 0 THEN 'last-minute'

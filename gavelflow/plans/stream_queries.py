@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelflow.plans.bindings import ctes, view
 from gavelflow.sources import payloads
 from gavelflow.sources.generations import Generations
+from gavelflow.sources.scratch import scratch_folder
 from gavelflow.streaming import bids
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; under /tmp only where that is unset and all is one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if "cluster" in spark.sparkContext.master or not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's table, after all events have landed as files in the order of time."""
     root = scratch_folder(spark, "bids")

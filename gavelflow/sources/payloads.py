@@ -56,6 +56,11 @@ def scan_awarded(ledger: DataFrame) -> DataFrame:
     return ledger.filter((F.col("award_status") == "confirmed") & (F.col("awarded_price_cents") > 0) & F.col("year").between(1900, 2200) & (F.trim("make") != "") & (F.trim("model") != "") & F.col("ended_at").isNotNull())
 
 
+def newest_outcome(ledger: DataFrame) -> DataFrame:
+    """One row: newest, the last time that a confirmed award with a price was observed."""
+    return ledger.filter((F.col("award_status") == "confirmed") & (F.col("awarded_price_cents") > 0)).agg(F.max("outcome_observed_at").alias("newest"))
+
+
 def pick_source(rows: DataFrame, health: DataFrame, now: Column, order: list[str], most_age_hours: int = 24, least_rows: int = 1) -> DataFrame:
     """The rows of the first source, in order, that is complete, large enough and no older.
     health: source, complete, observed_at, with a row for each source."""
