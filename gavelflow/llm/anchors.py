@@ -190,6 +190,8 @@ def find(docs: DataFrame, scheme: Scheme, scratch: Scratch, id_col: str, text_co
     shared = scratch.save(shared.select("gram", "different"), "shared")
     stretches = stretches.join(shared, "gram", "left").filter("n > 1 OR different > 1")
     stretches = scratch.save(stretches.withColumn("different", F.coalesce("different", F.lit(1))), "repeated")
+    for name in ("grams", "stretches", "shared"):
+        scratch.drop(name)
     return Repeats(scratch, rows, runs, stretches)
 
 

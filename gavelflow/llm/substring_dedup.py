@@ -167,7 +167,9 @@ def _spans(repeats: A.Repeats, scheme: A.Scheme) -> DataFrame:
     # The first one loses the windows that other stretches, of smaller ids, hold.
     mixed = known.filter("different > 1").select("x_id", "x_hash", "place", "windows", "gram", "anchor")
     parts = scratch.save(A.with_text(repeats, mixed, scheme, "gram long, anchor int"), "parts")
+    scratch.drop("wanted")
     pieces = scratch.save(A.pieces(repeats, parts, scheme, ""), "pieces")
+    scratch.drop("parts")
     least = F.min(F.struct(F.col("x_id").isNull().alias("none"), "x_id", "x_hash", "place", "windows")).alias("first")
     first = pieces.groupBy("gram", "piece").agg(least, F.count(F.lit(1)).alias("n"), F.first("bytes").alias("bytes"))
     first = scratch.save(first.select("gram", "piece", "n", "first.*", "bytes"), "first-pieces")

@@ -38,7 +38,9 @@ def _spans(repeats: A.Repeats, scheme: A.Scheme) -> DataFrame:
     whole = whole.select("x_id", "x_hash", "place", "windows")
     mixed = repeats.stretches.filter("different > 1").select("x_id", "x_hash", "place", "windows", "gram", "anchor", "n")
     parts = scratch.save(A.with_text(repeats, mixed, scheme, "gram long, anchor int, n long"), "parts")
+    scratch.drop("wanted")
     pieces = scratch.save(A.pieces(repeats, parts, scheme, "n long"), "pieces")
+    scratch.drop("parts")
     by_piece = pieces.groupBy("gram", "piece").agg(F.count(F.lit(1)).alias("copies"), F.first("bytes").alias("bytes"), F.min(F.struct("n", "x_id", "x_hash", "place", "windows")).alias("one"))
     by_piece = scratch.save(by_piece.select("gram", "copies", "one.*", "piece", "bytes"), "by-piece")
     # Equal pieces are repeated throughout; where a whole stretch is repeated (n > 1), nothing is left to find.
