@@ -38,10 +38,12 @@ from gavelflow.llm import textkit as K
 from gavelflow.llm.scratch import Scratch
 
 NO_ID = (1 << 63) - 1
-#: Different pieces of one shard's automaton, and pieces that a task takes at a time.
-SHARD = 1_000
+#: Different pieces of one shard's automaton.
+SHARD = 200
 #: Roles of a piece in a meeting: it is matched, it joins the automaton, or both.
 STREAM, REFERENCE = 1, 2
+#: Pieces that a task takes at a time, but for the last meeting's.
+TOGETHER = 1_000
 
 
 class SuffixAutomaton:
@@ -145,7 +147,7 @@ def _matched(known: DataFrame, scratch: Scratch, window: int) -> DataFrame:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) < SHARD:
+            if sum(b.num_rows for b in held) < TOGETHER:
                 continue
             table = pa.Table.from_batches(held)
             meeting = np.asarray(table.column("meeting"))
