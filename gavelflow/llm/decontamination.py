@@ -9,8 +9,10 @@ place in the window (positional bound), which must leave room for the whole wind
 the text (length bound); then the window's words are compared one by one, so a result
 never rests on a hash.
 
-The benchmark is the stated query set. It is taken in blocks of bounded bytes, each
-broadcast once and run against all documents; a larger benchmark means more blocks.
+The benchmark is the stated query set. It is taken in blocks of bounded bytes (or of one
+item), one at a time: a block is made, broadcast and run against all documents, whose rows
+with what was found are written, and let go before the next. A larger benchmark means more
+blocks, not more memory.
 
 Defined cases: null text has no words; an item without words has no window, one without an id counts under the empty id; several
 items with the same window all count; an empty table of documents gives an empty result
@@ -30,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelflow.llm import textkit as K
+from gavelflow.llm.scratch import Scratch
 
 #: Words of a shingle, or all words of a shorter window.
 SHINGLE = 5
-#: Bytes of benchmark text in a broadcast block.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in a block: some 200,000 windows at most, about 100 MB of dictionaries.
+BLOCK_BYTES = 1 << 20
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +135,7 @@ def _rarity(docs: DataFrame, vocabulary: dict[int, np.ndarray]) -> dict[int, int
     return {r.h % (1 << 64): r.n for r in found.collect()}  # a row for each shingle of the block at most
 
 
-def _scan(docs: DataFrame, block, columns: list[str], last: bool) -> DataFrame:
+def _scan(docs: DataFrame, block, columns: list[str]) -> DataFrame:
     """Adds what a block finds to x_spans (word ranges) and x_items (ids as strings)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,17 +174,12 @@ def _scan(docs: DataFrame, block, columns: list[str], last: bool) -> DataFrame:
                 "x_spans": pa.array(spans_out, pa.list_(pa.int32())),
                 "x_items": pa.array(items_out, pa.list_(pa.string())),
             }
-            kept = [c for c in columns if not (last and c == "x_text")]
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(k)) for k, c in enumerate(columns) if c in kept], names=kept)
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(k)) for k, c in enumerate(columns)], names=columns)
 
-    schema = docs.select(*[c for c in columns if not (last and c == "x_text")]).schema
-    return docs.select(*columns).mapInArrow(scan, schema)
+    return docs.select(*columns).mapInArrow(scan, docs.select(*columns).schema)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[Windows]:
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES)
+def _blocks(items: DataFrame, blocks: int, window: int) -> Iterator[Windows]:
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         rows = part.collect()  # one block of bounded bytes
@@ -201,13 +199,22 @@ def find(docs: DataFrame, benchmark: DataFrame, carry: dict, *, text_col: str =
         F.array().cast("array<string>").alias("x_items"),
     )
     columns, source = out.columns, out
-    blocks = list(_blocks(benchmark, item_col, item_text_col, window)) or [Windows([], [], window)]
-    for k, block in enumerate(blocks):
-        seen = _rarity(source, block.vocabulary()) if block.keys else {}
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text")).distinct()
+    blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
+    scratch, held, k = Scratch(spark, "decontamination"), None, 0
+    for block in _blocks(items, blocks, window):
+        if held is not None:  # what the block before found is written before its broadcast goes
+            out = scratch.save(out, f"block{k}")
+            held.destroy()
+            if k > 1:
+                scratch.drop(f"block{k - 1}")
+        seen = _rarity(source, block.vocabulary())
         items_of = [block.of[key] for key in block.keys]
         held = spark.sparkContext.broadcast(([key.split(b" ") for key in block.keys], items_of, block.prefixes(seen)))
-        out = _scan(out, held, columns, k == len(blocks) - 1)
-    return out
+        out, k = _scan(out, held, columns), k + 1
+    if held is None:
+        out = _scan(out, spark.sparkContext.broadcast(([], [], {})), columns)
+    return out.drop("x_text")
 
 
 def _hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
