@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gavelflow.llm import decontamination, exact_dedup, near_dedup, packing, pii, substring_dedup, suffix_dedup, token_rollup, tool_calls, toxicity
 from gavelflow.llm.scratch import Scratch
@@ -47,10 +48,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over whole documents: all texts are inserted as they are, those with outer
+    blanks are revised to their trimmed counts, and those of fewer than 200 characters left are
+    deleted. The totals are those of the trimmed texts that stay."""
+    version, path = "word_bpe_49k", tokenizer_file()
+    docs = table(spark, sf_dir, "documents").select("source", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("trimmed", F.trim("text"))
+    count = lambda rows, text: token_rollup.token_counts(rows, path, version, text_col=text)
     ledger = token_rollup.TokenLedger(spark, Scratch(spark, "token-counts").root)
-    counts = token_rollup.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(), "word_bpe_49k")
-    ledger.commit("documents", token_rollup.inserted(counts))
-    ledger.commit("documents", token_rollup.inserted(counts))  # sent again, as after a failure: counts once
+    everything = token_rollup.inserted(count(docs, "text"))
+    ledger.commit("documents", everything)
+    ledger.commit("documents", everything)  # sent again, as after a failure: counts once
+    blank = docs.filter("text <> trimmed")
+    # A revision is the old count taken away and the new one added, of the same documents.
+    out, back = token_rollup.deleted(count(blank, "text")), token_rollup.inserted(count(blank, "trimmed"))
+    ledger.commit("trimmed", out.unionByName(back))
+    ledger.commit("too-short", token_rollup.deleted(count(docs.filter("length(trimmed) < 200"), "trimmed")))
+    ledger.compact()
     return ledger.totals()
 
 
