@@ -73,13 +73,13 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     offset = np.empty(len(lengths), np.int64)
     made = 0
     for i, size in enumerate(lengths.tolist()):
-        # N[g] -> N[g] - 1 and N[g - size] -> N[g - size] + 1 changes the sum by 2 (N[g - size] - N[g] + 1);
-        # a closed sequence counts for nothing.
-        change = count[: capacity - size + 1] - count[size:] + 1
-        change[0] = -count[size]
+        # Filling gap g makes N[g] one less and N[g - size] one more: 2 (N[g - size] - N[g] + 1) on the
+        # sum. A closed sequence counts for nothing: 1 - 2 N[size]. A new one: 2 N[capacity - size] + 1.
+        change = 2 * (count[: capacity - size + 1] - count[size:] + 1)
+        change[0] = 1 - 2 * count[size]
         change[count[size:] == 0] = np.iinfo(np.int64).max
         best = int(change.argmin())  # on ties the fullest
-        fresh = count[capacity - size] if size < capacity else -1
+        fresh = 2 * count[capacity - size] + 1 if size < capacity else 0
         if change[best] == np.iinfo(np.int64).max or fresh < change[best]:
             gap, place = capacity, made
             made += 1

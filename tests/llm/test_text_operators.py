@@ -2,6 +2,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from gavelflow.llm import decontamination, packing, pii, token_rollup, tokens, tool_calls, toxicity
+from gavelflow.llm import decontamination, packing, pii, queries, token_rollup, tokens, tool_calls, toxicity
 from gavelflow.llm import textkit as K
 from tests.llm.helpers import clashing, corpus, frame, prose
 
@@ -40,7 +41,7 @@ def test_contamination_matches_plain_search(spark, monkeypatch):
                     hit.update(range(k, k + n))
                     found |= windows[tuple(w[k : k + n])]
         want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    for make, block in ((frame, 16 << 20), (clashing, 60)):  # the second takes the benchmark in several blocks
+    for make, block in ((frame, 1 << 20), (clashing, 60)):  # the second takes the benchmark in several blocks
         monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
         got = decontamination.contamination(make(spark, rows), benchmark).collect()
         assert sorted([tuple(r) for r in got], key=str) == sorted(want, key=str)
@@ -102,6 +103,34 @@ def test_sum_of_squares_rule():
     assert sequence.max() + 1 <= 1.05 * sizes.sum() / 2048
 
 
+def plain_sum_of_squares(sizes, capacity):
+    """Tries every open sequence and a new one; the fullest on ties, an open one before a new one."""
+    gaps, out = [], []
+    square = lambda g: sum(n * n for x, n in Counter(g).items() if x)
+    for size in sizes:
+        tried = {}
+        for g in sorted({x for x in gaps if x >= size}):
+            k = gaps.index(g)
+            tried[(square([*gaps[:k], g - size, *gaps[k + 1 :]]), g)] = k
+        best = min(tried) if tried else None
+        if best is None or square([*gaps, capacity - size]) < best[0]:
+            out.append(capacity)
+            gaps.append(capacity - size)
+        else:
+            out.append(best[1])
+            gaps[tried[best]] -= size
+    return out
+
+
+def test_sum_of_squares_equals_brute_force():
+    r = np.random.default_rng(7)
+    for _ in range(1_000):
+        capacity = int(r.integers(2, 14))
+        sizes = r.integers(1, capacity + 1, r.integers(1, 25))
+        _, offset = packing.sum_of_squares(sizes, capacity)
+        assert (capacity - offset).tolist() == plain_sum_of_squares(sizes.tolist(), capacity)
+
+
 def test_rollups_are_additive_and_idempotent(spark, tmp_path):
     rows = corpus()
     docs = clashing(spark, rows).withColumnRenamed("gram", "lang").withColumnRenamed("bucket", "source")
@@ -119,7 +148,30 @@ def test_rollups_are_additive_and_idempotent(spark, tmp_path):
     ledger.commit("c", token_rollup.deleted(counts))
     assert tuple(ledger.totals().select("n_docs", "n_tokens").first()) == (0, 5)
     ledger.commit("d", token_rollup.inserted(counts.limit(0)))
-    assert ledger.compact(str(tmp_path / "folded")).count() == 1
+    assert ledger.compact() and tuple(ledger.totals().select("n_docs", "n_tokens").first()) == (0, 5)
+    assert ledger.commit("e", token_rollup.inserted(counts)) and not ledger.commit("a", token_rollup.inserted(counts))
+    assert tuple(ledger.totals().select("n_docs", "n_tokens").first()) == (len(rows), sum(each) + 5)
+    assert ledger.compact() and tuple(ledger.totals().select("n_docs", "n_tokens").first()) == (len(rows), sum(each) + 5)
+
+
+def test_concurrent_commits_of_one_batch_count_once(spark, tmp_path):
+    counts = spark.createDataFrame([("s", "en", "v", 3)], "source string, lang string, tokenizer string, tokens long")
+    ledgers = [token_rollup.TokenLedger(spark, str(tmp_path / "ledger")) for _ in range(4)]
+    for x in ledgers:
+        x.is_committed = lambda _: False  # as if each had looked before any had committed
+    with ThreadPoolExecutor(4) as pool:
+        new = list(pool.map(lambda x: x.commit("a", token_rollup.inserted(counts)), ledgers))
+    assert sum(new) >= 1 and tuple(ledgers[0].totals().select("n_docs", "n_tokens").first()) == (1, 3)
+    assert not ledgers[0].commit("a", token_rollup.inserted(counts))
+
+
+def test_token_query_equals_a_direct_count(spark, tmp_path):
+    library = Tokenizer.from_file(PATH)
+    rows = [(k, t) for k, (_, t) in enumerate(corpus())] + [(100, "  " + prose(3, 60) + " "), (101, None), (102, " " + prose(4, 3))]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = [(t or "").strip(" ") for _, t in rows if len((t or "").strip(" ")) >= 200]
+    got = queries.op8_token_counts(spark, str(tmp_path)).collect()
+    assert [(r.n_docs, r.n_tokens) for r in got] == [(len(kept), sum(len(library.encode(t, add_special_tokens=False).ids) for t in kept))]
 
 
 def test_tool_calls(spark):
