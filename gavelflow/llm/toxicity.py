@@ -11,9 +11,9 @@ The index is block-max: examples that share their heaviest terms stand together
 and each term keeps its largest weight in a block. The sum of a text's weights times these
 maxima bounds its cosine with any example of the block. Blocks are opened from the highest
 bound down, until no bound reaches the k-th cosine found. Bounds rule out little where they
-rest on everyday words alone, so for texts without a marked term, and where too many blocks
-stay open, the postings of all examples are summed instead. Both ways give the same
-neighbours: the k nearest and all that tie with the last. Examples with equal vectors are one entry, which
+rest on everyday words, so for texts whose vector is not mostly marked terms, and where too
+many blocks stay open, the postings of all examples are summed instead. Both ways give the
+same neighbours: the k nearest and all that tie with the last. Examples with equal vectors are one entry, which
 votes with the toxic share of its labels, by the fourth power of its cosine over that of
 the nearest entry. Words that no example holds lengthen a text's vector, but change neither
 the order of its neighbours nor the ratios of their cosines, so they don't enter.
@@ -186,7 +186,7 @@ class Index:
             opens[1:] = (term[1:] != term[:-1]) | (own[1:] != own[:-1])
             lead = np.flatnonzero(opens)
             term, own, weight = term[lead], own[lead], fold.reduceat(weight, lead)
-        return dense, (np.searchsorted(term, np.arange(len(self.scale) + 1)), own.astype(np.int32), weight)
+        return dense, (np.searchsorted(term, np.arange(len(self.scale) + 1)), own.astype(np.int64), weight)
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.scale[terms]
@@ -197,17 +197,18 @@ class Index:
         first, own, weight = sparse
         owners, rows = dense.shape[1], len(queries)
         often = np.zeros((rows, len(dense)), np.float32)
-        keys, values = [], []
+        out = np.empty((rows, owners))
         for q, (terms, weights) in enumerate(queries):
             on = self.place[terms] >= 0
             often[q, self.place[terms[on]]] = weights[on]
-            lo = first[terms[~on]]
-            counts = first[terms[~on] + 1] - lo
-            where = K.gathered(counts, lo)
-            keys.append(own[where].astype(np.int64) + q * owners)
-            values.append(weight[where] * np.repeat(weights[~on], counts))
-        out = np.bincount(np.concatenate(keys), weights=np.concatenate(values), minlength=rows * owners).reshape(rows, owners)
-        return out + often @ dense
+            lo, hi = first[terms[~on]], first[terms[~on] + 1]
+            spans = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            if not spans:
+                out[q] = 0
+                continue
+            out[q] = np.bincount(np.concatenate([own[x] for x in spans]), weights=np.concatenate([weight[x] for x in spans]) * np.repeat(weights[~on], hi - lo), minlength=owners)
+        out += often @ dense
+        return out
 
     def _opened(self, blocks: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(entries, cosines) of whole blocks. query: the weight of every term."""
@@ -225,8 +226,8 @@ class Index:
         asked = [q for q, (terms, _) in enumerate(queries) if len(terms) and self.size]
         if not asked:
             return out
-        whole = [q for q in asked if not self.marked[queries[q][0]].any()]
-        asked = [q for q in asked if self.marked[queries[q][0]].any()]
+        telling = [q for q in asked if (queries[q][1][self.marked[queries[q][0]]] ** 2).sum() >= 0.5]
+        whole, asked = [q for q in asked if q not in telling], telling
         bounds = self._sums([queries[q] for q in asked], self.dense_max, self.sparse_max) + 1e-5 if asked else []
         query = np.zeros(len(self.scale), np.float32)
         for bound, q in zip(bounds, asked, strict=True):
@@ -255,9 +256,14 @@ class Index:
                 out[q] = self._nearest(np.arange(self.size), near, k)
         return out
 
-    @staticmethod
-    def _nearest(entry: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        least = -np.partition(-near, k - 1)[k - 1] if len(near) > k else 0.0
+    def _nearest(self, entry: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(near) > 8 * k:
+            # The k-th largest of some maxima is no more than the k-th of all.
+            cut = len(near) // (4 * k)
+            tops = near[: len(near) // cut * cut].reshape(-1, cut).max(axis=1)
+            some = np.flatnonzero(near >= np.partition(tops, len(tops) - k)[len(tops) - k] - 1e-6)
+            entry, near = entry[some], near[some]
+        least = np.partition(near, len(near) - k)[len(near) - k] if len(near) > k else 0.0
         some = np.flatnonzero((near >= least - 1e-6) & (near > 0))
         return entry[some], near[some]
 
