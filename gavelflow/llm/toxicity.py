@@ -366,36 +366,13 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
                     yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.full(len(term), stem)), pa.array(n), pa.array(t)], names=["term", "stem", "n", "t"])
 
     tally = worded.mapInArrow(tallies, "term long, stem boolean, n double, t double")
-    tally = tally.groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).filter(F.col("n") >= LEAST_EXAMPLES)
-    tally = tally.withColumn("off", _deviance(F.col("n"), F.col("t"), size, toxic)).filter(F.col("off") >= LEAST_DEVIANCE)
-    marks = tally.orderBy(F.desc("off"), "term").limit(terms).select("term", "stem").toArrow()
+    tally = scratch.save(tally.groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "tally")
+    telling = tally.filter(F.col("n") >= LEAST_EXAMPLES).withColumn("off", _deviance(F.col("n"), F.col("t"), size, toxic)).filter(F.col("off") >= LEAST_DEVIANCE)
+    marks = telling.orderBy(F.desc("off"), "term").limit(terms).select("term", "stem").toArrow()
     mark, is_stem = marks.column(0).to_numpy().view(np.uint64), marks.column(1).to_numpy()
-    stems_known = spark.sparkContext.broadcast(np.sort(mark[is_stem]))
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The words of each entry, and its marked stems, with their counts."""
-        for batch in batches:
-            for lo, hi, raw, offsets in _sliced(*K.text_bytes(batch.column(2))):
-                row, h, stems = word_terms(raw, offsets)
-                known = [np.flatnonzero(_found(stems_known.value, s)[1]) for _, s in stems]
-                out = []
-                for rows, hashes in ((row, h), (np.concatenate([r[k] for (r, _), k in zip(stems, known, strict=True)]), np.concatenate([s[k] for (_, s), k in zip(stems, known, strict=True)]))):
-                    rows, hashes, count = counted(rows, hashes)
-                    cuts = np.searchsorted(rows, np.arange(hi - lo + 1)).tolist()
-                    for values in (hashes, count.astype(np.int32)):
-                        out.append(pa.array([values[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()))
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), *out, part.column(1)], names=["key", "terms", "counts", "stems", "stem_counts", "share"])
-
-    held = worded.mapInArrow(listed, "key binary, terms binary, counts binary, stems binary, stem_counts binary, share double").toArrow().sort_by("key")
-    lists = []
-    for name, kind in (("terms", np.uint64), ("counts", np.int32), ("stems", np.uint64), ("stem_counts", np.int32)):
-        data, at = K.text_bytes_of_binary(held.column(name))
-        lists.append((np.frombuffer(data.tobytes(), kind), np.diff(at) // np.dtype(kind).itemsize))
-    (words, n_words), (counts, _), (stems, n_stems), (stem_counts, _) = lists
-    share = held.column("share").to_numpy()
-    del held, lists
+    words = tally.filter("NOT stem").select("term").toArrow().column(0).to_numpy().view(np.uint64)
     vocabulary = Vocabulary(np.unique(np.concatenate([words, mark[is_stem]])), mark[is_stem])
+    scratch.drop("tally")
     spread = spark.sparkContext.broadcast(vocabulary)
 
     def of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,16 +394,24 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     marked[_found(vocabulary.hashes, mark)[0]] = True
     scale[marked] *= MARKED
 
-    # Each entry's terms: its words, and the marked ones of its stems.
-    entry = np.arange(len(share), dtype=np.int32)
-    row = np.concatenate([np.repeat(entry, n_words), np.repeat(entry, n_stems)])
-    term = np.concatenate([_found(vocabulary.hashes, h)[0].astype(np.int32) for h in (words, stems)])
-    count = np.concatenate([counts, stem_counts])
-    del words, counts
-    by = np.lexsort((term, row)).astype(np.int32)
-    first = np.searchsorted(row[by], np.arange(len(share) + 1))
-    del row
-    term, count = term[by], count[by]
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each entry's terms - its words, and the marked ones of its stems - with their counts."""
+        for batch in batches:
+            for lo, hi, raw, offsets in _sliced(*K.text_bytes(batch.column(2))):
+                row, term, count = spread.value.of(raw, offsets)
+                cuts = np.searchsorted(row, np.arange(hi - lo + 1)).tolist()
+                lists = [pa.array([x[a:b].astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()) for x in (term, count)]
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists, part.column(1)], names=["key", "terms", "counts", "share"])
+
+    # Some six bytes for each word of the examples; in the order of a digest.
+    held = worded.mapInArrow(listed, "key binary, terms binary, counts binary, share double").toArrow().sort_by("key")
+    spread.unpersist()
+    data, at = K.text_bytes_of_binary(held.column("terms"))
+    term, first = np.frombuffer(data, np.int32), at // 4
+    count = np.frombuffer(K.text_bytes_of_binary(held.column("counts"))[0], np.int32)
+    share = held.column("share").to_numpy()
+    del held
     if not len(count) or count.max() < 1 << 16:
         count = count.astype(np.uint16)
     empty = made.filter("NOT worded").agg(F.sum("n"), F.sum(F.col("n") * F.col("share"))).first()
