@@ -147,24 +147,31 @@ class Index:
     def __init__(self, scale: np.ndarray, first: np.ndarray, term: np.ndarray, count: np.ndarray, share: np.ndarray, marked: np.ndarray, block: int = BLOCK):
         size = len(share)
         self.marked = marked
-        entry = np.repeat(np.arange(size, dtype=np.int32), np.diff(first))
-        weight = ((1 + np.log(count)) * scale[term]).astype(np.float32)
-        weight /= np.sqrt(np.bincount(entry, weights=weight.astype(np.float64) ** 2, minlength=size)).astype(np.float32)[entry]
-        # Entries stand by their heaviest terms, so that blocks hold alike ones.
-        heavy = np.lexsort((-weight, entry))
-        lead = term[heavy[first[:-1]]] if size else first[:0]
-        second = term[heavy[np.minimum(first[:-1] + 1, first[1:] - 1)]] if size else first[:0]
+        # Temporary arrays of one entry for each word of the examples are let go one by one.
+        sizes = np.diff(first)
+        weight = np.log(count, dtype=np.float32)
+        weight += 1
+        weight *= scale.astype(np.float32)[term]
+        norm, top = np.zeros(size, np.float32), np.zeros(size, np.float32)
+        if len(weight):
+            some = np.flatnonzero(sizes)
+            norm[some] = np.sqrt(np.add.reduceat(weight * weight, first[:-1][some], dtype=np.float64))
+            top[some] = np.maximum.reduceat(weight, first[:-1][some])
+        # Entries stand by their heaviest term, so that blocks hold alike ones.
+        heavy = np.flatnonzero(weight == np.repeat(top, sizes))
+        lead = term[heavy[np.minimum(np.searchsorted(heavy, first[:-1]), max(len(heavy) - 1, 0))]] if len(heavy) else np.zeros(size, np.int32)
+        weight /= np.repeat(norm, sizes)
         del heavy
-        order = np.lexsort((second, lead))
-        sizes = np.diff(first)[order]
-        where = K.gathered(sizes, first[:-1][order])
+        order = np.argsort(lead, kind="stable")
+        where = K.gathered(sizes[order], first[:-1][order])
         self.order = order  # the place of each entry before
         self.share, self.scale, self.size = share[order], scale, size
+        sizes = sizes[order]
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         self.term, self.weight = term[where].astype(np.int32), weight[where]
         del where, weight
         entry = np.repeat(np.arange(size, dtype=np.int32), sizes)
-        held = np.bincount(term, minlength=len(scale))
+        held = np.bincount(self.term, minlength=len(scale))
         often = np.argsort(-held, kind="stable")[:FREQUENT]
         often = often[held[often] > size // 64]
         self.place = np.full(len(scale), -1, np.int32)
@@ -178,15 +185,17 @@ class Index:
         at = self.place[self.term] >= 0
         dense = np.zeros((often, owners), np.float32)
         np.maximum.at(dense, (self.place[self.term[at]], owner[at]), self.weight[at])
-        term, own, weight = self.term[~at], owner[~at], self.weight[~at]
-        by = np.lexsort((own, term))
-        term, own, weight = term[by], own[by], weight[by]
+        rest = np.flatnonzero(~at)
+        rest = rest[np.argsort(self.term[rest], kind="stable")]  # owners ascend already
+        del at
+        term, own, weight = self.term[rest], owner[rest].astype(np.int32), self.weight[rest]
+        del rest
         if fold is not None and len(term):
             opens = np.ones(len(term), bool)
             opens[1:] = (term[1:] != term[:-1]) | (own[1:] != own[:-1])
             lead = np.flatnonzero(opens)
             term, own, weight = term[lead], own[lead], fold.reduceat(weight, lead)
-        return dense, (np.searchsorted(term, np.arange(len(self.scale) + 1)), own.astype(np.int64), weight)
+        return dense, (np.searchsorted(term, np.arange(len(self.scale) + 1)).astype(np.int32), own, weight)
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.scale[terms]
@@ -307,7 +316,9 @@ class Model:
 
     @cached_property
     def index(self) -> Index:
-        return Index(self.scale, self.first, self.term, self.count, self.share, self.marked)
+        made = Index(self.scale, self.first, self.term, self.count, self.share, self.marked)
+        self.term = self.count = None  # the index has its own
+        return made
 
 
 Curve = tuple[np.ndarray, np.ndarray]
