@@ -50,6 +50,19 @@ def sync_window(df: DataFrame, now: Column, bootstrap_days: int = 7, overlap_day
     return df.withColumns({"mode": mode, "from_at": F.timestamp_micros(start), "to_at": F.timestamp_micros(stop)})
 
 
+def catch_up_windows(df: DataFrame, now: Column, bootstrap_days: int = 7, overlap_days: int = 2, most_days: int = 14) -> DataFrame:
+    """A row for each window of sync_window() until the last one reaches now: step, from_at, to_at.
+    Each window starts ``overlap_days`` before the end of the one before."""
+    if not 0 < overlap_days < most_days:
+        raise ValueError("windows must move forward")
+    rows = sync_window(df, now, bootstrap_days, overlap_days, most_days)
+    stride, at, start = (most_days - overlap_days) * DAY, F.unix_micros(now), F.unix_micros("from_at")
+    more = F.greatest(F.lit(0), F.ceil((at - F.unix_micros("to_at")) / stride)).cast("int")
+    rows = rows.withColumn("step", F.explode(F.sequence(F.lit(0), more)))
+    begins = start + F.col("step") * F.lit(stride)
+    return rows.withColumns({"x_from": begins, "x_to": F.least(at, begins + most_days * DAY)}).withColumns({"from_at": F.timestamp_micros("x_from"), "to_at": F.timestamp_micros(F.when(F.col("mode") == "bootstrap", at).otherwise(F.col("x_to")))}).drop("x_from", "x_to")
+
+
 def closing_candidates(auctions: DataFrame, now: Column, minutes: int = 30, limit: int = 500) -> DataFrame:
     """Open auctions with a numeric id that end within the minutes: those still ahead by
     their end, then the overdue by their last check. limit is a top-k report."""

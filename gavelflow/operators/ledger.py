@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavelflow.functions.cadence import catch_up_windows
 from gavelflow.functions.deals import outcome_status
 from gavelflow.operators.history import last_write_wins
 
@@ -91,6 +92,18 @@ def refresh_corpus(previous: DataFrame, discovery: DataFrame, refreshed_before:
     return merge_corpus(previous, discovery, F.lit(now).cast("timestamp"), retention_days, key)
 
 
+def incremental_sync(ledger: DataFrame, source: DataFrame, cursor: DataFrame, now: Column, *, overlap_days: int = 2, most_days: int = 14) -> DataFrame:
+    """ledger after all windows from the cursor to now are read again from the source and merged.
+
+    cursor: one row, covered_through. Windows overlap and merging is idempotent, so they are
+    read as one range; what a run repeats changes nothing. Key: source_key, external_id."""
+    windows = catch_up_windows(cursor, now, overlap_days=overlap_days, most_days=most_days)
+    reach = windows.agg(F.min("from_at").alias("x_from"), F.max("to_at").alias("x_to"))  # one row
+    rows = source.crossJoin(F.broadcast(reach)).filter("ended_at >= x_from AND ended_at < x_to").drop("x_from", "x_to")
+    last = last_write_wins(rows, ["source_key", "external_id"], [F.desc("observed_at"), F.desc("closed_high_bid_cents"), F.desc("part_id"), F.desc("supplier_id")])
+    return upsert_comparables(ledger, last)
+
+
 def append_observations(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """What to append: observations that differ from the auction's last state, one a time."""
     last = last_write_wins(current, ["auction_id"], [F.desc("observed_at")]).select("auction_id", *[F.col(c).alias(f"x_{c}") for c in ("bid_cents", "bidders", "status", "ends_at")], F.lit(True).alias("x_seen"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavelflow.operators import history, ledger
 from gavelflow.plans.bindings import ctes, view
 from gavelflow.sources import payloads
 from gavelflow.sources.generations import Generations
@@ -12,15 +13,73 @@ from gavelflow.sources.scratch import scratch_folder
 from gavelflow.streaming import bids
 
 
+FILES = 8
+
+
+def _landed(rows: DataFrame, root: str, at: str = "observed_at") -> str:
+    """The rows as files that land one after another in the order of time; the third lands
+    again after the others, as a replay of late rows."""
+    cuts = rows.agg(F.percentile_approx(F.unix_micros(at), [k / FILES for k in range(1, FILES)]).alias("c")).first().c or []
+    edges = [None, *sorted(set(cuts)), None]
+    spans = list(zip(edges, edges[1:], strict=False))
+    for lo, hi in [*spans, *spans[2:3]]:
+        inside = F.lit(True)
+        if lo is not None:
+            inside = inside & (F.unix_micros(at) >= lo)
+        if hi is not None:
+            inside = inside & (F.unix_micros(at) < hi)
+        rows.filter(inside).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    return f"{root}/landed"
+
+
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream's table, after all events have landed as files in the order of time."""
+    """The stream's table, file by file: a micro-batch each, and one of replays."""
     root = scratch_folder(spark, "bids")
     events = view(spark, sf_dir, "bid_observations").select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in bids.EVENTS.split(", ")])
-    events.repartition(8, "auction_id").write.parquet(f"{root}/landed")
-    bids.run_to_table(bids.stream_change_points(bids.read_events(spark, f"{root}/landed", 100_000)), f"{root}/changes", f"{root}/checkpoint")
+    bids.run_to_table(bids.stream_change_points(bids.read_events(spark, _landed(events, root), 1), "400 days"), f"{root}/changes", f"{root}/checkpoint")
     return spark.read.schema(bids.CHANGES).parquet(f"{root}/changes")
 
 
+def _live(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(_landed(rows, root, "last_checked_at"))
+
+
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    auctions, vehicles = view(spark, sf_dir, "live_auctions"), view(spark, sf_dir, "order_vehicles")
+    old = ledger.closed_rows(auctions.filter("auction_id % 4 = 0"), vehicles, F.col("ends_at"), F.col("ends_at")).withColumn("award_status", F.lit("confirmed"))
+    root = scratch_folder(spark, "ledger")
+    out = bids.stream_ledger(_live(spark, view(spark, sf_dir, "live_checks"), root), auctions, vehicles, old, root)
+    return out.select("external_id", "closed_high_bid_cents", "award_status", F.unix_micros("outcome_observed_at").alias("observed_us"))
+
+
+def stream_reprice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gavelflow.plans import live_queries as Q
+
+    board = Q._identified(view(spark, sf_dir, "open_lots").drop("n")).withColumn("last_checked_at", F.lit("2020-01-01 00:00:00").cast("timestamp"))
+    live = view(spark, sf_dir, "bid_observations").select(F.col("auction_id").cast("string").alias("id"), F.col("bid_cents").alias("current_bid_cents"), F.col("bidders").alias("bidder_count"), "status", "ends_at", F.col("observed_at").alias("last_checked_at"))
+    root = scratch_folder(spark, "reprice")
+    bids.stream_reprice(_live(spark, live, root), board, *Q._evidence(spark, sf_dir), F.lit("2024-01-31 00:00:00").cast("timestamp"), root)
+    rows = spark.read.parquet(f"{root}/assessed")
+    return history.last_write_wins(rows, ["id"], [F.desc("batch")]).select("id", "lot_status", "current_bid_cents", "forecast_expected", "status", "score", "tier")
+
+
+def stream_close_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phases that auctions enter by the clock; those without an end are left out."""
+    root = scratch_folder(spark, "timers")
+    events = view(spark, sf_dir, "bid_observations").select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in bids.EVENTS.split(", ")])
+    timed = bids.stream_close_timers(bids.read_events(spark, _landed(events, root), 1), "400 days")
+    bids.run_to_table(timed, f"{root}/phases", f"{root}/checkpoint")
+    return spark.read.schema(bids.TIMED).parquet(f"{root}/phases").select("auction_id", "phase", F.unix_micros("at").alias("at_us"))
+
+
+def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = view(spark, sf_dir, "comp_updates")
+    old = history.last_write_wins(rows.filter("observed_at < TIMESTAMP '1998-01-01 00:00:00'"), ["source_key", "external_id"], [F.desc("observed_at"), F.desc("closed_high_bid_cents"), F.desc("part_id"), F.desc("supplier_id")])
+    cursor = spark.range(1).select(F.lit("1997-12-20 00:00:00").cast("timestamp").alias("covered_through"))
+    out = ledger.incremental_sync(old, rows, cursor, F.lit("1999-01-01 00:00:00").cast("timestamp"))
+    return out.select("external_id", "closed_high_bid_cents", "part_id")
+
+
 def stream_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _changes(spark, sf_dir).select("event_id", "auction_id", "bid_cents", "status")
 
@@ -59,7 +118,7 @@ def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(award | bid).select("auction_id", F.when(award, "award").otherwise("high-bid").alias("basis"), "closed_high_bid_cents")
 
 
-QUERIES = {f.__name__: f for f in (stream_change_points, stream_extensions, assemble_catalog, pick_source, publish_and_read, ledger_view)}
+QUERIES = {f.__name__: f for f in (stream_change_points, stream_extensions, stream_ledger, stream_reprice, stream_close_timers, incremental_sync, assemble_catalog, pick_source, publish_and_read, ledger_view)}
 
 ORDER = "OVER (PARTITION BY auction_id ORDER BY observed_at, event_id)"
 ORACLE_SQL = {
@@ -67,6 +126,18 @@ ORACLE_SQL = {
         QUALIFY lag(1) {ORDER} IS NULL OR bid_cents IS DISTINCT FROM lag(bid_cents) {ORDER} OR bidders IS DISTINCT FROM lag(bidders) {ORDER} OR status IS DISTINCT FROM lag(status) {ORDER} OR ends_at IS DISTINCT FROM lag(ends_at) {ORDER}""",
     "stream_extensions": f"""{ctes('bid_observations')}, m AS (SELECT *, coalesce((ends_at > lag(ends_at) {ORDER})::INT, 0) AS moved FROM bid_observations)
         SELECT auction_id, sum(moved)::INT AS extensions, epoch_us(max(ends_at)) AS ends_us FROM m GROUP BY auction_id""",
+    "stream_ledger": f"""{ctes('live_auctions', 'live_checks', 'order_vehicles')},
+        d AS (SELECT * FROM live_checks QUALIFY row_number() OVER (PARTITION BY auction_id, last_checked_at ORDER BY current_bid_cents DESC NULLS LAST, status, ends_at DESC) = 1),
+        n AS (SELECT a.external_id, CASE WHEN d.last_checked_at > a.last_checked_at THEN d.current_bid_cents ELSE a.current_bid_cents END AS closed_high_bid_cents, 'unknown' AS award_status, epoch_us(d.last_checked_at) AS observed_us
+            FROM d JOIN live_auctions a USING (auction_id) JOIN order_vehicles USING (auction_id)
+            WHERE d.status = 'ended' AND d.current_bid_cents IS NOT NULL AND CASE WHEN d.last_checked_at > a.last_checked_at THEN true ELSE d.last_checked_at = a.last_checked_at AND a.status = 'sold' AND a.current_bid_cents IS NOT NULL END QUALIFY row_number() OVER (PARTITION BY a.external_id ORDER BY d.last_checked_at DESC) = 1),
+        o AS (SELECT external_id, current_bid_cents AS closed_high_bid_cents, 'confirmed' AS award_status, epoch_us(ends_at) AS observed_us FROM live_auctions JOIN order_vehicles USING (auction_id) WHERE auction_id % 4 = 0 AND current_bid_cents IS NOT NULL),
+        k AS (SELECT external_id FROM live_auctions JOIN order_vehicles USING (auction_id))
+        SELECT * FROM n UNION ALL SELECT * FROM o WHERE external_id NOT IN (SELECT external_id FROM n)""",
+    "incremental_sync": f"""{ctes('comp_updates')}, o AS (SELECT * FROM comp_updates WHERE observed_at < TIMESTAMP '1998-01-01 00:00:00' QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY observed_at DESC, closed_high_bid_cents DESC, part_id DESC, supplier_id DESC) = 1),
+        n AS (SELECT * FROM comp_updates WHERE ended_at >= TIMESTAMP '1997-12-18 00:00:00' AND ended_at < TIMESTAMP '1999-01-01 00:00:00' QUALIFY row_number() OVER (PARTITION BY external_id ORDER BY observed_at DESC, closed_high_bid_cents DESC, part_id DESC, supplier_id DESC) = 1)
+        SELECT coalesce(n.external_id, o.external_id) AS external_id, CASE WHEN o.external_id IS NULL OR n.observed_at >= o.observed_at THEN n.closed_high_bid_cents ELSE o.closed_high_bid_cents END AS closed_high_bid_cents,
+            CASE WHEN o.external_id IS NULL OR n.observed_at >= o.observed_at THEN n.part_id ELSE o.part_id END AS part_id FROM o FULL JOIN n ON o.external_id = n.external_id""",
     "assemble_catalog": """WITH p AS (SELECT l_suppkey AS snapshot_id, l_linenumber AS page, l_orderkey AS pos, l_partkey AS id, max(500 + (l_suppkey % 3 = 0)::INT * (l_linenumber % 2)) AS total, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL),
         t AS (SELECT snapshot_id, count(DISTINCT total) = 1 AND max(total) = count(DISTINCT id) AS complete FROM p GROUP BY snapshot_id)
         SELECT snapshot_id, id, price, complete FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY snapshot_id, id ORDER BY page DESC, pos DESC) = 1) JOIN t USING (snapshot_id)""",

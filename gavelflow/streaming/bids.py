@@ -1,9 +1,14 @@
 """The bid stream.
 
-bid_events: auction_id, observed_at, bid_cents, bidders, status, ends_at. One stateful
-processor keeps, for each auction, the last state, its latest end and how often that
-moved; rows that are not newer than the state are replays and change nothing. State goes
-when the auction reaches a terminal status and stays so, or after a day of silence.
+bid_events: auction_id, observed_at, bid_cents, bidders, status, ends_at, event_id. One
+stateful processor keeps, for each auction, the last state, its latest end and how often
+that moved; rows that are not newer than the state are replays and change nothing. Another
+keeps timers on the end of auctions that reach no terminal status. State goes after a day
+of silence, or when its last timer has run. A micro-batch is bounded by files a trigger, so
+what one auction brings at once is, too.
+
+Batch folds write what a micro-batch changes under its number, and overwrite it when the
+batch is sent again; what holds is read as the newest row of each key.
 """
 
 from __future__ import annotations
@@ -16,6 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gavelflow.functions.cadence import GRACE, TERMINAL
+from gavelflow.operators import ledger as L
+from gavelflow.operators.history import last_write_wins
+from gavelflow.operators.opportunities import reprice_live
 
 EVENTS = "auction_id long, observed_at timestamp, bid_cents long, bidders int, status string, ends_at timestamp, event_id long"
 CHANGES = f"{EVENTS}, extension_count int, effective_ends_at timestamp"
@@ -23,6 +31,9 @@ STATE = "observed_us long, bid_cents long, bidders int, status string, ends_us l
 SILENCE_MS = 24 * 3_600_000
 
 
+FIELDS = ["bid_cents", "bidders", "status", "ends_at"]
+
+
 def _micros(t) -> int | None:
     return None if pd.isna(t) else int(pd.Timestamp(t).value // 1000)
 
@@ -38,27 +49,75 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         return
     last = state.get if state.exists else None
     rows = pd.concat(list(batches)).sort_values(["observed_at", "event_id"], kind="stable")
-    out = []
-    for r in rows.itertuples(index=False):
-        at, end = _micros(r.observed_at), _micros(r.ends_at)
-        told = (_whole(r.bid_cents), _whole(r.bidders), None if pd.isna(r.status) else r.status, end)
-        if last is not None and at <= last[0]:
-            continue
-        extensions, latest = (last[5], last[6]) if last else (0, None)
-        if last is not None and end is not None and last[4] is not None and end > last[4]:
-            extensions += 1
-        latest = end if latest is None else max(latest, end) if end is not None else latest
-        if last is None or told != tuple(last[1:5]):
-            out.append((r, extensions, latest))
-        last = (at, *told, extensions, latest)
-    if last is not None:
-        state.update(last)
-        state.setTimeoutTimestamp(max(last[0] // 1000, state.getCurrentWatermarkMs()) + SILENCE_MS)
+    if last:
+        rows = rows[rows["observed_at"] > pd.Timestamp(last[0], unit="us")]
+    rows = rows.drop_duplicates("observed_at")
+    if not len(rows):
+        return
+    before = rows[FIELDS].shift(1)
+    if last:
+        first = [last[1], last[2], last[3], pd.NaT if last[4] is None else pd.Timestamp(last[4], unit="us")]
+        for field, value in zip(FIELDS, first, strict=True):
+            before[field] = before[field].astype(object)
+            before.iloc[0, before.columns.get_loc(field)] = value
+    same = pd.Series(True, index=rows.index)
+    for field in FIELDS:
+        same &= (rows[field].isna() & before[field].isna()) | (rows[field] == before[field]).fillna(False).astype(bool)
+    if not last:
+        same.iloc[0] = False
+    moved = (rows["ends_at"] > pd.to_datetime(before["ends_at"])).cumsum() + (last[5] if last else 0)
+    latest = rows["ends_at"].cummax().ffill()
+    if last and last[6] is not None:
+        latest = latest.fillna(pd.Timestamp(0)).clip(lower=pd.Timestamp(last[6], unit="us"))
+    end = rows.iloc[-1]
+    told = (_micros(end["observed_at"]), _whole(end["bid_cents"]), _whole(end["bidders"]), None if pd.isna(end["status"]) else end["status"], _micros(end["ends_at"]), int(moved.iloc[-1]), _micros(latest.iloc[-1]))
+    state.update(told)
+    state.setTimeoutTimestamp(max(told[0] // 1000, state.getCurrentWatermarkMs()) + SILENCE_MS)
+    out = rows.assign(extension_count=moved.astype("int32"), effective_ends_at=latest)[~same]
+    if len(out):
+        yield out
+
+
+TIMED = "auction_id long, phase string, at timestamp"
+#: What an auction without terminal status enters, and how long after its end.
+TIMERS = [("grace", 0), ("reconciliation", GRACE), ("stale", 86_400_000_000)]
+
+
+def _clock(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Emits a row for each phase that an auction enters by the clock, and for its terminal status."""
+    end, done = state.get if state.exists else (None, 0)
+    out: list[tuple] = []
+    if not state.hasTimedOut:
+        rows = pd.concat(list(batches)).sort_values(["observed_at", "event_id"], kind="stable")
+        final = rows[rows["status"].isin(TERMINAL)]
+        latest = _micros(rows["ends_at"].max())
+        if latest is not None and (end is None or latest > end):
+            end, done = latest, 0  # extended: its phases start anew
+        if len(final):
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame([(key[0], "terminal", final["observed_at"].iloc[0])], columns=["auction_id", "phase", "at"])
+            return
+        if end is None:
+            return
+    now = state.getCurrentWatermarkMs() * 1000
+    while done < len(TIMERS) and end + TIMERS[done][1] <= now:
+        out.append((key[0], TIMERS[done][0], pd.Timestamp(end + TIMERS[done][1], unit="us")))
+        done += 1
+    if done < len(TIMERS):
+        state.update((end, done))
+        state.setTimeoutTimestamp(max((end + TIMERS[done][1]) // 1000, now // 1000 + 1))
+    elif state.exists:
+        state.remove()
     if out:
-        frame = pd.DataFrame([tuple(r) for r, _, _ in out], columns=rows.columns)
-        frame["extension_count"] = [e for _, e, _ in out]
-        frame["effective_ends_at"] = pd.to_datetime([t for _, _, t in out], unit="us")
-        yield frame
+        yield pd.DataFrame(out, columns=["auction_id", "phase", "at"])
+
+
+def stream_close_timers(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Streaming: auction_id, phase, at, by event time: an auction that no terminal status
+    reaches passes from grace to reconciliation to stale as the watermark passes its end."""
+    rows = events.select(*[c.split()[0] for c in EVENTS.split(", ")]).withWatermark("observed_at", delay)
+    return rows.groupBy("auction_id").applyInPandasWithState(_clock, TIMED, "ends_us long, done int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_change_points(events: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -94,3 +153,56 @@ def run_to_table(changes: DataFrame, table: str, checkpoint: str) -> None:
 def run_batches(events: DataFrame, fold, checkpoint: str) -> None:
     """fold(batch, batch_id) on all that has landed, batch by batch."""
     events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def _batches(spark: SparkSession, folder: str, before: int | None, schema) -> DataFrame:
+    """What earlier batches wrote, with the batch as ``batch``."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+    rows = spark.read.schema(schema.add("batch", "integer") if "batch" not in schema.fieldNames() else schema).parquet(folder)
+    return rows if before is None else rows.filter(F.col("batch") < before)
+
+
+def with_changes(base: DataFrame, folder: str, keys: list[str], before: int | None = None) -> DataFrame:
+    """base with each key's row of the newest batch under the folder, up to batch ``before``."""
+    schema = type(base.schema)(list(base.schema.fields))
+    changed = last_write_wins(_batches(base.sparkSession, folder, before, schema), keys, [F.desc("batch")]).drop("batch")
+    return base.join(changed.select(*keys), keys, "left_anti").select(*base.columns).unionByName(changed.select(*base.columns))
+
+
+def stream_reprice(live: DataFrame, board: DataFrame, outcomes: DataFrame, trends: DataFrame, as_of, folder: str, **model) -> None:
+    """Reprices the rows of the board that each micro-batch of live states changes, and writes
+    them under the batch's number in ``folder``/board (the rows' state) and /assessed.
+
+    live: streaming; id, current_bid_cents, bidder_count, status, ends_at, last_checked_at."""
+
+    def fold(batch: DataFrame, number: int) -> None:
+        current = with_changes(board, f"{folder}/board", ["id"], number)
+        latest = last_write_wins(batch, ["id"], [F.desc("last_checked_at"), F.desc_nulls_last("current_bid_cents"), F.col("status"), F.desc("ends_at")])
+        out = reprice_live(current, latest, outcomes, trends, as_of, **model)
+        out.write.mode("overwrite").parquet(f"{folder}/assessed/batch={number}")
+        moved = board.sparkSession.read.schema(out.schema).parquet(f"{folder}/assessed/batch={number}")
+        moved.withColumn("status", F.col("lot_status")).select(*board.columns).write.mode("overwrite").parquet(f"{folder}/board/batch={number}")
+
+    run_batches(live, fold, f"{folder}/checkpoint")
+
+
+def stream_ledger(live: DataFrame, auctions: DataFrame, vehicles: DataFrame, ledger: DataFrame, folder: str) -> DataFrame:
+    """The ledger after all micro-batches of live checks: each applies to the auctions, and
+    those that it ends are closed out into the ledger. Rows are written under the batch's
+    number in ``folder``/auctions and /closed, so a batch that is sent again changes nothing."""
+    keys = ["auction_id", "external_id"]
+
+    def fold(batch: DataFrame, number: int) -> None:
+        batch = last_write_wins(batch, [*keys, "last_checked_at"], [F.desc_nulls_last("current_bid_cents"), F.col("status"), F.desc("ends_at")])
+        current = with_changes(auctions, f"{folder}/auctions", keys, number)
+        after = L.apply_live_updates(current, batch).join(batch.select(*keys).distinct(), keys, "left_semi")
+        after.select(*auctions.columns).write.mode("overwrite").parquet(f"{folder}/auctions/batch={number}")
+        # An end with a bid counts even if a later row of the same batch takes it back.
+        ends = batch.filter(F.col("status").isin(*L.TERMINAL_STATUSES) & F.col("current_bid_cents").isNotNull())
+        fresh = L.close_live(ledger.limit(0), L.apply_live_updates(current, ends), vehicles, ends)
+        fresh.select(*ledger.columns).write.mode("overwrite").parquet(f"{folder}/closed/batch={number}")
+
+    run_batches(live, fold, f"{folder}/checkpoint")
+    return with_changes(ledger, f"{folder}/closed", ["source_key", "external_id"])
