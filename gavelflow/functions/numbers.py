@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,9 @@ def clamped(x: Column, low, high) -> Column:
 def to_places(x: Column, n: int) -> Column:
     """Rounded to n decimal places, halves up; what binary fractions add beyond n + 6 places doesn't count."""
     return F.floor(F.round(x * F.lit(10.0**n), 6) + F.lit(0.5)) / F.lit(10.0**n)
+
+
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that later ones read often: the generator keeps the optimizer from
+    writing their expressions into each reader."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelflow.functions.numbers import rounded
+from gavelflow.functions.numbers import once, rounded
 
 LEAST_DOLLARS, MOST_DOLLARS, MOST_MILES = 100, 1_000_000, 2_000_000
 #: Fixed names under which pages hold figures.
@@ -65,12 +65,6 @@ def _appraisal(page: Column) -> Column:
     return F.coalesce(*found)
 
 
-def _once(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with columns that later ones read often: the generator keeps the optimizer from
-    writing their expressions into each reader."""
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
-
-
 def extract_market_offers(pages: DataFrame) -> DataFrame:
     """page_id, low_cents, high_cents, offers (mileage, amount_cents, observed_at, trim),
     reported_sample_size, basis (embedded or text); pages that hold no range are left out.
@@ -79,13 +73,13 @@ def extract_market_offers(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     script = F.trim(F.regexp_extract(html, SCRIPT, 1))
     payload = F.try_parse_json(F.when(script != "", script).when(F.trim(html).startswith("{"), F.trim(html)))
-    rows = _once(pages.select("page_id", html.alias("html")), page=payload)
-    rows = _once(rows, a=_appraisal(F.col("page"))).drop("page")
+    rows = once(pages.select("page_id", html.alias("html")), page=payload)
+    rows = once(rows, a=_appraisal(F.col("page"))).drop("page")
     a = F.col("a")
     listed = F.coalesce(F.try_variant_get(a, "$.offerData", "array<variant>"), F.try_variant_get(a, "$.offers", "array<variant>"), F.array().cast("array<variant>"))
     named = F.transform(listed, lambda o: F.struct(_field(o, MILES).alias("miles"), _field(o, AMOUNT).alias("amount"), _field(o, DATE).alias("observed_at"), _field(o, TRIM).alias("trim")))
-    rows = _once(rows, e_raw=named, e_lo=number(_field(a, LOW)), e_hi=number(_field(a, HIGH)), e_size=rounded(number(_field(a, SIZE))))
-    rows = _once(rows, e_offers=_offers(F.col("e_raw")))
+    rows = once(rows, e_raw=named, e_lo=number(_field(a, LOW)), e_hi=number(_field(a, HIGH)), e_size=rounded(number(_field(a, SIZE))))
+    rows = once(rows, e_offers=_offers(F.col("e_raw")))
     amounts = F.transform("e_offers", lambda o: o["amount_cents"])
     rows = rows.withColumns({"e_low": F.coalesce(to_cents(F.col("e_lo")), F.array_min(amounts)), "e_high": F.coalesce(to_cents(F.col("e_hi")), F.array_max(amounts))})
     speaks = F.col("html").rlike(SPEAKS)
@@ -97,7 +91,7 @@ def extract_market_offers(pages: DataFrame) -> DataFrame:
         "t_raw": told, "t_lo": F.when(speaks, number(F.regexp_extract("html", RANGE, 1))), "t_hi": F.when(speaks, number(F.regexp_extract("html", RANGE, 2))),
         "t_size": rounded(number(F.regexp_extract("html", r"(?i)(?:based on|sample of)\s+([\d,]+)\s+(?:\w+\s+){0,2}offers?", 1))),
     })
-    rows = _once(rows, t_offers=_offers(F.col("t_raw"))).withColumns({"t_low": to_cents(F.col("t_lo")), "t_high": to_cents(F.col("t_hi"))})
+    rows = once(rows, t_offers=_offers(F.col("t_raw"))).withColumns({"t_low": to_cents(F.col("t_lo")), "t_high": to_cents(F.col("t_hi"))})
     embedded = F.coalesce(F.col("e_low") <= F.col("e_high"), F.lit(False))
     text = ~embedded & F.coalesce(F.col("t_low") <= F.col("t_high"), F.lit(False))
     pick = lambda c: F.when(embedded, F.col(f"e_{c}")).otherwise(F.col(f"t_{c}"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelflow.functions import matching as M
-from gavelflow.functions.numbers import clamped, to_places
+from gavelflow.functions.numbers import clamped, once, to_places
 from gavelflow.operators.comparables import match_comparables, sides
 from gavelflow.operators.quantiles import middle_of, weighted_quantile_of
 
@@ -52,8 +52,8 @@ def value_subjects(subjects: DataFrame, comps: DataFrame, as_of: str, *, k: int
     matches = adjusted_samples(match_comparables(subjects, comps, int(as_of[:4]), k=k, classes=classes), at)
     sample = F.struct("value", "weight", "match", F.col("c_auction_id").alias("auction_id"), "gap", F.unix_micros("c_ended_at").alias("ended"))
     grouped = matches.groupBy("s_id").agg(F.min("tier").alias("tier"), F.sort_array(F.collect_list(sample)).alias("samples"))
-    kept = grouped.withColumn("samples", drop_price_outliers(F.col("samples")))
-    priced = kept.withColumns({f"q{q}": weighted_quantile_of(F.col("samples"), q) for q in (2, 5, 8)})
+    kept = once(grouped.withColumnRenamed("samples", "all"), samples=drop_price_outliers(F.col("all")))
+    priced = once(kept, **{f"q{q}": weighted_quantile_of(F.col("samples"), q) for q in (2, 5, 8)})
     # Nearest mileage first (unknown last), then better match, then later.
     shown = F.array_sort(F.transform("samples", lambda x: F.struct(x["gap"].isNull().alias("far"), x["gap"].alias("gap"), (-x["match"]).alias("m"), (-x["ended"]).alias("e"), x["auction_id"].alias("auction_id"))))
     valued = priced.select(
