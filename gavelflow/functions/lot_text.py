@@ -87,7 +87,6 @@ OPERABILITY_RULES = [
     (r"\b(?:engine runs?|vehicle runs?|starts? successfully|operational)\b", "runs"),
 ]
 ENTITIES = {"amp": "&", "apos": "'", "gt": ">", "hellip": "…", "lt": "<", "nbsp": " ", "ndash": "–", "mdash": "—", "quot": '"'}
-BLOCK_TAGS = "address|article|aside|blockquote|div|dl|dt|dd|figcaption|figure|footer|h[1-6]|header|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
 CONDITION_CODES = {"N": "new", "1": "new", "U": "usable", "4": "usable", "R": "repairable", "7": "repairable", "X": "salvage", "S": "scrap"}
 DISPLAY_CONDITIONS = {"new": "good", "usable": "good", "repairable": "repairable", "salvage": "salvage", "scrap": "salvage"}
 FEED_STATUSES = {
@@ -250,9 +249,12 @@ def image_array(c: Column) -> Column:
 
 
 def spec_map(html: Column) -> Column:
-    """label -> value of ``label: value`` lines of list items and paragraphs; the last wins."""
+    """label -> value of ``label: value`` lines of list items and paragraphs, or of the text's
+    sentences where it has neither; the last wins."""
+    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(named_entities(x), r"<[^>]*>", " "), r"\s+", " "))
     blocks = F.regexp_extract_all(html, F.lit(r"(?i)<(?:li|p)\b[^>]*>([\s\S]*?)</(?:li|p)\s*>"), F.lit(1))
-    lines = F.transform(blocks, lambda b: F.trim(F.regexp_replace(F.regexp_replace(named_entities(b), r"<[^>]*>", " "), r"\s+", " ")))
+    blocks = F.filter(F.transform(blocks, plain), lambda x: x != "")
+    lines = F.when(F.size(blocks) > 0, blocks).otherwise(F.split(plain(html), r"(?<=[.!?])\s+"))
     good = F.filter(lines, lambda x: x.rlike(r"^[^:]{2,45}:\s*.+$"))
     pairs = F.transform(good, lambda x: F.struct(F.lower(F.trim(F.regexp_extract(x, r"^([^:]{2,45}):", 1))).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]{2,45}:\s*(.+)$", 1)).alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))

@@ -15,10 +15,6 @@ def rounded(x: Column) -> Column:
     return F.floor(x.cast("double") + F.lit(0.5)).cast("long")
 
 
-def to_cents(dollars: Column) -> Column:
-    return rounded(dollars.cast("double") * 100)
-
-
 def clamped(x: Column, low, high) -> Column:
     low, high = (v if isinstance(v, Column) else F.lit(v) for v in (low, high))
     return F.least(F.greatest(x, low), high)

@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavelflow.operators.quantiles import upper_median
-
 PAGE = 48
 OPEN = ("active", "closing")
 UNDER_CENTS = 1_000_000
@@ -116,11 +114,6 @@ def board_kpis(board: DataFrame, now: Column) -> DataFrame:
     return counted.crossJoin(F.broadcast(median))  # one row each
 
 
-def median_discount(discounts: Column) -> Column:
-    """Upper median of an array of discounts."""
-    return upper_median(F.sort_array(discounts))
-
-
 def source_coverage(board: DataFrame, now: Column) -> DataFrame:
     """Lots of each source by phase."""
     return board.groupBy("source").agg(

@@ -51,7 +51,7 @@ def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spec_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.concat(F.lit("<p>Label: "), F.col("url"), F.lit("</p><li>Second : a <b>bold</b> value</li><p>label: "), F.col("page_id").cast("string"), F.lit("</p>"), F.col("html"))
     rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", lot_text.spec_map(html).alias("m"))
-    return rows.select("page_id", F.explode("m").alias("label", "value")).filter("label IN ('label', 'second')")
+    return rows.select("page_id", F.explode("m").alias("label", "value"))
 
 
 def image_array(spark: SparkSession, sf_dir: str) -> DataFrame:

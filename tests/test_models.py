@@ -164,3 +164,9 @@ def test_time_weights(spark):
     rows = spark.createDataFrame([(None,), (0,), (59,), (60,), (1_799,), (604_800,)], "s long").select(deals.time_to_close_weight(F.col("s")).alias("w"))
     assert [r.w for r in rows.collect()] == [0.55, 0, 0.1, 0.2, 0.35, 0.9]
     assert math.isclose(one(spark, deals.condition_adjustment(F.lit("salvage"), F.lit("non-operational"), F.array(), F.array()).alias("a")).a, -0.45)
+
+
+def test_specs_of_lines_and_sentences(spark):
+    rows = spark.createDataFrame([("<ul><li>Color: red</li><li>none</li><li>color : <b>blue</b></li></ul> VIN: x",), ("Engine: V8. Doors: four! Clean",), ("",), (None,)], "h string")
+    got = [r.m for r in rows.select(lot_text.spec_map(F.col("h")).alias("m")).collect()]
+    assert got == [{"color": "blue"}, {"engine": "V8.", "doors": "four!"}, {}, None]
