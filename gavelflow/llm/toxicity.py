@@ -459,8 +459,10 @@ def _calibrated(spark, model, size: int) -> Curve:
     return isotonic(told.column(0).to_numpy(), told.column(1).to_numpy()) if told.num_rows else (np.empty(0), np.empty(0))
 
 
-def _scored(rows: DataFrame, columns: list[str], learnt) -> DataFrame:
-    """rows (columns and x_text, last) with x_score, and x_near and x_share of each nearest entry."""
+def _scored(rows: DataFrame, columns: list[str], text: str, learnt) -> DataFrame:
+    """columns of rows with x_score, and x_near and x_share of each nearest entry. text: the
+    column to score, which may be among them: then it goes to the workers once."""
+    text_at = rows.columns.index(text)
 
     model, curve = learnt
 
@@ -471,7 +473,7 @@ def _scored(rows: DataFrame, columns: list[str], learnt) -> DataFrame:
             score = np.full(batch.num_rows, held.bare)
             near_of: list = [np.empty(0)] * batch.num_rows
             share_of: list = [np.empty(0)] * batch.num_rows
-            for lo, hi, raw, offsets in _sliced(*K.text_bytes(batch.column(len(columns)))):
+            for lo, hi, raw, offsets in _sliced(*K.text_bytes(batch.column(text_at))):
                 row, term, count = vocabulary.of(raw, offsets)
                 cuts = np.searchsorted(row, np.arange(hi - lo + 1)).tolist()
                 for at in range(0, hi - lo, TOGETHER):
@@ -496,7 +498,7 @@ def scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("x_text"))
     score = F.col("x_score")
-    return _scored(rows, ["doc_id"], learnt).select(
+    return _scored(rows, ["doc_id"], "x_text", learnt).select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), score.alias("score"), (score >= reject_at).cast("int").alias("predicted"), F.col("x_share").alias("evidence")
     )
 
@@ -505,7 +507,9 @@ def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     """docs without the rows whose score reaches ``reject_at``."""
     learnt = learn(docs, labels, id_col=id_col, text_col=text_col)
     names = [f"x_{k}" for k in range(len(docs.columns))]
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], text.alias("x_text"))
-    out = _scored(rows, names, learnt).filter(F.col("x_score") < reject_at)
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    text = names[docs.columns.index(text_col)]
+    if rows.schema[text].dataType.simpleString() != "string":
+        rows, text = rows.withColumn("x_text", F.col(text).cast("string")), "x_text"
+    out = _scored(rows, names, text, learnt).filter(F.col("x_score") < reject_at)
     return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])
