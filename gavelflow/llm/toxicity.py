@@ -66,6 +66,8 @@ PRIOR = 0.5
 BLOCK = 64
 FREQUENT = 256
 TOGETHER = 32
+#: Results that a task keeps for copies of the texts.
+REMEMBERED = 8_192
 STEM_SALT = np.uint64(0x632BE59BD9B4E019)
 
 
@@ -469,6 +471,7 @@ def _scored(rows: DataFrame, columns: list[str], text: str, learnt) -> DataFrame
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = model.value
         vocabulary, index = held.vocabulary, held.index
+        seen: dict[bytes, tuple] = {}  # copies of a text are looked up once
         for batch in batches:
             score = np.full(batch.num_rows, held.bare)
             near_of: list = [np.empty(0)] * batch.num_rows
@@ -478,11 +481,16 @@ def _scored(rows: DataFrame, columns: list[str], text: str, learnt) -> DataFrame
                 cuts = np.searchsorted(row, np.arange(hi - lo + 1)).tolist()
                 for at in range(0, hi - lo, TOGETHER):
                     spans = list(zip(cuts[at : at + TOGETHER], cuts[at + 1 : at + TOGETHER + 1], strict=False))
-                    queries = [(term[a:b], index.vector(term[a:b], count[a:b]) if b > a else term[a:b]) for a, b in spans]
-                    for r, (entry, near) in enumerate(index.neighbours(queries), lo + at):
-                        if len(entry):
-                            score[r] = probability(index.vote(entry, near), curve)
-                            near_of[r], share_of[r] = near, index.share[entry]
+                    keys = [xxhash.xxh3_128_digest(term[a:b].tobytes() + count[a:b].tobytes()) for a, b in spans]
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                    fresh = {key: span for key, span in zip(keys, spans, strict=True) if key not in seen}
+                    queries = [(term[a:b], index.vector(term[a:b], count[a:b]) if b > a else term[a:b]) for a, b in fresh.values()]
+                    for key, (entry, near) in zip(fresh, index.neighbours(queries), strict=True):
+                        told = probability(index.vote(entry, near), curve) if len(entry) else held.bare
+                        seen[key] = (told, near, index.share[entry])
+                    for r, key in enumerate(keys, lo + at):
+                        score[r], near_of[r], share_of[r] = seen[key]
             cut = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in near_of])]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate(x) if len(x) else np.empty(0), pa.float64())) for x in (near_of, share_of)]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(columns))], pa.array(score), *lists], names=[*columns, "x_score", "x_near", "x_share"])
