@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelflow.llm import decontamination, exact_dedup, near_dedup, packing, pii, substring_dedup, suffix_dedup, token_rollup, tool_calls, toxicity
+from gavelflow.llm import decontamination, exact_dedup, merkle, near_dedup, packing, pii, prefix_trie, substring_dedup, suffix_dedup, token_rollup, tool_calls, toxicity, url_rules
 from gavelflow.llm.scratch import Scratch
 
 
@@ -76,7 +76,31 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_near_dedup, op3_pii, op4_decontamination, op5_suffix_dedup, op6_substring_dedup, op7_toxicity, op8_token_counts, op9_tool_calls, op10_packing)}
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.Manifest(table(spark, sf_dir, "documents"), merkle.tampered_by_id()).proofs()
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+OPERATORS = [op1_exact_dedup, op2_near_dedup, op3_pii, op4_decontamination, op5_suffix_dedup, op6_substring_dedup, op7_toxicity, op8_token_counts, op9_tool_calls, op10_packing, op11_url_filters, op12_merkle_manifest, op13_prefix_trie]
+QUERIES = {f.__name__: f for f in OPERATORS}
+
+#: CRC-32 of texts by its table of 256 entries; SQL begins with it and applies crc(x).
+CRC_SQL = """
+        crc_table AS (
+            SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS tbl FROM range(256) r(b)),"""
+
+
+def crc_sql(ascii_text: str) -> str:
+    return f"xor(list_reduce(list_transform(string_split({ascii_text}, ''), lambda ch: ord(ch)::BIGINT), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
 
 ORACLE_SQL = {
     "op1_exact_dedup": """
@@ -141,4 +165,65 @@ ORACLE_SQL = {
         SELECT conv_id, turn, call_id, name, level, n_results, result_turn, errors = '' AS valid, errors,
                to_json({'arguments': {'limit': lim, 'text': text}, 'call_id': call_id, 'level': level, 'name': name, 'result': said, 'turn': turn})::VARCHAR AS message
         FROM told""",
+    "op11_url_filters": r"""
+        WITH rules(rule_host, rule_path, act) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+        parts AS (
+            SELECT page_id, row_number() OVER () AS r, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+        best AS (
+            SELECT r, arg_max({'rule': rule_host || rule_path, 'act': act}, length(rule_host || rule_path)) AS b
+            FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY r)
+        SELECT page_id, host, path, b.rule AS rule, coalesce(b.act, 'allow') AS verdict FROM parts LEFT JOIN best USING (r)""",
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE {CRC_SQL}
+        docs AS (
+            SELECT doc_id, lang, n_chars, concat(
+                     CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END, CASE WHEN source IS NULL THEN '-' ELSE strlen(source) || ':' || source END,
+                     CASE WHEN lang IS NULL THEN '-' ELSE strlen(lang) || ':' || lang END) AS head,
+                   CASE WHEN n_chars IS NULL THEN '-' ELSE strlen(n_chars::VARCHAR) || ':' || n_chars END AS own, CASE WHEN n_chars IS NULL THEN '-' ELSE strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1) END AS forged,
+                   CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS tail, coalesce({crc_sql("doc_id::VARCHAR")} % 7 = 0, false) AS tampered
+            FROM documents, crc_table),
+        leaves AS MATERIALIZED (
+            SELECT doc_id, lang, sha256(head || own || tail) AS leaf, CASE WHEN tampered THEN sha256(head || forged || tail) ELSE sha256(head || own || tail) END AS claimed,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, sha256(head || own || tail)) - 1 AS pos,
+                   count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM docs),
+        below(tree, level, pos, h, n) AS (
+            SELECT tree, 0, pos, leaf, n FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM below WHERE n > 1 GROUP BY tree, level, pos // 2),
+        subroots AS (SELECT tree AS pos, h, level, count(*) OVER () AS n FROM below WHERE n = 1),
+        above(level, pos, h, n) AS (
+            SELECT 0, pos, h, n FROM subroots
+            UNION ALL
+            SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 1) // 2) FROM above WHERE n > 1 GROUP BY level, pos // 2),
+        folding(doc_id, leaf, tree, pos, steps, level, h, proof, in_top) AS (
+            SELECT doc_id, leaf, tree, pos, (SELECT s.level FROM subroots s WHERE s.pos = l.tree), 0, claimed, '', false FROM leaves l
+            UNION ALL
+            SELECT f.doc_id, f.leaf, f.tree, CASE WHEN f.level = f.steps AND NOT f.in_top THEN f.tree ELSE f.pos // 2 END, f.steps,
+                   CASE WHEN f.level = f.steps AND NOT f.in_top THEN 0 ELSE f.level + 1 END,
+                   CASE WHEN f.level = f.steps AND NOT f.in_top THEN f.h WHEN f.pos % 2 = 1 THEN sha256(coalesce(b.h, a.h, '') || f.h) ELSE sha256(f.h || coalesce(b.h, a.h, '')) END,
+                   f.proof || coalesce(b.h, a.h, ''), f.in_top OR f.level = f.steps
+            FROM folding f LEFT JOIN below b ON NOT f.in_top AND f.level < f.steps AND b.tree = f.tree AND b.level = f.level AND b.pos = xor(f.pos, 1)
+            LEFT JOIN above a ON f.in_top AND a.level = f.level AND a.pos = xor(f.pos, 1)
+            WHERE NOT f.in_top OR f.level < (SELECT max(level) FROM above)),
+        ended AS (SELECT * FROM folding WHERE in_top AND level = (SELECT max(level) FROM above))
+        SELECT e.doc_id, e.leaf, s.h AS subroot, r.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = r.h AS verified
+        FROM ended e JOIN subroots s ON s.pos = e.tree, (SELECT h FROM above WHERE n = 1) r""",
+    "op13_prefix_trie": rf"""
+        WITH {CRC_SQL}
+        turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said FROM conversations WHERE conv_id IS NOT NULL),
+        convs AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {crc_sql("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+        whole AS (
+            SELECT c.conv_id, coalesce((SELECT list(said ORDER BY p) FROM turns t WHERE t.conv_id = c.base AND p < h), []) || coalesce((SELECT list(said ORDER BY p) FROM turns t WHERE t.conv_id = c.conv_id AND p >= h), []) AS s FROM convs c),
+        prefixes AS (SELECT conv_id, len(s) AS size, d, s[1:d] AS node FROM whole, LATERAL (SELECT unnest(range(0, len(s) + 1)) AS d)),
+        nodes AS (
+            SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE size = d) AS ends,
+                   CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(node[d].text, '[^ 	-
+]+')) END AS words FROM prefixes GROUP BY node, d),
+        children AS (SELECT node[1:d - 1] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+        under AS (
+            SELECT top, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n_convs - 1) * words) AS saved
+            FROM (SELECT n_convs, words, n_children, node[1:k] AS top FROM (SELECT n.*, n_children FROM nodes n LEFT JOIN children USING (node)), LATERAL (SELECT unnest(range(0, d + 1)) AS k)) GROUP BY top)
+        SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+        FROM nodes n LEFT JOIN nodes p ON n.d > 0 AND p.node = n.node[1:n.d - 1] AND p.d = n.d - 1 LEFT JOIN children c ON c.node = n.node JOIN under u ON u.top = n.node""",
 }
