@@ -96,12 +96,12 @@ def leaf_of(*values: Column) -> Column:
     return F.sha2(F.concat(*[field(v) for v in values]).cast("binary"), 256)
 
 
-def _subtree(frame: pd.DataFrame) -> pd.DataFrame:
-    """Levels above up to BLOCK consecutive nodes of one tree: tree, level, at, digest, n (nodes of the level in the tree)."""
+def _subtree(frame: pd.DataFrame, height: int) -> pd.DataFrame:
+    """Levels above up to 2**height consecutive nodes of one tree: tree, level, at, digest, n (nodes of the level in the tree)."""
     frame = frame.sort_values("at")
     tree, level, n = int(frame["tree"].iloc[0]), int(frame["level"].iloc[0]), int(frame["n"].iloc[0])
     first, here, out = int(frame["at"].iloc[0]), list(frame["digest"]), []
-    for _ in range(levels_of(BLOCK)):
+    for _ in range(height):
         if n == 1:
             break
         here = [digest(*here[i : i + 2]) for i in range(0, len(here), 2)]
@@ -110,15 +110,15 @@ def _subtree(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["tree", "level", "at", "digest", "n"])
 
 
-def built(leaves: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """All nodes of all trees. leaves: tree, at, digest, n (leaves of the tree)."""
+def built(leaves: DataFrame, scratch: Scratch, name: str, height: int) -> DataFrame:
+    """All nodes of all trees, so many levels a round. leaves: tree, at, digest, n (leaves of the tree)."""
     most = leaves.agg(F.max("n")).first()[0] or 0
     base = leaves.select("tree", F.lit(0).alias("level"), "at", "digest", "n")
     nodes, level = base.select("tree", "level", "at", "digest"), 0
     while size_at(most, level) > 1:
-        block = F.shiftright("at", levels_of(BLOCK)).alias("block")
-        above = base.filter("n > 1").groupBy("tree", block).applyInPandas(_subtree, NODE + ", n long")
-        level += levels_of(BLOCK)
+        block = F.shiftright("at", height).alias("block")
+        above = base.filter("n > 1").groupBy("tree", block).applyInPandas(lambda frame: _subtree(frame, height), NODE + ", n long")
+        level += height
         above = scratch.save(above, f"{name}{level}")
         nodes = nodes.unionByName(above.select("tree", "level", "at", "digest"))
         base = above.filter(F.col("level") == level)
@@ -128,9 +128,10 @@ def built(leaves: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 class Manifest:
     """leaves: doc_id, leaf, tampered, tree, at, n. nodes: tree, level, at, digest. trees: lang, tree, n."""
 
-    def __init__(self, docs: DataFrame, tampering: Column | None = None, *, fields: list[str] = FIELDS, id_col: str = "doc_id", lang_col: str = "lang", count_col: str = "n_chars"):
-        """tampering says of which rows a copy with one added to count_col is to be proved."""
-        self.spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, tampering: Column | None = None, *, fields: list[str] = FIELDS, id_col: str = "doc_id", lang_col: str = "lang", count_col: str = "n_chars", block: int = BLOCK):
+        """tampering says of which rows a copy with one added to count_col is to be proved; block, a
+        power of two, how many consecutive leaves a task proves."""
+        self.spark, self.height = docs.sparkSession, levels_of(block)
         self.scratch = scratch = Scratch(self.spark, "merkle")
         col = {c: F.col(f"`{c}`") for c in {*fields, id_col, lang_col, count_col}}
         more = F.coalesce((col[count_col].try_cast("decimal(38,0)") + 1).cast("string"), col[count_col].cast("string"))
@@ -145,10 +146,10 @@ class Manifest:
         placed = ranked(rows, ["lang"], ["doc_id", "leaf"], scratch, "order").withColumnRenamed("x_rank", "at")
         trees = self.trees.select(F.col("lang").alias("of_lang"), "tree", "n")
         self.leaves = scratch.save(placed.join(trees, F.col("lang").eqNullSafe(F.col("of_lang"))).drop("lang", "of_lang"), "leaves")
-        below = built(self.leaves.select("tree", "at", F.col("leaf").alias("digest"), "n"), scratch, "level")
+        below = built(self.leaves.select("tree", "at", F.col("leaf").alias("digest"), "n"), scratch, "level", self.height)
         tops = self.trees.select("tree", "n", F.when(F.col("n") > 1, F.length(F.bin(F.col("n") - 1))).otherwise(0).alias("level"), F.lit(0).cast("long").alias("at"))
         self.subroots = scratch.save(below.join(tops, ["tree", "level", "at"]).select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("at"), "digest", F.lit(self.n_trees).cast("long").alias("n")), "subroots")
-        self.nodes = below.unionByName(built(self.subroots, scratch, "top"))
+        self.nodes = below.unionByName(built(self.subroots, scratch, "top", self.height))
 
     def root(self) -> str | None:
         found = self.nodes.filter((F.col("tree") == TOP) & (F.col("level") == levels_of(self.n_trees))).first()
@@ -158,7 +159,7 @@ class Manifest:
         """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of the wanted rows of
         leaves (default: all), a row for each."""
         wanted = self.leaves if wanted is None else wanted
-        shift, n_trees = levels_of(BLOCK), self.n_trees
+        shift, n_trees = self.height, self.n_trees
         block = F.shiftright("at", shift).alias("block")
 
         def needs(frame: pd.DataFrame) -> pd.DataFrame:
