@@ -28,6 +28,10 @@ YEARS_APART = {TIGHT: (2, 3), FAMILY: (3, 5), CLASS: (1, 2)}
 MILES_APART = {TIGHT: (20_000, 0.5, 25_000, 3.0, 1.75), FAMILY: (40_000, 0.75, 40_000, 4.0, 2.25), CLASS: (15_000, 0.35, 15_000, 2.75, 1.5)}
 
 
+#: Below this the ceiling counts, not the ratio.
+FEW_MILES = 1_000
+
+
 def scored(value: Column, scores: dict[str, int]) -> Column:
     out = F.lit(scores["unknown"])
     for name, score in scores.items():
@@ -56,18 +60,12 @@ def most_years_apart(year: Column, reference_year: int, mode: int) -> Column:
     return F.when(F.lit(reference_year) - year <= 4, recent).otherwise(older)
 
 
-def guards(s: dict[str, Column], c: dict[str, Column], reference_year: int, mode: int) -> Column:
-    """Whether the comparable may stand for the subject in this mode."""
+def kind_guards(s: dict[str, Column], c: dict[str, Column], reference_year: int, mode: int) -> Column:
+    """What guards() asks of all but the mileage."""
     unknown_side = F.lit(mode != CLASS)
     near_year = F.abs(s["year"] - c["year"]) <= most_years_apart(s["year"], reference_year, mode)
     year = F.when(s["year"].isNull(), unknown_side).otherwise(F.coalesce(near_year, F.lit(False)))
 
-    least, share, ceiling, wide, narrow = MILES_APART[mode]
-    a, b = s["mileage"].cast("double"), c["mileage"].cast("double")
-    ratio = F.greatest(a / b, b / a) <= F.when(a < 25_000, wide).otherwise(narrow)
-    near_miles = (F.abs(a - b) <= F.greatest(F.lit(float(least)), a * share)) & F.when(F.least(a, b) < 1_000, F.greatest(a, b) <= ceiling).otherwise(ratio)
-    miles = F.when(s["mileage"].isNull(), unknown_side).otherwise(F.coalesce(near_miles, F.lit(False)))
-
     band = condition_band(s["condition"]), condition_band(c["condition"])
     moves = operability_band(s["operability"]), operability_band(c["operability"])
     equal, some_unknown = band[0] == band[1], (band[0] == "unknown") | (band[1] == "unknown")
@@ -78,7 +76,20 @@ def guards(s: dict[str, Column], c: dict[str, Column], reference_year: int, mode
         condition = some_unknown | (equal if mode == TIGHT else (equal | ~terminal))
         operability = (moves[0] == "unknown") | (moves[1] == "unknown") | (moves[0] == moves[1])
     same_class = s["class"].isNull() | c["class"].isNull() | (s["class"] == c["class"])
-    return year & miles & condition & operability & same_class
+    return year & condition & operability & same_class
+
+
+def mileage_guard(s: dict[str, Column], c: dict[str, Column], mode: int) -> Column:
+    least, share, ceiling, wide, narrow = MILES_APART[mode]
+    a, b = s["mileage"].cast("double"), c["mileage"].cast("double")
+    ratio = F.greatest(a / b, b / a) <= F.when(a < 25_000, wide).otherwise(narrow)
+    near_miles = (F.abs(a - b) <= F.greatest(F.lit(float(least)), a * share)) & F.when(F.least(a, b) < FEW_MILES, F.greatest(a, b) <= ceiling).otherwise(ratio)
+    return F.when(s["mileage"].isNull(), F.lit(mode != CLASS)).otherwise(F.coalesce(near_miles, F.lit(False)))
+
+
+def guards(s: dict[str, Column], c: dict[str, Column], reference_year: int, mode: int) -> Column:
+    """Whether the comparable may stand for the subject in this mode."""
+    return kind_guards(s, c, reference_year, mode) & mileage_guard(s, c, mode)
 
 
 def closeness(a: Column, b: Column) -> Column:
@@ -86,12 +97,14 @@ def closeness(a: Column, b: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.exp(-F.abs(F.ln(a / b)) / 0.75)).otherwise(F.lit(0.4))
 
 
-def match_score(s: dict[str, Column], c: dict[str, Column], identity: float) -> Column:
-    """Rounded to 9 places, so that equal scores stay equal wherever they are computed."""
+def match_score(s: dict[str, Column], c: dict[str, Column], identity: float, *, same_mileage: bool = False) -> Column:
+    """Rounded to 9 places, so that equal scores stay equal wherever they are computed. With
+    same_mileage, the highest that any mileage could reach."""
+    miles = F.lit(1.0) if same_mileage else closeness(s["mileage"], c["mileage"])
     year = F.coalesce(F.exp(-F.abs(s["year"] - c["year"]) / 5.0), F.lit(0.55))
     condition = F.exp(-F.abs(condition_score(s["condition"]) - condition_score(c["condition"])) / 2.5)
     operability = F.exp(-F.abs(operability_score(s["operability"]) - operability_score(c["operability"])) / 2.0)
-    score = F.lit(identity) * (0.35 + year * 0.65) * (0.35 + closeness(s["mileage"], c["mileage"]) * 0.65) * (0.55 + condition * 0.45) * (0.75 + operability * 0.25)
+    score = F.lit(identity) * (0.35 + year * 0.65) * (0.35 + miles * 0.65) * (0.55 + condition * 0.45) * (0.75 + operability * 0.25)
     return F.round(score, 9)
 
 

@@ -1,10 +1,15 @@
 """Closed sales that can stand for an open vehicle.
 
-The band joins are equi-joins: the subjects' years are exploded over the band, and their
-class over its own value and "none", so that the key is (family, class, year). Spark can
-shuffle such a join, broadcast a side by size, and split where a key is hot. Mileage,
-condition and operability bands are its residual. Subjects that know no year or no class
-match any and go a way of their own, by family alone.
+Best matches are found by a threshold-stop search, not by listing pairs. What a sale scores
+depends on its cell (family, class, year, condition, operability) and, within that, falls
+with the distance of the mileages. So a subject reads from each cell only the sales next
+to its own mileage (``shelves``), takes the cells in rounds of falling bounds, and leaves out
+those that its k-th score is above already. What it reads depends on k and on the number of
+cells, not on how many sales a cell has.
+
+Counts of candidates come from sales that are first counted by cell and mileage. Mileages
+aren't negative. Subjects of no or no known mileage have no order to search by and are
+held against all sales of their family, year by year.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavelflow.functions import matching as M
+from gavelflow.operators.shelves import Shelf, enough, unpacked
 from gavelflow.sources.scratch import written
 
 SUBJECT = ["id", "external_id", "family", "class", "year", "mileage", "condition", "operability", "vin", "issues"]
@@ -40,10 +46,17 @@ def not_self() -> Column:
     return ~s["external_id"].eqNullSafe(c["auction_id"]) & ~F.coalesce(s["vin"] == c["vin"], F.lit(False))
 
 
-def _banded(subjects: DataFrame, comps: DataFrame, reference_year: int) -> DataFrame:
-    """Pairs of one family whose years lie within the family band and whose classes agree."""
+def _tier(reference_year: int) -> Column:
+    """Of a pair that passes the family guards; the tight ones imply them."""
+    s, c = sides()
+    return F.when(M.guards(s, c, reference_year, M.TIGHT), M.TIGHT).otherwise(M.FAMILY)
+
+
+def _banded(left: DataFrame, right: DataFrame, reference_year: int) -> DataFrame:
+    """Pairs of one family whose years lie within the family band and whose classes agree: an
+    equi-join on (family, class, year). Subjects without year or class match any."""
     s, _ = sides()
-    left, right = _renamed(subjects, SUBJECT, "s_").filter("s_family IS NOT NULL"), _renamed(comps, COMP, "c_")
+    left = left.filter("s_family IS NOT NULL")
     reach = M.most_years_apart(s["year"], reference_year, M.FAMILY)
     known = left.filter("s_year IS NOT NULL AND s_class IS NOT NULL")
     banded = known.withColumn("x_year", F.explode(F.sequence(s["year"] - reach, s["year"] + reach))).withColumn("x_class", F.explode(F.array("s_class", F.lit(""))))
@@ -52,58 +65,182 @@ def _banded(subjects: DataFrame, comps: DataFrame, reference_year: int) -> DataF
     return pairs.unionByName(open_ended)
 
 
-def family_pairs(subjects: DataFrame, comps: DataFrame, reference_year: int) -> DataFrame:
-    """s_*, c_*, tier (tight or family), score of all pairs of one family that pass the guards."""
-    s, c = sides()
-    # The tight guards imply the wider ones.
-    pairs = _banded(subjects, comps, reference_year).filter(not_self() & M.guards(s, c, reference_year, M.FAMILY))
-    tier = F.when(M.guards(s, c, reference_year, M.TIGHT), M.TIGHT).otherwise(M.FAMILY)
-    return pairs.withColumns({"tier": tier, "score": M.match_score(s, c, 1.0)})
+def _class_banded(left: DataFrame, right: DataFrame, reference_year: int) -> DataFrame:
+    """Pairs of one class whose years lie within the class band."""
+    reach = M.most_years_apart(F.col("s_year"), reference_year, M.CLASS)
+    banded = left.withColumn("x_year", F.explode(F.sequence(F.col("s_year") - reach, F.col("s_year") + reach)))
+    return banded.join(right, (F.col("s_class") == F.col("c_class")) & (F.col("x_year") == F.col("c_year"))).drop("x_year")
+
+
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best of each tier of each subject, ranked."""
+    order = Window.partitionBy("s_id", "tier").orderBy(F.desc("score"), F.desc("c_ended_at"), "c_auction_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+#: Lowest bounds of the rounds in which cells are read.
+ROUNDS = (0.9, 0.8, 0.7, 0.55, 0.0)
+#: A sale's cell on the shelves. Null is its own year (-1) and class (""); conditions that
+#: aren't known score as "unknown".
+CELL = ["x_family", "x_class", "x_year", "x_condition", "x_operability", "x_zone"]
+
+
+def _zone() -> Column:
+    """Mileages of zero, below FEW_MILES and from there: within a zone the guards pass an
+    interval that begins where the search does."""
+    return F.when(F.col("c_mileage") <= 0, 0).when(F.col("c_mileage") < M.FEW_MILES, 1).otherwise(2)
+
+
+def _start() -> Column:
+    few, many = F.least("s_mileage", F.lit(M.FEW_MILES - 1)), F.greatest("s_mileage", F.lit(M.FEW_MILES))
+    return F.when(F.col("x_zone") == 0, F.lit(0)).when(F.col("x_zone") == 1, few).otherwise(many)
+
+
+class Sales:
+    """Closed sales on two shelves: by family, and over all families of a class."""
 
+    def __init__(self, comps: DataFrame, k: int):
+        self.k, self.rows = k, _renamed(comps, COMP, "c_")
+        unknown = F.lit("unknown")
+        cells = {"x_family": F.col("c_family"), "x_class": F.coalesce("c_class", F.lit("")), "x_year": F.coalesce("c_year", F.lit(-1)), "x_condition": F.coalesce("c_condition", unknown), "x_operability": F.coalesce("c_operability", unknown), "x_zone": _zone()}
+        rows = self.rows.filter("c_mileage IS NOT NULL").withColumns(cells)
+        # A subject's own auction and its own vehicle number may have to be passed over.
+        self.reach = k + 2
+        first = [F.desc("c_ended_at"), "c_auction_id"]
+        items = [c for c in self.rows.columns if c not in ("c_class", "c_year", "c_condition", "c_operability")]
+        self.by_family = Shelf(rows.filter("c_family IS NOT NULL").select(*CELL, *[c for c in items if c != "c_family"]), CELL, "c_mileage", first, self.reach)
+        self.by_class = Shelf(rows.filter("c_class IS NOT NULL AND c_year IS NOT NULL").select(*CELL[1:], *items), CELL[1:], "c_mileage", first, self.reach)
+        self.families = written(self.by_family.cells(), "family-cells")
+        self.classes = written(self.by_class.cells(), "class-cells")
 
-def class_pairs(subjects: DataFrame, comps: DataFrame, reference_year: int, classes: list[str], least: int = 3, families: int = 2) -> DataFrame:
-    """Pairs of one defensible class, of subjects that have enough of them."""
+    @staticmethod
+    def with_cell(rows: DataFrame) -> DataFrame:
+        """rows with the comparable's columns that its cell tells."""
+        return rows.withColumns({
+            "c_class": F.when(F.col("x_class") != "", F.col("x_class")), "c_year": F.when(F.col("x_year") >= 0, F.col("x_year")), "c_condition": F.col("x_condition"), "c_operability": F.col("x_operability"),
+        })
+
+    def asked(self, rows: DataFrame, year: int, mode: int) -> DataFrame:
+        """Subjects (s_*) beside the cells that they may draw on."""
+        s, c = sides()
+        return self.with_cell(rows).filter(M.kind_guards(s, c, year, mode))
+
+    def found(self, placed: DataFrame, shelf: Shelf, year: int, mode: int, identity: float, reach: int | None = None) -> DataFrame:
+        """s_*, c_*, tier, score of the sales nearest to each subject in each of its cells."""
+        s, c = sides()
+        values = self.with_cell(shelf.read(placed, reach or self.reach)).filter(M.mileage_guard(s, c, mode))
+        values = values.withColumns({"tier": F.lit(M.CLASS) if mode == M.CLASS else _tier(year), "score": M.match_score(s, c, identity)})
+        if reach is None:
+            values = enough(values, ["s_id", "tier"], [F.desc("score")], self.reach)
+        rows = unpacked(values)
+        if "c_family" not in rows.columns:
+            rows = rows.withColumn("c_family", F.col("x_family"))
+        return rows.filter(not_self()).select(*[f"s_{x}" for x in SUBJECT], *[f"c_{x}" for x in COMP], "tier", "score")
+
+    def of_family(self, subjects: DataFrame, year: int) -> DataFrame:
+        """The k best tight and the k best family matches of subjects (s_*) of known mileage, as
+        far as they decide.
+
+        Each cell has a bound, the score of a sale with the subject's own mileage. Cells are
+        read in rounds of falling bounds. A subject whose k-th score is above a cell's bound
+        doesn't read that cell; one that has tight matches reads no cells but tight ones."""
+        k, (s, c) = self.k, sides()
+        known = subjects.filter("s_year IS NOT NULL AND s_class IS NOT NULL").withColumn("x_class", F.explode(F.array("s_class", F.lit(""))))
+        reach = M.most_years_apart(F.col("s_year"), year, M.FAMILY)
+        known = known.withColumns({"x_family": F.col("s_family"), "x_year": F.explode(F.sequence(F.col("s_year") - reach, F.col("s_year") + reach))}).join(self.families, CELL[:3])
+        vague = subjects.filter("s_year IS NULL OR s_class IS NULL").withColumn("x_family", F.col("s_family")).join(self.families, "x_family")
+        asked = self.asked(known.unionByName(vague), year, M.FAMILY)
+        asked = asked.withColumns({"x_tight": M.kind_guards(s, c, year, M.TIGHT), "x_bound": M.match_score(s, c, 1.0, same_mileage=True)}).drop("c_class", "c_year", "c_condition", "c_operability")
+        placed = written(self.by_family.places(written(asked, "asked"), _start()), "places")
+        found, have = None, None
+        for low, high in zip(ROUNDS, [2.0, *ROUNDS]):
+            part = placed.filter((F.col("x_bound") >= low) & (F.col("x_bound") < high))
+            if found is not None:
+                part = part.join(have, "s_id", "left").filter(
+                    F.when(F.col("x_tight"), F.coalesce(F.col("x_bound") >= F.col("kth_tight"), F.lit(True)))
+                    .otherwise((F.coalesce("n_tight", F.lit(0)) == 0) & F.coalesce(F.col("x_bound") >= F.col("kth_family"), F.lit(True)))
+                ).drop(*have.columns[1:])
+            ring = self.found(part.drop("x_tight", "x_bound"), self.by_family, year, M.FAMILY, 1.0)
+            found = written(_best(ring if found is None else found.drop("rank").unionByName(ring), k), "family-matches")
+            full = lambda tier: F.min(F.when((F.col("tier") == tier) & (F.col("rank") == k), F.col("score")))
+            have = found.groupBy("s_id").agg(F.count_if(F.col("tier") == M.TIGHT).alias("n_tight"), full(M.TIGHT).alias("kth_tight"), full(M.FAMILY).alias("kth_family"))
+        return found
+
+    def of_class(self, subjects: DataFrame, year: int, least: int, families: int) -> DataFrame:
+        """The k best class matches of subjects (s_*) of known mileage that have ``least`` of
+        them, in as many families as asked. Such subjects have no sale of their own family
+        that passes: the family guards would have passed it."""
+        reach = M.most_years_apart(F.col("s_year"), year, M.CLASS)
+        asked = subjects.withColumns({"x_class": F.col("s_class"), "x_year": F.explode(F.sequence(F.col("s_year") - reach, F.col("s_year") + reach))})
+        asked = written(asked, "class-left")
+        cell_told = ["c_class", "c_year", "c_condition", "c_operability"]
+        near = self.asked(asked.join(self.classes, ["x_class", "x_year"]), year, M.CLASS).drop(*cell_told)
+        ring = self.found(self.by_class.places(near, _start()), self.by_class, year, M.CLASS, 0.58)
+        found = written(_best(ring, max(self.k, least)), "class-matches")
+        had = found.groupBy("s_id").agg(F.count(F.lit(1)).alias("x_n"), F.collect_set("c_family").alias("x_families")).filter(F.col("x_n") >= least)
+        had = written(had, "class-counts")
+        # Where the nearest are of too few families, others may lie farther off: one of each is enough.
+        few = had.filter(F.size("x_families") < families).select("s_id")
+        wide = self.asked(asked.join(few, "s_id").join(self.families, ["x_class", "x_year"]), year, M.CLASS).drop(*cell_told)
+        rest = self.found(self.by_family.places(wide, _start()), self.by_family, year, M.CLASS, 0.58, reach=3)
+        more = rest.groupBy("s_id").agg(F.collect_set("c_family").alias("x_more"))
+        sure = had.join(more, "s_id", "left").filter(F.size(F.array_union("x_families", F.coalesce("x_more", F.array().cast("array<string>")))) >= families).select("s_id")
+        return found.filter(F.col("rank") <= self.k).join(sure, "s_id", "left_semi")
+
+
+def _searchable() -> Column:
+    return F.coalesce(F.col("s_mileage") > 0, F.lit(False))
+
+
+def match_comparables(subjects: DataFrame, comps: DataFrame, as_of_year: int, *, k: int = 15, classes: list[str] | None = None, least: int = 3, families: int = 2) -> DataFrame:
+    """The k best comparables of the first tier that has any: tight, family, then class."""
     s, c = sides()
-    left = _renamed(subjects.filter(F.col("class").isin(classes) & F.col("year").isNotNull()), SUBJECT, "s_")
-    reach = M.most_years_apart(s["year"], reference_year, M.CLASS)
-    banded = left.withColumn("x_year", F.explode(F.sequence(s["year"] - reach, s["year"] + reach)))
-    pairs = banded.join(_renamed(comps, COMP, "c_"), (F.col("s_class") == F.col("c_class")) & (F.col("x_year") == F.col("c_year"))).drop("x_year")
-    pairs = pairs.filter(not_self() & M.guards(s, c, reference_year, M.CLASS))
-    score = F.when(s["family"] == c["family"], M.match_score(s, c, 1.0)).otherwise(M.match_score(s, c, 0.58))
+    sales = Sales(written(latest_per_vin(comps), "latest-sales"), k)
+    left = _renamed(subjects, SUBJECT, "s_").withColumn("s_mileage", F.col("s_mileage").cast("long"))
+    in_family = left.filter("s_family IS NOT NULL")
+    searched = sales.of_family(in_family.filter(_searchable()), as_of_year)
+    flat = _banded(in_family.filter(~_searchable()), sales.rows, as_of_year).filter(not_self() & M.guards(s, c, as_of_year, M.FAMILY))
+    flat = _best(flat.withColumns({"tier": _tier(as_of_year), "score": M.match_score(s, c, 1.0)}), k)
+    family = searched.unionByName(flat.select(*searched.columns))
+    first = F.min("tier").over(Window.partitionBy("s_id"))
+    family = written(family.withColumn("x_first", first).filter("tier = x_first").drop("x_first"), "matches")
+
+    rest = left.filter(F.col("s_class").isin(M.FALLBACK_CLASSES if classes is None else classes) & F.col("s_year").isNotNull()).join(family.select("s_id").distinct(), "s_id", "left_anti").select(*left.columns)
+    rest = written(rest, "rest")
+    wider = sales.of_class(rest.filter(_searchable()), as_of_year, least, families)
+    flat = _class_banded(rest.filter("s_mileage <= 0"), sales.rows, as_of_year).filter(not_self() & M.guards(s, c, as_of_year, M.CLASS))
     mine = Window.partitionBy("s_id")
-    enough = (F.count(F.lit(1)).over(mine) >= least) & (F.size(F.collect_set("c_family").over(mine)) >= families)
-    return pairs.withColumns({"tier": F.lit(M.CLASS), "score": score, "x_enough": enough}).filter("x_enough").drop("x_enough")
+    flat = flat.withColumn("x_enough", (F.count(F.lit(1)).over(mine) >= least) & (F.size(F.collect_set("c_family").over(mine)) >= families)).filter("x_enough").drop("x_enough")
+    flat = _best(flat.withColumns({"tier": F.lit(M.CLASS), "score": M.match_score(s, c, 0.58)}), k)
+    return family.unionByName(wider.select(*family.columns)).unionByName(flat.select(*family.columns))
 
 
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best of the best tier of each subject. Tiers come first in the order, so what
-    the cut leaves of a worse tier is only there if the better one is smaller than k."""
-    order = Window.partitionBy("s_id").orderBy("tier", F.desc("score"), F.desc("c_ended_at"), "c_auction_id")
-    top = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return top.withColumn("x_best", F.min("tier").over(Window.partitionBy("s_id"))).filter("tier = x_best").drop("x_best")
-
-
-def match_comparables(subjects: DataFrame, comps: DataFrame, as_of_year: int, *, k: int = 15, classes: list[str] | None = None) -> DataFrame:
-    """The k best comparables of the first tier that has any: tight, family, then class.
-
-    The sales are read once, dealt by family; the family tiers' result is written, and only
-    subjects that it leaves over are held against their class."""
-    comps = written(latest_per_vin(comps), "latest-sales")
-    family = written(_best(family_pairs(subjects, comps, as_of_year), k), "family-matches")
-    left = subjects.join(family.select(F.col("s_id").alias("id")).distinct(), "id", "left_anti").select(*subjects.columns)
-    wider = _best(class_pairs(left, comps, as_of_year, M.FALLBACK_CLASSES if classes is None else classes), k)
-    return family.unionByName(wider)
-
-
-def tier_counts(subjects: DataFrame, comps: DataFrame, as_of_year: int, classes: list[str] | None = None) -> DataFrame:
-    """id, tier, candidates: the tier that each subject is valued by, and its size before any cut."""
-    comps = written(latest_per_vin(comps), "latest-sales")
-    family = family_pairs(subjects, comps, as_of_year).groupBy("s_id").agg(F.min("tier").alias("tier"), F.count_if(F.col("tier") == M.TIGHT).alias("tight"), F.count(F.lit(1)).alias("all"))
-    family = written(family.select("s_id", "tier", F.when(F.col("tier") == M.TIGHT, F.col("tight")).otherwise(F.col("all")).alias("candidates")), "family-tiers")
-    left = subjects.join(family.select(F.col("s_id").alias("id")), "id", "left_anti").select(*subjects.columns)
-    wider = class_pairs(left, comps, as_of_year, M.FALLBACK_CLASSES if classes is None else classes)
-    wider = wider.groupBy("s_id").agg(F.min("tier").alias("tier"), F.count(F.lit(1)).alias("candidates"))
-    found = family.unionByName(wider).withColumnRenamed("s_id", "id")
+def tier_counts(subjects: DataFrame, comps: DataFrame, as_of_year: int, classes: list[str] | None = None, *, least: int = 3, families: int = 2) -> DataFrame:
+    """id, tier, candidates: the tier that each subject is valued by, and its size before any cut.
+
+    Sales are counted by what the guards look at before they meet subjects; a subject's own
+    auction and vehicle number are counted back."""
+    s, c = sides()
+    rows = _renamed(written(latest_per_vin(comps), "latest-sales"), COMP, "c_")
+    looks = ["c_family", "c_class", "c_year", "c_condition", "c_operability", "c_mileage"]
+    counts = written(rows.groupBy(*looks).agg(F.count(F.lit(1)).alias("n")), "counts")
+    left = _renamed(subjects, SUBJECT, "s_")
+    own = left.join(rows.select(*looks, "c_auction_id"), F.col("s_external_id") == F.col("c_auction_id"))
+    same = left.join(rows.select(*looks, "c_auction_id", "c_vin"), F.col("s_vin") == F.col("c_vin")).drop("c_vin")
+    own = own.unionByName(same).dropDuplicates(["s_id", "c_auction_id"]).drop("c_auction_id").withColumn("n", F.lit(-1).cast("long"))
+    own = written(own, "own-sales")
+
+    pairs = _banded(left, counts, as_of_year).unionByName(own.filter("s_family = c_family")).filter(M.guards(s, c, as_of_year, M.FAMILY)).withColumn("tier", _tier(as_of_year))
+    found = pairs.groupBy("s_id").agg(F.coalesce(F.sum(F.when(F.col("tier") == M.TIGHT, F.col("n"))), F.lit(0)).alias("tight"), F.sum("n").alias("all")).filter("all > 0")
+    tight = F.col("tight") > 0
+    found = written(found.select("s_id", F.when(tight, M.TIGHT).otherwise(M.FAMILY).alias("tier"), F.when(tight, F.col("tight")).otherwise(F.col("all")).alias("candidates")), "family-tiers")
+
+    fallback = F.col("s_class").isin(M.FALLBACK_CLASSES if classes is None else classes) & F.col("s_year").isNotNull()
+    rest = left.filter(fallback).join(found.select("s_id"), "s_id", "left_anti").select(*left.columns)
+    pairs = _class_banded(rest, counts, as_of_year).unionByName(own.filter(fallback).join(found.select("s_id"), "s_id", "left_anti").select(*own.columns)).filter(M.guards(s, c, as_of_year, M.CLASS))
+    of_family = pairs.groupBy("s_id", "c_family").agg(F.sum("n").alias("n")).filter("n > 0")
+    wider = of_family.groupBy("s_id").agg(F.sum("n").alias("candidates"), F.count("c_family").alias("x_families")).filter((F.col("candidates") >= least) & (F.col("x_families") >= families))
+    found = found.unionByName(wider.select("s_id", F.lit(M.CLASS).alias("tier"), "candidates")).withColumnRenamed("s_id", "id")
     return subjects.select("id").join(found, "id", "left").select("id", "tier", F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
@@ -111,19 +248,26 @@ def candidate_pool(subjects: DataFrame, comps: DataFrame, k: int = 200) -> DataF
     """id, auction_id, by, rank: at most k near sales, of the family or else of the class.
 
     The year gap comes first in the order, so the years are taken from the subject's own
-    outwards, and a subject that has k sales takes no part in wider gaps."""
+    outwards, and a subject that has k sales takes no part in wider gaps. Of a year it reads
+    the sales next to its own mileage."""
     s, c = sides()
-    comps = written(_renamed(comps.filter("year IS NOT NULL AND mileage IS NOT NULL"), ["auction_id", "family", "class", "year", "mileage", "vin", "ended_at"], "c_"), "pool-sales")
+    sales = _renamed(comps.filter("year IS NOT NULL AND mileage IS NOT NULL"), ["auction_id", "family", "class", "year", "mileage", "vin", "ended_at"], "c_")
+    sales = written(sales, "pool-sales")
+    # A search passes over its own auction and all sales of its own vehicle number.
+    own = sales.filter("c_vin IS NOT NULL").groupBy(F.col("c_vin").alias("vin")).agg(F.count(F.lit(1)).alias("n"))
+    reach = k + 1 + (subjects.select("vin").join(own, "vin").agg(F.max("n")).first()[0] or 0)
 
     def near(subjects: DataFrame, key: str, years: int, least: float, share: float) -> DataFrame:
+        rows = sales.filter(f"c_{key} IS NOT NULL").select(F.col(f"c_{key}").alias("x_key"), F.col("c_year").alias("x_year"), "c_auction_id", "c_mileage", "c_vin", "c_ended_at")
+        shelf = Shelf(rows, ["x_key", "x_year"], "c_mileage", [F.desc("c_ended_at"), "c_auction_id"], reach, block=64)
         found, left = None, _renamed(subjects, SUBJECT, "s_").filter(s[key].isNotNull() & s["year"].isNotNull() & s["mileage"].isNotNull()).withColumn("x_have", F.lit(0).cast("long"))
+        gap = F.abs(s["mileage"] - c["mileage"])
         for apart in range(years + 1):
             at = F.array(s["year"] - apart, s["year"] + apart) if apart else F.array(s["year"])
-            banded = left.withColumn("x_year", F.explode(at))
-            pairs = banded.join(comps, (F.col(f"s_{key}") == F.col(f"c_{key}")) & (F.col("x_year") == F.col("c_year")))
-            gap = F.abs(s["mileage"] - c["mileage"])
-            pairs = pairs.filter(not_self() & (gap <= F.greatest(F.lit(least), s["mileage"] * share)))
-            order = Window.partitionBy("s_id").orderBy(gap, F.desc("c_ended_at"), "c_auction_id")
+            asked = left.select(s[key].alias("x_key"), F.explode(at).alias("x_year"), "s_id", "s_external_id", "s_vin", "s_mileage", "x_have")
+            values = shelf.near(asked, F.col("s_mileage"), reach).withColumn("x_gap", gap).filter(F.col("x_gap") <= F.greatest(F.lit(least), s["mileage"] * share))
+            pairs = unpacked(enough(values, ["s_id"], [F.col("x_gap")], F.lit(reach) - F.col("x_have"))).filter(not_self())
+            order = Window.partitionBy("s_id").orderBy("x_gap", F.desc("c_ended_at"), "c_auction_id")
             top = pairs.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= k).withColumn("rank", (F.col("x_have") + F.col("turn")).cast("int"))
             ring = written(top.filter(F.col("rank") <= k).select(F.col("s_id").alias("id"), F.col("c_auction_id").alias("auction_id"), F.lit(key).alias("by"), "rank"), f"pool-{key}")
             found = ring if found is None else found.unionByName(ring)
@@ -138,4 +282,4 @@ def candidate_pool(subjects: DataFrame, comps: DataFrame, k: int = 200) -> DataF
 
     family = near(subjects, "family", 5, 40_000.0, 0.75)
     rest = subjects.join(family.select("id").distinct(), "id", "left_anti").select(*subjects.columns)
-    return family.unionByName(near(rest, "class", 2, 15_000.0, 0.35))
+    return family.unionByName(near(written(rest, "pool-rest"), "class", 2, 15_000.0, 0.35))
