@@ -11,24 +11,49 @@ from pyspark.sql import functions as F
 
 from gavelflow.functions.numbers import clamped, rounded, to_places
 from gavelflow.operators.quantiles import lower_element, middle_of
+from gavelflow.operators.shelves import Shelf, enough, unpacked
+from gavelflow.sources.scratch import written
 
 MOST_SALES = 25
 FLOOR_CENTS = 50_000
 
 
+def _identities(p: str) -> Column:
+    """The cells of a vehicle: its key, and its year, make and model whatever their case."""
+    named = F.concat_ws("\x1f", F.lit("named"), f"{p}_year", F.lower(f"{p}_make"), F.lower(f"{p}_model"))
+    whole = F.col(f"{p}_year").isNotNull() & F.col(f"{p}_make").isNotNull() & F.col(f"{p}_model").isNotNull()
+    return F.array_compact(F.array(F.concat(F.lit("key\x1f"), f"{p}_key"), F.when(whole, named)))
+
+
 def exact_identity_comps(subjects: DataFrame, ledger: DataFrame, as_of: Column, k: int = MOST_SALES) -> DataFrame:
-    """s_* and c_* of the k sales of the same vehicle with the nearest mileage.
+    """s_* and c_* of the k sales of the same vehicle with the nearest mileage; then sales of
+    unknown mileage; the latest first where the subject's is unknown. Same key, or same year,
+    make and model. external_id is unique in the ledger.
 
-    Same key, or same year, make and model whatever their case: two equi-joins and a
-    distinct, since one join on either would compare all with all."""
+    Each subject reads, from each of its two cells, the sales next to its mileage and the
+    first ones of unknown mileage, and so a few times k rows at most."""
     s = subjects.select(*[F.col(c).alias(f"s_{c}") for c in subjects.columns])
     sales = ledger.filter((F.col("closed_high_bid_cents") > 0) & (F.col("ended_at") <= as_of))
     c = sales.select(*[F.col(x).alias(f"c_{x}") for x in sales.columns])
-    same = (F.col("s_year") == F.col("c_year")) & (F.lower("s_make") == F.lower("c_make")) & (F.lower("s_model") == F.lower("c_model"))
-    pairs = s.join(c, F.col("s_key") == F.col("c_key")).unionByName(s.join(c, same)).filter(~F.col("s_external_id").eqNullSafe(F.col("c_external_id")))
-    pairs = pairs.dropDuplicates(["s_id", "c_external_id"])
+    c = written(c.withColumn("x_cell", F.explode(_identities("c"))), "sales-by-identity")
+    s = written(s.withColumn("x_cell", F.explode(_identities("s"))), "subjects-by-identity")
+    reach, latest = k + 1, [F.desc("c_ended_at"), "c_external_id"]  # one more, as the subject's own sale doesn't count
+    columns = [f"s_{x}" for x in subjects.columns] + [f"c_{x}" for x in sales.columns]
+
+    def first(rows: DataFrame) -> DataFrame:
+        turn = F.row_number().over(Window.partitionBy("x_cell").orderBy(*latest))
+        return rows.withColumn("x_turn", turn).filter(F.col("x_turn") <= reach).drop("x_turn")
+
+    known = F.col("s_mileage").isNotNull()
     gap = F.abs(F.col("s_mileage") - F.col("c_mileage"))
-    order = Window.partitionBy("s_id").orderBy(gap.asc_nulls_last(), F.desc("c_ended_at"), "c_external_id")
+    shelf = Shelf(c, ["x_cell"], "c_mileage", latest, reach)
+    near = shelf.near(s.filter(known), F.col("s_mileage"), reach).withColumn("x_gap", gap)
+    near = unpacked(enough(near, ["s_id", "x_cell"], [F.col("x_gap")], reach)).select(*columns)
+    unknown = s.filter(known).join(first(c.filter("c_mileage IS NULL")), "x_cell").select(*columns)
+    recent = s.filter(~known).join(first(c), "x_cell").select(*columns)
+    pairs = near.unionByName(unknown).unionByName(recent).filter(~F.col("s_external_id").eqNullSafe(F.col("c_external_id")))
+    pairs = pairs.dropDuplicates(["s_id", "c_external_id"])  # of both cells
+    order = Window.partitionBy("s_id").orderBy(gap.asc_nulls_last(), *latest)
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

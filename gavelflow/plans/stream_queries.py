@@ -103,11 +103,20 @@ def pick_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def publish_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two generations, three builds that are refused (repeated ids, no rows, a taken id), and
+    what is read before and after the newest expires."""
     g = Generations(spark, scratch_folder(spark, "board"))
     board = view(spark, sf_dir, "board").select("id", "status", "score")
     g.publish(board.filter("score > 90"), "g1", "1998-06-15 00:00:00")
     g.publish(board, "g2", "1998-06-15 01:00:00")
-    return g.read(board.schema, F.lit("1998-06-15 02:00:00").cast("timestamp"))
+    for broken, ident in ((board.unionByName(board), "g3"), (board.filter("false"), "g4"), (board.filter("score < 5"), "g2")):
+        try:
+            g.publish(broken, ident, "1998-06-15 01:30:00")
+        except ValueError:
+            continue
+        raise AssertionError(f"{ident} should have been refused")
+    at = lambda t: g.read(board.schema, F.lit(t).cast("timestamp")).withColumn("read_us", F.unix_micros(F.lit(t).cast("timestamp")))
+    return at("1998-06-15 02:00:00").unionByName(at("1998-06-15 02:10:00"))
 
 
 def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +151,8 @@ ORACLE_SQL = {
         t AS (SELECT snapshot_id, count(DISTINCT total) = 1 AND max(total) = count(DISTINCT id) AS complete FROM p GROUP BY snapshot_id)
         SELECT snapshot_id, id, price, complete FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY snapshot_id, id ORDER BY page DESC, pos DESC) = 1) JOIN t USING (snapshot_id)""",
     "pick_source": f"{ctes('board')} SELECT id, source, status FROM board WHERE source = 'fleet'",
-    "publish_and_read": f"{ctes('board')} SELECT id, status, score, false AS stale FROM board",
+    "publish_and_read": f"""{ctes('board')} SELECT id, status, score, TIMESTAMP '1998-06-15 01:00:00' + INTERVAL 70 MINUTE <= t AS stale, epoch_us(t) AS read_us
+        FROM board, (VALUES (TIMESTAMP '1998-06-15 02:00:00'), (TIMESTAMP '1998-06-15 02:10:00')) v(t)""",
     "ledger_view": f"""{ctes('comps')} SELECT auction_id, CASE WHEN operability = 'runs' AND condition = 'usable' THEN 'award' ELSE 'high-bid' END AS basis, closed_high_bid_cents FROM comps
         WHERE (operability = 'runs' AND condition = 'usable') OR (operability <> 'runs' AND closed_high_bid_cents > 5000000)""",
 }

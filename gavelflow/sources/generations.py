@@ -1,57 +1,124 @@
 """Publishing a board as generations, and reading the newest whole one.
 
-A generation is a folder of its own, written and verified before a one-row manifest
-beside it makes it visible; a build that fails never replaces the last good one.
+A build is written to a folder of its own name, verified there, and becomes a generation
+when a one-row manifest entry is renamed into place. That rename is exclusive: an id is
+taken once. A build that fails, is refused or dies takes nothing away from what was there;
+folders that no manifest entry names are removed when they are a day old.
+
+Rows lie sorted by id, with Parquet bloom filters on id and external_id, so that a lookup
+reads the row groups that can hold it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEPT = 2
-MANIFEST = "generation_id string, row_count long, generated_at timestamp, expires_at timestamp"
+MANIFEST = "generation_id string, build string, row_count long, generated_at timestamp, expires_at timestamp"
+IDS = ("id", "external_id")
 
 
 class Generations:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def publish(self, board: DataFrame, generation_id: str, generated_at: str, max_age_minutes: int = 70, most_rows: int | None = None) -> int:
-        """Rows published. Raises, and leaves what was there, where the id repeats or rows are none or too many."""
-        place = f"{self.root}/rows/generation_id={generation_id}"
-        board.write.mode("overwrite").parquet(place)
-        told = self.spark.read.schema(board.schema).parquet(place).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).first()
-        if not told.n or told.n != told.ids or (most_rows is not None and told.n > most_rows):
-            self._fs.delete(self._path(place), True)
-            raise ValueError(f"generation {generation_id} isn't whole: {told.n} rows, {told.ids} ids")
-        at = F.lit(generated_at).cast("timestamp")
-        row = self.spark.range(1).select(F.lit(generation_id).alias("generation_id"), F.lit(told.n).cast("long").alias("row_count"), at.alias("generated_at"), F.timestamp_micros(F.unix_micros(at) + max_age_minutes * 60_000_000).alias("expires_at"))
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/aside/{generation_id}")
-        self._fs.mkdirs(self._path(f"{self.root}/manifest"))
-        self._fs.rename(self._path(f"{self.root}/aside/{generation_id}"), self._path(f"{self.root}/manifest/of={generation_id}"))
-        for old in [r.generation_id for r in self.manifest().orderBy(F.desc("generated_at"), F.desc("generation_id")).select("generation_id").tail(1_000)[KEPT:]]:
-            self._fs.delete(self._path(f"{self.root}/manifest/of={old}"), True)
-            self._fs.delete(self._path(f"{self.root}/rows/generation_id={old}"), True)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(conf)
+
+    def _there(self, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.root}/{name}"))
+
+    def _delete(self, name: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
+    def _take(self, source: str, target: str) -> bool:
+        """Renames a folder, unless the target is there."""
+        sc = self.spark.sparkContext
+        jvm = sc._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration())
+        no_options = sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._fs.makeQualified(self._path(f"{self.root}/{source}")), self._fs.makeQualified(self._path(f"{self.root}/{target}")), no_options)
+        except Exception:
+            if self._there(target):
+                return False
+            raise
+        return True
+
+    def publish(self, board: DataFrame, generation_id: str, generated_at: str, max_age_minutes: int = 70, most_rows: int | None = None, block_bytes: int | None = None) -> int:
+        """Rows published. Raises, and leaves what was there, where the id is taken, or where rows
+        are none, too many, or have no or repeated ids."""
+        if self._there(f"manifest/of={generation_id}"):
+            raise ValueError(f"generation {generation_id} is there already")
+        build = uuid.uuid4().hex
+        place = f"{self.root}/rows/{build}"
+        try:
+            writer = board.repartitionByRange("id").sortWithinPartitions("id").write
+            for c in (c for c in IDS if c in board.columns):
+                writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+            if block_bytes:
+                writer = writer.option("parquet.block.size", block_bytes)
+            writer.parquet(place)
+            told = self.spark.read.schema(board.schema).parquet(place).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")).first()
+            if not told.n or told.n != told.ids or (most_rows is not None and told.n > most_rows):
+                raise ValueError(f"generation {generation_id} isn't whole: {told.n} rows, {told.ids} ids")
+            at = F.lit(generated_at).cast("timestamp")
+            row = self.spark.range(1).select(
+                F.lit(generation_id).alias("generation_id"), F.lit(build).alias("build"), F.lit(told.n).cast("long").alias("row_count"),
+                at.alias("generated_at"), F.timestamp_micros(F.unix_micros(at) + max_age_minutes * 60_000_000).alias("expires_at"),
+            )
+            row.coalesce(1).write.parquet(f"{self.root}/aside/{build}")
+            self._fs.mkdirs(self._path(f"{self.root}/manifest"))
+            if not self._take(f"aside/{build}", f"manifest/of={generation_id}"):
+                raise ValueError(f"generation {generation_id} was published meanwhile")
+        except Exception:
+            self._delete(f"rows/{build}")
+            self._delete(f"aside/{build}")
+            raise
+        self.retire()
         return told.n
 
+    def retire(self, orphan_hours: float = 24) -> None:
+        """Keeps the newest generations, and removes old folders that no entry names."""
+        entries = self.manifest().orderBy(F.desc("generated_at"), F.desc("generation_id"))
+        named = {m.build for m in entries.limit(KEPT).collect()}
+        for old in entries.offset(KEPT).collect():  # as many as were published since the last time
+            self._delete(f"manifest/of={old.generation_id}")
+            self._delete(f"rows/{old.build}")
+        before = self.spark.sparkContext._jvm.System.currentTimeMillis() - orphan_hours * 3_600_000
+        for folder in ("rows", "aside"):
+            for status in self._fs.listStatus(self._path(f"{self.root}/{folder}")) if self._there(folder) else ():
+                build = status.getPath().getName()
+                if build not in named and status.getModificationTime() < before:
+                    self._delete(f"{folder}/{build}")
+
     def manifest(self) -> DataFrame:
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest").select("generation_id", "row_count", "generated_at", "expires_at")
+        columns = T.StructType.fromDDL(MANIFEST)
+        if not self._there("manifest"):
+            return self.spark.createDataFrame([], columns)
+        return self.spark.read.schema(columns).parquet(f"{self.root}/manifest").select(*columns.names)
 
     def read(self, schema, now: Column) -> DataFrame | None:
-        """The newest generation that has as many rows as its manifest says, with ``stale``."""
+        """The newest generation whose files are there and have as many rows as its entry says,
+        with ``stale``; None where there is none."""
         for m in self.manifest().orderBy(F.desc("generated_at"), F.desc("generation_id")).limit(KEPT).collect():
-            rows = self.spark.read.schema(schema).parquet(f"{self.root}/rows/generation_id={m.generation_id}")
+            if not self._there(f"rows/{m.build}"):
+                continue
+            rows = self.spark.read.schema(schema).parquet(f"{self.root}/rows/{m.build}")
             if rows.count() == m.row_count:
                 return rows.withColumn("stale", F.lit(m.expires_at) <= now)
         return None
 
 
 def lookup(board: DataFrame, ident: str) -> DataFrame:
-    """The lot with this id or external id; pushed down to the files."""
-    return board.filter((F.col("id") == ident) | (F.col("external_id") == ident))
+    """The lot with this id or external id; pushed down to the files, of which the row groups
+    that their statistics and bloom filters rule out aren't read."""
+    known = [F.col(c) == ident for c in IDS if c in board.columns]
+    return board.filter(known[0] if len(known) == 1 else known[0] | known[1])
 
 
 def revision(df: DataFrame) -> DataFrame:
