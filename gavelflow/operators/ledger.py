@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gavelflow.functions.cadence import catch_up_windows
 from gavelflow.functions.deals import outcome_status
 from gavelflow.operators.history import last_write_wins
+from gavelflow.sources.monthly import MonthlyLedger
 
 ALWAYS, NEWER, KNOWN, CHANGED = "always", "newer", "known", "changed"
 
@@ -92,7 +93,14 @@ def refresh_corpus(previous: DataFrame, discovery: DataFrame, refreshed_before:
     return merge_corpus(previous, discovery, F.lit(now).cast("timestamp"), retention_days, key)
 
 
-def incremental_sync(ledger: DataFrame, source: DataFrame, cursor: DataFrame, now: Column, *, overlap_days: int = 2, most_days: int = 14) -> DataFrame:
+def newest_of(rows: DataFrame, keys: list[str], ties: list[str] | None = None) -> DataFrame:
+    """The last observation of each key; ties go to the largest values of the columns named,
+    by default of all others in their order."""
+    ties = [c for c in rows.columns if c not in (*keys, "observed_at")] if ties is None else ties
+    return last_write_wins(rows, keys, [F.desc("observed_at"), *[F.desc(c) for c in ties]])
+
+
+def incremental_sync(ledger: DataFrame, source: DataFrame, cursor: DataFrame, now: Column, *, overlap_days: int = 2, most_days: int = 14, ties: list[str] | None = None) -> DataFrame:
     """ledger after all windows from the cursor to now are read again from the source and merged.
 
     cursor: one row, covered_through. Windows overlap and merging is idempotent, so they are
@@ -100,8 +108,32 @@ def incremental_sync(ledger: DataFrame, source: DataFrame, cursor: DataFrame, no
     windows = catch_up_windows(cursor, now, overlap_days=overlap_days, most_days=most_days)
     reach = windows.agg(F.min("from_at").alias("x_from"), F.max("to_at").alias("x_to"))  # one row
     rows = source.crossJoin(F.broadcast(reach)).filter("ended_at >= x_from AND ended_at < x_to").drop("x_from", "x_to")
-    last = last_write_wins(rows, ["source_key", "external_id"], [F.desc("observed_at"), F.desc("closed_high_bid_cents"), F.desc("part_id"), F.desc("supplier_id")])
-    return upsert_comparables(ledger, last)
+    return upsert_comparables(ledger, newest_of(rows, ["source_key", "external_id"], ties))
+
+
+class WindowWalk:
+    """incremental_sync() window by window into a monthly ledger. Each window is merged and
+    then committed; a walk that dies goes on at the window that it died in."""
+
+    def __init__(self, months: MonthlyLedger, ties: list[str] | None = None):
+        self.months, self.ties, self.spark, self.commits = months, ties, months.spark, f"{months.root}/walk"
+
+    def cursor(self) -> DataFrame:
+        """One row: covered_through, null before the first commit."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.commits)
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        done = self.spark.read.schema("covered_through timestamp").parquet(self.commits) if there else self.spark.createDataFrame([], "covered_through timestamp")
+        return done.agg(F.max("covered_through").alias("covered_through"))
+
+    def run(self, source: DataFrame, now: str, *, overlap_days: int = 2, most_days: int = 14, bootstrap_days: int = 7) -> int:
+        """Windows committed. The source is scanned for one window at a time."""
+        windows = catch_up_windows(self.cursor(), F.lit(now).cast("timestamp"), bootstrap_days, overlap_days, most_days)
+        windows = windows.orderBy("step").select("from_at", "to_at").collect()  # as many as there are spans to catch up
+        for w in windows:
+            rows = source.filter((F.col("ended_at") >= F.lit(w.from_at)) & (F.col("ended_at") < F.lit(w.to_at)))
+            self.months.merge(newest_of(rows, self.months.keys, self.ties), upsert_comparables)
+            self.spark.range(1).select(F.lit(w.to_at).alias("covered_through")).coalesce(1).write.mode("append").parquet(self.commits)
+        return len(windows)
 
 
 def append_observations(current: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -325,18 +357,18 @@ def terminal_gate(rows: DataFrame, start: Column, end: Column) -> DataFrame:
     return told.withColumn("ok", ok)
 
 
-def backfill_windows(ledger: DataFrame, start: str, days: int = 14, windows: int = 40) -> DataFrame:
-    """Windows backwards from start: from_at, to_at, rows, and whether the walk goes on,
-    which ends after two empty windows in a row."""
-    spark = ledger.sparkSession
-    base = spark.range(windows).select(F.col("id").cast("int").alias("step"))
-    to = F.timestamp_micros(F.unix_micros(F.lit(start).cast("timestamp")) - F.col("step") * F.lit(days * 86_400_000_000))
-    base = base.withColumn("to_at", to).withColumn("from_at", F.timestamp_micros(F.unix_micros("to_at") - F.lit(days * 86_400_000_000)))
-    step = F.floor((F.unix_micros(F.lit(start).cast("timestamp")) - F.unix_micros("ended_at") - 1) / F.lit(days * 86_400_000_000)).cast("int")
-    counted = ledger.select(step.alias("step")).filter(F.col("step").between(0, windows - 1)).groupBy("step").agg(F.count(F.lit(1)).alias("rows"))
-    rows = base.join(counted, "step", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
-    order = Window.orderBy("step")  # at most ``windows`` rows
-    stop = (F.lag("rows").over(order) == 0) & (F.col("rows") == 0)
-    rows = rows.withColumn("x_stop", F.coalesce(stop, F.lit(False)).cast("int"))
-    before = F.coalesce(F.sum("x_stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("walked", before == 0).select("step", "from_at", "to_at", "rows", "walked")
+def backfill_windows(ledger: DataFrame, start: str, days: int = 14) -> DataFrame:
+    """The windows of a walk backwards from start: step, from_at, to_at, rows. The walk ends
+    with the second of two empty windows, however far back that is."""
+    length = F.lit(days * 86_400_000_000)
+    begin = F.unix_micros(F.lit(start).cast("timestamp"))
+    step = F.floor((begin - F.unix_micros("ended_at") - 1) / length).cast("int")
+    counted = ledger.select(step.alias("step")).filter("step >= 0").groupBy("step").agg(F.count(F.lit(1)).alias("rows"))  # a row for each window that has any
+    ends = ledger.sparkSession.range(1).select(F.lit(-1).alias("step"), F.lit(0).cast("long").alias("rows"))
+    order = Window.orderBy("step")
+    gaps = counted.unionByName(ends).withColumn("x_next", F.lead("step").over(order)).filter(F.col("x_next").isNull() | (F.col("x_next") - F.col("step") > 2))
+    last = gaps.agg((F.min("step") + 2).alias("x_last"))  # one row
+    steps = last.select(F.explode(F.sequence(F.lit(0), "x_last")).alias("step"))
+    rows = steps.join(counted, "step", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    to = F.timestamp_micros(begin - F.col("step") * length)
+    return rows.select("step", F.timestamp_micros(begin - (F.col("step") + 1) * length).alias("from_at"), to.alias("to_at"), "rows")

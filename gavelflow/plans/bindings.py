@@ -107,7 +107,7 @@ VIEWS = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "order_vehicles": """
         SELECT o_orderkey AS auction_id, lpad(CAST(o_orderkey AS STRING), 17, '0') AS vin, CAST(2000 + o_orderkey % 20 AS INT) AS year, 'make' AS make, o_orderpriority AS model, o_orderkey % 200000 AS mileage
-        FROM orders WHERE o_orderkey % 10 <> 3""",
+        FROM orders""",
     "raw_lots": """
         SELECT concat('gsa:sale:', CAST(o_orderkey AS STRING)) AS id, o_orderkey AS n, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_clerk END AS sale_number, CAST(o_orderkey % 100 AS STRING) AS lot_number,
                CASE WHEN o_orderkey % 13 = 0 THEN ' ' ELSE concat(CAST(1990 + o_orderkey % 30 AS STRING), ' ', c_mktsegment, ' ', o_orderpriority) END AS title,

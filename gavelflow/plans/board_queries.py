@@ -9,6 +9,8 @@ from gavelflow.functions import cadence
 from gavelflow.operators import board as B
 from gavelflow.operators import history, ledger
 from gavelflow.plans.bindings import AUCTION_NOW, STREAM_NOW, ctes, view
+from gavelflow.sources.monthly import MonthlyLedger
+from gavelflow.sources.scratch import scratch_folder
 
 SPLIT = "1998-06-01 00:00:00"
 #: Middle of the events.
@@ -107,6 +109,15 @@ def upsert_comparables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.upsert_comparables(*_updates(spark, sf_dir)).select("external_id", "closed_high_bid_cents", "mileage", "vin", "part_id")
 
 
+def monthly_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """upsert_comparables() into a ledger by month of end, read back."""
+    old, new = _updates(spark, sf_dir)
+    months = MonthlyLedger(spark, scratch_folder(spark, "monthly"), old.schema, ["source_key", "external_id"])
+    for part in (old, new):
+        months.merge(part, ledger.upsert_comparables)
+    return months.months().select("external_id", "closed_high_bid_cents", "mileage", "vin", "part_id", "month")
+
+
 def merge_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.merge_corpus(*_updates(spark, sf_dir), _ts("2001-12-01 00:00:00"), 1500).select("external_id", "closed_high_bid_cents")
 
@@ -158,8 +169,8 @@ def closing_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backfill_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "comp_updates").filter("month(ended_at) NOT IN (3, 4)")
-    return ledger.backfill_windows(rows, "2002-01-01 00:00:00").select("step", "rows", "walked")
+    out = ledger.backfill_windows(view(spark, sf_dir, "comp_updates"), "1999-01-01 00:00:00")
+    return out.select("step", F.unix_micros("from_at").alias("from_us"), "rows")
 
 
 def counts_by(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +188,7 @@ def terminal_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        board_query, board_closing, best_deals, board_sort, state_facets, board_kpis, source_coverage, retained_rows, merge_feeds, merge_authoritative, upsert_comparables, merge_corpus,
+        board_query, board_closing, best_deals, board_sort, state_facets, board_kpis, source_coverage, retained_rows, merge_feeds, merge_authoritative, upsert_comparables, monthly_merge, merge_corpus,
         upsert_auctions, archive_missing, close_out, close_bucket, sync_window, closing_candidates, backfill_windows, counts_by, ledger_recent, terminal_gate,
     )
 }
@@ -236,6 +247,11 @@ ORACLE_SQL = {
         CASE WHEN o.external_id IS NULL OR n.observed_at >= o.observed_at THEN n.closed_high_bid_cents ELSE o.closed_high_bid_cents END AS closed_high_bid_cents,
         CASE WHEN o.external_id IS NULL OR n.observed_at >= o.observed_at THEN n.mileage ELSE o.mileage END AS mileage, coalesce(n.vin, o.vin) AS vin,
         CASE WHEN o.external_id IS NULL OR n.observed_at >= o.observed_at THEN n.part_id ELSE o.part_id END AS part_id FROM old o FULL JOIN new n ON o.external_id = n.external_id""",
+    "monthly_merge": f"""{UPDATES} SELECT coalesce(n.external_id, o.external_id) AS external_id,
+        CASE WHEN o.external_id IS NULL OR n.observed_at >= o.observed_at THEN n.closed_high_bid_cents ELSE o.closed_high_bid_cents END AS closed_high_bid_cents,
+        CASE WHEN o.external_id IS NULL OR n.observed_at >= o.observed_at THEN n.mileage ELSE o.mileage END AS mileage, coalesce(n.vin, o.vin) AS vin,
+        CASE WHEN o.external_id IS NULL OR n.observed_at >= o.observed_at THEN n.part_id ELSE o.part_id END AS part_id,
+        strftime(CASE WHEN o.external_id IS NULL OR n.observed_at >= o.observed_at THEN n.ended_at ELSE o.ended_at END, '%Y-%m') AS month FROM old o FULL JOIN new n ON o.external_id = n.external_id""",
     "merge_corpus": f"""{UPDATES}, u AS (SELECT external_id, closed_high_bid_cents, ended_at FROM new UNION ALL SELECT external_id, closed_high_bid_cents, ended_at FROM old WHERE external_id NOT IN (SELECT external_id FROM new))
         SELECT external_id, closed_high_bid_cents FROM u WHERE ended_at >= TIMESTAMP '2001-12-01 00:00:00' - INTERVAL 1500 DAY""",
     "upsert_auctions": f"""{ctes('auctions')},
@@ -264,10 +280,9 @@ ORACLE_SQL = {
         SELECT external_id, CASE WHEN fresh THEN 'bootstrap' WHEN u < t THEN 'catch-up' ELSE 'incremental' END AS mode, f AS from_us, u AS to_us FROM w""",
     "closing_candidates": rf"""{ctes('seen_auctions')} SELECT external_id FROM seen_auctions WHERE status IN ('active', 'closing') AND ends_at <= {ENOW} + INTERVAL 30 MINUTE AND regexp_matches(external_id, '^[1-9][0-9]*$')
         ORDER BY CASE WHEN ends_at > {ENOW} THEN 0 ELSE 1 END, CASE WHEN ends_at > {ENOW} THEN ends_at END, CASE WHEN ends_at <= {ENOW} THEN last_checked_at END NULLS FIRST, external_id LIMIT 500""",
-    "backfill_windows": f"""{ctes('comp_updates')}, w AS (SELECT unnest(generate_series(0, 39)) AS step),
-        c AS (SELECT CAST(floor((epoch_us(TIMESTAMP '2002-01-01 00:00:00') - epoch_us(ended_at) - 1) / (14 * 86400000000)) AS INT) AS step, count(*) AS n FROM comp_updates WHERE month(ended_at) NOT IN (3, 4) GROUP BY 1),
-        r AS (SELECT w.step, coalesce(n, 0) AS rows FROM w LEFT JOIN c ON w.step = c.step), s AS (SELECT *, coalesce(rows = 0 AND lag(rows) OVER (ORDER BY step) = 0, false)::INT AS stop FROM r)
-        SELECT step, rows, coalesce(sum(stop) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS walked FROM s""",
+    "backfill_windows": f"""{ctes('comp_updates')}, c AS (SELECT CAST(floor((epoch_us(TIMESTAMP '1999-01-01 00:00:00') - epoch_us(ended_at) - 1) / (14 * 86400000000)) AS INT) AS step, count(*) AS n FROM comp_updates GROUP BY 1),
+        r AS (SELECT w.step, coalesce(n, 0) AS rows FROM (SELECT unnest(generate_series(0, (SELECT max(step) + 2 FROM c))) AS step) w LEFT JOIN c ON w.step = c.step), s AS (SELECT *, coalesce(rows = 0 AND lag(rows) OVER (ORDER BY step) = 0, false)::INT AS stop FROM r)
+        SELECT step, epoch_us(TIMESTAMP '1999-01-01 00:00:00') - (step + 1) * 14 * 86400000000 AS from_us, rows FROM s QUALIFY coalesce(sum(stop) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0""",
     "counts_by": f"""{ctes('board')} SELECT value, sum(n)::BIGINT AS n FROM (SELECT condition AS value, count(*) AS n FROM board GROUP BY 1 UNION ALL SELECT unnest(['good', 'fair', 'new', 'scrap']), 0) GROUP BY value""",
     "ledger_recent": f"""{ctes('comps')} SELECT auction_id, closed_high_bid_cents FROM comps ORDER BY ended_at DESC, auction_id LIMIT 100""",
     "terminal_gate": f"""{UPDATES}, t AS (SELECT count(*) AS rows, count(DISTINCT external_id) AS ids, count(*) FILTER (closed_high_bid_cents > 0) AS priced,

@@ -76,7 +76,7 @@ def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "comp_updates")
     old = history.last_write_wins(rows.filter("observed_at < TIMESTAMP '1998-01-01 00:00:00'"), ["source_key", "external_id"], [F.desc("observed_at"), F.desc("closed_high_bid_cents"), F.desc("part_id"), F.desc("supplier_id")])
     cursor = spark.range(1).select(F.lit("1997-12-20 00:00:00").cast("timestamp").alias("covered_through"))
-    out = ledger.incremental_sync(old, rows, cursor, F.lit("1999-01-01 00:00:00").cast("timestamp"))
+    out = ledger.incremental_sync(old, rows, cursor, F.lit("1999-01-01 00:00:00").cast("timestamp"), ties=["closed_high_bid_cents", "part_id", "supplier_id"])
     return out.select("external_id", "closed_high_bid_cents", "part_id")
 
 
