@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavelflow.operators.shelves import range_dealt
+
 
 def _order(df: DataFrame, by: str = "auction_id"):
     tie = "event_id" if "event_id" in df.columns else "bid_cents"
@@ -28,31 +30,76 @@ def last_write_wins(df: DataFrame, keys: list[str], order: list[Column]) -> Data
     return df.withColumn("x_turn", turn).filter("x_turn = 1").drop("x_turn")
 
 
+def _scanned(observations: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """observations with x_before (the fields of the auction's row before, null at its first)
+    and x_part, the stretch of the order that the row lies in.
+
+    Auctions are dealt out by ranges of (auction, time), so that a busy one is cut into
+    stretches that tasks scan by themselves; what a stretch starts from comes from a summary
+    of those before it."""
+    tie = "event_id" if "event_id" in observations.columns else "bid_cents"
+    dealt = range_dealt(observations, ["auction_id", "observed_at", tie], "observations")
+    at = F.struct("observed_at", tie, "x_tie")
+    here = Window.partitionBy("x_part", "auction_id").orderBy("observed_at", tie, "x_tie")
+    ends = dealt.groupBy("x_part", "auction_id").agg(F.max_by(F.struct(*fields), at).alias("x_row"))
+    carried = _carried(ends, F.last("x_row").over(_earlier()).alias("x_carried"))
+    rows = dealt.withColumn("x_before", F.lag(F.struct(*fields)).over(here)).join(F.broadcast(carried), ["x_part", "auction_id"], "left")
+    return rows.withColumn("x_before", F.coalesce("x_before", "x_carried")).drop("x_carried").withColumn("x_at", at)
+
+
+def _earlier() -> Window:
+    return Window.partitionBy("auction_id").orderBy("x_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _carried(summaries: DataFrame, *values: Column) -> DataFrame:
+    """What goes into stretches that continue an auction: at most one for each stretch."""
+    before = F.count(F.lit(1)).over(_earlier())
+    return summaries.select("x_part", "auction_id", *values, before.alias("x_n")).filter("x_n > 0").drop("x_n")
+
+
+def _running() -> Window:
+    return Window.partitionBy("x_part", "auction_id").orderBy("x_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _running_total(rows: DataFrame, name: str, value: Column, aggregate, combine) -> DataFrame:
+    """rows with name: the aggregate of value over the auction's rows up to this one."""
+    rows = rows.withColumn("x_value", value)
+    sums = rows.groupBy("x_part", "auction_id").agg(aggregate("x_value").alias("x_sum"))
+    carried = _carried(sums, aggregate("x_sum").over(_earlier()).alias("x_carried"))
+    rows = rows.withColumn("x_here", aggregate("x_value").over(_running())).join(F.broadcast(carried), ["x_part", "auction_id"], "left")
+    return rows.withColumn(name, combine(F.col("x_carried"), F.col("x_here"))).drop("x_value", "x_here", "x_carried")
+
+
 def change_points(observations: DataFrame, fields: tuple[str, ...] = ("bid_cents", "bidders", "status", "ends_at")) -> DataFrame:
-    """Observations whose fields differ from those of the one before; nulls are a value."""
-    order = _order(observations)
-    differs = F.lag(F.lit(1)).over(order).isNull()
+    """Observations whose fields differ from those of the one before; nulls are a value. All
+    observations of one time count, in order of their event."""
+    rows = _scanned(observations, fields)
+    differs = F.col("x_before").isNull()
     for f in fields:
-        differs = differs | ~F.col(f).eqNullSafe(F.lag(f).over(order))
-    return observations.withColumn("x_new", differs).filter("x_new").drop("x_new")
+        differs = differs | ~F.col(f).eqNullSafe(F.col(f"x_before.{f}"))
+    return rows.filter(differs).select(*observations.columns)
 
 
 def extension_count(observations: DataFrame) -> DataFrame:
     """With the running number of times the end moved later."""
-    order = _order(observations)
-    moved = (F.col("ends_at") > F.lag("ends_at").over(order)).cast("int")
-    held = observations.withColumn("x_moved", F.coalesce(moved, F.lit(0)))
-    return held.withColumn("extension_count", F.sum("x_moved").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("x_moved")
+    moved = F.coalesce((F.col("ends_at") > F.col("x_before.ends_at")).cast("int"), F.lit(0))
+    rows = _running_total(_scanned(observations, ("ends_at",)), "extension_count", moved, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + b)
+    return rows.select(*observations.columns, "extension_count")
 
 
 def effective_end(observations: DataFrame) -> DataFrame:
     """With an end that never moves earlier."""
-    return observations.withColumn("effective_ends_at", F.max("ends_at").over(_order(observations).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = _running_total(_scanned(observations, ("ends_at",)), "effective_ends_at", F.col("ends_at"), F.max, F.greatest)
+    return rows.select(*observations.columns, "effective_ends_at")
 
 
 def carry_forward_bid(observations: DataFrame) -> DataFrame:
     """With the last known bid where one is missing."""
-    return observations.withColumn("carried_bid_cents", F.last("bid_cents", ignorenulls=True).over(_order(observations).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = _scanned(observations, ("bid_cents",))
+    known = rows.groupBy("x_part", "auction_id").agg(F.max_by("bid_cents", F.when(F.col("bid_cents").isNotNull(), F.col("x_at"))).alias("x_bid"))
+    carried = _carried(known, F.last("x_bid", ignorenulls=True).over(_earlier()).alias("x_carried"))
+    rows = rows.withColumn("x_here", F.last("bid_cents", ignorenulls=True).over(_running())).join(F.broadcast(carried), ["x_part", "auction_id"], "left")
+    return rows.withColumn("carried_bid_cents", F.coalesce("x_here", "x_carried")).select(*observations.columns, "carried_bid_cents")
 
 
 def max_extension(auctions: DataFrame, observations: DataFrame) -> DataFrame:

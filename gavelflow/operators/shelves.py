@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gavelflow.sources.scratch import written
 
 
-def _dealt(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+def range_dealt(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows, range-partitioned by order, with x_part, the number of the range; written."""
     tied = rows.withColumn("x_tie", F.monotonically_increasing_id()).repartitionByRange(*order, "x_tie")
     return written(tied.withColumn("x_part", F.spark_partition_id()), name)
@@ -45,7 +45,7 @@ class Shelf:
         turn = F.row_number().over(Window.partitionBy(*cell, at).orderBy(*first))
         kept = rows.filter(F.col(at).isNotNull()).withColumn("x_turn", turn).filter(F.col("x_turn") <= keep)
         values = kept.groupBy(*cell, at).agg(F.collect_list(F.struct(*others)).alias("x_items"))  # at most `keep`
-        placed = _counted(_dealt(written(values, "shelf-values"), [*cell, at], "shelf-order"), cell, [at], F.lit(1))
+        placed = _counted(range_dealt(written(values, "shelf-values"), [*cell, at], "shelf-order"), cell, [at], F.lit(1))
         place = F.col("x_so_far") - 1
         self.values = written(placed.select(*cell, at, "x_items", place.alias("x_place"), F.floor(place / block).cast("long").alias("x_block")), "shelf")
 
@@ -58,7 +58,7 @@ class Shelf:
         marks = self.values.select(*self.cell, F.col(self.at).cast("double").alias("x_at"), F.lit(1).alias("x_kind"))
         asked = searches.select(*self.cell, start.cast("double").alias("x_at"), F.lit(0).alias("x_kind"), F.struct(*others).alias("x_search"))
         order = ["x_at", "x_kind"]
-        dealt = _dealt(asked.unionByName(marks, allowMissingColumns=True), [*self.cell, *order], "shelf-searches")
+        dealt = range_dealt(asked.unionByName(marks, allowMissingColumns=True), [*self.cell, *order], "shelf-searches")
         return _counted(dealt, self.cell, order, F.col("x_kind")).filter("x_kind = 0").select(*self.cell, "x_search.*", F.col("x_so_far").alias("x_start"))
 
     def read(self, placed: DataFrame, reach: int) -> DataFrame:

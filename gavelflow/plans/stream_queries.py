@@ -13,23 +13,25 @@ from gavelflow.sources.scratch import scratch_folder
 from gavelflow.streaming import bids
 
 
-FILES = 8
+#: Files at least, and rows of a file.
+FILES, FILE_ROWS = 8, 1_000_000
 
 
 def _landed(rows: DataFrame, root: str, at: str = "observed_at") -> str:
-    """The rows as files that land one after another in the order of time; the third lands
-    again after the others, as a replay of late rows."""
-    cuts = rows.agg(F.percentile_approx(F.unix_micros(at), [k / FILES for k in range(1, FILES)]).alias("c")).first().c or []
-    edges = [None, *sorted(set(cuts)), None]
-    spans = list(zip(edges, edges[1:], strict=False))
-    for lo, hi in [*spans, *spans[2:3]]:
-        inside = F.lit(True)
-        if lo is not None:
-            inside = inside & (F.unix_micros(at) >= lo)
-        if hi is not None:
-            inside = inside & (F.unix_micros(at) < hi)
-        rows.filter(inside).coalesce(1).write.mode("append").parquet(f"{root}/landed")
-    return f"{root}/landed"
+    """The rows as files of bounded size by ranges of time, written at once and dated so that a
+    stream takes them in order; the third lands again after the others, as a replay of late rows."""
+    place, spark = f"{root}/landed", rows.sparkSession
+    rows.repartitionByRange(max(FILES, -(-rows.count() // FILE_ROWS)), at).write.parquet(place)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(place)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    first = jvm.System.currentTimeMillis() - 1000 * len(files)
+    for k, file in enumerate(files):
+        fs.setTimes(file, first + 1000 * k, -1)
+    if len(files) > 2:
+        spark.read.schema(rows.schema).parquet(files[2].toString()).coalesce(1).write.mode("append").parquet(place)
+    return place
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +60,7 @@ def stream_reprice(spark: SparkSession, sf_dir: str) -> DataFrame:
     board = Q._identified(view(spark, sf_dir, "open_lots").drop("n")).withColumn("last_checked_at", F.lit("2020-01-01 00:00:00").cast("timestamp"))
     live = view(spark, sf_dir, "bid_observations").select(F.col("auction_id").cast("string").alias("id"), F.col("bid_cents").alias("current_bid_cents"), F.col("bidders").alias("bidder_count"), "status", "ends_at", F.col("observed_at").alias("last_checked_at"))
     root = scratch_folder(spark, "reprice")
-    bids.stream_reprice(_live(spark, live, root), board, *Q._evidence(spark, sf_dir), F.lit("2024-01-31 00:00:00").cast("timestamp"), root)
+    bids.stream_reprice(_live(spark, live, root), board, Q._evidence(spark, sf_dir)[0], F.lit("2024-01-31 00:00:00").cast("timestamp"), root)
     rows = spark.read.parquet(f"{root}/assessed")
     return history.last_write_wins(rows, ["id"], [F.desc("batch")]).select("id", "lot_status", "current_bid_cents", "forecast_expected", "status", "score", "tier")
 

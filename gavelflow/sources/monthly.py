@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BUCKETS = 64
+BUCKETS = 16
 NO_MONTH = "none"
 
 
@@ -73,14 +73,14 @@ class MonthlyLedger:
         # Rows of other keys in these months stay as they are.
         mine = current.drop("month").join(batch.select(*self.keys), self.keys, "left_semi").select(*self.schema.names)
         folded = fold(mine, incoming).select(*self.schema.names)
-        folded.withColumn("month", month_of(F.col(self.end))).write.partitionBy("month").parquet(f"{self.root}/pending/folded")
+        folded.withColumn("month", month_of(F.col(self.end))).write.parquet(f"{self.root}/pending/folded")
         folded = self._read("pending/folded", self.schema, "month")
         moved_to = [r.month for r in folded.select("month").distinct().collect()]
         touched = sorted({*months, *moved_to})
         theirs = self._read("rows", self.schema, "month").filter(F.col("month").isin(touched)).join(batch.select(*self.keys), self.keys, "left_anti")
-        theirs.select(*self.schema.names, "month").unionByName(folded).write.partitionBy("month").parquet(f"{self.root}/pending/rows")
+        theirs.select(*self.schema.names, "month").unionByName(folded).hint("rebalance", "month").write.partitionBy("month").parquet(f"{self.root}/pending/rows")
         kept = index.join(batch.select(*self.keys), self.keys, "left_anti").select(*self.keys, "month", "bucket")
-        kept.unionByName(folded.select(*self.keys, "month", bucket.alias("bucket"))).write.partitionBy("bucket").parquet(f"{self.root}/pending/keys")
+        kept.unionByName(folded.select(*self.keys, "month", bucket.alias("bucket"))).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/pending/keys")
         self.spark.createDataFrame([(m,) for m in touched], "month string").coalesce(1).write.parquet(f"{self.root}/pending/touched")
         self._fs.mkdirs(self._at("pending/READY"))
         self.finish()
@@ -92,8 +92,8 @@ class MonthlyLedger:
             touched = [r.month for r in self.spark.read.schema("month string").parquet(f"{self.root}/pending/touched").collect()]
             rows = self._read("pending/rows", self.schema, "month")
             left = {r.month for r in rows.select("month").distinct().collect()}
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{self.root}/rows")
+            rows.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{self.root}/rows")
             for month in sorted(set(touched) - left):
                 self._fs.delete(self._at(f"rows/month={month}"), True)
-            self._index("pending/keys").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/keys")
+            self._index("pending/keys").hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/keys")
         self._fs.delete(self._at("pending"), True)

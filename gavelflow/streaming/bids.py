@@ -2,7 +2,8 @@
 
 bid_events: auction_id, observed_at, bid_cents, bidders, status, ends_at, event_id. One
 stateful processor keeps, for each auction, the last state, its latest end and how often
-that moved; rows that are not newer than the state are replays and change nothing. Another
+that moved. Rows are taken in order of (observed_at, event_id), and all of one time count;
+rows that are not beyond the state in that order are replays and change nothing. Another
 keeps timers on the end of auctions that reach no terminal status. State goes after a day
 of silence, or when its last timer has run. A micro-batch is bounded by files a trigger, so
 what one auction brings at once is, too.
@@ -16,18 +17,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gavelflow.functions.cadence import GRACE, TERMINAL
 from gavelflow.operators import ledger as L
-from gavelflow.operators.history import last_write_wins
+from gavelflow.operators.forecasts import bid_aggression
+from gavelflow.operators.history import last_n_observations, last_write_wins
 from gavelflow.operators.opportunities import reprice_live
 
 EVENTS = "auction_id long, observed_at timestamp, bid_cents long, bidders int, status string, ends_at timestamp, event_id long"
 CHANGES = f"{EVENTS}, extension_count int, effective_ends_at timestamp"
-STATE = "observed_us long, bid_cents long, bidders int, status string, ends_us long, extensions int, latest_us long"
+STATE = "observed_us long, event_id long, bid_cents long, bidders int, status string, ends_us long, extensions int, latest_us long"
 SILENCE_MS = 24 * 3_600_000
 
 
@@ -50,13 +53,14 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     last = state.get if state.exists else None
     rows = pd.concat(list(batches)).sort_values(["observed_at", "event_id"], kind="stable")
     if last:
-        rows = rows[rows["observed_at"] > pd.Timestamp(last[0], unit="us")]
-    rows = rows.drop_duplicates("observed_at")
+        at = pd.Timestamp(last[0], unit="us")
+        rows = rows[(rows["observed_at"] > at) | ((rows["observed_at"] == at) & (rows["event_id"] > last[1]))]
+    rows = rows.drop_duplicates(["observed_at", "event_id"])
     if not len(rows):
         return
     before = rows[FIELDS].shift(1)
     if last:
-        first = [last[1], last[2], last[3], pd.NaT if last[4] is None else pd.Timestamp(last[4], unit="us")]
+        first = [last[2], last[3], last[4], pd.NaT if last[5] is None else pd.Timestamp(last[5], unit="us")]
         for field, value in zip(FIELDS, first, strict=True):
             before[field] = before[field].astype(object)
             before.iloc[0, before.columns.get_loc(field)] = value
@@ -65,12 +69,12 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         same &= (rows[field].isna() & before[field].isna()) | (rows[field] == before[field]).fillna(False).astype(bool)
     if not last:
         same.iloc[0] = False
-    moved = (rows["ends_at"] > pd.to_datetime(before["ends_at"])).cumsum() + (last[5] if last else 0)
+    moved = (rows["ends_at"] > pd.to_datetime(before["ends_at"])).cumsum() + (last[6] if last else 0)
     latest = rows["ends_at"].cummax().ffill()
-    if last and last[6] is not None:
-        latest = latest.fillna(pd.Timestamp(0)).clip(lower=pd.Timestamp(last[6], unit="us"))
+    if last and last[7] is not None:
+        latest = latest.fillna(pd.Timestamp(0)).clip(lower=pd.Timestamp(last[7], unit="us"))
     end = rows.iloc[-1]
-    told = (_micros(end["observed_at"]), _whole(end["bid_cents"]), _whole(end["bidders"]), None if pd.isna(end["status"]) else end["status"], _micros(end["ends_at"]), int(moved.iloc[-1]), _micros(latest.iloc[-1]))
+    told = (_micros(end["observed_at"]), int(end["event_id"]), _whole(end["bid_cents"]), _whole(end["bidders"]), None if pd.isna(end["status"]) else end["status"], _micros(end["ends_at"]), int(moved.iloc[-1]), _micros(latest.iloc[-1]))
     state.update(told)
     state.setTimeoutTimestamp(max(told[0] // 1000, state.getCurrentWatermarkMs()) + SILENCE_MS)
     out = rows.assign(extension_count=moved.astype("int32"), effective_ends_at=latest)[~same]
@@ -171,15 +175,33 @@ def with_changes(base: DataFrame, folder: str, keys: list[str], before: int | No
     return base.join(changed.select(*keys), keys, "left_anti").select(*base.columns).unionByName(changed.select(*base.columns))
 
 
-def stream_reprice(live: DataFrame, board: DataFrame, outcomes: DataFrame, trends: DataFrame, as_of, folder: str, **model) -> None:
+def _ring(batch: DataFrame, folder: str, number: int, n: int) -> DataFrame:
+    """The last n bids (auction_id, observed_at, bid_cents) of the auctions in the batch, from
+    what earlier batches left of them and the batch; written under the batch's number."""
+    kind, columns = "auction_id string, observed_at timestamp, bid_cents long", ["auction_id", "observed_at", "bid_cents"]
+    new = batch.select(F.col("id").alias("auction_id"), F.col("last_checked_at").alias("observed_at"), F.col("current_bid_cents").alias("bid_cents"))
+    spark = batch.sparkSession
+    old = _batches(spark, f"{folder}/bids", number, T.StructType.fromDDL(kind)).join(new.select("auction_id").distinct(), "auction_id", "left_semi")
+    newest = F.max("batch").over(Window.partitionBy("auction_id"))
+    old = old.withColumn("x_newest", newest).filter("batch = x_newest").select(*columns)
+    rows = last_n_observations(old.unionByName(new.select(*columns)).distinct(), n).select(*columns)
+    rows.write.mode("overwrite").parquet(f"{folder}/bids/batch={number}")
+    return spark.read.schema(kind).parquet(f"{folder}/bids/batch={number}")
+
+
+def stream_reprice(live: DataFrame, board: DataFrame, outcomes: DataFrame, as_of, folder: str, *, points: int = 24, **model) -> None:
     """Reprices the rows of the board that each micro-batch of live states changes, and writes
-    them under the batch's number in ``folder``/board (the rows' state) and /assessed.
+    them under the batch's number in ``folder``/board (the rows' state) and /assessed. How
+    hard an auction is bid for is read from its last ``points`` states, kept in /bids.
 
     live: streaming; id, current_bid_cents, bidder_count, status, ends_at, last_checked_at."""
 
     def fold(batch: DataFrame, number: int) -> None:
         current = with_changes(board, f"{folder}/board", ["id"], number)
         latest = last_write_wins(batch, ["id"], [F.desc("last_checked_at"), F.desc_nulls_last("current_bid_cents"), F.col("status"), F.desc("ends_at")])
+        last = _ring(batch, folder, number, points)
+        bid = latest.select(F.col("id").alias("auction_id"), "current_bid_cents")
+        trends = bid_aggression(last, bid, points).withColumnRenamed("auction_id", "id")
         out = reprice_live(current, latest, outcomes, trends, as_of, **model)
         out.write.mode("overwrite").parquet(f"{folder}/assessed/batch={number}")
         moved = board.sparkSession.read.schema(out.schema).parquet(f"{folder}/assessed/batch={number}")

@@ -6,17 +6,17 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from gavelflow.functions import cadence
-from gavelflow.operators import opportunities
+from gavelflow.operators import forecasts, history, opportunities
 from gavelflow.streaming import bids
 
 START = datetime(2024, 1, 1)
 
 
-def events():
-    """(auction_id, observed_at, bid_cents, bidders, status, ends_at, event_id), by time."""
+def events(tied=1):
+    """(auction_id, observed_at, bid_cents, bidders, status, ends_at, event_id), by time, so many at one time."""
     r, out = random.Random(6), []
     for k in range(240):
-        out.append((r.randrange(6), START + timedelta(minutes=10 * k), r.choice([None, 100, 100, 200]), r.choice([1, 1, None]), "active", START + timedelta(days=1, hours=r.choice([0, 0, 1, 2])), k))
+        out.append((r.randrange(6), START + timedelta(minutes=10 * (k - k % tied)), r.choice([None, 100, 100, 200]), r.choice([1, 1, None]), "active", START + timedelta(days=1, hours=r.choice([0, 0, 1, 2])), k))
     return out
 
 
@@ -29,7 +29,7 @@ def land(spark, rows, folder, schema, files=6):
 
 
 def test_change_points_over_batches(spark, tmp_path):
-    rows = events()
+    rows = events(tied=7)  # also over the border of two files
     land(spark, rows, str(tmp_path / "in"), bids.EVENTS)
     stream = bids.read_events(spark, str(tmp_path / "in"), 1)
     bids.run_to_table(bids.stream_change_points(stream, "400 days"), str(tmp_path / "out"), str(tmp_path / "check"))
@@ -49,6 +49,32 @@ def test_change_points_over_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == count  # a restart goes on where it stopped
 
 
+def test_scans_of_a_busy_auction_equal_plain_folds(spark):
+    """One auction has a third of all rows; the order is cut into stretches in the middle of it."""
+    r = random.Random(7)
+    when = lambda: None if r.random() < 0.02 else START + timedelta(minutes=r.randrange(80))
+    rows = [(1 if k % 3 == 0 else r.randrange(2, 12), when(), r.choice([None, None, 100, 200]), r.choice([1, None]), "active", r.choice([None, START, START + timedelta(hours=r.randrange(4))]), k) for k in range(900)]
+    df = spark.createDataFrame(rows, bids.EVENTS)
+    changed = {x.event_id for x in history.change_points(df).collect()}
+    moved = {x.event_id: x.extension_count for x in history.extension_count(df).collect()}
+    ends = {x.event_id: x.effective_ends_at for x in history.effective_end(df).collect()}
+    carried = {x.event_id: x.carried_bid_cents for x in history.carry_forward_bid(df).collect()}
+    want, last = (set(), {}, {}, {}), {}
+    for a, at, bid, n, status, end, k in sorted(rows, key=lambda x: (x[1] is not None, x[1] or START, x[6])):
+        before, moves, latest, known = last.get(a, (None, 0, None, None))
+        if before != (bid, n, status, end):
+            want[0].add(k)
+        if before and end and before[3] and end > before[3]:
+            moves += 1
+        latest = max(x for x in (latest, end) if x) if latest or end else None
+        known = known if bid is None else bid
+        want[1][k], want[2][k], want[3][k] = moves, latest, known
+        last[a] = ((bid, n, status, end), moves, latest, known)
+    assert (changed, moved, ends, carried) == want
+    stretches = history._scanned(df, ("bid_cents",)).filter("auction_id = 1").select("x_part").distinct().count()
+    assert stretches > 1
+
+
 def test_close_timers_run_by_event_time(spark, tmp_path):
     end = START + timedelta(hours=1)
     rows = [(1, START, 5, 1, "active", end, 1), (2, START, 5, 1, "active", end, 2), (3, START + timedelta(minutes=1), 5, 1, "active", None, 3)]
@@ -70,16 +96,19 @@ def test_reprices_over_batches_end_like_one(spark, tmp_path):
         "id string, current_bid_cents long, bidder_count int, status string, ends_at timestamp, last_checked_at timestamp, vin string, mileage long, valuation_status string, low_cents long, median_cents long, high_cents long, valuation_confidence double",
     )
     outcomes = spark.createDataFrame([], "id string, outcome_id string, close_cents long, match_score double, weight double")
-    trends = spark.createDataFrame([], "id string, aggression double, observations long")
     kind = "id string, current_bid_cents long, bidder_count int, status string, ends_at timestamp, last_checked_at timestamp"
     live = [(str(a), bid, n, status, end, at) for a, at, bid, n, status, end, _ in events()]
     land(spark, live, str(tmp_path / "in"), kind)
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    bids.stream_reprice(stream, board, outcomes, trends, now, str(tmp_path / "out"))
+    bids.stream_reprice(stream, board, outcomes, now, str(tmp_path / "out"))
     told = spark.read.parquet(str(tmp_path / "out" / "assessed"))
     assert told.select("batch").distinct().count() > 3
     got = {r.id: (r.current_bid_cents, r.last_checked_at, r.score, r.forecast_expected) for r in sorted(told.collect(), key=lambda r: r.batch)}
     last = {x[0]: x for x in live}
+    points = spark.createDataFrame([(x[0], x[5], x[1]) for x in live], "auction_id string, observed_at timestamp, bid_cents long")
+    bid = spark.createDataFrame([(k, x[1]) for k, x in last.items()], "auction_id string, current_bid_cents long")
+    trends = forecasts.bid_aggression(points, bid).withColumnRenamed("auction_id", "id")
+    assert trends.filter("observations = 24").count() == 6 and trends.filter("aggression > 0").count() > 0
     once = opportunities.reprice_live(board, spark.createDataFrame(list(last.values()), kind), outcomes, trends, now)
     assert got == {r.id: (r.current_bid_cents, r.last_checked_at, r.score, r.forecast_expected) for r in once.collect()}
     state = bids.with_changes(board, str(tmp_path / "out" / "board"), ["id"])
