@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gavelflow.functions.lot_text import decomposed
+
 # Families in order of precedence, on compacted make, model and title.
 FAMILY_RULES = [
     ("ford-f150", r"\bF?150\b|F150"), ("ford-f250", "F250"), ("ford-f350", "F350"), ("ford-f450", "F450"), ("ford-f550", "F550"), ("ford-ranger", "RANGER"),
@@ -33,7 +35,7 @@ CLASS_RULES = [
 
 def compact(c: Column) -> Column:
     """Capital letters and digits only, with brand aliases resolved."""
-    text = F.upper(F.coalesce(c, F.lit("")))
+    text = F.upper(decomposed(F.coalesce(c, F.lit(""))))
     for pattern, name in (("FORD MOTOR (?:CO|COMPANY)", "FORD"), ("CHEVROLET MOTOR DIVISION|CHEVROLET TRUCK", "CHEVROLET"), ("DODGE TRUCK|RAM TRUCK", "RAM")):
         text = F.regexp_replace(text, pattern, name)
     return F.regexp_replace(text, "[^A-Z0-9]+", "")

@@ -93,6 +93,7 @@ FEED_STATUSES = {
     "bulk": {"a": "active", "active": "active", "p": "preview", "preview": "preview", "": "scheduled", "s": "scheduled", "scheduled": "scheduled"},
     "live": {"active": "active", "preview": "preview", "closed": "ended", "ended": "ended", "complete": "ended", "awarded": "sold", "sold": "sold"},
 }
+FEED_STATUSES["catalog"] = FEED_STATUSES["bulk"]
 
 
 def ascii_words(pattern: str) -> str:
@@ -125,6 +126,16 @@ def _unicode_forms(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", re.sub(r"(?i)&#(?:(\d{1,7})|x([\da-f]{1,6}));?", number, t)))
 
 
+@F.pandas_udf(T.StringType())
+def _decomposed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+
+
+def decomposed(text: Column) -> Column:
+    """text with accents and compatibility forms taken apart (NFKD); only texts beyond ASCII leave the JVM."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _decomposed(text)).otherwise(text)
+
+
 def named_entities(text: Column) -> Column:
     for name, char in ENTITIES.items():
         if name != "amp":
@@ -221,7 +232,7 @@ def parse_time(c: Column) -> Column:
 
 def status_of(c: Column, feed: str = "bulk") -> Column:
     text = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    out = F.lit("unknown") if feed == "bulk" else F.lit(None).cast("string")
+    out = F.lit(None).cast("string") if feed == "live" else F.lit("unknown")
     for name, status in FEED_STATUSES[feed].items():
         out = F.when(text == name, status).otherwise(out)
     return out

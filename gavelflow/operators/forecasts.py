@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gavelflow.functions.deals import time_to_close_weight
 from gavelflow.functions.numbers import clamped, rounded, to_places
 from gavelflow.operators.history import last_n_observations
-from gavelflow.operators.quantiles import interpolated, weighted_quantile_of
+from gavelflow.operators.quantiles import interpolated, weighted_quantile
 
 LEAST_MATCH, LEAST_VALUATION_CONFIDENCE = 0.45, 0.2
 ROUNDING = 10_000
@@ -85,8 +85,10 @@ def reference_forecast(subjects: DataFrame, outcomes: DataFrame, trends: DataFra
     step = max(100, increment)
     # Weights in 1e-8: the supplied weight, at most 10, times the squared match of 4 places.
     weight = rounded(F.least(F.lit(10.0), F.col("weight")) * F.col("match_score") * F.col("match_score") * 1e8)
-    told = outcomes.withColumn("w", weight).groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("close_cents").alias("value"), F.col("w").alias("weight")))).alias("s"), F.avg("match_score").alias("match"))
-    told = told.select("id", "match", F.size("s").alias("n"), *[weighted_quantile_of(F.col("s"), q).alias(f"o{q}") for q in (2, 5, 8)])
+    weighed = outcomes.withColumn("w", weight)
+    told = weighed.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.avg("match_score").alias("match"))
+    quantiles = weighted_quantile(weighed, ["id"], "close_cents", "w", [2, 5, 8]).withColumnsRenamed({"q2": "o2", "q5": "o5", "q8": "o8"})
+    told = told.join(quantiles, "id")
     low, mid, high = F.col("low_cents"), F.col("median_cents"), F.col("high_cents")
     usable = F.coalesce((F.col("valuation_status") != "unavailable") & (F.col("valuation_confidence") >= LEAST_VALUATION_CONFIDENCE) & (low > 0) & (low <= mid) & (mid <= high), F.lit(False))
     rows = subjects.join(told, "id", "left").join(trends, "id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "x_valued": usable})

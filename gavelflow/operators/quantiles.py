@@ -24,13 +24,28 @@ def weighted_quantile_of(samples: Column, tenths: int, value: str = "value", wei
     return F.aggregate(samples, start, step, lambda a: a["found"])
 
 
-def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, tenths: list[int]) -> DataFrame:
-    """by, q<tenths>: the same over rows, for groups of any size. weight is a whole number."""
-    order = Window.partitionBy(*by).orderBy(value)
-    run = F.sum(weight).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum(weight).over(Window.partitionBy(*by))
-    held = df.withColumns({"x_run": run, "x_total": total})
-    return held.groupBy(*by).agg(*[F.min(F.when(F.col("x_run") * 10 >= F.col("x_total") * q, F.col(value))).alias(f"q{q}") for q in tenths])
+#: Width of the first histogram's bins.
+BIN = 1 << 16
+
+
+def weighted_quantile(df: DataFrame, by: list[str], value: str, weight: str, tenths: list[int], *, width: int = BIN) -> DataFrame:
+    """by, q<tenths>: weighted_quantile_of() over rows, for groups of any size. Values and
+    weights are whole numbers.
+
+    Weights are summed by bin of values, where they lie, then by value within the bins that
+    hold the quantiles; a group is at most (largest value / width) rows, then width rows."""
+    bin_of = F.floor(F.col(value) / width).cast("long")
+    rows = df.select(*by, F.col(value).alias("x_value"), F.col(weight).alias("x_weight"), bin_of.alias("x_bin"))
+    upto = Window.partitionBy(*by).orderBy("x_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bins = rows.groupBy(*by, "x_bin").agg(F.sum("x_weight").alias("x_sum"))
+    bins = bins.withColumns({"x_run": F.sum("x_sum").over(upto), "x_total": F.sum("x_sum").over(Window.partitionBy(*by))})
+    first = lambda q: F.min(F.when(F.col("x_run") * 10 >= F.col("x_total") * q, F.struct("x_bin", (F.col("x_run") - F.col("x_sum")).alias("x_before"))))
+    held = bins.groupBy(*by).agg(F.max("x_total").alias("x_total"), F.array(*[F.struct(F.lit(q).alias("x_q"), first(q).alias("x_in")) for q in tenths]).alias("x_each"))
+    held = held.select(*by, "x_total", F.explode("x_each").alias("x_one")).select(*by, "x_total", "x_one.x_q", "x_one.x_in.*")
+    inside = rows.join(held, [*by, "x_bin"]).groupBy(*by, "x_q", "x_total", "x_before", "x_value").agg(F.sum("x_weight").alias("x_sum"))
+    run = F.col("x_before") + F.sum("x_sum").over(Window.partitionBy(*by, "x_q").orderBy("x_value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    reached = inside.withColumn("x_run", run).filter(F.col("x_run") * 10 >= F.col("x_total") * F.col("x_q"))
+    return reached.groupBy(*by).agg(*[F.min(F.when(F.col("x_q") == q, F.col("x_value"))).alias(f"q{q}") for q in tenths])
 
 
 def interpolated(value: Column, q: float) -> Column:

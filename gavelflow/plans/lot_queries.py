@@ -49,9 +49,11 @@ def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spec_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.concat(F.lit("<p>Label: "), F.col("url"), F.lit("</p><li>Second : a <b>bold</b> value</li><p>label: "), F.col("page_id").cast("string"), F.lit("</p>"), F.col("html"))
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", lot_text.spec_map(html).alias("m"))
-    return rows.select("page_id", F.explode("m").alias("label", "value"))
+    """The labelled lines of all pages as they stand, and of their texts alone, by sentences."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    bare = F.regexp_replace("html", "(?i)</?(?:li|p)\\b[^>]*>", " ")
+    rows = pages.select("page_id", F.lit("page").alias("form"), lot_text.spec_map(F.col("html")).alias("m")).unionByName(pages.select("page_id", F.lit("text").alias("form"), lot_text.spec_map(bare).alias("m")))
+    return rows.select("page_id", "form", F.explode("m").alias("label", "value"))
 
 
 def image_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +144,12 @@ def _compact(text: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(upper(coalesce({text}, '')), 'FORD MOTOR (?:CO|COMPANY)', 'FORD', 'g'), 'CHEVROLET MOTOR DIVISION|CHEVROLET TRUCK', 'CHEVROLET', 'g'), 'DODGE TRUCK|RAM TRUCK', 'RAM', 'g'), '[^A-Z0-9]+', '', 'g')"
 
 
+def _plain(text: str) -> str:
+    for name, char in (("apos", "''"), ("gt", ">"), ("hellip", "…"), ("lt", "<"), ("nbsp", " "), ("ndash", "–"), ("mdash", "—"), ("quot", '"'), ("amp", "&")):
+        text = f"regexp_replace(regexp_replace({text}, '(?i)&{name};', '{char}', 'g'), '(?i)&{name}([^0-9a-z;]|$)', '{char}\\1', 'g')"
+    return f"trim(regexp_replace(regexp_replace({text}, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
 def _pick(names: list[str], by: str) -> str:
     return f"{names!r}[({by}) % {len(names)} + 1]"
 
@@ -160,7 +168,12 @@ ORACLE_SQL = {
     "coverage_report": f"""WITH {FACTS}, {LOTS} SELECT count(*) AS total, count(*) FILTER (is_vehicle) AS vehicles, count(*) FILTER (NOT is_vehicle) AS excluded,
         count(*) FILTER (regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')) AS with_vin, count(mileage) AS with_mileage, count(lots.body_type) AS with_body_type, count(year) AS with_year FROM lots JOIN facts USING (doc_id)""",
     "exclusion_counts": f"WITH {LOTS} SELECT reason, count(*) AS lots FROM lots WHERE NOT is_vehicle GROUP BY reason",
-    "spec_map": "SELECT page_id, 'label' AS label, page_id::VARCHAR AS value FROM pages UNION ALL SELECT page_id, 'second', 'a bold value' FROM pages",
+    "spec_map": f"""WITH f AS (SELECT page_id, 'page' AS form, html FROM pages UNION ALL SELECT page_id, 'text', regexp_replace(html, '(?i)</?(?:li|p)\\b[^>]*>', ' ', 'g') FROM pages),
+        b AS (SELECT page_id, form, html, list_filter(list_transform(regexp_extract_all(html, '(?i)<(?:li|p)\\b[^>]*>([\\s\\S]*?)</(?:li|p)\\s*>', 1), lambda x: {_plain('x')}), lambda x: x <> '') AS blocks FROM f),
+        l AS (SELECT page_id, form, CASE WHEN len(blocks) > 0 THEN blocks ELSE string_split(regexp_replace({_plain('html')}, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)) END AS lines FROM b),
+        e AS (SELECT page_id, form, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM l),
+        k AS (SELECT page_id, form, n, lower(trim(regexp_extract(line, '^([^:]{{2,45}}):', 1))) AS label, trim(regexp_extract(line, '^[^:]{{2,45}}:\\s*(.+)$', 1)) AS value FROM e WHERE regexp_matches(line, '^[^:]{{2,45}}:\\s*.+$'))
+        SELECT page_id, form, label, value FROM k QUALIFY row_number() OVER (PARTITION BY page_id, form, label ORDER BY n DESC) = 1""",
     "image_array": r"""WITH u AS (SELECT page_id, [regexp_replace(regexp_replace(url, '#.*$', ''), '(?i)^http://', 'https://'), 'https://a.example/' || (page_id % 3)] AS l FROM pages)
         SELECT page_id, CASE WHEN l[1] = l[2] THEN l[1] ELSE array_to_string(l, ' ') END AS images FROM u""",
     "canonical_family": f"""WITH {TITLES}, c AS (SELECT id, body, {_compact('make')} AS cm, {_compact("concat_ws(' ', make, model, CAST(1995 + id % 20 AS VARCHAR), make, model, p_name)")} AS txt, {_compact('model')} AS lab,

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavelflow.operators import market
+from gavelflow.operators import ledger, market
 from gavelflow.plans.bindings import AS_OF, ctes, view
+from gavelflow.plans.valuation_queries import VALUED, value_subjects
+from gavelflow.sources.scratch import written
 
 
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +43,24 @@ def resolve_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.resolve_valuation(s, cached, bundled, exact, offers, F.lit(AS_OF).cast("timestamp"))
 
 
+def _cached(offers: DataFrame) -> DataFrame:
+    """Offer values that were cached up to two days ago, and misses of an hour and less."""
+    missed = F.col("sample_size") < 3
+    rows = offers.select("id", F.when(missed, None).otherwise(F.col("median_cents")).alias("median_cents"), F.when(missed, "miss").otherwise("offers").alias("kind"), (F.col("sample_size") % 48).alias("hours"))
+    created = F.timestamp_micros(F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.when(F.col("kind") == "miss", F.col("hours") * 20 * 60_000_000).otherwise(F.col("hours") * 3_600_000_000))
+    return ledger.cache_valuations(rows, created)
+
+
+def resolve_in_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """resolve_valuation() over the values that the other operators find: cached offers,
+    comparables, exact sales and offers."""
+    subjects, now = _subjects(spark, sf_dir), F.lit(AS_OF).cast("timestamp")
+    bundled = value_subjects(spark, sf_dir).filter("status = 'available'").select("id", "median_cents", F.when(F.col("confidence") < 0.4, F.timestamp_micros(F.unix_micros(now) - 86_400_000_000)).otherwise(now).alias("as_of"))
+    exact = written(exact_identity_valuation(spark, sf_dir), "exact").select("id", "median_cents", now.alias("as_of"), "sample_size")
+    offers = written(market_offer_valuation(spark, sf_dir), "offers")
+    return market.resolve_valuation(subjects, _cached(offers), bundled, exact, offers.select("id", "median_cents"), now)
+
+
 def enrich_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     lots = parts.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_partkey") % 300).alias("vin"), F.col("p_size").alias("year"), F.col("p_brand").alias("make"), F.col("p_type").alias("model"))
@@ -55,7 +75,7 @@ def attach_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.attach_details(listings, details).select("id", "detail_id", F.coalesce("error_code", F.lit("")).alias("error_code"))
 
 
-QUERIES = {f.__name__: f for f in (exact_identity_valuation, market_offer_valuation, resolve_valuation, enrich_identity, attach_details)}
+QUERIES = {f.__name__: f for f in (exact_identity_valuation, market_offer_valuation, resolve_valuation, resolve_in_one, enrich_identity, attach_details)}
 
 SUBJECTS = f"""{ctes('comps', 'subjects', 'offers')},
     s AS (SELECT id, external_id, year || '|' || family AS key, year, family, family AS make, upper(class) AS model, lower(substring(class, 1, 3)) AS trim, CASE WHEN external_id::BIGINT % 7 = 0 THEN NULL ELSE mileage END AS mileage, external_id::BIGINT % 4 * -0.1::DOUBLE AS adj FROM subjects)"""
@@ -89,3 +109,11 @@ ORACLE_SQL = {
     "attach_details": """SELECT p_partkey AS id, s_suppkey + s_suppkey % 3 * 300 AS detail_id, CASE WHEN p_partkey % 5 = 0 THEN 'missing-vin' WHEN s_suppkey IS NULL THEN 'not-found' WHEN s_suppkey + s_suppkey % 3 * 300 <> p_partkey THEN 'id-mismatch' WHEN p_partkey % 2 <> 1 THEN 'sale-mismatch' ELSE '' END AS error_code
         FROM part LEFT JOIN supplier ON p_partkey % 5 > 0 AND p_partkey % 300 = s_suppkey""",
 }
+ORACLE_SQL["resolve_in_one"] = f"""WITH b AS ({VALUED} SELECT id, median_cents, CASE WHEN confidence < 0.4 THEN TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY ELSE TIMESTAMP '{AS_OF}' END AS as_of FROM valued WHERE status = 'available'),
+    e AS ({ORACLE_SQL["exact_identity_valuation"]}), o AS ({ORACLE_SQL["market_offer_valuation"]}),
+    k AS (SELECT id, CASE WHEN sample_size >= 3 THEN median_cents END AS median_cents, CASE WHEN sample_size < 3 THEN 60 - sample_size % 48 * 20 > 0 ELSE 24 - sample_size % 48 > 0 END AS live FROM o),
+    s AS (SELECT 'lot:' || p_partkey AS id FROM part),
+    f AS (SELECT s.id, k.median_cents AS km, coalesce(k.live, false) AS live, b.median_cents AS bm, e.median_cents AS em, o.median_cents AS om, coalesce(e.sample_size >= 3 AND TIMESTAMP '{AS_OF}' > b.as_of, false) AS newer
+        FROM s LEFT JOIN k USING (id) LEFT JOIN b USING (id) LEFT JOIN e USING (id) LEFT JOIN o USING (id)),
+    g AS (SELECT *, CASE WHEN live AND km IS NOT NULL THEN 'cache' WHEN bm IS NOT NULL AND newer THEN 'exact' WHEN bm IS NOT NULL THEN 'bundled' WHEN live THEN 'negative-cache' WHEN om IS NOT NULL THEN 'offers' WHEN em IS NOT NULL THEN 'exact' ELSE 'unavailable' END AS source FROM f)
+    SELECT id, source, CASE source WHEN 'cache' THEN km WHEN 'exact' THEN em WHEN 'bundled' THEN bm WHEN 'offers' THEN om END::BIGINT AS median_cents FROM g"""

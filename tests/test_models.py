@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gavelflow.functions import cadence, deals, identity, lot_text
-from gavelflow.operators import board, comparables, forecasts, history, ledger, valuation
+from gavelflow.operators import board, comparables, forecasts, history, ledger, quantiles, valuation
 from gavelflow.operators.quantiles import weighted_quantile
 from gavelflow.sources import gates
 
@@ -170,3 +170,20 @@ def test_specs_of_lines_and_sentences(spark):
     rows = spark.createDataFrame([("<ul><li>Color: red</li><li>none</li><li>color : <b>blue</b></li></ul> VIN: x",), ("Engine: V8. Doors: four! Clean",), ("",), (None,)], "h string")
     got = [r.m for r in rows.select(lot_text.spec_map(F.col("h")).alias("m")).collect()]
     assert got == [{"color": "blue"}, {"engine": "V8.", "doors": "four!"}, {}, None]
+
+
+def test_weighted_quantile_over_rows_equals_that_of_arrays(spark):
+    r = random.Random(9)
+    rows = [(r.choice("abc") if k % 3 else "big", r.choice([r.randrange(1, 40), r.randrange(1, 10**7)]), r.choice([0, 1, 7, 10**6])) for k in range(900)] + [("one", 5, 3), ("none", 5, 0), ("none", 4, 0)]
+    df = spark.createDataFrame(rows, "g string, v long, w long")
+    sorted_rows = F.sort_array(F.collect_list(F.struct(F.col("v").alias("value"), F.col("w").alias("weight"))))
+    want = df.groupBy("g").agg(sorted_rows.alias("s")).select("g", *[quantiles.weighted_quantile_of(F.col("s"), q).alias(f"q{q}") for q in (2, 5, 8)])
+    for width in (16, 1 << 16):
+        assert {tuple(x) for x in quantiles.weighted_quantile(df, ["g"], "v", "w", [2, 5, 8], width=width).collect()} == {tuple(x) for x in want.collect()}
+
+
+def test_accents_fold_in_identities_and_catalog_statuses(spark):
+    got = spark.createDataFrame([("Citroën ﬁne ²",), ("Škoda",), (None,), ("Ford Motor Co",)], "m string").select(identity.compact(F.col("m")).alias("c")).collect()
+    assert [x.c for x in got] == ["CITROENFINE2", "SKODA", "", "FORD"]
+    told = spark.createDataFrame([("A",), (" preview",), (None,), ("closed",)], "s string").select(lot_text.status_of(F.col("s"), "catalog").alias("t")).collect()
+    assert [x.t for x in told] == ["active", "preview", "scheduled", "unknown"]
