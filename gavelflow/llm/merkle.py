@@ -24,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,18 +96,23 @@ def leaf_of(*values: Column) -> Column:
     return F.sha2(F.concat(*[field(v) for v in values]).cast("binary"), 256)
 
 
-def _subtree(frame: pd.DataFrame, height: int) -> pd.DataFrame:
+def _table(rows: list[tuple], **kinds: pa.DataType) -> pa.Table:
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return pa.table({name: pa.array(list(column), kind) for (name, kind), column in zip(kinds.items(), columns)})
+
+
+def _subtree(nodes: pa.Table, height: int) -> pa.Table:
     """Levels above up to 2**height consecutive nodes of one tree: tree, level, at, digest, n (nodes of the level in the tree)."""
-    frame = frame.sort_values("at")
-    tree, level, n = int(frame["tree"].iloc[0]), int(frame["level"].iloc[0]), int(frame["n"].iloc[0])
-    first, here, out = int(frame["at"].iloc[0]), list(frame["digest"]), []
+    nodes = nodes.sort_by("at")
+    tree, level, n, first = (nodes[c][0].as_py() for c in ("tree", "level", "n", "at"))
+    here, out = nodes["digest"].to_pylist(), []
     for _ in range(height):
         if n == 1:
             break
         here = [digest(*here[i : i + 2]) for i in range(0, len(here), 2)]
         level, first, n = level + 1, first >> 1, (n + 1) >> 1
         out += [(tree, level, first + i, h, n) for i, h in enumerate(here)]
-    return pd.DataFrame(out, columns=["tree", "level", "at", "digest", "n"])
+    return _table(out, tree=pa.int64(), level=pa.int32(), at=pa.int64(), digest=pa.string(), n=pa.int64())
 
 
 def built(leaves: DataFrame, scratch: Scratch, name: str, height: int) -> DataFrame:
@@ -117,7 +122,7 @@ def built(leaves: DataFrame, scratch: Scratch, name: str, height: int) -> DataFr
     nodes, level = base.select("tree", "level", "at", "digest"), 0
     while size_at(most, level) > 1:
         block = F.shiftright("at", height).alias("block")
-        above = base.filter("n > 1").groupBy("tree", block).applyInPandas(lambda frame: _subtree(frame, height), NODE + ", n long")
+        above = base.filter("n > 1").groupBy("tree", block).applyInArrow(lambda nodes: _subtree(nodes, height), NODE + ", n long")
         level += height
         above = scratch.save(above, f"{name}{level}")
         nodes = nodes.unionByName(above.select("tree", "level", "at", "digest"))
@@ -162,34 +167,36 @@ class Manifest:
         shift, n_trees = self.height, self.n_trees
         block = F.shiftright("at", shift).alias("block")
 
-        def needs(frame: pd.DataFrame) -> pd.DataFrame:
-            tree, n, b = int(frame["tree"].iloc[0]), int(frame["n"].iloc[0]), int(frame["at"].iloc[0]) >> shift
-            want = [(tree, *c) for c in missing(0, frame["at"].tolist(), n)] + [(TOP, *c) for c in missing(0, [tree], n_trees)]
+        def needs(leaves: pa.Table) -> pa.Table:
+            places = leaves["at"].to_pylist()
+            tree, n, b = leaves["tree"][0].as_py(), leaves["n"][0].as_py(), places[0] >> shift
+            want = [(tree, *c) for c in missing(0, places, n)] + [(TOP, *c) for c in missing(0, [tree], n_trees)]
             want += [(tree, levels_of(n), 0), (TOP, levels_of(n_trees), 0)]  # what the proofs are held against
-            return pd.DataFrame([(tree, b, *w) for w in want], columns=["of_tree", "of_block", "tree", "level", "at"])
-
-        def proved(frame: pd.DataFrame, fetched: pd.DataFrame) -> pd.DataFrame:
-            if frame.empty:
-                return pd.DataFrame(columns=["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
-            tree, n = int(frame["tree"].iloc[0]), int(frame["n"].iloc[0])
-            own, top = {(0, at): leaf for at, leaf in zip(frame["at"], frame["leaf"])}, {}
-            for t, level, at, h in fetched[["tree", "level", "at", "digest"]].itertuples(index=False):
-                (top if t == TOP else own)[level, at] = h
-            subroot, root = own[levels_of(n), 0], top[levels_of(n_trees), 0]
-            derived(own, frame["at"].tolist(), n)
-            above = siblings(top, tree, n_trees)
-            out = []
-            for doc_id, leaf, forged, at in frame[["doc_id", "leaf", "tampered", "at"]].itertuples(index=False):
-                path = siblings(own, at, n) + above
-                reached = folded(leaf if forged is None or forged != forged else forged, path)
-                out.append((doc_id, leaf, subroot, root, digest(*[other for other, _ in path]), reached, reached == root))
-            return pd.DataFrame(out, columns=["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"])
+            return _table([(tree, b, *w) for w in want], of_tree=pa.int64(), of_block=pa.int64(), tree=pa.int64(), level=pa.int32(), at=pa.int64())
 
-        asked = wanted.select("tree", "at", "n").groupBy("tree", block).applyInPandas(needs, "of_tree long, of_block long, tree long, level int, at long")
+        def proved(leaves: pa.Table, fetched: pa.Table) -> pa.Table:
+            out = []
+            if len(leaves):
+                tree, n, places = leaves["tree"][0].as_py(), leaves["n"][0].as_py(), leaves["at"].to_pylist()
+                digests = leaves["leaf"].to_pylist()
+                own, top = {(0, at): leaf for at, leaf in zip(places, digests)}, {}
+                for t, level, at, h in zip(*(fetched[c].to_pylist() for c in ("tree", "level", "at", "digest"))):
+                    (top if t == TOP else own)[level, at] = h
+                subroot, root = own[levels_of(n), 0], top[levels_of(n_trees), 0]
+                derived(own, places, n)
+                above = siblings(top, tree, n_trees)
+                for doc_id, leaf, forged, at in zip(leaves["doc_id"].to_pylist(), digests, leaves["tampered"].to_pylist(), places):
+                    path = siblings(own, at, n) + above
+                    reached = folded(forged or leaf, path)
+                    out.append((doc_id, leaf, subroot, root, digest(*[other for other, _ in path]), reached, reached == root))
+            text = pa.string()
+            return _table(out, doc_id=text, leaf=text, subroot=text, root=text, proof_sha256=text, folded_root=text, verified=pa.bool_())
+
+        asked = wanted.select("tree", "at", "n").groupBy("tree", block).applyInArrow(needs, "of_tree long, of_block long, tree long, level int, at long")
         fetched = self.scratch.save(asked.join(self.nodes, ["tree", "level", "at"]), "fetched")
         kind = self.leaves.schema["doc_id"].dataType.simpleString()
         left = wanted.withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("tree", block)
-        found = left.cogroup(fetched.groupBy("of_tree", "of_block")).applyInPandas(proved, "doc_id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
+        found = left.cogroup(fetched.groupBy("of_tree", "of_block")).applyInArrow(proved, "doc_id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
         return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
