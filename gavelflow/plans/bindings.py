@@ -80,6 +80,9 @@ VIEWS = {
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""",
     "checks": """
         SELECT CAST(ts AS TIMESTAMP) AS checked_at, CAST(event_id % 2 AS INT) AS success, CASE WHEN event_id % 3 = 0 THEN 'complete' ELSE 'partial' END AS coverage FROM events""",
+    "state_checks": """
+        SELECT n_name AS state, CAST(event_id % 2 AS INT) AS success, CASE WHEN event_id % 3 = 0 THEN 'complete' ELSE 'partial' END AS coverage
+        FROM events JOIN nation ON user_id % 25 = n_nationkey WHERE event_type = 'purchase'""",
     "seen_auctions": """
         SELECT CAST(event_id AS STRING) AS external_id, event_id AS auction_id, CASE WHEN event_id % 4 = 0 THEN 'fleet' ELSE 'lots' END AS source_key, CAST(event_id % 3 AS INT) AS bidder_count, CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'preview' WHEN 'purchase' THEN 'closing' WHEN 'error' THEN 'ended' ELSE 'sold' END AS status,
                CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(floor(CAST(value AS DOUBLE) * 100 + CAST(0.5 AS DOUBLE)) AS BIGINT) END AS current_bid_cents,
@@ -158,6 +161,7 @@ BASE = {
     "deals": ["orders"],
     "board": ["orders", "customer", "nation"],
     "checks": ["events"],
+    "state_checks": ["events", "nation"],
     "seen_auctions": ["events"],
     "vehicles": ["events"],
     "live_auctions": ["orders"],

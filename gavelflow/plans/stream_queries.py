@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gavelflow.operators import history, ledger
 from gavelflow.plans.bindings import ctes, view
 from gavelflow.sources import payloads
-from gavelflow.sources.generations import Generations
+from gavelflow.sources.generations import Generations, lookup
 from gavelflow.sources.scratch import scratch_folder
 from gavelflow.streaming import bids
 
@@ -104,6 +104,31 @@ def pick_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.pick_source(rows, health, F.lit("1998-06-15 06:00:00").cast("timestamp"), ["lots", "fleet"])
 
 
+def durable_or_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By state: usable sales before June 1998 as the durable ones, later ones as the recent window."""
+    rows = view(spark, sf_dir, "comps").select("auction_id", "state", "ended_at", "condition")
+    june = F.lit("1998-06-01 00:00:00").cast("timestamp")
+    recent = rows.filter(F.col("ended_at") >= june).drop("ended_at", "condition")
+    durable = rows.filter((F.col("ended_at") < june) & (F.col("condition") == "usable")).drop("ended_at", "condition")
+    advertised = recent.groupBy("state").agg((F.count(F.lit(1)) + F.when(F.col("state") < "F", 1).otherwise(0)).alias("advertised"))
+    return payloads.durable_or_recent(durable, view(spark, sf_dir, "state_checks"), recent, advertised, "state")
+
+
+def max_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = history.extension_count(view(spark, sf_dir, "bid_observations"))
+    return history.max_extension(view(spark, sf_dir, "live_auctions").select("auction_id"), counted)
+
+
+def lookup_opportunity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One lot of a published board by its id, one by its external id, and one that isn't there."""
+    g = Generations(spark, scratch_folder(spark, "board"))
+    board = view(spark, sf_dir, "board").select("id", F.col("vin").alias("external_id"), "status", "score").filter("external_id IS NOT NULL")
+    g.publish(board, "g1", "1998-06-15 00:00:00")
+    rows = g.read(board.schema, F.lit("1998-06-15 00:30:00").cast("timestamp"))
+    found = [lookup(rows, ident) for ident in ("lot-7", "00000000000000032", "lot-nothing")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).drop("stale")
+
+
 def publish_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two generations, three builds that are refused (repeated ids, no rows, a taken id), and
     what is read before and after the newest expires."""
@@ -129,7 +154,7 @@ def ledger_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(award | bid).select("auction_id", F.when(award, "award").otherwise("high-bid").alias("basis"), "closed_high_bid_cents")
 
 
-QUERIES = {f.__name__: f for f in (stream_change_points, stream_extensions, stream_ledger, stream_reprice, stream_close_timers, incremental_sync, assemble_catalog, pick_source, publish_and_read, ledger_view)}
+QUERIES = {f.__name__: f for f in (stream_change_points, stream_extensions, stream_ledger, stream_reprice, stream_close_timers, incremental_sync, assemble_catalog, pick_source, durable_or_recent, max_extension, lookup_opportunity, publish_and_read, ledger_view)}
 
 ORDER = "OVER (PARTITION BY auction_id ORDER BY observed_at, event_id)"
 ORACLE_SQL = {
@@ -152,7 +177,15 @@ ORACLE_SQL = {
     "assemble_catalog": """WITH p AS (SELECT l_suppkey AS snapshot_id, l_linenumber AS page, l_orderkey AS pos, l_partkey AS id, max(500 + (l_suppkey % 3 = 0)::INT * (l_linenumber % 2)) AS total, max(l_extendedprice) AS price FROM lineitem GROUP BY ALL),
         t AS (SELECT snapshot_id, count(DISTINCT total) = 1 AND max(total) = count(DISTINCT id) AS complete FROM p GROUP BY snapshot_id)
         SELECT snapshot_id, id, price, complete FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY snapshot_id, id ORDER BY page DESC, pos DESC) = 1) JOIN t USING (snapshot_id)""",
-    "pick_source": f"{ctes('board')} SELECT id, source, status FROM board WHERE source = 'fleet'",
+    "pick_source": f"""{ctes('board')}, h AS (SELECT source, source <> 'lots' AS complete, TIMESTAMP '1998-06-15 00:00:00' AS observed_at, count(*) AS n FROM board GROUP BY source),
+        g AS (SELECT source FROM h WHERE complete AND n >= 1 AND epoch_us(TIMESTAMP '1998-06-15 06:00:00') - epoch_us(observed_at) BETWEEN 0 AND 24 * 3600000000 AND source IN ('lots', 'fleet') ORDER BY list_position(['lots', 'fleet'], source) LIMIT 1)
+        SELECT id, source, status FROM board WHERE source IN (SELECT source FROM g)""",
+    "durable_or_recent": f"""{ctes('comps', 'state_checks')}, d AS (SELECT auction_id, state FROM comps WHERE ended_at < TIMESTAMP '1998-06-01 00:00:00' AND condition = 'usable'), r AS (SELECT auction_id, state FROM comps WHERE ended_at >= TIMESTAMP '1998-06-01 00:00:00'),
+        firm AS (SELECT state FROM d GROUP BY state HAVING count(*) >= 100 AND state IN (SELECT state FROM state_checks WHERE success = 1 AND coverage = 'complete'))
+        SELECT auction_id, state, 'durable' AS mode FROM d WHERE state IN (SELECT state FROM firm) UNION ALL SELECT auction_id, state, 'recent' FROM r WHERE state >= 'F' AND state NOT IN (SELECT state FROM firm)""",
+    "max_extension": f"""{ctes('live_auctions', 'bid_observations')}, m AS (SELECT auction_id, coalesce((ends_at > lag(ends_at) {ORDER})::INT, 0) AS moved FROM bid_observations), x AS (SELECT auction_id, sum(moved) AS extensions FROM m GROUP BY auction_id)
+        SELECT a.auction_id, coalesce(extensions, 0)::BIGINT AS extensions FROM live_auctions a LEFT JOIN x ON x.auction_id = a.auction_id""",
+    "lookup_opportunity": f"{ctes('board')} SELECT id, vin AS external_id, status, score FROM board WHERE vin IS NOT NULL AND (id = 'lot-7' OR vin = '00000000000000032')",
     "publish_and_read": f"""{ctes('board')} SELECT id, status, score, TIMESTAMP '1998-06-15 01:00:00' + INTERVAL 70 MINUTE <= t AS stale, epoch_us(t) AS read_us
         FROM board, (VALUES (TIMESTAMP '1998-06-15 02:00:00'), (TIMESTAMP '1998-06-15 02:10:00')) v(t)""",
     "ledger_view": f"""{ctes('comps')} SELECT auction_id, CASE WHEN operability = 'runs' AND condition = 'usable' THEN 'award' ELSE 'high-bid' END AS basis, closed_high_bid_cents FROM comps

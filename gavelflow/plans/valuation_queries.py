@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gavelflow.operators import comparables, valuation
+from gavelflow.operators import comparables, forecasts, valuation
 from gavelflow.plans.bindings import AS_OF, ctes, view
 
 CLASSES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -26,9 +27,13 @@ def valuation_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valuation.valuation_snapshot(value_subjects(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (value_subjects, match_tiers, candidate_pool, valuation_snapshot)}
+def comparable_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adjusted comparables of all subjects as outcomes of a forecast."""
+    matches = comparables.match_comparables(view(spark, sf_dir, "subjects"), view(spark, sf_dir, "comps"), 2002, classes=CLASSES)
+    return forecasts.anchors_of_matches(valuation.adjusted_samples(matches, F.lit(AS_OF).cast("timestamp"))).drop("ended_at")
 
 
+QUERIES = {f.__name__: f for f in (value_subjects, match_tiers, candidate_pool, valuation_snapshot, comparable_anchors)}
 
 COND = "CASE {} WHEN 'new' THEN 5 WHEN 'usable' THEN 4 WHEN 'repairable' THEN 2 WHEN 'salvage' THEN 1 WHEN 'scrap' THEN 0 ELSE 3 END"
 OPER = "CASE {} WHEN 'runs-and-drives' THEN 3 WHEN 'runs' THEN 2 WHEN 'non-operational' THEN 0 ELSE 1 END"
@@ -108,6 +113,7 @@ VALUED = f"""{PAIRS},
 
 ORACLE_SQL = {
     "value_subjects": f"{VALUED} SELECT * FROM valued",
+    "comparable_anchors": f"""{VALUED} SELECT id, auction_id AS outcome_id, value AS close_cents, match AS match_score, weight / 1e6 AS weight, tier = 1 AND match >= 0.85 AS exact_model FROM adjusted""",
     "match_tiers": f"""{PAIRS},
         best AS (SELECT id, tier FROM pairs QUALIFY tier = min(tier) OVER (PARTITION BY id)),
         counted AS (SELECT id, min(tier) AS tier, count(*) AS candidates FROM best GROUP BY id)

@@ -70,3 +70,16 @@ def pick_source(rows: DataFrame, health: DataFrame, now: Column, order: list[str
     good = health.join(sizes, "source").filter(F.col("complete") & (F.col("n") >= least_rows) & (age >= 0) & (age <= most_age_hours * 3_600_000_000) & (rank > 0))
     chosen = good.select("source", rank.alias("rank")).orderBy("rank", "source").limit(1)
     return rows.join(F.broadcast(chosen.select("source")), "source", "left_semi")  # one row
+
+
+def durable_or_recent(durable: DataFrame, checks: DataFrame, recent: DataFrame, advertised: DataFrame, scope: str, *, least_rows: int = 100) -> DataFrame:
+    """Of each scope, with ``mode``: the durable rows, where they are ``least_rows`` or more and
+    a sync of the scope was completed; else the rows of the recent window, where they are as
+    many as its source advertised. A scope with neither has no rows.
+
+    checks: scope, success, coverage; advertised: scope, advertised."""
+    count = lambda rows, name: rows.groupBy(scope).agg(F.count(F.lit(1)).alias(name))
+    synced = checks.filter((F.col("success") == 1) & (F.col("coverage") == "complete")).select(scope).distinct()
+    firm = count(durable, "n").filter(F.col("n") >= least_rows).join(synced, scope, "left_semi").select(scope)
+    whole = count(recent, "n").join(advertised, scope).filter("n = advertised").join(firm, scope, "left_anti").select(scope)
+    return durable.join(firm, scope, "left_semi").withColumn("mode", F.lit("durable")).unionByName(recent.join(whole, scope, "left_semi").withColumn("mode", F.lit("recent")))
