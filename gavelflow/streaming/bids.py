@@ -3,10 +3,14 @@
 bid_events: auction_id, observed_at, bid_cents, bidders, status, ends_at, event_id. One
 stateful processor keeps, for each auction, the last state, its latest end and how often
 that moved. Rows are taken in order of (observed_at, event_id), and all of one time count;
-rows that are not beyond the state in that order are replays and change nothing. Another
-keeps timers on the end of auctions that reach no terminal status. State goes after a day
-of silence, or when its last timer has run. A micro-batch is bounded by files a trigger, so
-what one auction brings at once is, too.
+rows that are not beyond the state in that order are replays and change nothing; rows
+without a time or an event id have no place in it and are passed over. Another keeps timers
+on the end of auctions that reach no terminal status. State goes after a day of silence, or
+when its last timer has run, and lies in RocksDB until then.
+
+Each micro-batch is laid out by auction and sorted by Spark, which spills; a processor folds
+one Arrow frame after the other and emits as it goes, so it holds one frame of an auction,
+however many rows a micro-batch brings of it.
 
 Batch folds write what a micro-batch changes under its number, and overwrite it when the
 batch is sent again; what holds is read as the newest row of each key.
@@ -15,6 +19,7 @@ batch is sent again; what holds is read as the newest row of each key.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -45,19 +50,15 @@ def _whole(x) -> int | None:
     return None if pd.isna(x) else int(x)
 
 
-def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Emits the rows that change bid, bidders, status or end, with the extensions so far."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    last = state.get if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["observed_at", "event_id"], kind="stable")
+def _step(last: tuple | None, rows: pd.DataFrame) -> tuple[tuple | None, pd.DataFrame]:
+    """The state after a frame of rows in order, and its rows that change bid, bidders, status
+    or end, with the extensions so far."""
     if last:
         at = pd.Timestamp(last[0], unit="us")
         rows = rows[(rows["observed_at"] > at) | ((rows["observed_at"] == at) & (rows["event_id"] > last[1]))]
     rows = rows.drop_duplicates(["observed_at", "event_id"])
     if not len(rows):
-        return
+        return last, rows
     before = rows[FIELDS].shift(1)
     if last:
         first = [last[2], last[3], last[4], pd.NaT if last[5] is None else pd.Timestamp(last[5], unit="us")]
@@ -75,11 +76,24 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
         latest = latest.fillna(pd.Timestamp(0)).clip(lower=pd.Timestamp(last[7], unit="us"))
     end = rows.iloc[-1]
     told = (_micros(end["observed_at"]), int(end["event_id"]), _whole(end["bid_cents"]), _whole(end["bidders"]), None if pd.isna(end["status"]) else end["status"], _micros(end["ends_at"]), int(moved.iloc[-1]), _micros(latest.iloc[-1]))
-    state.update(told)
-    state.setTimeoutTimestamp(max(told[0] // 1000, state.getCurrentWatermarkMs()) + SILENCE_MS)
-    out = rows.assign(extension_count=moved.astype("int32"), effective_ends_at=latest)[~same]
-    if len(out):
-        yield out
+    return told, rows.assign(extension_count=moved.astype("int32"), effective_ends_at=latest)[~same]
+
+
+def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Emits the changes of each frame; the frames of an auction come in order."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    last = state.get if state.exists else None
+    known = last
+    for rows in frames:
+        last, out = _step(last, rows)
+        if len(out):
+            yield out
+    if last != known:
+        state.update(last)
+    if last:
+        state.setTimeoutTimestamp(max(last[0] // 1000, state.getCurrentWatermarkMs()) + SILENCE_MS)
 
 
 TIMED = "auction_id long, phase string, at timestamp"
@@ -87,20 +101,21 @@ TIMED = "auction_id long, phase string, at timestamp"
 TIMERS = [("grace", 0), ("reconciliation", GRACE), ("stale", 86_400_000_000)]
 
 
-def _clock(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _clock(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Emits a row for each phase that an auction enters by the clock, and for its terminal status."""
     end, done = state.get if state.exists else (None, 0)
     out: list[tuple] = []
     if not state.hasTimedOut:
-        rows = pd.concat(list(batches)).sort_values(["observed_at", "event_id"], kind="stable")
-        final = rows[rows["status"].isin(TERMINAL)]
-        latest = _micros(rows["ends_at"].max())
-        if latest is not None and (end is None or latest > end):
-            end, done = latest, 0  # extended: its phases start anew
-        if len(final):
+        final = None
+        for rows in frames:
+            latest, first = _micros(rows["ends_at"].max()), _micros(rows["observed_at"][rows["status"].isin(TERMINAL)].min())
+            if latest is not None and (end is None or latest > end):
+                end, done = latest, 0  # extended: its phases start anew
+            final = first if final is None else final if first is None else min(first, final)
+        if final is not None:
             if state.exists:
                 state.remove()
-            yield pd.DataFrame([(key[0], "terminal", final["observed_at"].iloc[0])], columns=["auction_id", "phase", "at"])
+            yield pd.DataFrame([(key[0], "terminal", pd.Timestamp(final, unit="us"))], columns=["auction_id", "phase", "at"])
             return
         if end is None:
             return
@@ -117,17 +132,22 @@ def _clock(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         yield pd.DataFrame(out, columns=["auction_id", "phase", "at"])
 
 
+def _placed(events: DataFrame, delay: str) -> DataFrame:
+    rows = events.select(*[c.split()[0] for c in EVENTS.split(", ")]).filter("observed_at IS NOT NULL AND event_id IS NOT NULL")
+    return rows.withWatermark("observed_at", delay)
+
+
 def stream_close_timers(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Streaming: auction_id, phase, at, by event time: an auction that no terminal status
     reaches passes from grace to reconciliation to stale as the watermark passes its end."""
-    rows = events.select(*[c.split()[0] for c in EVENTS.split(", ")]).withWatermark("observed_at", delay)
-    return rows.groupBy("auction_id").applyInPandasWithState(_clock, TIMED, "ends_us long, done int", "append", GroupStateTimeout.EventTimeTimeout)
+    return _placed(events, delay).groupBy("auction_id").applyInPandasWithState(_clock, TIMED, "ends_us long, done int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_change_points(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Streaming: events that change an auction's state, with extension_count and an end
-    that never moves earlier. State of a day's silence, in event time, is dropped."""
-    rows = events.select(*[c.split()[0] for c in EVENTS.split(", ")]).withWatermark("observed_at", delay)
+    that never moves earlier. State of a day's silence, in event time, is dropped. Start it
+    within ``keyed_state``, as ``run_to_table`` does."""
+    rows = _placed(events, delay).repartition("auction_id").sortWithinPartitions("auction_id", "observed_at", "event_id")
     return rows.groupBy("auction_id").applyInPandasWithState(_fold, CHANGES, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -149,9 +169,36 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 4) -> D
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+#: State outside the JVM's memory, of which a commit writes what changed. Spark's check of
+#: streaming plans takes every sort for one of the whole stream; these order a micro-batch only.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.unsupportedOperationCheck": "false",
+}
+
+
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """The settings under which queries with keyed state start; the session's own come back after."""
+    old = {name: spark.conf.get(name, None) for name in STATE_SETTINGS}
+    try:
+        for name, value in STATE_SETTINGS.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in old.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def run_to_table(changes: DataFrame, table: str, checkpoint: str) -> None:
     """All that has landed, to a Parquet table; the checkpoint makes a restart go on where it stopped."""
-    changes.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    with keyed_state(changes.sparkSession):
+        running = changes.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    running.awaitTermination()
 
 
 def run_batches(events: DataFrame, fold, checkpoint: str) -> None:

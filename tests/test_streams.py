@@ -1,8 +1,11 @@
 """Streams over several micro-batches, with a replay and a late row, against plain folds."""
 
 import random
+import weakref
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gavelflow.functions import cadence
@@ -49,6 +52,64 @@ def test_change_points_over_batches(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == count  # a restart goes on where it stopped
 
 
+def test_a_busy_auction_is_folded_frame_by_frame(spark, tmp_path):
+    """Rows of one micro-batch lie in no order, and a frame holds few of an auction's."""
+    r = random.Random(8)
+    rows = [(1 if k % 3 else r.randrange(2, 6), START + timedelta(seconds=k - k % 4), r.choice([None, 100, 200]), 1, "active", START + timedelta(hours=r.choice([0, 0, 0, 1, 2])), k) for k in range(3_000)]
+    rows += [(1, None, 5, 1, "active", START, 9_000), (1, START, 5, 1, "active", START, None)]
+    r.shuffle(rows)
+    spark.createDataFrame(rows, bids.EVENTS).repartition(3).write.parquet(str(tmp_path / "in"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        bids.run_to_table(bids.stream_change_points(bids.read_events(spark, str(tmp_path / "in")), "1 day"), str(tmp_path / "out"), str(tmp_path / "check"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    got = {x.event_id: (x.extension_count, x.effective_ends_at) for x in spark.read.schema(bids.CHANGES).parquet(str(tmp_path / "out")).collect()}
+    want, last, moved, latest = {}, {}, {}, {}
+    for a, _, bid, _, _, end, k in sorted((x for x in rows if x[1] and x[6] is not None), key=lambda x: (x[1], x[6])):
+        moved[a] = moved.get(a, 0) + (a in last and end > last[a][1])
+        latest[a] = max(latest.get(a, end), end)
+        if last.get(a) != (bid, end):
+            want[k] = (moved[a], latest[a])
+        last[a] = (bid, end)
+    assert got == want
+    assert spark.conf.get("spark.sql.streaming.unsupportedOperationCheck") == "true"
+
+
+def test_a_fold_holds_one_frame():
+    """Of two million rows of an auction, each frame is freed before the one after the next comes."""
+
+    class State:
+        exists = hasTimedOut = False
+        told = None
+
+        def update(self, value):
+            self.told = value
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def setTimeoutTimestamp(self, at):
+            pass
+
+    alive, most = [], 0
+
+    def frames():
+        nonlocal most
+        for k in range(200):
+            ids = np.arange(k * 10_000, (k + 1) * 10_000)
+            at = pd.Timestamp(START).as_unit("us") + pd.to_timedelta(ids // 3, unit="s")
+            frame = pd.DataFrame({"auction_id": 1, "observed_at": at, "bid_cents": ids // 1_000, "bidders": 1, "status": "active", "ends_at": pd.Timestamp(START), "event_id": ids})
+            alive.append(weakref.ref(frame))
+            most = max(most, sum(x() is not None for x in alive))
+            yield frame
+
+    state = State()
+    told = sum(len(x) for x in bids._fold((1,), frames(), state))
+    assert told == 2_000 and state.told[1] == 1_999_999 and most <= 2
+
+
 def test_scans_of_a_busy_auction_equal_plain_folds(spark):
     """One auction has a third of all rows; the order is cut into stretches in the middle of it."""
     r = random.Random(7)
