@@ -19,10 +19,6 @@ def split(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     return validated.filter(empty).drop("violations"), validated.filter(~empty)
 
 
-def duplicate_ids(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-
-
 def leaks(df: DataFrame) -> list[str]:
     """Fields, nested ones too, that would carry a bid into a valuation."""
 
@@ -45,13 +41,3 @@ def valuation_rules() -> dict[str, Column]:
         "evidence": available & (F.col("sample_size") <= 0),
         "unavailable-with-price": ~available & mid.isNotNull(),
     }
-
-
-def export_gate(valuations: DataFrame, comps: DataFrame) -> DataFrame:
-    """One row of figures, and whether they suffice: 10 subjects, 25 comparables, 90 % with
-    details, half valued."""
-    v = valuations.agg(F.count(F.lit(1)).alias("subjects"), F.count_if(F.col("status") == "available").alias("valued"))
-    c = comps.agg(F.count(F.lit(1)).alias("comps"), F.count_if(F.col("mileage").isNotNull()).alias("detailed"))
-    rows = v.crossJoin(F.broadcast(c))  # one row each
-    ok = (F.col("subjects") >= 10) & (F.col("comps") >= 25) & (F.col("detailed") * 10 >= F.col("comps") * 9) & (F.col("valued") * 2 >= F.col("subjects"))
-    return rows.withColumn("ok", ok)
