@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -104,17 +106,64 @@ def ascii_words(pattern: str) -> str:
     return opened.replace(r"\b", "(?![A-Za-z0-9_])")
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The pattern's alternatives outside all groups and classes."""
+    out, depth, in_class, start, k = [], 0, False, 0, 0
+    while k < len(pattern):
+        char = pattern[k]
+        if char == "\\":
+            k += 1
+        elif in_class:
+            in_class = char != "]"
+        elif char == "[":
+            in_class = True
+        elif char in "()":
+            depth += 1 if char == "(" else -1
+        elif char == "|" and not depth:
+            out.append(pattern[start:k])
+            start = k + 1
+        k += 1
+    return [*out, pattern[start:]]
+
+
+def any_rule(text: Column, patterns: list[str]) -> Column:
+    """Whether one of the patterns matches, by one pass over the text: an alternation of them
+    all, behind one word boundary where each begins with one. Patterns that refer back to
+    their groups by number keep a pass of their own."""
+    alone = [p for p in patterns if re.search(r"\\[1-9]", p)]
+    every = [x for p in patterns if p not in alone for x in _alternatives(p)]
+    if every and all(re.match(r"\\b[(\[A-Za-z0-9]", x) for x in every):
+        joined = ["(?i)(?<![A-Za-z0-9_])(?:" + "|".join(ascii_words(x[2:]) for x in every) + ")"]
+    else:
+        joined = ["(?i)" + "|".join(f"(?:{ascii_words(x)})" for x in every)] if every else []
+    passes = [text.rlike(x) for x in [*joined, *(ascii_words(f"(?i){p}") for p in alone)]]
+    return reduce(or_, passes) if passes else F.lit(False)
+
+
 def first_rule(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """The label of the first pattern that matches, else null."""
-    out = F.lit(None).cast("string")
-    for pattern, label in reversed(rules):
-        out = F.when(text.rlike(ascii_words(f"(?i){pattern}")), label).otherwise(out)
-    return out
+    """The label of the first pattern that matches, else null. One pass tells whether any does;
+    halving the rules then finds the first, in as many passes as their number has digits in base two."""
+
+    def found(among: list[tuple[str, str]]) -> Column:
+        if len(among) == 1:
+            return F.lit(among[0][1])
+        first, rest = among[: len(among) // 2], among[len(among) // 2 :]
+        return F.when(any_rule(text, [p for p, _ in first]), found(first)).otherwise(found(rest))
+
+    if not rules:
+        return F.lit(None).cast("string")
+    return F.when(any_rule(text, [p for p, _ in rules]), found(rules))
 
 
 def all_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """The labels of all patterns that match, in order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(ascii_words(f"(?i){pattern}")), F.lit(label)) for pattern, label in rules]))
+    """The labels of all patterns that match, in order. Halves of the rules of which none
+    matches are left after one pass."""
+    none = F.array().cast("array<string>")
+    if not rules:
+        return none
+    first, rest = rules[: len(rules) // 2], rules[len(rules) // 2 :]
+    some = F.array(F.lit(rules[0][1])) if len(rules) == 1 else F.concat(all_rules(text, first), all_rules(text, rest))
+    return F.when(any_rule(text, [p for p, _ in rules]), some).otherwise(none)
 
 
 @F.pandas_udf(T.StringType())

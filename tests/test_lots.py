@@ -1,8 +1,34 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
+from gavelflow.functions import lot_text
 from gavelflow.operators import lots
 
 
+def test_rules_in_one_pass_equal_rules_one_by_one(spark):
+    """Texts made of the rules' own words, in any order and close together, some within other words."""
+    every = {
+        "body": lot_text.BODY_RULES, "damage": lot_text.DAMAGE_RULES, "issue": lot_text.ISSUE_RULES, "road": lot_text.NON_ROAD_RULES,
+        "make": [(r"\b" + re.escape(m).replace(r"\ ", r"[\s-]+") + r"\b", m) for m in lot_text.MAKES],
+        "odd": [(r"(ab)\1", "twice"), (r"x|\by\b", "no-boundary"), (r"\b[|(]b", "class")], "none": [],
+    }
+    words = sorted({w for rules in every.values() for p, label in rules for w in re.findall("[A-Za-z]{2,}", p) + [label]}) + ["abab", "x", "y", "|b", "\n", "  ", "é", "_", "-"]
+    r = random.Random(5)
+    texts = [None, ""] + [r.choice(["", " ", "", "7"]).join(r.choice([w, w.upper(), w.title()]) + r.choice([" ", " ", " ", "", "-", "é"]) for w in r.choices(words, k=r.randrange(1, 9))) for _ in range(1_500)]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    told = df.select("t", *[F.struct(lot_text.first_rule(F.col("t"), rules).alias("first"), lot_text.all_rules(F.col("t"), rules).alias("all")).alias(name) for name, rules in every.items()]).collect()
+    for name, rules in every.items():
+        plain = [(re.compile(lot_text.ascii_words(f"(?i){p}"), re.ASCII), label) for p, label in rules]
+        hits = 0
+        for row in told:
+            want = [label for p, label in plain if row.t is not None and p.search(row.t)]
+            assert (row[name]["first"], row[name]["all"]) == (want[0] if want else None, want), (name, row.t)
+            hits += len(want)
+        assert hits > 20 or not rules
+
+
 def test_bulk_lot_example(spark):
     raw = spark.createDataFrame(
         [("41QSCI-26-001", "0001", "2016 Chevrolet Tahoe", "<p>SUV. VIN 1GNSKAECXGR377492<br>Odometer: 59,129</p><script>x</script>", "Active", "$10,125.50", "7", "2026-08-01T00:00", "2026-08-07T12:00", "http://a.example/1.jpg|https://a.example/2.jpg", "Dallas", "TX"),
