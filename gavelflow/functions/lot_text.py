@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gavelflow.functions.numbers import col
+from gavelflow.functions.numbers import col, let
 
 # Vocabularies and patterns of the normaliser, in order of precedence.
 BODY_RULES = [
@@ -126,10 +126,38 @@ def _alternatives(pattern: str) -> list[str]:
     return [*out, pattern[start:]]
 
 
-def any_rule(text: Column, patterns: list[str]) -> Column:
+#: Most words that a text is looked through for before its rules are tried.
+MOST_WORDS = 12
+
+
+def _opening(alternative: str) -> list[str] | None:
+    """Words in small letters, of which every match begins with one; None where that isn't plain to see."""
+    inner = re.fullmatch(r"\\b\((?:\?:)?((?:[^()\[\]\\]|\\.|\((?:[^()]|\\.)*\)[?*]?|\[[^\]]*\])*)\)(?![?*{]).*", alternative)
+    if inner and not inner[1].startswith("?"):
+        parts = [_opening(r"\b" + x) for x in _alternatives(inner[1])]
+        return None if None in parts else [w for part in parts for w in part]
+    plain = re.match(r"\\b([A-Za-z0-9 ]+)(.?)", alternative, re.DOTALL)
+    if not plain:
+        return None
+    word = plain[1][:-1] if plain[2] and plain[2] in "?*{" else plain[1]
+    return [word.lower()] if len(word) > 1 else None
+
+
+def _holds_any(low: Column, patterns: list[str]) -> Column | None:
+    """Whether the text in small letters holds a word that one of the patterns begins with."""
+    opened = [_opening(x) for p in patterns for x in _alternatives(p)]
+    if None in opened:
+        return None
+    words = {w for some in opened for w in some}
+    words = sorted(w for w in words if not any(v != w and v in w for v in words))
+    return reduce(or_, [low.contains(w) for w in words]) if 0 < len(words) <= MOST_WORDS else None
+
+
+def any_rule(text: Column, patterns: list[str], low: Column | None = None) -> Column:
     """Whether one of the patterns matches, by one pass over the text: an alternation of them
     all, behind one word boundary where each begins with one. Patterns that refer back to
-    their groups by number keep a pass of their own."""
+    their groups by number keep a pass of their own. low, the text in small letters, is first
+    looked through for the words that matches begin with, which costs far less than a pattern."""
     alone = [p for p in patterns if re.search(r"\\[1-9]", p)]
     every = [x for p in patterns if p not in alone for x in _alternatives(p)]
     if every and all(re.match(r"\\b[(\[A-Za-z0-9]", x) for x in every):
@@ -137,33 +165,42 @@ def any_rule(text: Column, patterns: list[str]) -> Column:
     else:
         joined = ["(?i)" + "|".join(f"(?:{ascii_words(x)})" for x in every)] if every else []
     passes = [text.rlike(x) for x in [*joined, *(ascii_words(f"(?i){p}") for p in alone)]]
-    return reduce(or_, passes) if passes else F.lit(False)
+    held = None if low is None or alone else _holds_any(low, patterns)
+    found = reduce(or_, passes) if passes else F.lit(False)
+    return found if held is None else held & found
+
+
+def _both_cases(text: Column, of) -> Column:
+    """of(text, text in small letters), each computed once."""
+    return let(F.struct(text.alias("text"), F.lower(text).alias("low")), lambda t: of(t["text"], t["low"]))
 
 
 def first_rule(text: Column, rules: list[tuple[str, str]]) -> Column:
     """The label of the first pattern that matches, else null. One pass tells whether any does;
     halving the rules then finds the first, in as many passes as their number has digits in base two."""
 
-    def found(among: list[tuple[str, str]]) -> Column:
+    def found(among: list[tuple[str, str]], text: Column, low: Column) -> Column:
         if len(among) == 1:
             return F.lit(among[0][1])
         first, rest = among[: len(among) // 2], among[len(among) // 2 :]
-        return F.when(any_rule(text, [p for p, _ in first]), found(first)).otherwise(found(rest))
+        return F.when(any_rule(text, [p for p, _ in first], low), found(first, text, low)).otherwise(found(rest, text, low))
 
     if not rules:
         return F.lit(None).cast("string")
-    return F.when(any_rule(text, [p for p, _ in rules]), found(rules))
+    return _both_cases(text, lambda text, low: F.when(any_rule(text, [p for p, _ in rules], low), found(rules, text, low)))
 
 
 def all_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
     """The labels of all patterns that match, in order. Halves of the rules of which none
     matches are left after one pass."""
     none = F.array().cast("array<string>")
-    if not rules:
-        return none
-    first, rest = rules[: len(rules) // 2], rules[len(rules) // 2 :]
-    some = F.array(F.lit(rules[0][1])) if len(rules) == 1 else F.concat(all_rules(text, first), all_rules(text, rest))
-    return F.when(any_rule(text, [p for p, _ in rules]), some).otherwise(none)
+
+    def found(rules: list[tuple[str, str]], text: Column, low: Column) -> Column:
+        first, rest = rules[: len(rules) // 2], rules[len(rules) // 2 :]
+        some = F.array(F.lit(rules[0][1])) if len(rules) == 1 else F.concat(found(first, text, low), found(rest, text, low))
+        return F.when(any_rule(text, [p for p, _ in rules], low), some).otherwise(none)
+
+    return _both_cases(text, lambda text, low: found(rules, text, low)) if rules else none
 
 
 @F.pandas_udf(T.StringType())
@@ -206,19 +243,24 @@ def clean_text(c: Column | str) -> Column:
 
 
 def extract_vin(text: Column) -> Column:
-    labelled = F.regexp_extract(text, ascii_words(r"(?i)\bVIN\s*(?:NUMBER|NO\.?|#)?\s*[:=\-]?\s*([A-HJ-NPR-Z0-9]{17})\b"), 1)
-    bare = F.regexp_extract(text, ascii_words(r"(?i)\b([A-HJ-NPR-Z0-9]{17})\b"), 1)
-    vin = F.upper(F.when(labelled != "", labelled).otherwise(bare))
-    return F.when(vin.rlike("[A-Z]") & vin.rlike("[0-9]"), vin)
+    def found(text: Column, low: Column) -> Column:
+        labelled = F.when(low.contains("vin"), F.regexp_extract(text, ascii_words(r"(?i)\bVIN\s*(?:NUMBER|NO\.?|#)?\s*[:=\-]?\s*([A-HJ-NPR-Z0-9]{17})\b"), 1)).otherwise("")
+        bare = F.regexp_extract(text, ascii_words(r"\b([A-HJ-NPR-Za-hj-npr-z0-9]{17})\b"), 1)
+        return let(labelled, lambda x: F.when(x != "", x).otherwise(bare))
+
+    return let(F.upper(_both_cases(text, found)), lambda vin: F.when(vin.rlike("[A-Z]") & vin.rlike("[0-9]"), vin))
 
 
 def extract_mileage(text: Column) -> Column:
-    found = [
-        F.regexp_extract(text, ascii_words(r"(?i)\b(?:mileage|odometer|odo)(?:\s+reading)?\s*(?:is|:|=|-)??\s*([\d,]{1,12})(?:\.\d+)?\b"), 1),
-        F.regexp_extract(text, ascii_words(r"(?i)\b([\d,]{1,12})(?:\.\d+)?\s*(?:actual\s+)?miles?\b"), 1),
-    ]
-    numbers = [F.regexp_replace(x, ",", "").try_cast("bigint") for x in found]
-    return F.coalesce(*[F.when(n.between(0, 2_000_000), n) for n in numbers])
+    def found(text: Column, low: Column) -> Column:
+        ways = [
+            (("mileage", "odo"), r"(?i)\b(?:mileage|odometer|odo)(?:\s+reading)?\s*(?:is|:|=|-)??\s*([\d,]{1,12})(?:\.\d+)?\b"),
+            (("mile",), r"(?i)\b([\d,]{1,12})(?:\.\d+)?\s*(?:actual\s+)?miles?\b"),
+        ]
+        numbers = [F.when(reduce(or_, [low.contains(w) for w in words]), F.regexp_replace(F.regexp_extract(text, ascii_words(way), 1), ",", "").try_cast("bigint")) for words, way in ways]
+        return F.coalesce(*[let(n, lambda n: F.when(n.between(0, 2_000_000), n)) for n in numbers])
+
+    return _both_cases(text, found)
 
 
 def extract_body_type(text: Column, rules: list[tuple[str, str]] | None = None) -> Column:
@@ -227,7 +269,8 @@ def extract_body_type(text: Column, rules: list[tuple[str, str]] | None = None)
 
 def extract_year(text: Column, observed_year: Column | int) -> Column:
     most = (observed_year if isinstance(observed_year, Column) else F.lit(observed_year)) + 2
-    years = F.transform(F.regexp_extract_all(text, F.lit(ascii_words(r"\b((?:19|20)\d{2})\b")), F.lit(1)), lambda y: y.cast("int"))
+    years = F.when(text.contains("19") | text.contains("20"), F.regexp_extract_all(text, F.lit(ascii_words(r"\b((?:19|20)\d{2})\b")), F.lit(1)))
+    years = F.transform(years, lambda y: y.cast("int"))
     return F.try_element_at(F.filter(years, lambda y: y <= most), F.lit(1))
 
 
@@ -250,14 +293,21 @@ def operability(text: Column, rules: list[tuple[str, str]] | None = None) -> Col
 
 def classify_lot(title: Column, text: Column, observed_year: int, *, body_rules=None, non_road=None, makes=None, vehicle_title: str = VEHICLE_TITLE) -> Column:
     """Struct of is_vehicle, reason (of exclusion), vin, mileage, body_type, evidence."""
-    whole = F.trim(F.concat_ws(" ", title, text))
-    vin, miles, body = extract_vin(whole), extract_mileage(whole), extract_body_type(whole, body_rules)
-    signal = extract_body_type(title, body_rules).isNotNull() | title.rlike(ascii_words(f"(?i){vehicle_title}")) | (extract_year(title, observed_year).isNotNull() & extract_make(title, makes).isNotNull())
-    excluded = first_rule(title, NON_ROAD_RULES if non_road is None else non_road)
-    vehicle = excluded.isNull() & signal & (vin.isNotNull() | miles.isNotNull() | body.isNotNull())
-    reason = F.when(vehicle, None).otherwise(F.coalesce(excluded, F.when(signal, "insufficient-vehicle-evidence").otherwise("non-vehicle-title")))
-    evidence = F.array_compact(F.array(F.when(signal, F.lit("vehicle-title")), F.when(vin.isNotNull(), F.lit("vin")), F.when(miles.isNotNull(), F.lit("mileage")), F.concat(F.lit("body:"), body)))
-    return F.struct(vehicle.alias("is_vehicle"), reason.alias("reason"), vin.alias("vin"), miles.alias("mileage"), body.alias("body_type"), F.when(excluded.isNull(), evidence).otherwise(F.array().cast("array<string>")).alias("evidence"))
+
+    def of(title: Column, whole: Column) -> Column:
+        signal = extract_body_type(title, body_rules).isNotNull() | title.rlike(ascii_words(f"(?i){vehicle_title}")) | (extract_year(title, observed_year).isNotNull() & extract_make(title, makes).isNotNull())
+        excluded = first_rule(title, NON_ROAD_RULES if non_road is None else non_road)
+        return F.struct(signal.alias("signal"), excluded.alias("excluded"), extract_vin(whole).alias("vin"), extract_mileage(whole).alias("miles"), extract_body_type(whole, body_rules).alias("body"))
+
+    def judged(f: Column) -> Column:
+        signal, excluded, vin, miles, body = (f[c] for c in ("signal", "excluded", "vin", "miles", "body"))
+        vehicle = excluded.isNull() & signal & (vin.isNotNull() | miles.isNotNull() | body.isNotNull())
+        reason = F.when(vehicle, None).otherwise(F.coalesce(excluded, F.when(signal, "insufficient-vehicle-evidence").otherwise("non-vehicle-title")))
+        evidence = F.array_compact(F.array(F.when(signal, F.lit("vehicle-title")), F.when(vin.isNotNull(), F.lit("vin")), F.when(miles.isNotNull(), F.lit("mileage")), F.concat(F.lit("body:"), body)))
+        return F.struct(vehicle.alias("is_vehicle"), reason.alias("reason"), vin.alias("vin"), miles.alias("mileage"), body.alias("body_type"), F.when(excluded.isNull(), evidence).otherwise(F.array().cast("array<string>")).alias("evidence"))
+
+    given = F.struct(title.alias("title"), F.trim(F.concat_ws(" ", title, text)).alias("whole"))
+    return let(let(given, lambda t: of(t["title"], t["whole"])), judged)
 
 
 def parse_money(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +31,8 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
     """rows with columns that later ones read often: the generator keeps the optimizer from
     writing their expressions into each reader."""
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value computed once however often ``of`` writes it."""
+    return F.transform(F.array(value), of)[0]

@@ -5,7 +5,7 @@ The corpora hold no vehicle words, so these pass rule lists of words that do occ
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavelflow.functions import identity, lot_text
@@ -14,34 +14,54 @@ from gavelflow.plans.bindings import ctes, view
 WORDS = [(r"\bworthless\b", "worthless"), (r"\bstupid\b", "stupid"), (r"\b(?:idiot|moron)\b", "person"), (r"\blicensed\b", "license"), (r"\bund\b", "german"), (r"\bthe\b", "english")]
 FLAGS = [(r"\blas?\b", "article"), (r"\bof the\b", "of-the"), (r"\bund die\b", "und-die"), (r"\bmail\d*\b", "mail"), (r"\b555\b", "phone")]
 MAKES = ["Apache License", "The", "Und", "Les"]
+#: Tasks of each core, where rows are dealt out.
+TASKS = 4
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", lot_text.clean_text("html").alias("text"))
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt to all cores: a file of one row group would be one task's."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return rows.repartition(TASKS * spark.sparkContext.defaultParallelism, "doc_id", "text")
+
+
 def extract_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(
+    return _documents(spark, sf_dir).select(
         "doc_id", lot_text.extract_vin(text).alias("vin"), lot_text.extract_mileage(text).alias("mileage"), lot_text.extract_year(text, 2024).alias("year"),
         lot_text.extract_body_type(text, WORDS).alias("body_type"), lot_text.extract_make(text, MAKES).alias("make"),
         F.array_join(lot_text.damage_flags(text, FLAGS), ",").alias("flags"), lot_text.operability(text, WORDS[:3]).alias("operability"),
     )
 
 
-def classify_lot(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _classified() -> Column:
     title, text = F.substring_index("text", "\n", 1), F.col("text")
-    found = lot_text.classify_lot(title, text, 2024, body_rules=WORDS, non_road=FLAGS[:3], makes=MAKES, vehicle_title=r"\bquestion\b")
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", found.alias("c"))
+    return lot_text.classify_lot(title, text, 2024, body_rules=WORDS, non_road=FLAGS[:3], makes=MAKES, vehicle_title=r"\bquestion\b")
+
+
+def classify_lot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _documents(spark, sf_dir).select("doc_id", _classified().alias("c"))
     return rows.select("doc_id", "c.is_vehicle", F.coalesce("c.reason", F.lit("")).alias("reason"), "c.body_type", F.array_join("c.evidence", ",").alias("evidence"))
 
 
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lots, facts = classify_lot(spark, sf_dir), extract_facts(spark, sf_dir).select("doc_id", "vin", "mileage", "year")
-    return lots.join(facts, "doc_id").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if("is_vehicle").alias("vehicles"), F.count_if(~F.col("is_vehicle")).alias("excluded"), F.count("vin").alias("with_vin"),
-        F.count("mileage").alias("with_mileage"), F.count("body_type").alias("with_body_type"), F.count("year").alias("with_year"),
-    )
+    """Figures of classify_lot() and extract_facts() joined by doc_id. Both are read off each
+    text in one pass; a row counts once for each row of its id, as in the join."""
+    return coverage(_documents(spark, sf_dir))
+
+
+def coverage(docs: DataFrame) -> DataFrame:
+    text = F.col("text")
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", _classified().alias("c"), lot_text.extract_vin(text).alias("vin"), lot_text.extract_mileage(text).alias("mileage"), lot_text.extract_year(text, 2024).alias("year"))
+    told = {
+        "total": F.count(F.lit(1)), "vehicles": F.count_if("c.is_vehicle"), "excluded": F.count_if(~F.col("c.is_vehicle")), "with_vin": F.count("vin"),
+        "with_mileage": F.count("mileage"), "with_body_type": F.count("c.body_type"), "with_year": F.count("year"),
+    }
+    by_id = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in told.items()])
+    return by_id.agg(*[F.coalesce(F.sum(F.col(name) * F.col("n")), F.lit(0)).alias(name) for name in told])
 
 
 def exclusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
