@@ -76,19 +76,24 @@ def bid_aggression(observations: DataFrame, bids: DataFrame, n: int = 24) -> Dat
     return counted.join(told, "auction_id", "left").select("auction_id", F.coalesce("aggression", F.lit(0.0)).alias("aggression"), "observations")
 
 
-def reference_forecast(subjects: DataFrame, outcomes: DataFrame, trends: DataFrame, as_of: Column, increment: int = ROUNDING) -> DataFrame:
-    """id, status, low, expected and high cents, confidence, horizon_seconds, sample_size.
-
-    subjects: id, current_bid_cents, bidder_count, ends_at, valuation_status, low_cents,
-    median_cents, high_cents, valuation_confidence; outcomes: valid_outcomes() by id;
-    trends: id, aggression, observations."""
-    step = max(100, increment)
+def weighed_outcomes(outcomes: DataFrame) -> DataFrame:
+    """id, n, match, and the weighted quantiles o2, o5, o8 of valid_outcomes()."""
     # Weights in 1e-8: the supplied weight, at most 10, times the squared match of 4 places.
     weight = rounded(F.least(F.lit(10.0), F.col("weight")) * F.col("match_score") * F.col("match_score") * 1e8)
     weighed = outcomes.withColumn("w", weight)
     told = weighed.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n"), F.avg("match_score").alias("match"))
     quantiles = weighted_quantile(weighed, ["id"], "close_cents", "w", [2, 5, 8]).withColumnsRenamed({"q2": "o2", "q5": "o5", "q8": "o8"})
-    told = told.join(quantiles, "id")
+    return told.join(quantiles, "id")
+
+
+def reference_forecast(subjects: DataFrame, outcomes: DataFrame, trends: DataFrame, as_of: Column, increment: int = ROUNDING) -> DataFrame:
+    """id, status, low, expected and high cents, confidence, horizon_seconds, sample_size.
+
+    subjects: id, current_bid_cents, bidder_count, ends_at, valuation_status, low_cents,
+    median_cents, high_cents, valuation_confidence; outcomes: valid_outcomes() by id, or what
+    weighed_outcomes() made of them; trends: id, aggression, observations."""
+    step = max(100, increment)
+    told = outcomes if "o5" in outcomes.columns else weighed_outcomes(outcomes)
     low, mid, high = F.col("low_cents"), F.col("median_cents"), F.col("high_cents")
     usable = F.coalesce((F.col("valuation_status") != "unavailable") & (F.col("valuation_confidence") >= LEAST_VALUATION_CONFIDENCE) & (low > 0) & (low <= mid) & (mid <= high), F.lit(False))
     rows = subjects.join(told, "id", "left").join(trends, "id", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "x_valued": usable})

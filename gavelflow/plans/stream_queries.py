@@ -21,6 +21,9 @@ def _landed(rows: DataFrame, root: str, at: str = "observed_at") -> str:
     """The rows as files of bounded size by ranges of time, written at once and dated so that a
     stream takes them in order; the third lands again after the others, as a replay of late rows."""
     place, spark = f"{root}/landed", rows.sparkSession
+    # Written first: counting them and dealing them by ranges would each work them out again.
+    rows.write.parquet(f"{root}/rows")
+    rows = spark.read.schema(rows.schema).parquet(f"{root}/rows")
     rows.repartitionByRange(max(FILES, -(-rows.count() // FILE_ROWS)), at).write.parquet(place)
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(place)
@@ -42,8 +45,16 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(bids.CHANGES).parquet(f"{root}/changes")
 
 
+def _trigger_files(spark: SparkSession, place: str) -> int:
+    """Files of a micro-batch, so that there are no more than FILES and one of them: each reads the state."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return max(1, (sum(f.getPath().getName().startswith("part-") for f in found) - 1) // FILES)
+
+
 def _live(spark: SparkSession, rows: DataFrame, root: str) -> DataFrame:
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(_landed(rows, root, "last_checked_at"))
+    place = _landed(rows, root, "last_checked_at")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", _trigger_files(spark, place)).parquet(place)
 
 
 def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
