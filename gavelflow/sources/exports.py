@@ -72,12 +72,16 @@ def export_market(valuations: DataFrame, sales: DataFrame, root: Generations, co
         raise ValueError(f"sales can't be kept for {retention_days} days")
     counted = {"valued": F.count_if(F.col("status") == "available"), "unavailable": F.count_if(F.col("status") == "unavailable")}
     first = root.stage(valuations, {**counted, **faults_of(export_rules())})
+    why = [f"valuations: {x}" for x in valuation_refusals(first)]
+    if why:  # the sales needn't be written to be dropped
+        root.drop(first)
+        raise ValueError(f"export {export_id} is refused: {'; '.join(why)}")
     try:
         second = corpus.stage(sales, {"detailed": F.count("mileage"), **faults_of(corpus_rules(host))})
     except Exception:
         root.drop(first)
         raise
-    why = [f"valuations: {x}" for x in valuation_refusals(first)] + [f"sales: {x}" for x in corpus_refusals(second)]
+    why = [f"sales: {x}" for x in corpus_refusals(second)]
     if why:
         root.drop(first)
         corpus.drop(second)

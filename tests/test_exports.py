@@ -127,3 +127,12 @@ def test_readers_turn_bad_snapshots_away(spark, tmp_path):
     assert why("2024-05-01 13:00:00")["g2"] == ["rows", "revision"]
     lots.limit(5).unionByName(lots.limit(5)).write.mode("overwrite").parquet(str(tmp_path / "rows" / build))
     assert why("2024-05-01 13:00:00")["g2"] == ["count", "repeated", "revision"]
+
+
+def test_sales_are_not_written_for_valuations_that_are_refused(spark, tmp_path, monkeypatch):
+    staged = []
+    stage = exports.Generations.stage
+    monkeypatch.setattr(exports.Generations, "stage", lambda self, rows, *a, **k: staged.append(self.ids) or stage(self, rows, *a, **k))
+    with pytest.raises(ValueError, match="valuations: subjects"):
+        export(spark, tmp_path, values(spark, n=9), sales(spark))
+    assert staged == [("subject_id",)] and not list((tmp_path / "sales").glob("rows/*"))
