@@ -82,18 +82,38 @@ class MonthlyLedger:
         kept = index.join(batch.select(*self.keys), self.keys, "left_anti").select(*self.keys, "month", "bucket")
         kept.unionByName(folded.select(*self.keys, "month", bucket.alias("bucket"))).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/pending/keys")
         self.spark.createDataFrame([(m,) for m in touched], "month string").coalesce(1).write.parquet(f"{self.root}/pending/touched")
+        for name in ("rows", "keys"):
+            for status in self._fs.listStatus(self._at(f"pending/{name}")):
+                if status.isDirectory():
+                    self._fs.mkdirs(self._at(f"pending/full/{name}/{status.getPath().getName()}"))
         self._fs.mkdirs(self._at("pending/READY"))
         self.finish()
         return touched
 
+    def _replace(self, name: str, partition: str) -> None:
+        """Moves a staged partition to its place; one that was moved before, or is staged empty, is
+        told apart by a mark. Files are moved, not written again."""
+        staged, place, mark = self._at(f"pending/{name}/{partition}"), self._at(f"{name}/{partition}"), self._at(f"pending/moved/{name}/{partition}")
+        if self._fs.exists(mark):
+            return
+        if self._fs.exists(staged):
+            self._fs.delete(place, True)
+            self._fs.mkdirs(self._at(name))
+            if not self._fs.rename(staged, place):
+                raise OSError(f"{staged} can't be moved to {place}")
+        elif not self._fs.exists(self._at(f"pending/full/{name}/{partition}")):
+            self._fs.delete(place, True)  # no row is left
+        self._fs.mkdirs(mark)
+
     def finish(self) -> None:
         """Puts a stage that is ready in place, as often as it takes; drops one that isn't."""
         if self._fs.exists(self._at("pending/READY")):
             touched = [r.month for r in self.spark.read.schema("month string").parquet(f"{self.root}/pending/touched").collect()]
-            rows = self._read("pending/rows", self.schema, "month")
-            left = {r.month for r in rows.select("month").distinct().collect()}
-            rows.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(f"{self.root}/rows")
-            for month in sorted(set(touched) - left):
-                self._fs.delete(self._at(f"rows/month={month}"), True)
-            self._index("pending/keys").hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/keys")
+            for month in touched:
+                self._replace("rows", f"month={month}")
+            for status in self._fs.listStatus(self._at("pending/keys")) if self._fs.exists(self._at("pending/keys")) else ():
+                if status.isDirectory():
+                    self._replace("keys", status.getPath().getName())
+            # From here on nothing is left to replace: a stage that is gone in part must not be put in place again.
+            self._fs.delete(self._at("pending/READY"), True)
         self._fs.delete(self._at("pending"), True)

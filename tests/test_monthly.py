@@ -123,3 +123,28 @@ def test_backfill_walks_until_two_empty_windows(spark):
     assert [r["rows"] for r in ledger.backfill_windows(rows.filter("false"), "2024-01-01 00:00:00").orderBy("step").collect()] == [0, 0]
     every = spark.range(0, 14 * 90, 7).select((F.lit(START).cast("timestamp") - F.make_dt_interval(F.col("id").cast("int") + 1)).alias("ended_at"))
     assert ledger.backfill_windows(every, "2024-01-01 00:00:00").count() == 92
+
+
+def test_staged_months_are_moved_and_a_move_that_died_goes_on(spark, tmp_path):
+    months, twin = monthly(spark, tmp_path / "a"), monthly(spark, tmp_path / "b")
+    one, two = sales(spark, 1, 80, range(100), range(90)), sales(spark, 2, 80, range(100), range(90))
+    for m in (months, twin):
+        m.merge(one, ledger.upsert_comparables)
+    twin.merge(two, ledger.upsert_comparables)
+    move, moved, staged = months._replace, [], set()
+
+    def dies_at_the_third(name, partition):
+        staged.update(p.name for p in (tmp_path / "a" / "pending" / name / partition).glob("part-*"))
+        if len(moved) == 2:
+            raise RuntimeError("lost")
+        moved.append(partition)
+        move(name, partition)
+        if len(moved) == 2:  # moved, but not marked
+            (tmp_path / "a" / "pending" / "moved" / name / partition).rmdir()
+
+    months._replace = dies_at_the_third
+    with pytest.raises(RuntimeError):
+        months.merge(two, ledger.upsert_comparables)
+    again = monthly(spark, tmp_path / "a")
+    assert held(again.months()) == held(twin.months()) and not (tmp_path / "a" / "pending").exists()
+    assert staged and staged <= {p.name for p in (tmp_path / "a").rglob("part-*")}  # the same files
