@@ -10,11 +10,13 @@ meanings; texts of the sample without any base span teach it what to leave alone
 
 A text is cut into cores of CORE characters at fixed places. A core is scored within a
 window that reaches CONTEXT characters beyond it on both sides, so a character's scores
-never depend on what else is read; one Viterbi pass over neighbouring cores reconciles the
-overlapping windows. A core is read if it, or one next to it, holds a digit, an at sign or
-the word "dot": an added span must hold one of these, and be no longer than a core.
+never depend on what else is read; one Viterbi pass over the text reconciles the overlapping
+windows. Every core of every text is scored. A character is surely outside if the scores of
+no span over it can make up for leaving the outside (``Tagger.unsure``): the best path of
+the text leaves all of these outside, so the stretches between them are decoded one by one,
+with the same tags as the whole text at once.
 
-Added spans touch no base span, are at least ``LEAST`` characters long, and obey the rule
+Added spans touch no base span, are ``LEAST`` to CORE characters long, and obey the rule
 of their kind: an at sign and a dot, or the words for them, with a name on either side;
 four numbers up to 255; 13 to 19 digits with a right check digit; 9 to 15 digits.
 
@@ -73,7 +75,6 @@ _DOT = r"(?i)(?<![a-z])dot(?![a-z])"
 _AT_FORM = re.compile(r"(?i)@|(?<![a-z])at(?![a-z])")
 _DOT_FORM = re.compile(r"\.|" + _DOT[4:], re.IGNORECASE)
 _TRIGGER = re.compile(_DOT + "|[0-9@]")
-_DOT_BYTES = re.compile(_DOT.encode())
 
 
 def luhn(digits: str) -> bool:
@@ -160,11 +161,9 @@ def tags_of(length: int, spans: list[tuple[int, int, int]], lo: int) -> np.ndarr
     return out
 
 
-def cores_of(text: str, everywhere: bool = False) -> list[tuple[int, int]]:
-    """Runs of cores to read, as character ranges."""
+def telling_cores(text: str) -> list[tuple[int, int]]:
+    """Runs of cores to learn from, as character ranges: near digits, at signs and the word "dot"."""
     n = -(-len(text) // CORE)
-    if everywhere:
-        return [(0, len(text))] if n else []
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() // CORE - 1), min(n, (m.end() - 1) // CORE + 2)
@@ -235,6 +234,41 @@ class Tagger:
     def emissions(self, x: np.ndarray) -> np.ndarray:
         return self._states(x, "f") @ self.p["out_f"] + self._states(x, "b") @ self.p["out_b"] + self.p["bias"]
 
+    def of_cores(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """emissions() of the cores of the windows of ``flat`` that begin at ``starts``. Each LSTM runs
+        as far as the core's last character. The gates lie one after another, for numpy's sake, and
+        tanh(x) is 2 / (1 + exp(-2 x)) - 1."""
+        h, n = self.h, len(starts)
+        by = np.float32([-1, -1, -1, -2])[:, None, None]
+        apart = lambda w: np.ascontiguousarray(w.reshape(len(w), 4, h).transpose(1, 0, 2) * by)
+        gates, taken, lit = np.empty((4, n, h), np.float32), np.empty((4, n, h), np.float32), np.empty((n, h), np.float32)
+        out = np.empty((CORE, n, TAGS), np.float32)
+        out[:] = self.p["bias"]
+        with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
+            for d, times in (("f", range(CONTEXT + CORE)), ("b", range(WINDOW - 1, CONTEXT - 1, -1))):
+                table, again, last = apart(self.p[f"x_{d}"]), apart(self.p[f"h_{d}"]), self.p[f"out_{d}"]
+                state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+                for t in times:
+                    np.matmul(state, again, out=gates)
+                    gates += np.take(table, flat[starts + t], axis=1, out=taken, mode="clip")
+                    np.exp(gates, out=gates)
+                    gates += 1
+                    np.reciprocal(gates, out=gates)
+                    take, keep, show, new = gates
+                    new += new
+                    new -= 1
+                    new *= take
+                    cell *= keep
+                    cell += new
+                    np.exp(np.multiply(cell, -2, out=lit), out=lit)
+                    lit += 1
+                    np.divide(2, lit, out=lit)
+                    lit -= 1
+                    np.multiply(lit, show, out=state)
+                    if CONTEXT <= t < CONTEXT + CORE:
+                        out[t - CONTEXT] += state @ last
+        return out.transpose(1, 0, 2)
+
     def moves(self) -> np.ndarray:
         return np.where(ALLOWED, self.p["move"], np.float32(-1e4))
 
@@ -298,16 +332,43 @@ class Tagger:
                     self.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
         return loss
 
-    def decode(self, e: np.ndarray) -> np.ndarray:
-        """The best tags of one stretch (time, TAGS)."""
-        move, score = self.moves(), e[0].copy()
-        score[2::2] = -1e4
+    def unsure(self, e: np.ndarray) -> np.ndarray:
+        """Of the characters (time, TAGS), those that a best path may leave outside or not; it surely
+        leaves all others outside.
+
+        A span gains, against characters outside, no more than ``begin`` at its first character,
+        ``more`` at each other one, and ``close``. Putting it outside costs its neighbours ``near`` at
+        most. So it is in no best path unless these add up to 0 or more. The best span over a
+        character is the best way to it, plus the best way on: running sums and their maxima.
+        Sums that reach over the texts' ends only find more characters unsure."""
+        move = self.moves().astype(np.float64)
+        plain, own = move[0, 0], move[1:, 0]
+        close = max(0.0, own.max() - plain)
+        near = max(0.0, (plain - own).max()) + max(max(0.0, move[1:, k].max() - move[0, k]) for k in range(1, TAGS, 2))
+        out = np.zeros(len(e), bool)
+        by = e.T.astype(np.float64)
+        by -= by[0].copy()
+        for k in range(1, TAGS, 2):
+            begin = by[k] + max(0.0, move[:, k].max() - plain)
+            more = np.cumsum(by[k + 1] + (move[[k, k + 1], k + 1].max() - plain))
+            to = np.maximum.accumulate(begin - more)
+            on = np.maximum.accumulate(more[::-1])[::-1]
+            out |= to + on + (close + near + 1e-3) >= 0
+        return out
+
+    def decode(self, e: np.ndarray, opens: bool = True, closes: bool = True) -> np.ndarray:
+        """The best tags of one stretch (time, TAGS) between two characters outside, or the text's ends."""
+        move, score = self.moves().astype(np.float64), e[0].astype(np.float64)
+        if opens:
+            score[2::2] = -1e4
+        else:
+            score += move[0]
         back = np.empty(e.shape, np.int64)
         for t in range(1, len(e)):
             both = score[:, None] + move
             back[t] = both.argmax(0)
             score = both.max(0) + e[t]
-        tag = int(score.argmax())
+        tag = int((score if closes else score + move[:, 0]).argmax())
         out = np.empty(len(e), np.int64)
         for t in range(len(e) - 1, -1, -1):
             out[t] = tag
@@ -315,29 +376,53 @@ class Tagger:
         return out
 
 
-def scored(model: Tagger, texts: list[tuple[np.ndarray, list[tuple[int, int]]]]) -> list[list[np.ndarray]]:
-    """Emissions of the runs of cores of each text (character classes, runs), all windows in batches."""
-    windows = [padded(code, lo - CONTEXT) for code, runs in texts for a, b in runs for lo in range(a, b, CORE)]
-    scores = []
-    for at in range(0, len(windows), 4096):
-        scores.append(model.emissions(np.stack(windows[at : at + 4096]))[:, CONTEXT : CONTEXT + CORE])
-    flat = np.concatenate(scores) if scores else np.empty((0, CORE, TAGS), np.float32)
-    out, k = [], 0
-    for _, runs in texts:
-        mine = []
-        for a, b in runs:
-            n = -(-(b - a) // CORE)
-            mine.append(flat[k : k + n].reshape(-1, TAGS)[: b - a])
-            k += n
-        out.append(mine)
-    return out
+#: Windows that are scored together: their gates lie in a core's cache.
+TOGETHER = 2048
+
 
+def laid(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(texts one after another, whole cores between blanks of CONTEXT, where each begins)."""
+    sizes = [2 * CONTEXT + -(-len(c) // CORE) * CORE for c in codes]
+    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    flat = np.full(at[-1], 0x20, np.uint8)
+    for c, a in zip(codes, at.tolist(), strict=False):
+        flat[a + CONTEXT : a + CONTEXT + len(c)] = c
+    return flat, at[:-1]
 
-def added_spans(model: Tagger, text: str, base: list[tuple[int, int, int]], runs: list[tuple[int, int]], emissions: list[np.ndarray]) -> list[tuple[int, int, int]]:
+
+def scored(model: Tagger, texts: list[tuple[np.ndarray, list[tuple[int, int]]]]) -> list[list[np.ndarray]]:
+    """Emissions of runs of cores of each text (character classes, runs)."""
+    flat, at = laid([code for code, _ in texts])
+    part = lambda a, b: model.of_cores(flat, np.arange(a, b, CORE)).reshape(-1, TAGS)[: b - a]
+    return [[part(x + a, x + b) for a, b in runs] for (_, runs), x in zip(texts, at.tolist(), strict=True)]
+
+
+def stretches(model: Tagger, texts: list[str], everywhere: bool = False) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, start, tags) of each stretch between characters that are surely outside, if an added
+    span fits in; of the whole texts with ``everywhere``. All characters are scored."""
+    codes = [shapes(t) for t in texts]
+    flat, at = laid(codes)
+    sizes = np.array([len(c) for c in codes], np.int64)
+    cores = -(-sizes // CORE)
+    windows = np.repeat(at, cores) + CORE * K.gathered(cores, np.zeros(len(codes), np.int64))
+    scores = [np.empty((0, TAGS), np.float32)]
+    for lo in range(0, len(windows), TOGETHER):
+        some = windows[lo : lo + TOGETHER]
+        own = some[:, None] + np.arange(CORE) < np.repeat(at + sizes, cores)[lo : lo + TOGETHER, None]
+        scores.append(model.of_cores(flat, some)[own])
+    e = np.concatenate(scores)
+    opens = np.concatenate([[0], np.cumsum(sizes)])
+    inside = np.ones(len(e), bool) if everywhere else model.unsure(e)
+    for a, b, text in zip(*(x.tolist() for x in K.runs(inside, opens)), strict=True):
+        if b - a >= LEAST:
+            yield text, a - int(opens[text]), model.decode(e[a:b], a == opens[text], b == opens[text + 1])
+
+
+def added_spans(text: str, base: list[tuple[int, int, int]], tagged: list[tuple[int, np.ndarray]]) -> list[tuple[int, int, int]]:
+    """tagged: (start, tags) of stretches of the text."""
     taken = sorted((a, b) for _, a, b in base)
     out = []
-    for (lo, _), e in zip(runs, emissions, strict=True):
-        tags = model.decode(e)
+    for lo, tags in tagged:
         for a in np.flatnonzero(tags % 2 == 1).tolist():
             b = a + 1
             while b < len(tags) and tags[b] == tags[a] + 1:
@@ -353,11 +438,12 @@ def added_spans(model: Tagger, text: str, base: list[tuple[int, int, int]], runs
 
 
 def found(model: Tagger, texts: list[str], everywhere: bool = False) -> list[tuple[list, list]]:
-    """(base spans, added spans) of each text."""
+    """(base spans, added spans) of each text. everywhere: decode what is surely outside too."""
     base = [base_spans(t) for t in texts]
-    runs = [cores_of(t, everywhere) for t in texts]
-    scores = scored(model, [(shapes(t), r) for t, r in zip(texts, runs, strict=True)])
-    return [(b, added_spans(model, t, b, r, e)) for t, b, r, e in zip(texts, base, runs, scores, strict=True)]
+    tagged: list[list] = [[] for _ in texts]
+    for k, start, tags in stretches(model, texts, everywhere):
+        tagged[k].append((start, tags))
+    return [(b, added_spans(t, b, g)) for t, b, g in zip(texts, base, tagged, strict=True)]
 
 
 def examples(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -367,7 +453,7 @@ def examples(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
     forms = [(text, base)]
     forms += [rewritten(text, base, VARIANTS, lambda n: int(seed.integers(n))) for _ in range(3)] if base else []
     for said, spans in forms:
-        code, starts = shapes(said), [lo for a, b in cores_of(said) for lo in range(a, b, CORE)]
+        code, starts = shapes(said), [lo for a, b in telling_cores(said) for lo in range(a, b, CORE)]
         # Cores with a span first: a text of many numbers would crowd them out.
         starts.sort(key=lambda lo: not any(x < lo + CORE and lo < y for _, x, y in spans))
         for lo in starts[: max(1, TEXT_WINDOWS // len(forms))]:
@@ -417,24 +503,19 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = held.value
-        trigger = np.zeros(256, bool)
-        trigger[[0x40, *range(0x30, 0x3A)]] = True
         empty = hashlib.sha256(b"").hexdigest()
         for batch in batches:
             n = batch.num_rows
             counts = np.zeros((4, n), np.int64)
             digest, spans = [empty] * n, [""] * n
             raw, offsets = K.text_bytes(batch.column(1))
-            spelled = np.fromiter((m.start() for m in _DOT_BYTES.finditer(raw)), np.int64)
-            places = np.concatenate([np.flatnonzero(trigger[raw]), spelled])
-            some = sorted({*(np.searchsorted(offsets, places, side="right") - 1).tolist()})
-            for at in range(0, len(some), 256):
-                rows_here = some[at : at + 256]
-                texts = [raw[offsets[r] : offsets[r + 1]].tobytes().decode() for r in rows_here]
-                for r, (base, more) in zip(rows_here, found(tagger, texts) if tagger else [(base_spans(t), []) for t in texts], strict=True):
+            for lo, hi in K.slices(offsets):
+                texts = [raw[offsets[r] : offsets[r + 1]].tobytes().decode() for r in range(lo, hi)]
+                for r, (base, more) in zip(range(lo, hi), found(tagger, texts) if tagger else [(base_spans(t), []) for t in texts], strict=True):
                     for kind, _, _ in base:
                         counts[kind, r] += 1
-                    digest[r] = hashlib.sha256(joined(base).encode()).hexdigest()
+                    if base:
+                        digest[r] = hashlib.sha256(joined(base).encode()).hexdigest()
                     spans[r] = joined(base + more)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts), pa.array(digest, pa.string()), pa.array(spans, pa.string())], names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 

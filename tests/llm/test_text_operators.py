@@ -286,6 +286,28 @@ def test_reading_near_triggers_loses_nothing(tagger):
         assert pii.found(tagger, said) == pii.found(tagger, said, everywhere=True)
 
 
+def test_texts_without_digits_and_signs_are_read(spark, tagger):
+    r = np.random.default_rng(6)
+    plain = lambda k, n: re.sub("[0-9]+", "", prose(k, n))
+    texts = [f"{plain(k, 40)}: user.x at mail.example.org, {plain(k + 1, 40 + k)}" for k in range(30)]
+    assert not any(re.search("[0-9@]|dot", t) for t in texts)
+    got = {row.doc_id: row.spans for row in pii.find(frame(spark, list(enumerate(texts))), model=tagger).collect()}
+    assert sum(f"email:{t.index('user.x')}:" in got[k] for k, t in enumerate(texts)) >= 5
+    assert all(pii.joined(more) == got[k] for k, (_, more) in enumerate(pii.found(tagger, texts, everywhere=True)))
+    # Any scores, also ones that make spans likely: what is surely outside changes no tag.
+    for seed in range(6):
+        model = pii.Tagger(seed=seed)
+        model.p["move"] = r.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32) * seed / 2
+        model.p["bias"] = np.float32([3 + seed, *[0] * (pii.TAGS - 1)])
+        for text in (personal(seed), "x" * 700, "a", plain(seed, 300)):
+            e = model.of_cores(*pii.laid([pii.shapes(text)])[:1], np.arange(0, -(-len(text) // pii.CORE) * pii.CORE, pii.CORE)).reshape(-1, pii.TAGS)[: len(text)]
+            e = e + r.standard_normal(e.shape).astype(np.float32) * 2
+            whole, unsure = model.decode(e), model.unsure(e)
+            assert not whole[~unsure].any()
+            for a, b, _ in zip(*pii.K.runs(unsure, np.array([0, len(e)])), strict=True):
+                assert (model.decode(e[a:b], a == 0, b == len(e)) == whole[a:b]).all()
+
+
 def test_scores_depend_on_the_window_alone():
     model = pii.Tagger(seed=1)
     code = pii.shapes(prose(3, 90))
