@@ -16,7 +16,7 @@ no span over it can make up for leaving the outside (``Tagger.unsure``): the bes
 the text leaves all of these outside, so the stretches between them are decoded one by one,
 with the same tags as the whole text at once.
 
-Added spans touch no base span, are ``LEAST`` to CORE characters long, and obey the rule
+Added spans touch no base span, are ``LEAST`` to MOST characters long, and obey the rule
 of their kind: an at sign and a dot, or the words for them, with a name on either side;
 four numbers up to 255; 13 to 19 digits with a right check digit; 9 to 15 digits.
 
@@ -47,8 +47,13 @@ TRAIN_TEXTS = 300
 #: Most windows that it learns from in a text, as it stands and rewritten.
 TEXT_WINDOWS = 8
 HIDDEN = 12
-CORE, CONTEXT, LEAST = 48, 24, 7
+CORE, CONTEXT = 192, 24
 WINDOW = CORE + 2 * CONTEXT
+#: The cores of the windows that it learns from are shorter.
+STEP = 48
+LEARNT = STEP + 2 * CONTEXT
+#: Fewest and most characters of an added span.
+LEAST, MOST = 7, 48
 #: How spans are rewritten for training, by kind: (what is replaced, by what).
 VARIANTS = {
     0: [(("@", " at "), (".", " dot ")), (("@", " (at) "), (".", " (dot) ")), (("@", "[at]"), (".", "[dot]")), (("@", " @ "), (".", " . "))],
@@ -163,15 +168,15 @@ def tags_of(length: int, spans: list[tuple[int, int, int]], lo: int) -> np.ndarr
 
 def telling_cores(text: str) -> list[tuple[int, int]]:
     """Runs of cores to learn from, as character ranges: near digits, at signs and the word "dot"."""
-    n = -(-len(text) // CORE)
+    n = -(-len(text) // STEP)
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() // CORE - 1), min(n, (m.end() - 1) // CORE + 2)
+        a, b = max(0, m.start() // STEP - 1), min(n, (m.end() - 1) // STEP + 2)
         if out and a <= out[-1][1]:
             out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
-    return [(a * CORE, min(b * CORE, len(text))) for a, b in out]
+    return [(a * STEP, min(b * STEP, len(text))) for a, b in out]
 
 
 def rewritten(text: str, spans: list[tuple[int, int, int]], ways: dict, pick) -> tuple[str, list[tuple[int, int, int]]]:
@@ -193,15 +198,18 @@ def rewritten(text: str, spans: list[tuple[int, int, int]], ways: dict, pick) ->
 
 def padded(code: np.ndarray, lo: int) -> np.ndarray:
     """The window from ``lo`` on, blanks outside of the text."""
-    out = np.full(WINDOW, 0x20, np.int64)
-    a, b = max(lo, 0), min(lo + WINDOW, len(code))
+    out = np.full(LEARNT, 0x20, np.int64)
+    a, b = max(lo, 0), min(lo + LEARNT, len(code))
     if a < b:
         out[a - lo : b - lo] = code[a:b]
     return out
 
 
 class Tagger:
-    """Two LSTMs over characters, a linear layer and CRF transitions."""
+    """Two LSTMs over characters, a linear layer and CRF transitions.
+
+    x / (1 + |x|) stands for tanh, and half of it and a half for the sigmoid: without exponentials
+    every character of a text can be read."""
 
     def __init__(self, seed: int = 7, hidden: int = HIDDEN):
         r, h = np.random.default_rng(seed), hidden
@@ -220,11 +228,11 @@ class Tagger:
         table, again = self.p[f"x_{d}"], self.p[f"h_{d}"]
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             gates = table[x[:, t]] + state @ again
-            sig = 1 / (1 + np.exp(-gates[:, : 3 * h]))
-            new = np.tanh(gates[:, 3 * h :])
+            gates /= 1 + np.abs(gates)
+            sig, new = (gates[:, : 3 * h] + 1) / 2, gates[:, 3 * h :]
             old, before = cell, state
             cell = sig[:, h : 2 * h] * old + sig[:, :h] * new
-            lit = np.tanh(cell)
+            lit = cell / (1 + np.abs(cell))
             state = sig[:, 2 * h :] * lit
             out[:, t] = state
             if keep is not None:
@@ -236,37 +244,34 @@ class Tagger:
 
     def of_cores(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """emissions() of the cores of the windows of ``flat`` that begin at ``starts``. Each LSTM runs
-        as far as the core's last character. The gates lie one after another, for numpy's sake, and
-        tanh(x) is 2 / (1 + exp(-2 x)) - 1."""
+        as far as the core's last character. The gates lie one after another, for numpy's sake."""
         h, n = self.h, len(starts)
-        by = np.float32([-1, -1, -1, -2])[:, None, None]
-        apart = lambda w: np.ascontiguousarray(w.reshape(len(w), 4, h).transpose(1, 0, 2) * by)
+        apart = lambda w: np.ascontiguousarray(w.reshape(len(w), 4, h).transpose(1, 0, 2))
         gates, taken, lit = np.empty((4, n, h), np.float32), np.empty((4, n, h), np.float32), np.empty((n, h), np.float32)
         out = np.empty((CORE, n, TAGS), np.float32)
         out[:] = self.p["bias"]
-        with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
-            for d, times in (("f", range(CONTEXT + CORE)), ("b", range(WINDOW - 1, CONTEXT - 1, -1))):
-                table, again, last = apart(self.p[f"x_{d}"]), apart(self.p[f"h_{d}"]), self.p[f"out_{d}"]
-                state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
-                for t in times:
-                    np.matmul(state, again, out=gates)
-                    gates += np.take(table, flat[starts + t], axis=1, out=taken, mode="clip")
-                    np.exp(gates, out=gates)
-                    gates += 1
-                    np.reciprocal(gates, out=gates)
-                    take, keep, show, new = gates
-                    new += new
-                    new -= 1
-                    new *= take
-                    cell *= keep
-                    cell += new
-                    np.exp(np.multiply(cell, -2, out=lit), out=lit)
-                    lit += 1
-                    np.divide(2, lit, out=lit)
-                    lit -= 1
-                    np.multiply(lit, show, out=state)
-                    if CONTEXT <= t < CONTEXT + CORE:
-                        out[t - CONTEXT] += state @ last
+        for d, times in (("f", range(CONTEXT + CORE)), ("b", range(WINDOW - 1, CONTEXT - 1, -1))):
+            table, again, last = apart(self.p[f"x_{d}"]), apart(self.p[f"h_{d}"]), self.p[f"out_{d}"]
+            state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+            for t in times:
+                np.matmul(state, again, out=gates)
+                gates += np.take(table, flat[starts + t], axis=1, out=taken, mode="clip")
+                np.abs(gates, out=taken)
+                taken += 1
+                gates /= taken
+                sig = gates[:3]
+                sig += 1
+                sig *= np.float32(0.5)
+                take, keep, show, new = gates
+                new *= take
+                cell *= keep
+                cell += new
+                np.abs(cell, out=lit)
+                lit += 1
+                np.divide(cell, lit, out=lit)
+                np.multiply(lit, show, out=state)
+                if CONTEXT <= t < CONTEXT + CORE:
+                    out[t - CONTEXT] += state @ last
         return out.transpose(1, 0, 2)
 
     def moves(self) -> np.ndarray:
@@ -307,8 +312,9 @@ class Tagger:
             for t, before, old, sig, new, lit in reversed(kept[d]):
                 ds = ds + wanted[:, t]
                 i, f, o = sig[:, :h], sig[:, h : 2 * h], sig[:, 2 * h :]
-                dc = dc + ds * o * (1 - lit * lit)
-                dg = np.concatenate([dc * new * i * (1 - i), dc * old * f * (1 - f), ds * lit * o * (1 - o), dc * i * (1 - new * new)], 1)
+                dc = dc + ds * o * (1 - np.abs(lit)) ** 2
+                slope = lambda s: (1 - np.abs(2 * s - 1)) ** 2 / 2
+                dg = np.concatenate([dc * new * slope(i), dc * old * slope(f), ds * lit * slope(o), dc * i * (1 - np.abs(new)) ** 2], 1)
                 np.add.at(g[f"x_{d}"], x[:, t], dg)
                 g[f"h_{d}"] += before.T @ dg
                 ds, dc = dg @ self.p[f"h_{d}"].T, dc * f
@@ -377,7 +383,7 @@ class Tagger:
 
 
 #: Windows that are scored together: their gates lie in a core's cache.
-TOGETHER = 2048
+TOGETHER = 1024
 
 
 def laid(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -432,7 +438,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], tagged: list[tuple[
                 y -= 1
             while x < y and text[x] in " .,;:":
                 x += 1
-            if LEAST <= y - x <= CORE and obeys(kind, text[x:y]) and not any(p < y and x < q for p, q in taken):
+            if LEAST <= y - x <= MOST and obeys(kind, text[x:y]) and not any(p < y and x < q for p, q in taken):
                 out.append((kind, x, y))
     return out
 
@@ -453,12 +459,12 @@ def examples(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
     forms = [(text, base)]
     forms += [rewritten(text, base, VARIANTS, lambda n: int(seed.integers(n))) for _ in range(3)] if base else []
     for said, spans in forms:
-        code, starts = shapes(said), [lo for a, b in telling_cores(said) for lo in range(a, b, CORE)]
+        code, starts = shapes(said), [lo for a, b in telling_cores(said) for lo in range(a, b, STEP)]
         # Cores with a span first: a text of many numbers would crowd them out.
-        starts.sort(key=lambda lo: not any(x < lo + CORE and lo < y for _, x, y in spans))
+        starts.sort(key=lambda lo: not any(x < lo + STEP and lo < y for _, x, y in spans))
         for lo in starts[: max(1, TEXT_WINDOWS // len(forms))]:
             at = lo - CONTEXT
-            out.append((padded(code, at), tags_of(WINDOW, spans, at)))
+            out.append((padded(code, at), tags_of(LEARNT, spans, at)))
     return out
 
 
