@@ -10,7 +10,8 @@ documents of larger, unended groups go to the next level.
 Each level counts its groups with map-side combination, writes those of two or more
 (few) and joins them to the documents; that join is the only place where a frequent
 text meets itself, and its document side can be split by adaptive execution. A bit table
-of fixed size, over the written groups, keeps most unique documents out of the shuffle.
+over the written groups, of BITS_EACH bits a group and of 8 MB at most, keeps most unique
+documents out of the shuffle. The tables of all levels are broadcast together in the end.
 
 Defined cases: null text counts as empty, empty texts are equal; of equal texts the row
 with the largest id stays, null ids being smallest; of several rows with that id (or
@@ -23,11 +24,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelflow.llm.bitfilter import bit_rows, only_marked
+from gavelflow.llm.bitfilter import FILTER_BITS, bit_rows, only_marked
 from gavelflow.llm.scratch import Scratch
 
 FIRST_DIGIT = 64
 WIDENING = 8
+#: At least so many bits of the table for each group, and the bits of its smallest size.
+BITS_EACH, LEAST_BITS = 32, 15
+
+
+def filter_bits(groups: int) -> int:
+    """The logarithm of a bit table's size for so many groups."""
+    return min(FILTER_BITS, max(LEAST_BITS, (groups * BITS_EACH).bit_length()))
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, carry: dict, keep_body: bool, first: int) -> DataFrame:
@@ -49,9 +57,10 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, carry: dict, keep_body:
         counted = dealt.groupBy("x_group", "x_digit", "x_ended").agg(F.count(F.lit(1)).alias("x_size"), F.max("x_id").alias("x_keep")).filter("x_size > 1")
         groups = scratch.save(counted.withColumn("x_next", F.monotonically_increasing_id()), f"groups{level}")
         key = F.xxhash64("x_group", "x_digit", "x_ended")
-        marks = scratch.save(bit_rows(groups, key), f"marks{level}")
-        alone = only_marked(dealt, key, marks, marked=False)
-        joined = only_marked(dealt, key, marks).join(groups.hint("merge"), ["x_group", "x_digit", "x_ended"], "left")
+        bits = filter_bits(groups.count())
+        marks = scratch.save(bit_rows(groups, key, bits), f"marks{level}")
+        alone = only_marked(dealt, key, marks, marked=False, bits=bits)
+        joined = only_marked(dealt, key, marks, bits=bits).join(groups.hint("merge"), ["x_group", "x_digit", "x_ended"], "left")
         unended = F.col("x_size").isNotNull() & ~F.col("x_ended")
         body = F.col("x_body") if keep_body else F.when(unended, F.col("x_body"))
         table = scratch.save(

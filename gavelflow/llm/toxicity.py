@@ -65,7 +65,9 @@ PRIOR = 0.5
 #: Examples in a block; terms that are held densely; texts that are looked up together.
 BLOCK = 64
 FREQUENT = 256
-TOGETHER = 32
+#: A term of more entries than this share of the blocks is held densely by block.
+WIDE = 4
+TOGETHER = 64
 #: Results that a task keeps for copies of the texts.
 REMEMBERED = 8_192
 STEM_SALT = np.uint64(0x632BE59BD9B4E019)
@@ -121,6 +123,7 @@ class Vocabulary:
             hashes.append(s[some])
         row, h = np.concatenate(rows), np.concatenate(hashes)
         maybe = np.flatnonzero(self.words_seen[(h >> np.uint64(44)).astype(np.int64)])
+        maybe = maybe[np.argsort(h[maybe])]  # looked up in order, neighbours are still in the cache
         at, hit = _found(self.hashes, h[maybe])
         key, count = np.unique(row[maybe][hit] * max(len(self.hashes), 1) + at[hit], return_counts=True)
         return *np.divmod(key, max(len(self.hashes), 1)), count
@@ -140,6 +143,11 @@ def _found(wanted: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, wanted[at] == h
 
 
+#: (the place of each term among the frequent ones, or -1; their weights by owner; (first, owner,
+#: weight) of the others).
+Postings = tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
 class Index:
     """Entries (unit vectors) in blocks, with each term's largest weight by block.
 
@@ -176,17 +184,18 @@ class Index:
         held = np.bincount(self.term, minlength=len(scale))
         often = np.argsort(-held, kind="stable")[:FREQUENT]
         often = often[held[often] > size // 64]
-        self.place = np.full(len(scale), -1, np.int32)
-        self.place[often] = np.arange(len(often))
         self.blocks, self.block = -(-size // block), block
-        self.dense, self.sparse = self._postings(entry, size, len(often), None)
-        self.dense_max, self.sparse_max = self._postings(entry // block, self.blocks, len(often), np.maximum)
+        self.single = self._postings(entry, size, often, None)
+        # A term of many entries lies in many blocks: most of a text's terms are rows of the blocks' matrix.
+        self.bound = self._postings(entry // block, self.blocks, np.flatnonzero(held > self.blocks // WIDE), np.maximum)
 
-    def _postings(self, owner: np.ndarray, owners: int, often: int, fold) -> tuple[np.ndarray, tuple]:
+    def _postings(self, owner: np.ndarray, owners: int, often: np.ndarray, fold) -> Postings:
         """The frequent terms as a matrix, the others as (first, owner, weight) by term."""
-        at = self.place[self.term] >= 0
-        dense = np.zeros((often, owners), np.float32)
-        np.maximum.at(dense, (self.place[self.term[at]], owner[at]), self.weight[at])
+        place = np.full(len(self.scale), -1, np.int32)
+        place[often] = np.arange(len(often))
+        at = place[self.term] >= 0
+        dense = np.zeros((len(often), owners), np.float32)
+        np.maximum.at(dense, (place[self.term[at]], owner[at]), self.weight[at])
         rest = np.flatnonzero(~at)
         rest = rest[np.argsort(self.term[rest], kind="stable")]  # owners ascend already
         del at
@@ -197,37 +206,52 @@ class Index:
             opens[1:] = (term[1:] != term[:-1]) | (own[1:] != own[:-1])
             lead = np.flatnonzero(opens)
             term, own, weight = term[lead], own[lead], fold.reduceat(weight, lead)
-        return dense, (np.searchsorted(term, np.arange(len(self.scale) + 1)).astype(np.int32), own, weight)
+        return place, dense, (np.searchsorted(term, np.arange(len(self.scale) + 1)).astype(np.int32), own, weight)
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         w = (1 + np.log(counts)) * self.scale[terms]
         return (w / np.sqrt((w * w).sum())).astype(np.float32)
 
-    def _sums(self, queries: list, dense: np.ndarray, sparse: tuple) -> np.ndarray:
-        """For each query and owner, the sum over shared terms of weight times weight."""
-        first, own, weight = sparse
-        owners, rows = dense.shape[1], len(queries)
-        often = np.zeros((rows, len(dense)), np.float32)
-        out = np.empty((rows, owners))
-        for q, (terms, weights) in enumerate(queries):
-            on = self.place[terms] >= 0
-            often[q, self.place[terms[on]]] = weights[on]
-            lo, hi = first[terms[~on]], first[terms[~on] + 1]
-            spans = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-            if not spans:
-                out[q] = 0
-                continue
-            out[q] = np.bincount(np.concatenate([own[x] for x in spans]), weights=np.concatenate([weight[x] for x in spans]) * np.repeat(weights[~on], hi - lo), minlength=owners)
-        out += often @ dense
-        return out
+    def _sums(self, queries: list, postings: Postings, many: bool) -> Iterator[np.ndarray]:
+        """For each query, by owner, the sum over shared terms of weight times weight. many: each term
+        has many owners, so the frequent terms of all queries are one product, and lists are joined."""
+        place, dense, (first, own, weight) = postings
+        ats = [place[terms] for terms, _ in queries]
+        if many:
+            often = np.zeros((len(queries), len(dense)), np.float32)
+            for q, (at, (_, weights)) in enumerate(zip(ats, queries, strict=True)):
+                on = np.flatnonzero(at >= 0)
+                often[q, at[on]] = weights[on]
+            often = often @ dense
+        for q, (at, (terms, weights)) in enumerate(zip(ats, queries, strict=True)):
+            rare = np.flatnonzero(at < 0)
+            lo, hi = first[terms[rare]], first[terms[rare] + 1]
+            by = np.repeat(weights[rare], hi - lo)
+            if not many:
+                where = K.gathered(hi - lo, lo)
+                on = np.flatnonzero(at >= 0)
+                out = np.bincount(own[where], weights=weight[where] * by, minlength=dense.shape[1])
+                out = out + weights[on] @ dense[at[on]]  # whole numbers where nothing was counted
+            elif len(rare):
+                spans = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                by = by * np.concatenate([weight[x] for x in spans])
+                out = np.bincount(np.concatenate([own[x] for x in spans], dtype=np.intp), weights=by, minlength=dense.shape[1])
+                out += often[q]
+            else:
+                out = often[q].astype(np.float64)
+            yield out
 
     def _opened(self, blocks: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(entries, cosines) of whole blocks. query: the weight of every term."""
-        entry = K.gathered(np.minimum((blocks + 1) * self.block, self.size) - blocks * self.block, blocks * self.block)
-        sizes = self.first[entry + 1] - self.first[entry]
-        where = K.gathered(sizes, self.first[entry])
-        both = query[self.term[where]] * self.weight[where]
-        return entry, np.add.reduceat(both, np.cumsum(sizes) - sizes, dtype=np.float64)
+        entry, near = [], []
+        for at in (blocks * self.block).tolist():
+            to = min(at + self.block, self.size)
+            first = self.first[at : to + 1]
+            both = query[self.term[first[0] : first[-1]]]
+            both *= self.weight[first[0] : first[-1]]
+            entry.append(np.arange(at, to))
+            near.append(np.add.reduceat(both, first[:-1] - first[0], dtype=np.float64))
+        return np.concatenate(entry), np.concatenate(near)
 
     def neighbours(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """(entries, cosines) of the k nearest entries, and of all that tie with the last,
@@ -239,9 +263,10 @@ class Index:
             return out
         telling = [q for q in asked if (queries[q][1][self.marked[queries[q][0]]] ** 2).sum() >= 0.5]
         whole, asked = [q for q in asked if q not in telling], telling
-        bounds = self._sums([queries[q] for q in asked], self.dense_max, self.sparse_max) + 1e-5 if asked else []
+        bounds = self._sums([queries[q] for q in asked], self.bound, False)
         query = np.zeros(len(self.scale), np.float32)
         for bound, q in zip(bounds, asked, strict=True):
+            bound += 1e-5
             by = np.argsort(-bound, kind="stable")
             few, limit = max(1, -(-(k + 1) // self.block)), max(2, self.blocks // 8)
             terms, weights = queries[q]
@@ -261,7 +286,7 @@ class Index:
             else:
                 out[q] = self._nearest(entry, near, k)
         if whole:
-            for near, q in zip(self._sums([queries[q] for q in whole], self.dense, self.sparse), whole, strict=True):
+            for near, q in zip(self._sums([queries[q] for q in whole], self.single, True), whole, strict=True):
                 if skip is not None:
                     near[skip[q]] = 0
                 out[q] = self._nearest(np.arange(self.size), near, k)
@@ -465,6 +490,7 @@ def _scored(rows: DataFrame, columns: list[str], text: str, learnt) -> DataFrame
     """columns of rows with x_score, and x_near and x_share of each nearest entry. text: the
     column to score, which may be among them: then it goes to the workers once."""
     text_at = rows.columns.index(text)
+    pa.default_memory_pool().release_unused()  # what the driver held while it learnt
 
     model, curve = learnt
 

@@ -1,7 +1,7 @@
 import hashlib
 from collections import defaultdict
 
-from gavelflow.llm import exact_dedup
+from gavelflow.llm import exact_dedup, scratch
 from tests.llm.helpers import clashing, corpus, frame
 
 
@@ -46,6 +46,15 @@ def test_deduplicate_keeps_columns_and_one_row(spark):
     assert len(texts) == len(set(texts)) == expected(rows)[1]
 
 
+def test_bit_tables_grow_with_the_groups(spark, tmp_path, monkeypatch):
+    assert [exact_dedup.filter_bits(n) for n in (0, 1, 1 << 10, 1 << 17, 1 << 20, 1 << 40)] == [15, 15, 16, 23, 26, 26]
+    docs = frame(spark, [(k, f"text {k // 2} of some pairs") for k in range(400)])
+    monkeypatch.setattr(scratch, "shared_folder", lambda _: str(tmp_path))
+    assert exact_dedup.deduplicate(docs).count() == 200
+    rows = spark.read.parquet(str(next(tmp_path.glob("exact-dedup-*/marks0"))))
+    assert sum(len(r.bits) for r in rows.collect()) == 4096  # some hundred rows of 4 KB where the table is of fixed size
+
+
 def test_empty_table(spark):
     assert exact_dedup.duplicate_groups(frame(spark, [])).count() == 0
     assert exact_dedup.deduplicate(frame(spark, [])).count() == 0

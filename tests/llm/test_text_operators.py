@@ -435,6 +435,15 @@ def test_inflected_words_of_two_languages_are_caught(spark):
         assert sum(r.predicted for r in bad) >= 0.9 * len(bad) and not any(r.predicted for r in mine if r not in bad)
 
 
+def test_terms_of_many_blocks_are_not_listed_by_block():
+    r = np.random.default_rng(8)
+    size, terms, each = 640, 400, 40
+    term = np.concatenate([np.sort(r.choice(terms, each, replace=False)) for _ in range(size)]).astype(np.int32)
+    index = toxicity.Index(np.ones(terms), np.arange(size + 1) * each, term, np.ones(len(term)), np.zeros(size), np.zeros(terms, bool))
+    _, dense, (_, own, _) = index.bound
+    assert len(dense) == terms and len(own) == 0  # before, all but 256 terms were listed, in all 10 blocks each
+
+
 def test_near_copies_of_toxic_examples_are_found(spark):
     """Also where they hold none of the words that are common to toxic texts."""
     rows = [(k, prose(k, 40) + (" vile rotten" if k % 4 == 0 else "")) for k in range(240)]
