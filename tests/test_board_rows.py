@@ -132,6 +132,17 @@ def test_market_offers(spark):
     assert set(got) == {1, 2, 3}
 
 
+def test_offers_are_read_once_and_text_only_where_it_counts(spark):
+    page = lambda listed: '{"percentileLow":1000,"percentileHigh":2000,"offers":[' + listed + "]}"
+    rows = [(1, page('7,"x",null,[1],{"miles":5,"odometer":"1k","value":{"a":1},"amount":"$1,5k"},{"mileage":null,"miles":2.5,"price":200,"createdAt":3,"trimCode":true}')), (2, page("") + "\nreal offers $1 to $2"), (3, '{"percentileLow":3000,"percentileHigh":2000,"offers":[]} real offers $100 to $200, sample of 9 offers')]
+    out = offers.extract_market_offers(spark.createDataFrame(rows, "page_id long, html string"))
+    got = {r.page_id: r for r in out.collect()}
+    assert [(o.mileage, o.amount_cents, o.observed_at, o.trim) for o in got[1].offers] == [(1000, 1_500_000, None, None), (3, 20_000, "3", "true")]
+    assert got[2].basis == "embedded" and (got[3].basis, got[3].low_cents, got[3].reported_sample_size) == ("text", 10_000, 9)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?i)(?:real|recent)") == 1 and plan.count("$.offerData, ") <= 20
+
+
 AUCTION = "auction_id long, source_key string, external_id string, current_bid_cents long, bidder_count int, status string, ends_at timestamp, last_checked_at timestamp, last_seen_at timestamp, price_changed_at timestamp, ended_at timestamp, final_bid_cents long, final_status string, extension_count int"
 LIVE = "auction_id long, external_id string, current_bid_cents long, bidder_count int, status string, ends_at timestamp, last_checked_at timestamp"
 VEHICLE = "auction_id long, vin string, year int, make string, model string, mileage long"
