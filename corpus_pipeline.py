@@ -2,33 +2,63 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but
 the last return the columns of documents. Filtering stages keep clean documents.
+
+Python workers outlive a stage, and what they hold then lies beside the heap of the next one.
+So texts go to them in batches of BATCH_BYTES, and their memory goes back when it is freed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gavelflow.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
 from gavelflow.llm.queries import table, tokenizer_file
 from gavelflow.llm.scratch import Scratch
 
+#: Rows and bytes that a Python worker gets at once: with 10,000 rows, a task's texts would be one batch.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+#: glibc's settings for Python workers: blocks of 8 MB or more are the system's again as soon as they are
+#: freed, and the end of the heap is when it exceeds 16 MB. Left alone, glibc raises both with use.
+WORKER_ENVIRONMENT = {"MALLOC_MMAP_THRESHOLD_": str(8 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
+
+
+def bounded(stage: Callable) -> Callable:
+    """The stage, with workers as above; they are new where there were others before."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.sparkContext.environment.update(WORKER_ENVIRONMENT)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@bounded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
+@bounded
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+@bounded
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.deduplicate(docs)
 
 
+@bounded
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@bounded
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file())
 

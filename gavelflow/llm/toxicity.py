@@ -199,7 +199,8 @@ class Index:
         rest = np.flatnonzero(~at)
         rest = rest[np.argsort(self.term[rest], kind="stable")]  # owners ascend already
         del at
-        term, own, weight = self.term[rest], owner[rest].astype(np.int32), self.weight[rest]
+        # Owners are few: two bytes hold them, where they can.
+        term, own, weight = self.term[rest], owner[rest].astype(np.uint16 if owners <= 1 << 16 else np.int32), self.weight[rest]
         del rest
         if fold is not None and len(term):
             opens = np.ones(len(term), bool)

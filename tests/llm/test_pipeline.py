@@ -1,3 +1,7 @@
+import os
+
+import pyarrow as pa
+
 import corpus_pipeline
 from tests.llm.helpers import prose
 from tests.llm.test_near_dedup import brute_classes
@@ -28,3 +32,18 @@ def test_stages_against_plain_python(spark, tmp_path):
     assert sorted(r.doc_id for r in step.collect()) == sorted(i for i, _ in kept)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted({r.doc_id for r in got}) == sorted(i for i, _ in kept)
+
+
+def test_workers_get_texts_in_bounded_batches_and_give_memory_back(spark, tmp_path):
+    """What a stage's Python workers keep lies beside the heap of the stages after it."""
+    rows = spark.range(0, 5_000, 1, 1)
+
+    def seen(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([os.environ.get("MALLOC_MMAP_THRESHOLD_", "")])], names=["n", "set"])
+
+    stage = corpus_pipeline.bounded(lambda spark, docs, sf_dir: docs.mapInArrow(seen, "n long, set string"))
+    got = stage(spark, rows, str(tmp_path)).collect()
+    assert sum(r.n for r in got) == 5_000 and max(r.n for r in got) <= corpus_pipeline.BATCH_ROWS
+    assert {r.set for r in got} == {corpus_pipeline.WORKER_ENVIRONMENT["MALLOC_MMAP_THRESHOLD_"]}
+    assert all(hasattr(stage, "__wrapped__") for _, stage in corpus_pipeline.STAGES)
