@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gavelflow.llm import textkit as K
+from gavelflow.llm.scratch import Scratch
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -80,6 +81,9 @@ _DOT = r"(?i)(?<![a-z])dot(?![a-z])"
 _AT_FORM = re.compile(r"(?i)@|(?<![a-z])at(?![a-z])")
 _DOT_FORM = re.compile(r"\.|" + _DOT[4:], re.IGNORECASE)
 _TRIGGER = re.compile(_DOT + "|[0-9@]")
+#: What a text with a base span holds: [0-9A-Za-z]@[0-9A-Za-z]|[0-9]\.[0-9]+\.[0-9]|\+[0-9]|[0-9]{4}[ -]?[0-9]{4},
+#: so written that most characters are passed over at the first step.
+LIKELY = r"[0-9@+](?:(?<=[0-9A-Za-z]@)[0-9A-Za-z]|(?<=\+)[0-9]|(?<=[0-9])(?:\.[0-9]+\.[0-9]|[0-9]{3}[ -]?[0-9]{4}))"
 
 
 def luhn(digits: str) -> bool:
@@ -248,30 +252,32 @@ class Tagger:
         h, n = self.h, len(starts)
         apart = lambda w: np.ascontiguousarray(w.reshape(len(w), 4, h).transpose(1, 0, 2))
         gates, taken, lit = np.empty((4, n, h), np.float32), np.empty((4, n, h), np.float32), np.empty((n, h), np.float32)
+        codes = np.ascontiguousarray(flat[starts + np.arange(WINDOW)[:, None]], np.intp)
         out = np.empty((CORE, n, TAGS), np.float32)
         out[:] = self.p["bias"]
+        told = np.empty((n, TAGS), np.float32)
         for d, times in (("f", range(CONTEXT + CORE)), ("b", range(WINDOW - 1, CONTEXT - 1, -1))):
-            table, again, last = apart(self.p[f"x_{d}"]), apart(self.p[f"h_{d}"]), self.p[f"out_{d}"]
+            # Gates stay twice as large, and so does the state: halves of weights make up for it, exactly.
+            table, again, last = apart(self.p[f"x_{d}"]), apart(self.p[f"h_{d}"]) / 2, self.p[f"out_{d}"] / 2
             state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
             for t in times:
                 np.matmul(state, again, out=gates)
-                gates += np.take(table, flat[starts + t], axis=1, out=taken, mode="clip")
+                gates += np.take(table, codes[t], axis=1, out=taken, mode="clip")
                 np.abs(gates, out=taken)
                 taken += 1
                 gates /= taken
-                sig = gates[:3]
-                sig += 1
-                sig *= np.float32(0.5)
+                gates[:3] += 1
                 take, keep, show, new = gates
                 new *= take
                 cell *= keep
                 cell += new
+                cell *= np.float32(0.5)
                 np.abs(cell, out=lit)
                 lit += 1
                 np.divide(cell, lit, out=lit)
                 np.multiply(lit, show, out=state)
                 if CONTEXT <= t < CONTEXT + CORE:
-                    out[t - CONTEXT] += state @ last
+                    out[t - CONTEXT] += np.matmul(state, last, out=told)
         return out.transpose(1, 0, 2)
 
     def moves(self) -> np.ndarray:
@@ -346,20 +352,50 @@ class Tagger:
         ``more`` at each other one, and ``close``. Putting it outside costs its neighbours ``near`` at
         most. So it is in no best path unless these add up to 0 or more. The best span over a
         character is the best way to it, plus the best way on: running sums and their maxima.
-        Sums that reach over the texts' ends only find more characters unsure."""
+        Such a span holds a hot character: one where ``more`` is a gain, or ``begin`` alone is enough.
+        So sums run over the characters up to REACH from a hot one only. What lies between two such
+        stretches counts as no loss, and a span that begins there as one that begins with just less
+        than enough; if the characters next to it are surely outside, so is all of it. This, and
+        sums that reach over the texts' ends, only find more characters unsure."""
         move = self.moves().astype(np.float64)
         plain, own = move[0, 0], move[1:, 0]
         close = max(0.0, own.max() - plain)
         near = max(0.0, (plain - own).max()) + max(max(0.0, move[1:, k].max() - move[0, k]) for k in range(1, TAGS, 2))
-        out = np.zeros(len(e), bool)
-        by = e.T.astype(np.float64)
+        enough = -(close + near + 1e-3)
+        gain = np.empty(TAGS - 1)
+        gain[::2] = [max(0.0, move[:, k].max() - plain) for k in range(1, TAGS, 2)]
+        gain[1::2] = [move[[k, k + 1], k + 1].max() - plain for k in range(1, TAGS, 2)]
+        least = np.where(np.arange(TAGS - 1) % 2, 0, enough) - gain - 1e-3
+        out, hot = np.zeros(len(e), bool), []
+        for lo in range(0, len(e), 1 << 14):  # in a core's cache
+            part = e[lo : lo + (1 << 14)]
+            some = part[:, 1:] - part[:, :1] >= least.astype(np.float32)
+            hot.append(np.flatnonzero(some.view(np.uint64)[:, 0]) + lo)
+        hot = np.concatenate(hot) if hot else np.empty(0, np.int64)
+        if not len(hot):
+            return out
+        cuts = np.flatnonzero(np.diff(hot) > 2 * REACH) + 1
+        start = np.maximum(hot[np.concatenate([[0], cuts])] - REACH, 0)
+        end = np.minimum(hot[np.concatenate([cuts - 1, [-1]])] + REACH + 1, len(e))
+        # One place before each stretch stands for all that lies between it and the one before.
+        where = K.gathered(end - start + 1, start - 1)
+        first = np.concatenate([[0], np.cumsum(end - start + 1)])
+        by = e[np.maximum(where, 0)].T.astype(np.float64)
         by -= by[0].copy()
+        unsure = np.zeros(len(where), bool)
         for k in range(1, TAGS, 2):
-            begin = by[k] + max(0.0, move[:, k].max() - plain)
-            more = np.cumsum(by[k + 1] + (move[[k, k + 1], k + 1].max() - plain))
+            begin, more = by[k] + gain[k - 1], by[k + 1] + gain[k]
+            begin[first[:-1]], more[first[:-1]] = enough, 0
+            more = np.cumsum(more)
             to = np.maximum.accumulate(begin - more)
             on = np.maximum.accumulate(more[::-1])[::-1]
-            out |= to + on + (close + near + 1e-3) >= 0
+            unsure |= to + on >= enough
+        unsure[first[:-1]] = False
+        out[where[unsure]] = True
+        before, after = np.concatenate([[0], end]), np.concatenate([start, [len(e)]])
+        open_before, open_after = np.concatenate([[False], unsure[first[1:] - 1]]), np.concatenate([unsure[first[:-1] + 1], [False]])
+        for a, b in zip(before[open_before | open_after].tolist(), after[open_before | open_after].tolist(), strict=True):
+            out[a:b] = True
         return out
 
     def decode(self, e: np.ndarray, opens: bool = True, closes: bool = True) -> np.ndarray:
@@ -384,6 +420,8 @@ class Tagger:
 
 #: Windows that are scored together: their gates lie in a core's cache.
 TOGETHER = 1024
+#: Characters around a hot one over which ``unsure`` sums.
+REACH = 48
 
 
 def laid(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -474,10 +512,12 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", te
     several rows of an id any may be taken."""
     text = F.col(text_col).cast("string")
     key = F.xxhash64(F.col(id_col))
-    likely = text.rlike(r"[0-9A-Za-z]@[0-9A-Za-z]|[0-9]\.[0-9]+\.[0-9]|\+[0-9]|[0-9]{4}[ -]?[0-9]{4}")
-    narrow = docs.select(key.alias("h"), likely.alias("likely"), text.rlike("[0-9]").alias("digits"))
-    first = narrow.filter("likely").select("h").distinct().orderBy("h").limit(texts)
-    other = narrow.filter("digits AND NOT likely").select("h").distinct().orderBy("h").limit(-(-texts // 3))
+    narrow = docs.select(key.alias("h"), text.rlike(LIKELY).alias("likely"), text.alias("t"))
+    # One pass finds both; a hash may have rows of either kind.
+    kinds = [F.col("likely").alias("likely"), (~F.col("likely") & F.col("t").rlike("[0-9]")).alias("other")]
+    seen = Scratch(docs.sparkSession, "pii").save(narrow.select("h", *kinds).filter("likely OR other").distinct(), "learnable")
+    first = seen.filter("likely").select("h").orderBy("h").limit(texts)
+    other = seen.filter("other").select("h").orderBy("h").limit(-(-texts // 3))
     # At most 4 / 3 of ``texts`` hashes are broadcast.
     rows = docs.select(key.alias("h"), text.alias("text")).join(F.broadcast(first.unionByName(other).distinct()), "h")
 

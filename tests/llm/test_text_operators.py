@@ -1,5 +1,6 @@
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from concurrent.futures import ThreadPoolExecutor
@@ -308,6 +309,27 @@ def test_texts_without_digits_and_signs_are_read(spark, tagger):
                 assert (model.decode(e[a:b], a == 0, b == len(e)) == whole[a:b]).all()
 
 
+def test_what_is_surely_outside_is_found_without_sums_over_all():
+    model = pii.Tagger(seed=1)
+    e = np.zeros((400_000, pii.TAGS), np.float32)
+    e[:, 0] = 20
+    e[1_000:1_012, 7:9] = e[300_000:300_012, 1:3] = 40
+    tracemalloc.start()
+    unsure = model.unsure(e)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert unsure[1_000:1_012].all() and unsure[300_000:300_012].all() and unsure.sum() < 100
+    assert peak < e.nbytes / 4
+
+
+def test_texts_to_learn_from_are_known_by_one_look_at_most_characters():
+    r = np.random.default_rng(8)
+    plain = re.compile(r"[0-9A-Za-z]@[0-9A-Za-z]|[0-9]\.[0-9]+\.[0-9]|\+[0-9]|[0-9]{4}[ -]?[0-9]{4}")
+    texts = ["".join(r.choice(list("12a@+. -Z"), 9)) for _ in range(5_000)] + [personal(k) for k in range(50)]
+    likely = re.compile(pii.LIKELY)
+    assert [bool(plain.search(t)) for t in texts] == [bool(likely.search(t)) for t in texts]
+
+
 def test_scores_depend_on_the_window_alone():
     model = pii.Tagger(seed=1)
     code = pii.shapes(prose(3, 90))
