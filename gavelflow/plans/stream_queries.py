@@ -38,10 +38,11 @@ def _landed(rows: DataFrame, root: str, at: str = "observed_at") -> str:
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream's table, file by file: a micro-batch each, and one of replays."""
+    """The stream's table, in FILES micro-batches or so, the last one with replays."""
     root = scratch_folder(spark, "bids")
     events = view(spark, sf_dir, "bid_observations").select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in bids.EVENTS.split(", ")])
-    bids.run_to_table(bids.stream_change_points(bids.read_events(spark, _landed(events, root), 1), "400 days"), f"{root}/changes", f"{root}/checkpoint")
+    place = _landed(events, root)
+    bids.run_to_table(bids.stream_change_points(bids.read_events(spark, place, _trigger_files(spark, place)), "400 days"), f"{root}/changes", f"{root}/checkpoint")
     return spark.read.schema(bids.CHANGES).parquet(f"{root}/changes")
 
 
