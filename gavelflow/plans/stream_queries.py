@@ -81,8 +81,9 @@ def stream_close_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phases that auctions enter by the clock; those without an end are left out."""
     root = scratch_folder(spark, "timers")
     events = view(spark, sf_dir, "bid_observations").select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in bids.EVENTS.split(", ")])
+    # Files land in order of time, so nothing but the replay is late.
     place = _landed(events, root)
-    timed = bids.stream_close_timers(bids.read_events(spark, place, _trigger_files(spark, place)), "400 days")
+    timed = bids.stream_close_timers(bids.read_events(spark, place, _trigger_files(spark, place)))
     bids.run_to_table(timed, f"{root}/phases", f"{root}/checkpoint")
     return spark.read.schema(bids.TIMED).parquet(f"{root}/phases").select("auction_id", "phase", F.unix_micros("at").alias("at_us"))
 

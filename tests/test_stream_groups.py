@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+import __spark_entry__ as entry
 from gavelflow.functions.cadence import TERMINAL
 from gavelflow.streaming import bids
 
@@ -68,6 +69,16 @@ def test_clocks_of_few_and_many_micro_batches_are_those_of_a_plain_fold(spark, t
     assert in_order(got) == in_order(want) and {x[1] for x in want} == {"grace", "reconciliation", "stale", "terminal"}
 
 
+def test_the_query_lets_timers_run(spark, tmp_path):
+    """Two auctions a month apart from the stream's end, one of them sold."""
+    at = lambda days, hours=1: START + timedelta(days=days, hours=hours)
+    rows = [(k, at(k % 28), 1 if k < 99 else 2, "error" if k == 98 else "view", 5.0) for k in range(0, 100, 7)] + [(98, at(3, 2), 7, "view", 5.0), (99, at(3, 3), 7, "error", 5.0), (200, at(0, 2), 3, "view", 5.0), (201, at(29), 4, "view", 5.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {(x.auction_id, x.phase): x.at_us for x in entry.queries()["stream_close_timers"](spark, str(tmp_path)).filter("auction_id IN (3, 4, 7)").collect()}
+    us = lambda when: int((when - datetime(1970, 1, 1)).total_seconds() * 1e6)
+    assert got == {(3, name): us(START + timedelta(days=1) + late) for name, late in AFTER} | {(7, "terminal"): us(at(3, 3))}
+
+
 def test_changes_of_many_auctions_take_few_states(spark, tmp_path):
     """One state and one call for a group: 1,500 auctions were as many before."""
     rows = observed(12, 1_500, 6_000)
