@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gavelflow.functions.numbers import rounded
+from gavelflow.functions.numbers import let, rounded
 
 
 def weighted_quantile_of(samples: Column, tenths: int, value: str = "value", weight: str = "weight") -> Column:
@@ -17,11 +17,12 @@ def weighted_quantile_of(samples: Column, tenths: int, value: str = "value", wei
     total = F.aggregate(samples, F.lit(0).cast("long"), lambda a, x: a + x[weight])
     start = F.struct(F.lit(0).cast("long").alias("run"), F.lit(None).cast("long").alias("found"))
 
-    def step(a: Column, x: Column) -> Column:
+    def step(a: Column, x: Column, total: Column) -> Column:
         run = a["run"] + x[weight]
         return F.struct(run.alias("run"), F.coalesce(a["found"], F.when(run * 10 >= total * tenths, x[value])).alias("found"))
 
-    return F.aggregate(samples, start, step, lambda a: a["found"])
+    # Summed once, not once a sample.
+    return let(total, lambda t: F.aggregate(samples, start, lambda a, x: step(a, x, t), lambda a: a["found"]))
 
 
 #: Width of the first histogram's bins.

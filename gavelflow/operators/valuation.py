@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavelflow.functions import matching as M
-from gavelflow.functions.numbers import clamped, once, to_places
+from gavelflow.functions.numbers import clamped, let, once, to_places
 from gavelflow.operators.comparables import match_comparables, sides
 from gavelflow.operators.quantiles import middle_of, weighted_quantile_of
 
@@ -17,8 +17,8 @@ def drop_price_outliers(samples: Column, value: str = "value") -> Column:
     """Of five or more sorted samples, those within a third and three times the median,
     if they are a strict majority."""
     median = middle_of(F.transform(samples, lambda x: x[value]))
-    near = F.filter(samples, lambda x: (x[value] * MOST_RATIO >= median) & (x[value] <= median * MOST_RATIO))
-    return F.when((F.size(samples) >= LEAST_FOR_OUTLIERS) & (F.size(near) >= F.floor(F.size(samples) / 2) + 1), near).otherwise(samples)
+    near = let(median, lambda m: F.filter(samples, lambda x: (x[value] * MOST_RATIO >= m) & (x[value] <= m * MOST_RATIO)))
+    return let(near, lambda n: F.when((F.size(samples) >= LEAST_FOR_OUTLIERS) & (F.size(n) >= F.floor(F.size(samples) / 2) + 1), n).otherwise(samples))
 
 
 def confidence_of(samples: Column, tier: Column, q20: Column, q50: Column, q80: Column) -> Column:
@@ -26,12 +26,12 @@ def confidence_of(samples: Column, tier: Column, q20: Column, q50: Column, q80:
     cap = F.when(tier == M.TIGHT, M.CONFIDENCE_CAPS[M.TIGHT]).when(tier == M.FAMILY, M.CONFIDENCE_CAPS[M.FAMILY]).otherwise(M.CONFIDENCE_CAPS[M.CLASS])
     add = lambda f: F.aggregate(samples, F.lit(0.0), lambda a, x: a + f(x))
     weights, squares = add(lambda x: x["weight"] / 1e6), add(lambda x: (x["weight"] / 1e6) * (x["weight"] / 1e6))
-    size = weights * weights / squares
     match = add(lambda x: x["match"]) / F.size(samples)
     spread = (q80 - q20) / q50
     dispersion = clamped(1 - F.greatest(F.lit(0.0), spread - 0.45) * 0.55, 0.35, 1.0)
-    sparse = F.when(size < 1.5, 0.28).when(size < 2.5, 0.4).otherwise(cap)
-    return to_places(F.least(cap, sparse, cap * (0.18 + 0.82 * (1 - F.exp(-size / 4))) * (0.55 + match * 0.45) * dispersion), 4)
+    sparse = lambda size: F.when(size < 1.5, 0.28).when(size < 2.5, 0.4).otherwise(cap)
+    least = lambda size: F.least(cap, sparse(size), cap * (0.18 + 0.82 * (1 - F.exp(-size / 4))) * (0.55 + match * 0.45) * dispersion)
+    return to_places(let(let(weights, lambda w: w * w) / squares, least), 4)
 
 
 def adjusted_samples(matches: DataFrame, as_of: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,11 +55,20 @@ def _cached(offers: DataFrame) -> DataFrame:
 
 def resolve_in_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """resolve_valuation() over the values that the other operators find: cached offers,
-    comparables, exact sales and offers."""
+    comparables, exact sales and offers.
+
+    The three know nothing of each other, and each is a row of small jobs after the large ones,
+    so they are found beside each other."""
     subjects, now = _subjects(spark, sf_dir), F.lit(AS_OF).cast("timestamp")
-    bundled = value_subjects(spark, sf_dir).filter("status = 'available'").select("id", "median_cents", F.when(F.col("confidence") < 0.4, F.timestamp_micros(F.unix_micros(now) - 86_400_000_000)).otherwise(now).alias("as_of"))
-    exact = written(exact_identity_valuation(spark, sf_dir), "exact").select("id", "median_cents", now.alias("as_of"), "sample_size")
-    offers = written(market_offer_valuation(spark, sf_dir), "offers")
+
+    def valued() -> DataFrame:
+        return written(value_subjects(spark, sf_dir).filter("status = 'available'").select("id", "median_cents", "confidence"), "valued")
+
+    with ThreadPoolExecutor(3) as beside:
+        found = [beside.submit(x) for x in (valued, lambda: written(exact_identity_valuation(spark, sf_dir), "exact"), lambda: written(market_offer_valuation(spark, sf_dir), "offers"))]
+    bundled, exact, offers = (x.result() for x in found)
+    bundled = bundled.select("id", "median_cents", F.when(F.col("confidence") < 0.4, F.timestamp_micros(F.unix_micros(now) - 86_400_000_000)).otherwise(now).alias("as_of"))
+    exact = exact.select("id", "median_cents", now.alias("as_of"), "sample_size")
     return market.resolve_valuation(subjects, _cached(offers), bundled, exact, offers.select("id", "median_cents"), now)
 
 
